@@ -15,26 +15,37 @@ from pyspark.sql import types as T
 
 from rowferry.functions.types import UNSIGNED_MAX, base_name, spark_type
 
-# Accepted text shapes.
+# Accepted text shapes. They are tight on purpose: a failing
+# ``try_cast`` costs an exception, a failing pattern does not.
+BLANKS = r"[\x00-\x20]*"
+DIGITS = r"([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+HEX_DIGITS = r"0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+"
+DAY = r"[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
 WHOLE_NUMBER = r"^[+-]?[0-9]+$"
-REAL_NUMBER = r"^[\x00-\x20]*[+-]?(NaN|Infinity|[0-9.].*)$"
-ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-ISO_DATETIME = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{0,9})?)?$"
-)
+DECIMAL_NUMBER = rf"^{BLANKS}[+-]?{DIGITS}{BLANKS}$"
+REAL_NUMBER = rf"^{BLANKS}[+-]?(NaN|Infinity|({DIGITS}|{HEX_DIGITS})[fFdD]?){BLANKS}$"
+ISO_DATE = rf"^{DAY}$"
+ISO_DATETIME = rf"^{DAY}[Tt]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{{0,9}})?)?$"
 UUID_TEXT = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 TRUE_WORDS = ("true", "1", "yes")
 FALSE_WORDS = ("false", "0", "no")
 
+# Bits of the signed whole-number types.
+WHOLE_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
 
 def to_whole(text: Column, dtype: str) -> Column:
-    return F.when(text.rlike(WHOLE_NUMBER), text.try_cast(dtype))
+    wide = F.when(text.rlike(WHOLE_NUMBER), text.try_cast("bigint"))
+    if dtype == "bigint":
+        return wide
+    bound = 1 << (WHOLE_BITS[dtype] - 1)
+    return F.when(wide.between(-bound, bound - 1), wide.cast(dtype))
 
 
 def to_unsigned(text: Column, name: str) -> Column:
     wide = F.when(text.rlike(WHOLE_NUMBER), text.try_cast("decimal(38,0)"))
     in_range = wide.between(F.lit(0), F.lit(UNSIGNED_MAX[name]).cast("decimal(38,0)"))
-    return F.when(in_range, wide).try_cast(spark_type(name))
+    return F.when(in_range, wide.cast(spark_type(name)))
 
 
 def to_real(text: Column, dtype: str = "double") -> Column:
@@ -60,33 +71,32 @@ def to_uuid(text: Column) -> Column:
 
 def cast_text(text: Column, name: str | None) -> Column:
     """Convert text to the declared type: empty text and misfits become NULL."""
-    value = F.nullif(text, F.lit(""))
     head = base_name(name)
     target = spark_type(name)
     if head in UNSIGNED_MAX:
-        return to_unsigned(value, head)
+        return to_unsigned(text, head)
     if head == "UUID":
-        return to_uuid(value)
+        return to_uuid(text)
     if isinstance(target, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return to_whole(value, target.simpleString())
+        return to_whole(text, target.simpleString())
     if isinstance(target, (T.FloatType, T.DoubleType)):
-        return to_real(value, target.simpleString())
+        return to_real(text, target.simpleString())
     if isinstance(target, T.DecimalType):
-        return F.when(value.rlike(REAL_NUMBER), value.try_cast(target))
+        return F.when(text.rlike(DECIMAL_NUMBER), text.try_cast(target))
     if isinstance(target, T.DateType):
-        return to_date(value)
+        return to_date(text)
     if isinstance(target, T.TimestampNTZType):
-        return to_datetime(value)
+        return to_datetime(text)
     if isinstance(target, T.BooleanType):
-        return to_bool(value)
+        return to_bool(text)
     if isinstance(target, (T.ArrayType, T.MapType, T.StructType)):
-        return F.from_json(value, target)
-    return value
+        return F.when(text != "", F.from_json(text, target))
+    return F.nullif(text, F.lit(""))
 
 
 def is_rejected(text: Column, name: str | None) -> Column:
     """True where there is text that does not fit the declared type."""
-    return (F.coalesce(F.length(text), F.lit(0)) > 0) & cast_text(text, name).isNull()
+    return text.isNotNull() & (text != "") & cast_text(text, name).isNull()
 
 
 def require_cast(text: Column, name: str) -> Column:
