@@ -44,7 +44,7 @@ def to_whole(text: Column, dtype: str) -> Column:
 
 def to_unsigned(text: Column, name: str) -> Column:
     wide = F.when(text.rlike(WHOLE_NUMBER), text.try_cast("decimal(38,0)"))
-    in_range = wide.between(F.lit(0), F.lit(UNSIGNED_MAX[name]).cast("decimal(38,0)"))
+    in_range = wide.between(F.lit(0), F.lit(str(UNSIGNED_MAX[name])).cast("decimal(38,0)"))
     return F.when(in_range, wide.cast(spark_type(name)))
 
 

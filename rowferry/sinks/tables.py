@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowferry.functions.casting import typed_projection
 from rowferry.functions.types import base_name, spark_type, type_name
 from rowferry.operators.quality import ErrorBudget, check_budget, good_rows
 from rowferry.plans.spec import LoadSpec, is_blank, quote_name
@@ -100,8 +101,8 @@ def load_file(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec, mu
     target = spark.table(table_id(spec.table)).schema
     types = load_types(text, spec, target)
     rejected = 0
-    rows = good_rows(text, types)
     if any(base_name(t) != "String" for t in types.values()):
         budget = ErrorBudget(spec.max_bad_rows, spec.max_bad_ratio)
         _, rejected = check_budget(text.select(*[quote_name(c) for c in types]), types, budget)
+    rows = good_rows(text, types) if rejected else typed_projection(text, types)
     return LoadResult(append_rows(rows, spec.table), True, "Upload successful", rejected)

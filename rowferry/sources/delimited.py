@@ -13,12 +13,19 @@ from pyspark.sql import types as T
 
 from rowferry.functions.text import char_count, clean_header, split_quoted, trim_cells
 from rowferry.plans.spec import PREVIEW_ROWS, SAMPLE_ROWS, decode_delimiter, quote_name
+from rowferry.sources.records import all_well_formed, parse_records, split_records
 
 NO_DATA = "(No data)"
 
+# A file whose cells span lines is read by one task up to this size.
+ONE_TASK_BYTES = 256 * 1024 * 1024
+
 
 def csv_options(sep: str, header: bool, multi_line: bool) -> dict[str, str]:
-    """Reader options of the standard dialect: a quote is escaped by doubling it."""
+    """Reader options of the standard dialect: a quote is escaped by doubling it.
+
+    A cell with nothing is NULL, a quoted cell with nothing is empty text.
+    """
     return {
         "sep": sep,
         "header": str(header).lower(),
@@ -27,6 +34,7 @@ def csv_options(sep: str, header: bool, multi_line: bool) -> dict[str, str]:
         "multiLine": str(multi_line).lower(),
         "encoding": "UTF-8",
         "mode": "PERMISSIVE",
+        "nullValue": "\x00",
     }
 
 
@@ -40,6 +48,11 @@ def spans_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
     return not lines.where(char_count(F.col("value"), '"') % 2 == 1).isEmpty()
 
 
+def largest_file(spark: SparkSession, path: str | Sequence[str]) -> int:
+    files = spark.read.format("binaryFile").load(path)
+    return files.agg(F.max("length")).head()[0] or 0
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -52,16 +65,22 @@ def read_delimited(
 ) -> DataFrame:
     """Scan delimited files into text columns.
 
-    Files are cut into splits unless cells span lines (then a file is one
-    task); ``multi_line=None`` finds out with a scan of the text, a caller who
-    knows passes it. ``columns`` keeps only these, in this order, and the
-    parser skips the others. Without a header the names are Column1..N;
-    ``rename`` maps names to new ones.
+    Files are cut into splits unless cells span lines; ``multi_line=None``
+    finds out with a scan of the text, a caller who knows passes it. Where
+    cells span lines a file is one task, and files above ``ONE_TASK_BYTES``
+    are cut into records in parallel instead. ``columns`` keeps only these,
+    in this order, and the parser skips the others. Without a header the
+    names are Column1..N; ``rename`` maps names to new ones.
     """
     sep = decode_delimiter(sep, multi_char)
     if multi_line is None:
         multi_line = spans_lines(spark, path)
-    df = spark.read.options(**csv_options(sep, header, multi_line)).csv(path)
+    options = csv_options(sep, header, multi_line)
+    df = spark.read.options(**options).csv(path)
+    if multi_line and largest_file(spark, path) > ONE_TASK_BYTES:
+        records = split_records(spark, path, header)
+        if all_well_formed(records, sep):
+            df = parse_records(records, df.columns, options)
     if not header:
         df = df.toDF(*[f"Column{i}" for i in range(1, len(df.columns) + 1)])
     if columns is not None:
