@@ -96,15 +96,19 @@ def filter_join(left: DataFrame, right: DataFrame, left_keys: Sequence[Column],
     return left.join(keys, all_of([k == F.col(f"key_{i}") for i, k in enumerate(left_keys)]), how)
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """One row per key: the smallest by ``order_by``, then by the other columns."""
+def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per key: the smallest by ``order_by``, then by the other columns.
+
+    ``columns`` names what is used later, so that the scan reads no more.
+    """
     if not order_by:
         raise ValueError("an ANY join needs order_by columns to choose the match")
-    rank = [*order_by, *(n for n in df.columns if n not in order_by)]
+    wanted = [*keys, *order_by, *(df.columns if columns is None else columns)]
+    rank = [*order_by, *(n for n in df.columns if n in wanted and n not in order_by)]
     present = all_of([F.col(quote_name(k)).isNotNull() for k in keys])
     best = F.min(F.struct(*[F.col(quote_name(n)).alias(f"r{i}") for i, n in enumerate(rank)])).alias("best")
     picked = df.where(present).groupBy(*[F.col(quote_name(k)).alias(f"k{i}") for i, k in enumerate(keys)]).agg(best)
-    return picked.select(*[F.col(f"best.r{rank.index(n)}").alias(n) for n in df.columns])
+    return picked.select(*[F.col(f"best.r{rank.index(n)}").alias(n) for n in df.columns if n in rank])
 
 
 def any_join(left: DataFrame, right: DataFrame, on: Column, right_keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -116,10 +120,10 @@ def hot_keys(df: DataFrame, keys: Sequence[Column], hot_key_rows: int) -> DataFr
     """Keys with more than ``hot_key_rows`` rows and the salts each needs.
 
     Counting is combined before the shuffle. The result, at most total rows /
-    ``hot_key_rows`` rows, is written once to the shared folder. None if the
-    table is too small to have such a key or has none.
+    ``hot_key_rows`` rows, is written once to the shared folder. None if there
+    is no such key.
     """
-    if df.count() <= hot_key_rows:
+    if has_row_index(df) and df.count() <= hot_key_rows:  # footers only
         return None
     named = [k.alias(f"key_{i}") for i, k in enumerate(keys)]
     counted = df.where(all_of([k.isNotNull() for k in keys])).groupBy(*named).agg(F.count(F.lit(1)).alias("n"))
@@ -167,7 +171,7 @@ def salted_join(
 
     def prepare(df, keys, own, other, side):
         # Salts follow from the row itself: a lost task's rerun repeats them.
-        row_hash = F.xxhash64(*_row_identity(df))
+        row_hash = F.lit(0) if own is None else F.xxhash64(*_row_identity(df))
         tagged = df.select("*", row_hash.alias(f"{side}_hash"))
         tagged = _with_salts(_with_salts(tagged, keys, own, f"{side}_own"), keys, other, f"{side}_other")
         own_salt = F.pmod(F.col(f"{side}_hash"), F.col(f"{side}_own")).cast("int")

@@ -19,6 +19,9 @@ COMPLEX_LINE_COUNT = 10
 
 KEY_PROBE_ROWS = 2000
 
+# Values longer than this are compared by their SHA-256.
+LONG_VALUE = 128
+
 
 def row_count(df: DataFrame, name: str = "row_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
@@ -37,8 +40,12 @@ def _comparable(df: DataFrame, column: str) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return (value + F.lit(0.0)).cast("string")  # -0.0 counts as 0.0
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(value)
-    return value.cast("string")
+        value = F.to_json(value)
+    elif not isinstance(dtype, (T.StringType, T.BinaryType)):
+        return value.cast("string")
+    # Long values cross the shuffle as their digest.
+    text = value.cast("string")
+    return F.when(F.length(text) > LONG_VALUE, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
 
 def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -40,8 +40,16 @@ def _array_columns(join: JoinSpec) -> tuple[str, str]:
     return f"{column}_item", f"{column}_index"
 
 
-def _apply(frame: DataFrame, join: JoinSpec, tables: Tables, main_table: str, salt_hot_keys: bool) -> DataFrame:
-    how = join.how
+def _mentioned(spec: ExportSpec, df: DataFrame) -> list[str]:
+    """Columns whose name occurs anywhere in the spec; a few too many do no harm."""
+    texts = [*spec.columns, *spec.order_by]
+    for join in spec.joins:
+        texts += [join.condition or "", join.array_column or "", *join.order_by, *(c for pair in join.pairs for c in pair)]
+    return [c for c in df.columns if any(c in text for text in texts)]
+
+
+def _apply(frame: DataFrame, join: JoinSpec, spec: ExportSpec, tables: Tables, salt_hot_keys: bool) -> DataFrame:
+    how, main_table = join.how, spec.table.replace('"', "")
     if how == "array":
         if is_blank(join.array_column):
             raise ValueError("an ARRAY join needs array_column")
@@ -64,7 +72,8 @@ def _apply(frame: DataFrame, join: JoinSpec, tables: Tables, main_table: str, sa
     if how == "global":
         return joins.global_join(frame, right, on)
     if how == "any":
-        chosen = joins.first_per_key(right, [column for _, _, column in pairs], join.order_by)
+        keys = [column for _, _, column in pairs]
+        chosen = joins.first_per_key(right, keys, join.order_by, _mentioned(spec, right))
         return frame.join(chosen.alias(join.table), on, "inner")
     if how in ("left_semi", "left_anti"):
         return joins.filter_join(frame, right, left_keys, right_keys, how)
@@ -74,10 +83,9 @@ def _apply(frame: DataFrame, join: JoinSpec, tables: Tables, main_table: str, sa
 
 
 def _joined(spec: ExportSpec, tables: Tables, salt_hot_keys: bool) -> DataFrame:
-    main = spec.table.replace('"', "")
-    frame = _table(tables, main)
+    frame = _table(tables, spec.table)
     for join in spec.joins:
-        frame = _apply(frame, join, tables, main, salt_hot_keys)
+        frame = _apply(frame, join, spec, tables, salt_hot_keys)
     return frame
 
 

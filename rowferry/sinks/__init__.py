@@ -1,5 +1,5 @@
-from rowferry.sinks.files import export_delimited, export_format, export_name, export_quoted
-from rowferry.sinks.tables import LoadResult, append_rows, create_table, load_file
+from rowferry.sinks.files import export_delimited, export_format, export_name, export_quoted, run_export
+from rowferry.sinks.tables import LoadResult, append_rows, create_table, load_file, load_outcome
 
 __all__ = [
     "LoadResult",
@@ -10,4 +10,6 @@ __all__ = [
     "export_name",
     "export_quoted",
     "load_file",
+    "load_outcome",
+    "run_export",
 ]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.text import UNSAFE_NAME_CHARS, iso_text
-from rowferry.plans.spec import decode_delimiter, is_blank, quote_name
+from rowferry.plans.export import Tables, prepare_export
+from rowferry.plans.spec import ExportSpec, decode_delimiter, is_blank, quote_name
 
 # Format name -> Spark writer, its options.
 FORMATS = {
@@ -97,6 +98,12 @@ def export_format(df: DataFrame, path: str, format_name: str | None = None, mode
     return _write(df, path, writer, options, mode)
 
 
+def run_export(spec: ExportSpec, tables: Tables, folder: str, **kwargs) -> tuple[str, int]:
+    """Write what a spec asks for under ``folder``; returns the path and the rows written."""
+    path = f"{folder.rstrip('/')}/{export_name(spec.table)}"
+    return path, export_delimited(prepare_export(spec, tables), path, spec.separator, **kwargs)
+
+
 def export_name(table: str, extension: str = ".csv") -> str:
     """File name for a table: characters unsafe in names become ``_``."""
     return re.sub(UNSAFE_NAME_CHARS, "_", table) + extension

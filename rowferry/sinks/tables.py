@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,3 +107,11 @@ def load_file(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec, mu
         _, rejected = check_budget(text.select(*[quote_name(c) for c in types]), types, budget)
     rows = good_rows(text, types) if rejected else typed_projection(text, types)
     return LoadResult(append_rows(rows, spec.table), True, "Upload successful", rejected)
+
+
+def load_outcome(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec) -> LoadResult:
+    """``load_file`` that reports a failure instead of raising it."""
+    try:
+        return load_file(spark, path, spec)
+    except (PySparkException, ValueError) as error:
+        return LoadResult(0, False, f"Error: {error}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,16 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from rowferry.functions.casting import typed_projection
 from rowferry.operators.quality import good_rows
-from rowferry.plans.spec import decode_delimiter
+from rowferry.plans.spec import decode_delimiter, quote_name
 from rowferry.sources.delimited import csv_options
 
+PROGRESS_CONF = "spark.sql.streaming.numRecentProgressUpdates"
+KEPT_BATCHES = 1_000_000
+PROGRESS_SCHEMA = (
+    "batch bigint, rows_read bigint, rows_loaded bigint, bytes_read bigint, "
+    "rows_so_far bigint, bytes_so_far bigint, rows_per_second double"
+)
+
 
 def stream_load(
     spark: SparkSession,
@@ -38,25 +46,37 @@ def stream_load(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     text = reader.csv(folder)
+    # A cell takes its bytes and one separator or line end.
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(quote_name(c)), F.lit(0)) + 1 for c in types])
+    text = text.observe("read", F.sum(size).alias("bytes_read"))
     typed = typed_projection(text, types) if keep_bad_rows else good_rows(text, types)
-    query = (
+    writer = (
         typed.observe("load", F.count(F.lit(1)).alias("rows_loaded"))
         .writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    # Keep the progress of every batch, not only of the last hundred.
+    kept = spark.conf.get(PROGRESS_CONF)
+    spark.conf.set(PROGRESS_CONF, str(KEPT_BATCHES))
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(PROGRESS_CONF, kept)
     query.awaitTermination()
     return query
 
 
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """``(batch, rows_read, rows_loaded, rows_so_far)`` of a finished load."""
-    rows, so_far = [], 0
+    """One row per batch of a load: rows and bytes, in the batch and so far, and speed."""
+    rows, rows_so_far, bytes_so_far = [], 0, 0
     for step in query.recentProgress:
-        loaded = step.observedMetrics["load"].rows_loaded if "load" in step.observedMetrics else 0
-        so_far += loaded
-        rows.append((step.batchId, step.numInputRows, loaded, so_far))
-    return spark.createDataFrame(rows, "batch bigint, rows_read bigint, rows_loaded bigint, rows_so_far bigint")
+        seen = step.observedMetrics
+        loaded = seen["load"].rows_loaded if "load" in seen else 0
+        size = (seen["read"].bytes_read or 0) if "read" in seen else 0
+        rows_so_far, bytes_so_far = rows_so_far + loaded, bytes_so_far + size
+        speed = step.processedRowsPerSecond
+        rows.append((step.batchId, step.numInputRows, loaded, size, rows_so_far, bytes_so_far, speed))
+    return spark.createDataFrame(rows, PROGRESS_SCHEMA)

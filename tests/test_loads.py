@@ -3,7 +3,7 @@ import pytest
 from rowferry.operators.quality import TooManyBadRows
 from rowferry.operators.sets import append_union
 from rowferry.plans import LoadSpec
-from rowferry.sinks import append_rows, create_table, load_file
+from rowferry.sinks import append_rows, create_table, load_file, load_outcome
 from rowferry.sources import catalog_inventory, catalog_tables, jdbc_options, preview_table, scan_table
 from rowferry.session import scratch_path
 from rowferry.streaming import progress_rows, stream_load
@@ -62,6 +62,11 @@ def test_bad_rows(spark, tmp_path):
     assert spark.table("tolerant").count() == 50
 
 
+def test_failure_is_reported(spark, tmp_path):
+    failed = load_outcome(spark, write(tmp_path), LoadSpec("no_such_table"))
+    assert (failed.lines, failed.success) == (0, False) and failed.message.startswith("Error: ")
+
+
 def test_tables(spark):
     spark.range(150).write.saveAsTable("numbers")
     assert "numbers" in catalog_tables(spark)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowferry.functions.casting import typed_projection
 from rowferry.plans import ExportSpec, JoinSpec, prepare_export
-from rowferry.sinks.files import export_delimited, export_format, export_name, export_quoted
+from rowferry.sinks.files import export_delimited, export_format, export_name, export_quoted, run_export
 from rowferry.sources.delimited import read_delimited
 from workloads.common import EVENT_TYPES, LINE_TYPES, ORDER_TYPES, fresh_path, table, tables
 
@@ -30,8 +30,7 @@ THREE_TABLES = ExportSpec(
 def export_roundtrip(spark, folder):
     """Join, project, write delimited, read back, convert."""
     spec = ORDERS_WITH_NAMES
-    path = f"{fresh_path(spark, 'roundtrip')}/{export_name(spec.table)}"
-    export_delimited(prepare_export(spec, tables(spark, folder)), path, spec.separator)
+    path, _ = run_export(spec, tables(spark, folder), fresh_path(spark, "roundtrip"))
     text = read_delimited(spark, path, spec.separator)
     return typed_projection(text, {"o_orderkey": "Int64", "o_totalprice": "Float64", "c_name": "String"})
 

@@ -33,13 +33,16 @@ def stream_resume(spark, folder):
 
 
 def stream_progress(spark, folder):
-    path = _orders_folder(spark, folder, "progress")
-    query = stream_load(spark, f"{path}/in", ORDER_TYPES, f"{path}/out", f"{path}/state", files_per_batch=2)
+    path = fresh_path(spark, "progress")
+    types = {"c_custkey": "Int64", "c_name": "String", "c_nationkey": "Int32", "c_mktsegment": "String"}
+    export_delimited(table(spark, folder, "customer").select(*types).repartition(6, "c_custkey"), f"{path}/in")
+    query = stream_load(spark, f"{path}/in", types, f"{path}/out", f"{path}/state", files_per_batch=2)
     steps = progress_rows(spark, query)
     return steps.agg(
         F.sum("rows_read").alias("rows_read"),
         F.sum("rows_loaded").alias("rows_loaded"),
         F.max("rows_so_far").alias("rows_so_far"),
+        F.max("bytes_so_far").alias("bytes_so_far"),
     )
 
 
@@ -52,5 +55,8 @@ QUERIES = {
 SQL = {
     "stream_load": "SELECT * FROM orders",
     "stream_resume": "SELECT * FROM orders",
-    "stream_progress": "SELECT count(*) AS rows_read, count(*) AS rows_loaded, count(*) AS rows_so_far FROM orders",
+    "stream_progress": (
+        "SELECT count(*) AS rows_read, count(*) AS rows_loaded, count(*) AS rows_so_far, CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) "
+        "+ strlen(c_name) + strlen(CAST(c_nationkey AS VARCHAR)) + strlen(c_mktsegment) + 4) AS BIGINT) AS bytes_so_far FROM customer"
+    ),
 }
