@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters removed by trimming, the quote that is stripped
-# around a cell (kept around {...}), and characters allowed in a file name.
+# around a cell (kept around {...}), characters not allowed in a file name,
+# and the count of delimiters and quotes above which a line is complex.
 BLANKS = "".join(chr(code) for code in range(0x21))
 ENCLOSING_QUOTES = r'(?s)^"(?!\{[^}]+\}"$)(.*)"$'
 UNSAFE_NAME_CHARS = r"[^a-zA-Z0-9\-_]"
+COMPLEX_LINE_COUNT = 10
+
+# From a quote to the next one, or to the end.
+QUOTED_PART = r'"[^"]*("|\z)'
 
 AROUND_BLANKS = r"[\x00-\x20]*"
 
@@ -51,27 +55,40 @@ def parse_datetime(text: Column, formats: Sequence[str]) -> Column:
 
 
 def char_count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    without = F.replace(text, F.lit(char), F.lit(""))
+    return ((F.octet_length(text) - F.octet_length(without)) / len(char.encode())).cast("int")
+
+
+def is_complex_line(line: Column, sep: str) -> Column:
+    """A line with many delimiters and many quotes."""
+    return (char_count(line, sep) > COMPLEX_LINE_COUNT) & (char_count(line, '"') > COMPLEX_LINE_COUNT)
+
+
+def cell_count(line: Column, sep: str) -> Column:
+    """How many cells ``split_quoted`` finds, without cutting them out."""
+    outside = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, QUOTED_PART, "")).otherwise(line)
+    return char_count(outside, sep) + 1
 
 
-def split_quoted(line: Column, sep: str) -> Column:
+def split_quoted(line: Column, sep: str, keep_quotes: bool | None = None) -> Column:
     """Cells of one line: a quote switches quoting on or off, separators count
     only outside quotes, cells are trimmed.
 
     Quotes vanish, so a quote can mark the cell borders without clashing with
-    the data. Tab-separated lines keep quotes while scanning and lose only an
-    enclosing pair; there an escaped control character marks the borders.
+    the data. With ``keep_quotes``, the rule for tab-separated lines, they stay
+    while scanning and cells lose only an enclosing pair; there an escaped
+    control character marks the borders.
     """
-    border = re.escape('"')
-    unquoted = F.split(trim_cell(F.replace(line, F.lit(sep), F.lit('"'))), f"{AROUND_BLANKS}{border}{AROUND_BLANKS}")
+    border = f'{AROUND_BLANKS}"{AROUND_BLANKS}'
+    unquoted = F.split(trim_cell(F.replace(line, F.lit(sep), F.lit('"'))), border)
 
     def outside(mark: str, source: Column):
         return F.transform(
-            F.split(source, border, -1),
+            F.split(source, '"', -1),
             lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(sep), F.lit(mark))).otherwise(part),
         )
 
-    if sep == "\t":
+    if sep == "\t" if keep_quotes is None else keep_quotes:
         escaped = F.replace(line, F.lit("\x01"), F.lit("\x01e"))
         joined = F.array_join(outside("\x01s", escaped), '"')
         quoted = F.transform(
@@ -80,5 +97,5 @@ def split_quoted(line: Column, sep: str) -> Column:
         )
     else:
         joined = trim_cell(F.array_join(outside('"', line), ""))
-        quoted = F.split(joined, f"{AROUND_BLANKS}{border}{AROUND_BLANKS}")
+        quoted = F.split(joined, border)
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(unquoted)

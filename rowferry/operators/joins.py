@@ -25,6 +25,7 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 # A key with more rows than this is hot: its rows are spread over several tasks.
 HOT_KEY_ROWS = 5_000_000
+KEY_BUCKETS = 1 << 20
 
 
 def all_of(terms: Sequence[Column]) -> Column:
@@ -119,17 +120,24 @@ def any_join(left: DataFrame, right: DataFrame, on: Column, right_keys: Sequence
 def hot_keys(df: DataFrame, keys: Sequence[Column], hot_key_rows: int) -> DataFrame | None:
     """Keys with more than ``hot_key_rows`` rows and the salts each needs.
 
-    Counting is combined before the shuffle. The result, at most total rows /
-    ``hot_key_rows`` rows, is written once to the shared folder. None if there
-    is no such key.
+    Rows are first counted per hash bucket: a hot key makes its bucket crowded,
+    so keys are counted only in crowded buckets and the others never cross a
+    shuffle. Crowded buckets and hot keys are each at most total rows /
+    ``hot_key_rows``. The result is written once to the shared folder. None if
+    there is no such key.
     """
     if has_row_index(df) and df.count() <= hot_key_rows:  # footers only
         return None
     named = [k.alias(f"key_{i}") for i, k in enumerate(keys)]
-    counted = df.where(all_of([k.isNotNull() for k in keys])).groupBy(*named).agg(F.count(F.lit(1)).alias("n"))
+    names = [f"key_{i}" for i in range(len(keys))]
+    present = df.where(all_of([k.isNotNull() for k in keys])).select(*named)
+    bucketed = present.select("*", F.pmod(F.xxhash64(*names), F.lit(KEY_BUCKETS)).alias("bucket"))
+    rows = F.count(F.lit(1)).alias("n")
+    crowded = bucketed.groupBy("bucket").agg(rows).where(F.col("n") > hot_key_rows).select("bucket")
+    counted = bucketed.join(F.broadcast(crowded), "bucket", "left_semi").groupBy(*names).agg(rows)
     salts = F.ceil(F.col("n") / F.lit(max(hot_key_rows, 1))).cast("int").alias("salts")
     path = scratch_path(df.sparkSession, "hot-keys")
-    counted.where(F.col("n") > hot_key_rows).select(*[F.col(f"key_{i}") for i in range(len(keys))], salts).write.parquet(path)
+    counted.where(F.col("n") > hot_key_rows).select(*names, salts).write.parquet(path)
     found = df.sparkSession.read.parquet(path)
     return None if found.isEmpty() else found
 

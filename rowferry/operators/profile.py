@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowferry.functions.text import char_count, split_quoted
+from rowferry.functions.text import cell_count
 from rowferry.plans.spec import BYTES_PER_ROW, is_blank, quote_name
 
-# Delimiters tried by detection, and the count of both
-# delimiters and quotes above which a first line counts as complex.
+# Delimiters tried by detection.
 DELIMITER_CHOICES = (",", "\t", "|", ";")
-COMPLEX_LINE_COUNT = 10
 
 KEY_PROBE_ROWS = 2000
 
@@ -132,7 +130,7 @@ def validate_width(lines: DataFrame, sep: str) -> DataFrame:
     ``lines`` comes from ``sources.text_lines``: ``value`` and the position
     columns that tell which line is the first.
     """
-    widths = lines.select(F.size(split_quoted(F.col("value"), sep)).alias("width"), "position")
+    widths = lines.select(cell_count(F.col("value"), sep).alias("width"), "position")
     found = widths.agg(
         F.count(F.lit(1)).alias("line_count"),
         F.min("width").alias("min_width"),
@@ -145,7 +143,7 @@ def validate_width(lines: DataFrame, sep: str) -> DataFrame:
 
 def bad_width_lines(lines: DataFrame, sep: str, first_width: int) -> DataFrame:
     """The lines whose cell count differs."""
-    width = F.size(split_quoted(F.col("value"), sep))
+    width = cell_count(F.col("value"), sep)
     return lines.select("value", width.alias("width")).where(F.col("width") != first_width)
 
 
@@ -153,7 +151,7 @@ def delimiter_widths(lines: DataFrame, choices: Sequence[str] = DELIMITER_CHOICE
     """``(delimiter, width, lines)`` for every choice, counted in one pass."""
     tried = F.array(
         *[
-            F.struct(F.lit(d).alias("delimiter"), F.size(split_quoted(F.col("value"), d)).alias("width"))
+            F.struct(F.lit(d).alias("delimiter"), cell_count(F.col("value"), d).alias("width"))
             for d in choices
         ]
     )
@@ -179,11 +177,6 @@ def detect_delimiter(lines: DataFrame, choices: Sequence[str] = DELIMITER_CHOICE
     )
 
 
-def is_complex_line(line: Column, sep: str) -> Column:
-    """A line with many delimiters and many quotes."""
-    return (char_count(line, sep) > COMPLEX_LINE_COUNT) & (char_count(line, '"') > COMPLEX_LINE_COUNT)
-
-
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``(table_name, row_count)``, one footer-only count per table in one job."""
     counts = [

@@ -162,7 +162,11 @@ class ExportSpec:
 
 @dataclass(frozen=True)
 class LoadSpec:
-    """Which file columns go to which table, with which types."""
+    """Which file columns go to which table, with which types.
+
+    With ``infer`` a new table gets the types that fit the whole file, except
+    for the columns in ``column_types``.
+    """
 
     table: str
     create: bool = False
@@ -173,6 +177,7 @@ class LoadSpec:
     max_bad_rows: int = MAX_BAD_ROWS
     max_bad_ratio: float = MAX_BAD_RATIO
     location: str | None = None
+    infer: bool = False
 
     def __post_init__(self):
         if is_blank(self.table):

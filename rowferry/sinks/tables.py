@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rowferry.functions.casting import typed_projection
 from rowferry.functions.types import base_name, spark_type, type_name
+from rowferry.operators.infer import suggested_types
 from rowferry.operators.quality import ErrorBudget, check_budget, good_rows
 from rowferry.plans.spec import LoadSpec, is_blank, quote_name
 from rowferry.sources.delimited import read_delimited
@@ -97,6 +98,9 @@ def load_file(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec, mu
     limits; fewer bad rows are left out and counted in ``rejected``.
     """
     text = read_delimited(spark, path, spec.separator, spec.has_header, multi_line=multi_line)
+    if spec.infer:
+        chosen = text.select(*[quote_name(c) for c in spec.columns or text.columns])
+        spec = replace(spec, column_types=suggested_types(chosen) | dict(spec.column_types or {}))
     if spec.create:
         create_table(spark, spec.table, spec.column_types or dict.fromkeys(text.columns, "String"), spec.location)
     target = spark.table(table_id(spec.table)).schema

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowferry.functions.text import char_count, clean_header, split_quoted, trim_cells
+from rowferry.functions.text import char_count, clean_header, is_complex_line, split_quoted, trim_cells
 from rowferry.plans.spec import PREVIEW_ROWS, SAMPLE_ROWS, decode_delimiter, quote_name
 from rowferry.sources.records import all_well_formed, parse_records, split_records
 
@@ -151,7 +151,13 @@ def read_lenient(
     return cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def preview_file(spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True) -> DataFrame:
+def preview_file(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    sep: str = ",",
+    header: bool = True,
+    keep_quotes: bool | None = None,
+) -> DataFrame:
     """The first 100 lines by the lenient rules; a header counts as one of them.
 
     A file with only a header gives one ``(No data)`` row, an empty file no
@@ -162,7 +168,7 @@ def preview_file(spark: SparkSession, path: str | Sequence[str], sep: str = ",",
     if not lines:
         return spark.createDataFrame([], T.StructType([]))
     cut = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "line int, value string")
-    cut = cut.select("line", split_quoted(F.col("value"), sep).alias("cells"))
+    cut = cut.select("line", split_quoted(F.col("value"), sep, keep_quotes).alias("cells"))
     first = cut.where("line = 0").select(F.transform("cells", clean_header).alias("cells")).head().cells
     names = first if header else [f"Column{i}" for i in range(1, len(first) + 1)]
     if header and len(lines) == 1:
@@ -172,7 +178,15 @@ def preview_file(spark: SparkSession, path: str | Sequence[str], sep: str = ",",
 
 
 def sample_file(spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True, n: int = SAMPLE_ROWS) -> DataFrame:
-    """Up to 1000 records of the first file by the standard rules, cells trimmed."""
+    """The first 1000 records of the first file by the standard rules, cells trimmed.
+
+    A header counts as one of them. A first line with many delimiters and
+    quotes is taken as a sign of loose quoting: then the first 100 lines are
+    read by the lenient rules, without quotes.
+    """
     first = _first_file(spark, path)
+    line = spark.read.text(first).limit(1).where(is_complex_line(F.col("value"), decode_delimiter(sep)))
+    if not line.isEmpty():
+        return preview_file(spark, first, sep, header, keep_quotes=False)
     records = read_delimited(spark, first, sep, header)
-    return trim_cells(spark.createDataFrame(records.take(n), records.schema))
+    return trim_cells(spark.createDataFrame(records.take(n - header), records.schema))

@@ -96,7 +96,11 @@ def test_lenient_keeps_lines_equal_to_the_header(spark, tmp_path):
 def test_sample(spark, tmp_path):
     path = write(tmp_path / "s.csv", "id,v\n" + "".join(f" {i} , x \n" for i in range(3000)))
     got = sample_file(spark, path).collect()
-    assert [tuple(r) for r in got] == [(str(i), "x") for i in range(1000)]
+    assert [tuple(r) for r in got] == [(str(i), "x") for i in range(999)]
+    assert sample_file(spark, path, header=False).count() == 1000
+    loose = "\t".join(f'"c{i}"' for i in range(12))
+    odd = sample_file(spark, write(tmp_path / "odd.tsv", (loose + "\n") * 300), "tab", header=False)
+    assert odd.count() == 100 and odd.head().Column12 == "c11"
 
 
 @pytest.mark.parametrize("name, reader", [("CSVWithNames", "csv"), (" ", "csv"), ("NoSuch", "csv"), ("JSONEachRow", "json"), ("parquet", "parquet"), ("ORC", "orc")])

@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rowferry.functions import clean_header, parse_datetime, safe_name, split_quoted, unquote
+from rowferry.functions.text import cell_count, char_count
 from rowferry.plans import decode_delimiter
 
 BLANKS = "".join(map(chr, range(0x21)))
@@ -51,6 +52,7 @@ def cells_by_hand(line, sep):
 )
 def test_split_quoted(spark, sep, line, expected):
     assert one(spark, line, lambda c: split_quoted(c, sep)) == expected == cells_by_hand(line, sep)
+    assert one(spark, line, lambda c: cell_count(c, sep)) == len(expected)
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -60,8 +62,10 @@ def test_split_quoted(spark, sep, line, expected):
 )
 def test_split_quoted_as_by_hand(spark, lines, sep):
     df = spark.createDataFrame([(line,) for line in lines], "v string")
-    for row in df.select("v", split_quoted(F.col("v"), sep).alias("cells")).collect():
+    counted = cell_count(F.col("v"), sep).alias("n")
+    for row in df.select("v", split_quoted(F.col("v"), sep).alias("cells"), counted).collect():
         assert row.cells == cells_by_hand(row.v, sep), (sep, row.v)
+        assert row.n == len(row.cells)
 
 
 def test_unquote(spark):
@@ -74,6 +78,11 @@ def test_header_and_names(spark):
     assert one(spark, "my table.v-1/x", safe_name) == "my_table_v-1_x"
 
 
+def test_char_count(spark):
+    assert one(spark, "a§b§c", lambda c: char_count(c, "§")) == 2
+    assert one(spark, "", lambda c: char_count(c, ",")) == 0
+
+
 def test_parse_datetime(spark):
     parse = lambda c: parse_datetime(c, ["yyyy-MM-dd HH:mm", "dd/MM/yyyy"]).cast("string")
     assert one(spark, "2020-01-02 03:04", parse) == "2020-01-02 03:04:00"

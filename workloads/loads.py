@@ -63,6 +63,14 @@ def load_untyped(spark, folder):
     return spark.table(name)
 
 
+def load_inferred(spark, folder):
+    """A new table with the types that fit the file, one of them overridden."""
+    name = fresh_table("inferred")
+    spec = LoadSpec(name, create=True, infer=True, column_types={"o_orderkey": "Int64"}, location=fresh_path(spark, "inferred"))
+    load_file(spark, _orders_file(spark, folder), spec)
+    return spark.table(name)
+
+
 def load_summary(spark, folder):
     name = fresh_table("summary")
     spec = LoadSpec(name, create=True, column_types=ORDER_TYPES, location=fresh_path(spark, "summary"))
@@ -117,6 +125,7 @@ QUERIES = {
     "load_selected_columns": load_selected_columns,
     "load_create_or_append": load_create_or_append,
     "load_untyped": load_untyped,
+    "load_inferred": load_inferred,
     "load_summary": load_summary,
     "rows_loaded": rows_loaded,
     "load_with_bad_rows": load_with_bad_rows,
@@ -138,6 +147,9 @@ SQL = {
         "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size, "
         "CAST(p_retailprice AS VARCHAR) AS p_retailprice FROM part"
     ),
+    "load_inferred": (
+        "SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
+    ),
     "load_summary": "SELECT count(*) AS lines, true AS success, 'Upload successful' AS message FROM orders",
     "rows_loaded": "SELECT count(*) AS first_rows, count(*) AS second_rows, 2 * count(*) AS table_rows FROM orders",
     "load_with_bad_rows": "SELECT * FROM events WHERE event_type <> 'error'",

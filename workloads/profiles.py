@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowferry.functions.text import is_complex_line
 from rowferry.operators.infer import infer_types
 from rowferry.operators.profile import (
     candidate_keys,
@@ -11,10 +12,9 @@ from rowferry.operators.profile import (
     delimiter_widths,
     detect_delimiter,
     estimate_size,
-    is_complex_line,
     validate_width,
 )
-from rowferry.sinks.files import as_text_cells, export_delimited
+from rowferry.sinks.files import export_delimited
 from rowferry.sources.delimited import read_delimited, text_lines
 from workloads.common import LINE_TYPES, fresh_path, table, text
 

@@ -181,7 +181,7 @@ SQL = {
         "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 99"
     ),
     "sample_file": (
-        "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 1000"
+        "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 999"
     ),
     "scan_table": "SELECT * FROM supplier",
     "table_inventory": " UNION ALL ".join(
