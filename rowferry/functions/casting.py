@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.types import UNSIGNED_MAX, base_name, spark_type
+from rowferry.plans.spec import quote_name
 
 # Accepted text shapes. They are tight on purpose: a failing
 # ``try_cast`` costs an exception, a failing pattern does not.
@@ -107,4 +108,4 @@ def require_cast(text: Column, name: str) -> Column:
 
 def typed_projection(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """One projection from text columns to the declared types, in declared order."""
-    return df.select(*[cast_text(df[f"`{c}`"], t).alias(c) for c, t in types.items()])
+    return df.select(*[cast_text(F.col(quote_name(c)), t).alias(c) for c, t in types.items()])

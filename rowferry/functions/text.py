@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowferry.plans.spec import quote_name
+
 # Characters removed by trimming, the quote that is stripped
 # around a cell (kept around {...}), characters not allowed in a file name,
 # and the count of delimiters and quotes above which a line is complex.
@@ -27,7 +29,7 @@ def trim_cell(cell: Column) -> Column:
 
 
 def trim_cells(df: DataFrame) -> DataFrame:
-    return df.select(*[trim_cell(df[f"`{c}`"]).alias(c) for c in df.columns])
+    return df.select(*[trim_cell(F.col(quote_name(c))).alias(c) for c in df.columns])
 
 
 def unquote(cell: Column) -> Column:

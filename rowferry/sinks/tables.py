@@ -98,17 +98,22 @@ def load_file(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec, mu
     limits; fewer bad rows are left out and counted in ``rejected``.
     """
     text = read_delimited(spark, path, spec.separator, spec.has_header, multi_line=multi_line)
+    fits = set()
     if spec.infer:
         chosen = text.select(*[quote_name(c) for c in spec.columns or text.columns])
-        spec = replace(spec, column_types=suggested_types(chosen) | dict(spec.column_types or {}))
+        found = suggested_types(chosen)
+        # Inferred types fit by construction; only declared ones are checked.
+        fits = found.keys() - (spec.column_types or {}).keys()
+        spec = replace(spec, column_types=found | dict(spec.column_types or {}))
     if spec.create:
         create_table(spark, spec.table, spec.column_types or dict.fromkeys(text.columns, "String"), spec.location)
     target = spark.table(table_id(spec.table)).schema
     types = load_types(text, spec, target)
     rejected = 0
-    if any(base_name(t) != "String" for t in types.values()):
+    checked = {c: t for c, t in types.items() if c not in fits and base_name(t) != "String"}
+    if checked:
         budget = ErrorBudget(spec.max_bad_rows, spec.max_bad_ratio)
-        _, rejected = check_budget(text.select(*[quote_name(c) for c in types]), types, budget)
+        _, rejected = check_budget(text.select(*[quote_name(c) for c in checked]), checked, budget)
     rows = good_rows(text, types) if rejected else typed_projection(text, types)
     return LoadResult(append_rows(rows, spec.table), True, "Upload successful", rejected)
 

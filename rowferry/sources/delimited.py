@@ -17,6 +17,9 @@ from rowferry.sources.records import all_well_formed, parse_records, split_recor
 
 NO_DATA = "(No data)"
 
+# Stands for a cell with nothing while parsing, apart from quoted empty text.
+NULL_MARK = "\x00null\x00"
+
 # A file whose cells span lines is read by one task up to this size.
 ONE_TASK_BYTES = 256 * 1024 * 1024
 
@@ -34,7 +37,7 @@ def csv_options(sep: str, header: bool, multi_line: bool) -> dict[str, str]:
         "multiLine": str(multi_line).lower(),
         "encoding": "UTF-8",
         "mode": "PERMISSIVE",
-        "nullValue": "\x00",
+        "nullValue": NULL_MARK,
     }
 
 
@@ -62,13 +65,14 @@ def read_delimited(
     rename: Mapping[str, str] | None = None,
     multi_line: bool | None = None,
     multi_char: bool = False,
+    one_task_bytes: int | None = None,
 ) -> DataFrame:
     """Scan delimited files into text columns.
 
     Files are cut into splits unless cells span lines; ``multi_line=None``
     finds out with a scan of the text, a caller who knows passes it. Where
-    cells span lines a file is one task, and files above ``ONE_TASK_BYTES``
-    are cut into records in parallel instead. ``columns`` keeps only these,
+    cells span lines a file is one task, and files above ``one_task_bytes``
+    (256 MB) are cut into records in parallel instead. ``columns`` keeps only these,
     in this order, and the parser skips the others. Without a header the
     names are Column1..N; ``rename`` maps names to new ones.
     """
@@ -77,7 +81,7 @@ def read_delimited(
         multi_line = spans_lines(spark, path)
     options = csv_options(sep, header, multi_line)
     df = spark.read.options(**options).csv(path)
-    if multi_line and largest_file(spark, path) > ONE_TASK_BYTES:
+    if multi_line and largest_file(spark, path) > (ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes):
         records = split_records(spark, path, header)
         if all_well_formed(records, sep):
             df = parse_records(records, df.columns, options)
@@ -113,15 +117,12 @@ def _head(spark: SparkSession, path: str | Sequence[str], n: int) -> list[str]:
 def _without_headers(lines: DataFrame, first: str) -> DataFrame:
     """Drop the first line of every file if it is the header line.
 
-    The lines to drop are at most one per file; a later line that happens to
-    equal the header is data and stays.
+    A later line that happens to equal the header is data and stays. The lines
+    to drop are one number per file, so they are broadcast.
     """
-    line = F.col("position.line")
     same = lines.where((F.col("value") == F.lit(first)) & (F.col("position.start") == 0))
-    drop = same.groupBy("position.file").agg(F.min("position.line").alias("header_line"))
-    drop = drop.withColumnRenamed("file", "header_file")
-    kept = (F.col("position.file") == F.col("header_file")) & (line == F.col("header_line"))
-    return lines.join(drop, kept, "left_anti")
+    drop = same.groupBy("position.file").agg(F.min("position.line").alias("header_line")).select("header_line")
+    return lines.join(F.broadcast(drop), F.col("position.line") == F.col("header_line"), "left_anti")
 
 
 def read_lenient(

@@ -1,7 +1,10 @@
 import csv
 import random
+import uuid
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 import rowferry.sources.delimited as delimited
 from rowferry.sinks import export_delimited, export_format, export_name, export_quoted
@@ -149,6 +152,21 @@ def test_large_files_are_cut_into_records(spark, spanning, monkeypatch):
     assert sorted((tuple(c or None for c in r) for r in read_delimited(spark, path).collect()), key=repr) == records
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    cells=st.lists(
+        st.tuples(*[st.none() | st.text(alphabet='ab ,"\n\r\t|\\é;\x01', max_size=12)] * 2), min_size=5, max_size=40
+    ),
+    sep=st.sampled_from([",", r"\t", "|"]),
+)
+def test_any_text_survives(spark, tmp_path, cells, sep):
+    df = spark.createDataFrame([(str(i), *pair) for i, pair in enumerate(cells)], "id string, a string, b string")
+    out = str(tmp_path / uuid.uuid4().hex)
+    export_delimited(df, out, sep)
+    assert rows(read_delimited(spark, out, sep)) == rows(df)
+    assert rows(read_delimited(spark, out, sep, multi_line=True, one_task_bytes=0)) == rows(df)
+
+
 def test_stray_quotes_are_left_to_the_parser(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "stray.csv", 'a,b\n5" pipe,x\n7" pipe,y\nz,"two\nlines"\n')
     monkeypatch.setattr(delimited, "ONE_TASK_BYTES", 0)

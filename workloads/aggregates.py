@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowferry.functions.text import parse_datetime
 from rowferry.operators.profile import row_count
 from rowferry.operators.sets import average_by, count_by, union_distinct
 from rowferry.plans import ExportSpec, JoinSpec, compile_export, count_export
@@ -39,6 +40,15 @@ def count_by_year(spark, folder):
     return count_by(table(spark, folder, "orders"), year, "order_count").orderBy("year")
 
 
+def count_by_parsed_year(spark, folder):
+    """The year of a date that is kept as text in several spellings."""
+    day = F.col("o_orderdate")
+    spelled = F.when(F.col("o_orderstatus") == "F", F.date_format(day, "yyyy-MM-dd HH:mm")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    orders = table(spark, folder, "orders").select(spelled.alias("date"))
+    year = F.year(parse_datetime(F.col("date"), ["yyyy-MM-dd HH:mm", "dd/MM/yyyy"])).alias("year")
+    return count_by(orders, year, "order_count").orderBy("year")
+
+
 def union_distinct_query(spark, folder):
     names = table(spark, folder, "customer").select(F.col("c_nationkey").alias("nationkey"))
     return union_distinct(names, table(spark, folder, "supplier").select("s_nationkey"))
@@ -50,6 +60,7 @@ QUERIES = {
     "joined_count": joined_count,
     "avg_by_group": avg_by_group,
     "count_by_year": count_by_year,
+    "count_by_parsed_year": count_by_parsed_year,
     "union_distinct": union_distinct_query,
 }
 
@@ -64,5 +75,8 @@ SQL = {
     "count_by_year": (
         "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS order_count FROM orders GROUP BY 1"
     ),
+    "count_by_parsed_year": (
+        "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS order_count FROM orders GROUP BY 1"
+    ),
     "union_distinct": "SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowferry.operators.limits import first_rows, pinned_sort, table_head, top_groups
+from rowferry.operators.limits import first_rows, first_rows_of_files, pinned_sort, table_head, top_groups
 from rowferry.plans import ExportSpec, JoinSpec, export_preview, prepare_export
 from workloads.common import table, tables
 
@@ -42,6 +42,12 @@ def limit_export_large(spark, folder):
     return first_rows(lines, 4321, order, one_task_rows=1000)
 
 
+def limit_export_files(spark, folder):
+    """A large limit over one table reads only the files that hold its rows: whole rows, each once."""
+    lines = first_rows_of_files(table(spark, folder, "events"), 700, one_task_rows=100)
+    return lines.agg(F.count(F.lit(1)).alias("rows_kept"), F.count_distinct("event_id").alias("distinct_rows"))
+
+
 def table_head_query(spark, folder):
     return table_head(table(spark, folder, "customer").orderBy("c_custkey"))
 
@@ -63,6 +69,7 @@ QUERIES = {
     "limit_export": limit_export,
     "limit_export_none": limit_export_none,
     "limit_export_large": limit_export_large,
+    "limit_export_files": limit_export_files,
     "table_head": table_head_query,
     "topk_groups": topk_groups,
     "pinned_sort": pinned_sort_query,
@@ -78,6 +85,7 @@ SQL = {
     "limit_export_large": (
         "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 4321"
     ),
+    "limit_export_files": "SELECT least(count(*), 700) AS rows_kept, least(count(*), 700) AS distinct_rows FROM events",
     "table_head": "SELECT * FROM customer ORDER BY c_custkey LIMIT 1000",
     "topk_groups": (
         "SELECT o_custkey, round(CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 4) AS avg_price FROM orders "

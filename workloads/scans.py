@@ -23,6 +23,13 @@ def scan_csv(spark, folder):
     return typed_projection(read_delimited(spark, path), DOCUMENT_TYPES)
 
 
+def scan_csv_records(spark, folder):
+    """The same files cut into records in parallel, as large files are."""
+    path = fresh_path(spark, "scan-records")
+    export_delimited(table(spark, folder, "documents"), path)
+    return typed_projection(read_delimited(spark, path, multi_line=True, one_task_bytes=0), DOCUMENT_TYPES)
+
+
 def scan_tsv(spark, folder):
     path = fresh_path(spark, "scan-tsv")
     export_delimited(table(spark, folder, "orders"), path, r"\t")
@@ -130,6 +137,7 @@ def preview_table_query(spark, folder):
 
 QUERIES = {
     "scan_csv": scan_csv,
+    "scan_csv_records": scan_csv_records,
     "scan_tsv": scan_tsv,
     "scan_pipe": scan_pipe,
     "scan_csv_selected": scan_csv_selected,
@@ -161,6 +169,7 @@ LINE_COLUMNS = {
 
 SQL = {
     "scan_csv": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "scan_csv_records": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "scan_tsv": "SELECT * FROM orders",
     "scan_pipe": "SELECT * FROM lineitem",
     "scan_csv_selected": "SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem",
