@@ -112,11 +112,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], c
     return picked.select(*[F.col(f"best.r{rank.index(n)}").alias(n) for n in df.columns if n in rank])
 
 
-def any_join(left: DataFrame, right: DataFrame, on: Column, right_keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Inner join that keeps one right match per left row."""
-    return left.join(first_per_key(right, right_keys, order_by), on, "inner")
-
-
 def hot_keys(df: DataFrame, keys: Sequence[Column], hot_key_rows: int) -> DataFrame | None:
     """Keys with more than ``hot_key_rows`` rows and the salts each needs.
 

@@ -13,11 +13,16 @@ from pyspark.sql import types as T
 from rowferry.functions.casting import typed_projection
 from rowferry.functions.types import base_name, spark_type, type_name
 from rowferry.operators.infer import suggested_types
-from rowferry.operators.quality import ErrorBudget, check_budget, good_rows
+from rowferry.operators.quality import ErrorBudget, check_budget, good_rows, reject_rows
 from rowferry.plans.spec import LoadSpec, is_blank, quote_name
 from rowferry.sources.delimited import read_delimited
 
 
+# Result messages.
+DONE = "Upload successful"
+FAILED = "Error: "
+
+
 @dataclass(frozen=True)
 class LoadResult:
     lines: int
@@ -91,11 +96,18 @@ def load_types(df: DataFrame, spec: LoadSpec, target: T.StructType | None) -> di
     return types
 
 
-def load_file(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec, multi_line: bool | None = None) -> LoadResult:
+def load_file(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    spec: LoadSpec,
+    multi_line: bool | None = None,
+    rejects: str | None = None,
+) -> LoadResult:
     """Load delimited files into a table: create it if asked, convert, append.
 
     The load is refused before anything is written if the bad rows exceed both
-    limits; fewer bad rows are left out and counted in ``rejected``.
+    limits; fewer bad rows are left out, counted in ``rejected`` and, if a
+    ``rejects`` path is given, kept there as text with the columns at fault.
     """
     text = read_delimited(spark, path, spec.separator, spec.has_header, multi_line=multi_line)
     fits = set()
@@ -114,8 +126,10 @@ def load_file(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec, mu
     if checked:
         budget = ErrorBudget(spec.max_bad_rows, spec.max_bad_ratio)
         _, rejected = check_budget(text.select(*[quote_name(c) for c in checked]), checked, budget)
+    if rejected and rejects:
+        reject_rows(text, types).write.mode("append").parquet(rejects)
     rows = good_rows(text, types) if rejected else typed_projection(text, types)
-    return LoadResult(append_rows(rows, spec.table), True, "Upload successful", rejected)
+    return LoadResult(append_rows(rows, spec.table), True, DONE, rejected)
 
 
 def load_outcome(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec) -> LoadResult:
@@ -123,4 +137,4 @@ def load_outcome(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec)
     try:
         return load_file(spark, path, spec)
     except (PySparkException, ValueError) as error:
-        return LoadResult(0, False, f"Error: {error}")
+        return LoadResult(0, False, f"{FAILED}{error}")

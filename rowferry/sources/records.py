@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowferry.functions.text import char_count
+from rowferry.session import scratch_path
 
 
 def split_records(spark: SparkSession, path: str | Sequence[str], header: bool = True) -> DataFrame:
@@ -51,12 +52,16 @@ def split_records(spark: SparkSession, path: str | Sequence[str], header: bool =
         # A header that spans lines lies in the first split like any header.
         placed = placed.where(~((F.col("start") == 0) & (F.col("record_no") == 1)))
 
-    alone = F.col("begins") & (F.col("odd") == 0)
+    # Used several times below, so it is written once to the shared folder.
+    alone = (F.col("begins") & (F.col("odd") == 0)).alias("alone")
+    saved = scratch_path(spark, "lines")
+    placed.select("file", "start", "line", "value", "first_line", alone).write.parquet(saved)
+    placed = spark.read.parquet(saved)
     clean = F.regexp_replace(F.col("record"), r"\r\z", "")
-    single = placed.where(alone).select(F.col("value").alias("record"), F.lit(False).alias("is_spanning"))
+    single = placed.where("alone").select(F.col("value").alias("record"), F.lit(False).alias("is_spanning"))
 
     # Lines at the head of a split may end a record begun in an earlier split.
-    spanning = placed.where(~alone).select("file", "start", "line", "value", "first_line")
+    spanning = placed.where("NOT alone")
     last_of_split = (
         spanning.groupBy("file", "start")
         .agg(F.max("first_line").alias("last_first"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from rowferry.functions.casting import typed_projection
-from rowferry.operators.quality import good_rows
+from rowferry.operators.quality import good_rows, reject_rows
 from rowferry.plans.spec import decode_delimiter, quote_name
 from rowferry.sources.delimited import csv_options
 
@@ -34,30 +34,27 @@ def stream_load(
     files_per_batch: int | None = None,
     multi_line: bool = False,
     keep_bad_rows: bool = False,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Load all files not loaded yet into Parquet at ``target`` and stop.
 
     ``checkpoint`` records what was loaded: a rerun takes only new files, and a
     rerun after a failure loads nothing twice. Rows that do not fit their
-    types are left out, or kept with NULLs if ``keep_bad_rows``.
+    types are left out, or kept with NULLs if ``keep_bad_rows``; a ``rejects``
+    path gets them as text, with its own record of the files done.
     """
     text_schema = T.StructType([T.StructField(c, T.StringType()) for c in types])
     reader = spark.readStream.schema(text_schema).options(**csv_options(decode_delimiter(sep), header, multi_line))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     text = reader.csv(folder)
+    if rejects:
+        _write(reject_rows(text, types), rejects, f"{checkpoint}/rejects").start().awaitTermination()
     # A cell takes its bytes and one separator or line end.
     size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(quote_name(c)), F.lit(0)) + 1 for c in types])
     text = text.observe("read", F.sum(size).alias("bytes_read"))
     typed = typed_projection(text, types) if keep_bad_rows else good_rows(text, types)
-    writer = (
-        typed.observe("load", F.count(F.lit(1)).alias("rows_loaded"))
-        .writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-    )
+    writer = _write(typed.observe("load", F.count(F.lit(1)).alias("rows_loaded")), target, f"{checkpoint}/rows")
     # Keep the progress of every batch, not only of the last hundred.
     kept = spark.conf.get(PROGRESS_CONF)
     spark.conf.set(PROGRESS_CONF, str(KEPT_BATCHES))
@@ -69,6 +66,11 @@ def stream_load(
     return query
 
 
+def _write(rows: DataFrame, path: str, checkpoint: str):
+    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(availableNow=True)
+
+
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """One row per batch of a load: rows and bytes, in the batch and so far, and speed."""
     rows, rows_so_far, bytes_so_far = [], 0, 0

@@ -57,9 +57,13 @@ def test_bad_rows(spark, tmp_path):
     some = "id\n" + "".join(f"{i}\n" for i in range(50)) + "x\n" * 10
     assert load_file(spark, write(tmp_path, some), LoadSpec("tolerant", create=True, column_types={"id": "Int32"})).rejected == 10
     assert spark.table("tolerant").count() == 50
+    kept = str(tmp_path / "kept")
+    spec = LoadSpec("tolerant", column_types={"id": "Int32"})
+    assert load_file(spark, write(tmp_path, "id\n1\nx\n", "one.csv"), spec, rejects=kept).rejected == 1
+    assert rows(spark.read.parquet(kept)) == [("x", "id")]
     with pytest.raises(TooManyBadRows):
         load_file(spark, write(tmp_path, some + "x\n"), LoadSpec("tolerant", column_types={"id": "Int32"}))
-    assert spark.table("tolerant").count() == 50
+    assert spark.table("tolerant").count() == 51
 
 
 def test_failure_is_reported(spark, tmp_path):
@@ -107,6 +111,9 @@ def test_stream(spark, tmp_path):
     # Nothing new, nothing loaded; then only the new file.
     stream_load(spark, *places)
     assert spark.read.parquet(places[2]).count() == 3
+    kept = str(tmp_path / "bad")
+    stream_load(spark, places[0], TYPES, str(tmp_path / "again"), str(tmp_path / "again-state"), rejects=kept)
+    assert rows(spark.read.parquet(kept)) == [("x", "bad", None, "id")]
     write(folder, "id,name,day\n4,di,\n", "3.csv")
     last = stream_load(spark, *places)
     assert sum(r.rows_read for r in progress_rows(spark, last).collect()) == 1

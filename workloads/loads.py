@@ -100,6 +100,15 @@ def load_with_bad_rows(spark, folder):
     return spark.table(name)
 
 
+def load_rejects(spark, folder):
+    """The rows a load left out, kept beside the table."""
+    path, kept = fresh_path(spark, "rejects-file"), fresh_path(spark, "rejects")
+    export_delimited(event_text(spark, folder), path)
+    spec = LoadSpec(fresh_table("rejects"), create=True, column_types=EVENT_TYPES, max_bad_ratio=0.9, location=fresh_path(spark, "kept"))
+    load_file(spark, path, spec, rejects=kept)
+    return spark.read.parquet(kept)
+
+
 def reject_rows_query(spark, folder):
     return reject_rows(event_text(spark, folder), EVENT_TYPES)
 
@@ -129,12 +138,18 @@ QUERIES = {
     "load_summary": load_summary,
     "rows_loaded": rows_loaded,
     "load_with_bad_rows": load_with_bad_rows,
+    "load_rejects": load_rejects,
     "reject_rows": reject_rows_query,
     "error_budget": error_budget_query,
     "validate_types": validate_types_query,
     "append_union": append_union_query,
 }
 
+REJECTS_SQL = (
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS VARCHAR) AS ts, CAST(user_id AS VARCHAR) AS user_id, "
+    "event_type, 'n/a' AS value, props, 'ts,value' AS bad_columns FROM events WHERE event_type = 'error'"
+)
+
 SQL = {
     "create_table": "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
     "load_all_columns": "SELECT * FROM orders",
@@ -153,10 +168,8 @@ SQL = {
     "load_summary": "SELECT count(*) AS lines, true AS success, 'Upload successful' AS message FROM orders",
     "rows_loaded": "SELECT count(*) AS first_rows, count(*) AS second_rows, 2 * count(*) AS table_rows FROM orders",
     "load_with_bad_rows": "SELECT * FROM events WHERE event_type <> 'error'",
-    "reject_rows": (
-        "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS VARCHAR) AS ts, CAST(user_id AS VARCHAR) AS user_id, "
-        "event_type, 'n/a' AS value, props, 'ts,value' AS bad_columns FROM events WHERE event_type = 'error'"
-    ),
+    "load_rejects": REJECTS_SQL,
+    "reject_rows": REJECTS_SQL,
     "error_budget": (
         "SELECT count(*) AS row_count, count(*) FILTER (WHERE event_type = 'error') AS bad_count, "
         "NOT (count(*) FILTER (WHERE event_type = 'error') > 10 "

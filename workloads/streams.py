@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowferry.sinks.files import export_delimited
 from rowferry.streaming.load import progress_rows, stream_load
-from workloads.common import ORDER_TYPES, fresh_path, table
+from workloads.common import EVENT_TYPES, ORDER_TYPES, event_text, fresh_path, table
 
 
 def _orders_folder(spark, folder, label):
@@ -32,6 +32,16 @@ def stream_resume(spark, folder):
     return spark.read.parquet(f"{path}/out")
 
 
+def stream_rejects(spark, folder):
+    """Good rows and bad rows of a stream, each in its place: counted together."""
+    path = fresh_path(spark, "stream-rejects")
+    export_delimited(event_text(spark, folder), f"{path}/in")
+    stream_load(spark, f"{path}/in", EVENT_TYPES, f"{path}/out", f"{path}/state", rejects=f"{path}/bad")
+    good = spark.read.parquet(f"{path}/out").select(F.lit("loaded").alias("outcome"), "event_id")
+    bad = spark.read.parquet(f"{path}/bad").select(F.lit("rejected").alias("outcome"), F.col("event_id").cast("bigint"))
+    return good.union(bad)
+
+
 def stream_progress(spark, folder):
     path = fresh_path(spark, "progress")
     types = {"c_custkey": "Int64", "c_name": "String", "c_nationkey": "Int32", "c_mktsegment": "String"}
@@ -49,12 +59,14 @@ def stream_progress(spark, folder):
 QUERIES = {
     "stream_load": stream_load_query,
     "stream_resume": stream_resume,
+    "stream_rejects": stream_rejects,
     "stream_progress": stream_progress,
 }
 
 SQL = {
     "stream_load": "SELECT * FROM orders",
     "stream_resume": "SELECT * FROM orders",
+    "stream_rejects": "SELECT CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'loaded' END AS outcome, event_id FROM events",
     "stream_progress": (
         "SELECT count(*) AS rows_read, count(*) AS rows_loaded, count(*) AS rows_so_far, CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) "
         "+ strlen(c_name) + strlen(CAST(c_nationkey AS VARCHAR)) + strlen(c_mktsegment) + 4) AS BIGINT) AS bytes_so_far FROM customer"
