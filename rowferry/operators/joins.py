@@ -43,14 +43,10 @@ def is_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None =
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Send a side everywhere if it is proven small, else leave the join to a shuffle."""
     return F.broadcast(df) if is_small(df) else df
 
 
-def global_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """Send the right side everywhere if it is proven small, else join by shuffle."""
-    return left.join(broadcast_if_small(right), on, how)
-
-
 def product_join(left: DataFrame, right: DataFrame, on: Column | None, how: str = "inner") -> DataFrame:
     """Join without an equality: one side must be proven small and is broadcast.
 

@@ -36,11 +36,10 @@ def first_rows(df: DataFrame, n: int | None, order_by: Sequence[Column] = (), on
     """
     if not n or n <= 0:
         return df
-    ordered = df.orderBy(*order_by) if order_by else df
     if n <= (ONE_TASK_ROWS if one_task_rows is None else one_task_rows):
-        return ordered.limit(n)
+        return (df.orderBy(*order_by) if order_by else df).limit(n)
     shared_folder(df.sparkSession)
-    fixed = ordered.checkpoint()
+    fixed = (spread_sort(df, order_by) if order_by else df).checkpoint()
     numbered = fixed.select(
         "*",
         F.spark_partition_id().alias("part"),
@@ -89,12 +88,17 @@ def top_groups(df: DataFrame, key: Column | str, measure: Column, k: int, descen
     return grouped.orderBy(best.desc() if descending else best.asc(), F.col(quote_name(key_name))).limit(k)
 
 
-def pinned_sort(df: DataFrame, column: str, pinned: str) -> DataFrame:
-    """Rows with one pinned value first, the rest ascending.
+def spread_sort(df: DataFrame, order_by: Sequence[Column]) -> DataFrame:
+    """Global sort that can cut one very frequent value into several partitions.
 
-    Equal values are ordered by a hash of the row, so the range partitioner
-    can cut a very frequent value into several partitions.
+    Equal values are ordered by a hash of the row, which gives the range
+    partitioner something to cut by.
     """
+    unique = [F.col(quote_name(c)) for c in df.columns if df.columns.count(c) == 1]
+    return df.orderBy(*order_by, *([F.xxhash64(*unique)] if unique else []))
+
+
+def pinned_sort(df: DataFrame, column: str, pinned: str) -> DataFrame:
+    """Rows with one pinned value first, the rest ascending."""
     name = F.col(quote_name(column))
-    spread = F.xxhash64(*[F.col(quote_name(c)) for c in df.columns])
-    return df.orderBy(name != F.lit(pinned), name, spread)
+    return spread_sort(df, [name != F.lit(pinned), name])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.operators import joins
-from rowferry.operators.limits import first_rows, first_rows_of_files, preview_rows
+from rowferry.operators.limits import first_rows, first_rows_of_files, preview_rows, spread_sort
 from rowferry.plans.spec import ExportSpec, JoinSpec, is_blank, quote_name, split_reference
 
 Tables = Mapping[str, DataFrame] | Callable[[str], DataFrame]
@@ -49,32 +49,35 @@ def _mentioned(spec: ExportSpec, df: DataFrame) -> list[str]:
 
 
 def _apply(frame: DataFrame, join: JoinSpec, spec: ExportSpec, tables: Tables, salt_hot_keys: bool) -> DataFrame:
-    how, main_table = join.how, spec.table.replace('"', "")
-    if how == "array":
+    main_table = spec.table.replace('"', "")
+    what, how = join.mode
+    if what == "array":
         if is_blank(join.array_column):
             raise ValueError("an ARRAY join needs array_column")
         item, index = _array_columns(join)
-        return joins.array_join(frame, column_of(*split_reference(join.array_column, join.table)), item, position=index)
+        array = column_of(*split_reference(join.array_column, join.table))
+        return joins.array_join(frame, array, item, keep_empty=how == "left", position=index)
 
     right = _table(tables, join.table)
     on = condition_of(join, main_table)
     pairs = join.equal_pairs(main_table)
-    if how == "cross":
-        return joins.product_join(frame, right, on)
-    if pairs is None:
-        if how == "any":
+    if what == "any":
+        if pairs is None:
             raise ValueError("an ANY join needs a condition of column equalities")
-        kind = "inner" if how == "global" else how
-        return joins.product_join(frame, right, on, kind) if on is None else joins.theta_join(frame, right, on, kind)
+        keys = [column for _, _, column in pairs]
+        chosen = joins.first_per_key(right, keys, join.order_by, _mentioned(spec, right))
+        return frame.join(chosen.alias(join.table), on, how)
+    if what == "product" or on is None:
+        return joins.product_join(frame, right, on, how)
+    if what == "global":
+        right = joins.broadcast_if_small(right)
+    if pairs is None:
+        return joins.theta_join(frame, right, on, how)
+    if what == "global":
+        return frame.join(right, on, how)
 
     left_keys = [column_of(table, column) for table, column, _ in pairs]
     right_keys = [column_of(join.table, column) for _, _, column in pairs]
-    if how == "global":
-        return joins.global_join(frame, right, on)
-    if how == "any":
-        keys = [column for _, _, column in pairs]
-        chosen = joins.first_per_key(right, keys, join.order_by, _mentioned(spec, right))
-        return frame.join(chosen.alias(join.table), on, "inner")
     if how in ("left_semi", "left_anti"):
         return joins.filter_join(frame, right, left_keys, right_keys, how)
     if salt_hot_keys and how in ("left", "right", "full"):
@@ -96,8 +99,8 @@ def _projection(spec: ExportSpec) -> list[Column]:
     ``<table>_<column>``.
     """
     main = spec.table.replace('"', "")
-    hidden = {j.table for j in spec.joins if j.how in ("left_semi", "left_anti")}
-    unfolded = {name for j in spec.joins if j.how == "array" and j.array_column for name in _array_columns(j)}
+    hidden = {j.table for j in spec.joins if j.mode[1] in ("left_semi", "left_anti")}
+    unfolded = {name for j in spec.joins if j.mode[0] == "array" and j.array_column for name in _array_columns(j)}
     references = [split_reference(c, main) for c in spec.columns]
     names = [column for _, column in references]
     out = []
@@ -159,4 +162,4 @@ def prepare_export(spec: ExportSpec, tables: Tables) -> DataFrame:
     projected = frame.select(*_projection(spec), *[key.alias(name) for name, key in keys.items()])
     if spec.limit and spec.limit > 0:
         return first_rows(projected, spec.limit, [F.col(name) for name in keys]).drop(*keys)
-    return (projected.orderBy(*keys) if keys else projected).drop(*keys)
+    return (spread_sort(projected, [F.col(name) for name in keys]) if keys else projected).drop(*keys)

@@ -19,19 +19,28 @@ SPELLED_DELIMITERS = {
     "tab": "\t",
 }
 
-# Join words and the Spark join they stand for.
+# Join words (without JOIN) -> what is joined, and how.
 JOIN_KINDS = {
-    "INNER": "inner",
-    "LEFT": "left",
-    "RIGHT": "right",
-    "FULL": "full",
-    "OUTER": "full",
-    "CROSS": "cross",
-    "SEMI": "left_semi",
-    "ANTI": "left_anti",
-    "ANY": "any",
-    "GLOBAL": "global",
-    "ARRAY": "array",
+    "": ("table", "inner"),
+    "INNER": ("table", "inner"),
+    "LEFT": ("table", "left"),
+    "RIGHT": ("table", "right"),
+    "FULL": ("table", "full"),
+    "OUTER": ("table", "full"),
+    "LEFT OUTER": ("table", "left"),
+    "RIGHT OUTER": ("table", "right"),
+    "FULL OUTER": ("table", "full"),
+    "CROSS": ("product", "inner"),
+    "SEMI": ("table", "left_semi"),
+    "LEFT SEMI": ("table", "left_semi"),
+    "ANTI": ("table", "left_anti"),
+    "LEFT ANTI": ("table", "left_anti"),
+    "ANY": ("any", "inner"),
+    "LEFT ANY": ("any", "left"),
+    "GLOBAL": ("global", "inner"),
+    "GLOBAL LEFT": ("global", "left"),
+    "ARRAY": ("array", "inner"),
+    "LEFT ARRAY": ("array", "left"),
 }
 
 PREVIEW_ROWS = 100
@@ -89,16 +98,14 @@ class JoinSpec:
     array_column: str | None = None
 
     @property
-    def how(self) -> str:
+    def mode(self) -> tuple[str, str]:
+        """What is joined (table, product, any, global, array) and how; blank is a left join."""
         if is_blank(self.kind):
-            return "left"
-        words = [w for w in self.kind.upper().split() if w not in ("JOIN",)]
-        if len(words) > 1 and words[-1] == "OUTER":
-            words.pop()
-        how = JOIN_KINDS.get(" ".join(words))
-        if how is None:
+            return "table", "left"
+        mode = JOIN_KINDS.get(" ".join(w for w in self.kind.upper().split() if w != "JOIN"))
+        if mode is None:
             raise ValueError(f"unknown join type {self.kind!r}")
-        return how
+        return mode
 
     @property
     def is_valid(self) -> bool:

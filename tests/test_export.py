@@ -38,7 +38,10 @@ def test_kinds(tables):
     assert joined(tables, "SEMI JOIN", columns=("name",)) == [("ann",), ("bob",)]
     assert joined(tables, "ANTI JOIN", columns=("name",)) == [("cy",), ("nobody",)]
     assert joined(tables, "ANY JOIN", order_by=("total",)) == [("ann", 10), ("bob", 12)]
-    assert joined(tables, "GLOBAL JOIN") == inner
+    assert joined(tables, "LEFT ANY JOIN", order_by=("total",)) == sorted([("ann", 10), ("bob", 12), ("cy", None), ("nobody", None)], key=repr)
+    assert joined(tables, "GLOBAL JOIN") == joined(tables, "JOIN") == inner
+    assert joined(tables, "GLOBAL LEFT JOIN") == left
+    assert joined(tables, "LEFT SEMI JOIN", columns=("name",)) == joined(tables, "SEMI JOIN", columns=("name",))
     assert len(joined(tables, "CROSS JOIN", None)) == len(joined(tables, "INNER JOIN", " ")) == 20
     assert len(joined(tables, "RIGHT JOIN", "")) == 20
 
@@ -164,5 +167,7 @@ def test_arrays(spark):
     df = spark.createDataFrame([(1, [5, 6]), (2, []), (3, None)], "id int, xs array<int>")
     spec = ExportSpec("t", ("id", "xs_index", "xs_item"), (JoinSpec("t", "ARRAY JOIN", array_column="xs"),))
     assert rows(compile_export(spec, {"t": df})) == [(1, 0, 5), (1, 1, 6)]
+    outer = ExportSpec("t", ("id", "xs_item"), (JoinSpec("t", "LEFT ARRAY JOIN", array_column="xs"),))
+    assert rows(compile_export(outer, {"t": df})) == [(1, 5), (1, 6), (2, None), (3, None)]
     kept = joins.array_join(df, F.col("xs"), "x", keep_empty=True).select("id", "x")
     assert rows(kept) == [(1, 5), (1, 6), (2, None), (3, None)]

@@ -31,6 +31,11 @@ SPECS = {
     "join_blank_condition": ExportSpec("supplier", ("s_suppkey", "region.r_name"), (JoinSpec("region", "LEFT JOIN", " "),)),
     "join_semi": ExportSpec("customer", ("c_custkey", "c_name"), (JoinSpec("orders", "SEMI JOIN", "customer.c_custkey = orders.o_custkey"),)),
     "join_anti": ExportSpec("customer", ("c_custkey", "c_name"), (JoinSpec("orders", "ANTI JOIN", "customer.c_custkey = orders.o_custkey"),)),
+    "join_anti_rows": ExportSpec(
+        "customer",
+        ("c_custkey", "c_name"),
+        (JoinSpec("supplier", "ANTI JOIN", "customer.c_custkey = supplier.s_suppkey"),),
+    ),
     "join_any": ExportSpec(
         "customer",
         ("c_custkey", "orders.o_orderkey", "orders.o_orderdate", "orders.o_totalprice"),
@@ -39,6 +44,23 @@ SPECS = {
     "join_global": ExportSpec(
         "customer", ("c_custkey", "c_name", "nation.n_name"), (JoinSpec("nation", "GLOBAL JOIN", "customer.c_nationkey = nation.n_nationkey"),)
     ),
+    "join_global_left": ExportSpec(
+        "customer",
+        ("c_custkey", "supplier.s_name"),
+        (JoinSpec("supplier", "GLOBAL LEFT JOIN", "customer.c_custkey = supplier.s_suppkey"),),
+    ),
+    "join_any_left": ExportSpec(
+        "supplier",
+        ("s_suppkey", "lineitem.l_orderkey", "lineitem.l_partkey"),
+        (
+            JoinSpec(
+                "lineitem",
+                "LEFT ANY JOIN",
+                "supplier.s_suppkey = lineitem.l_suppkey",
+                order_by=("l_shipdate", "l_orderkey", "l_partkey"),
+            ),
+        ),
+    ),
     "join_chain": ExportSpec(
         "lineitem",
         ("l_orderkey", "l_linenumber", "orders.o_orderstatus", "customer.c_name", "nation.n_name", "region.r_name"),
@@ -144,11 +166,18 @@ SQL = {
     "join_blank_condition": "SELECT s_suppkey, r_name FROM supplier LEFT JOIN region ON 1 = 1",
     "join_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_anti_rows": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "join_any": (
         "SELECT c_custkey, o_orderkey, o_orderdate, o_totalprice FROM customer JOIN (SELECT *, row_number() OVER "
         "(PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pick FROM orders) o ON c_custkey = o_custkey WHERE pick = 1"
     ),
     "join_global": "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "join_global_left": "SELECT c_custkey, s_name FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey",
+    "join_any_left": (
+        "SELECT s_suppkey, l_orderkey, l_partkey FROM supplier LEFT JOIN (SELECT *, row_number() OVER "
+        "(PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_partkey) AS pick FROM lineitem) l "
+        "ON s_suppkey = l_suppkey AND pick = 1"
+    ),
     "join_chain": (
         "SELECT l_orderkey, l_linenumber, o_orderstatus, c_name, n_name, r_name FROM lineitem "
         "JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey "
