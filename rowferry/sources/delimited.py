@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from rowferry.functions.text import char_count, clean_header, is_complex_line, split_quoted, trim_cells
 from rowferry.plans.spec import PREVIEW_ROWS, SAMPLE_ROWS, decode_delimiter, quote_name
-from rowferry.sources.records import all_well_formed, parse_records, split_records
+from rowferry.sources.records import cut_records, parse_records
 
 NO_DATA = "(No data)"
 
@@ -82,8 +82,8 @@ def read_delimited(
     options = csv_options(sep, header, multi_line)
     df = spark.read.options(**options).csv(path)
     if multi_line and largest_file(spark, path) > (ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes):
-        records = split_records(spark, path, header)
-        if all_well_formed(records, sep):
+        records = cut_records(spark, path, sep, header)
+        if records is not None:
             df = parse_records(records, df.columns, options)
     if not header:
         df = df.toDF(*[f"Column{i}" for i in range(1, len(df.columns) + 1)])

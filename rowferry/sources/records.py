@@ -17,13 +17,32 @@ from pyspark.sql import functions as F
 from rowferry.functions.text import char_count
 from rowferry.session import scratch_path
 
+# A record larger than this is a sign of a stray quote, not a record.
+RECORD_MAX_BYTES = 128 * 1024 * 1024
 
-def split_records(spark: SparkSession, path: str | Sequence[str], header: bool = True) -> DataFrame:
+
+def cut_records(spark: SparkSession, path: str | Sequence[str], sep: str, header: bool = True) -> DataFrame | None:
     """``(record, is_spanning)`` for every record except the header records.
 
-    Holds for files whose quotes all follow the standard dialect; check with
-    ``all_well_formed``. Groups of the windows are file splits, so their size
-    is bounded by ``spark.sql.files.maxPartitionBytes``.
+    None if the files do not keep to the standard dialect: a stray quote may
+    then look like a very long record, so sizes are measured before anything
+    is grouped.
+    """
+    lines = place_lines(spark, path, header)
+    alone, spanning = lines.where("alone"), owned_lines(lines.where("NOT alone"))
+    if largest_record(spanning) > RECORD_MAX_BYTES:
+        return None
+    records = gather_records(alone, spanning)
+    return records if all_well_formed(records, sep) else None
+
+
+def place_lines(spark: SparkSession, path: str | Sequence[str], header: bool) -> DataFrame:
+    """Every line except headers: is it a record ``alone``, and if not, the line that
+    begins its record, unless that lies in an earlier split.
+
+    Groups of the windows are file splits, so their size is bounded by
+    ``spark.sql.files.maxPartitionBytes``. The result is used several times
+    and therefore written to the shared folder.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("value"),
@@ -52,34 +71,39 @@ def split_records(spark: SparkSession, path: str | Sequence[str], header: bool =
         # A header that spans lines lies in the first split like any header.
         placed = placed.where(~((F.col("start") == 0) & (F.col("record_no") == 1)))
 
-    # Used several times below, so it is written once to the shared folder.
     alone = (F.col("begins") & (F.col("odd") == 0)).alias("alone")
     saved = scratch_path(spark, "lines")
     placed.select("file", "start", "line", "value", "first_line", alone).write.parquet(saved)
-    placed = spark.read.parquet(saved)
-    clean = F.regexp_replace(F.col("record"), r"\r\z", "")
-    single = placed.where("alone").select(F.col("value").alias("record"), F.lit(False).alias("is_spanning"))
-
-    # Lines at the head of a split may end a record begun in an earlier split.
-    spanning = placed.where("NOT alone")
-    last_of_split = (
-        spanning.groupBy("file", "start")
-        .agg(F.max("first_line").alias("last_first"))
-        .select(
-            F.col("file"),
-            F.col("start"),
-            F.last("last_first", ignorenulls=True).over(before).alias("carried"),
-        )
-    )
-    part = F.struct("start", "line", "value").alias("part")
-    keyed = spanning.join(last_of_split, ["file", "start"]).select(
-        "file", F.coalesce("first_line", "carried").alias("first"), part
-    )
-    gathered = keyed.groupBy("file", "first").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    whole = gathered.select(F.array_join(F.col("parts.value"), "\n").alias("record"), F.lit(True).alias("is_spanning"))
+    return spark.read.parquet(saved)
+
 
-    records = single.unionByName(whole).select(clean.alias("record"), "is_spanning")
-    return records.where(F.length(F.trim("record")) > 0)
+def owned_lines(spanning: DataFrame) -> DataFrame:
+    """The record (``file``, ``first``) of each line of records that span lines.
+
+    Lines at the head of a split may end a record begun in an earlier split;
+    one row per split tells which.
+    """
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    begun = spanning.groupBy("file", "start").agg(F.max("first_line").alias("last_first"))
+    carried = begun.select("file", "start", F.last("last_first", ignorenulls=True).over(before).alias("carried"))
+    owned = spanning.join(carried, ["file", "start"])
+    return owned.select("file", "start", "line", "value", F.coalesce("first_line", "carried").alias("first"))
+
+
+def largest_record(spanning: DataFrame) -> int:
+    """Bytes of the largest record that spans lines, summed in each task first."""
+    sizes = spanning.groupBy("file", "first").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+    return sizes.agg(F.max("bytes")).head()[0] or 0
+
+
+def gather_records(alone: DataFrame, spanning: DataFrame) -> DataFrame:
+    """Lines that are records as they are, and one group per record of the others."""
+    single = alone.select(F.col("value").alias("record"), F.lit(False).alias("is_spanning"))
+    part = F.struct("start", "line", "value")
+    gathered = spanning.groupBy("file", "first").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    whole = gathered.select(F.array_join(F.col("parts.value"), "\n").alias("record"), F.lit(True).alias("is_spanning"))
+    clean = F.regexp_replace(F.col("record"), r"\r\z", "").alias("record")
+    return single.unionByName(whole).select(clean, "is_spanning").where(F.length(F.trim("record")) > 0)
 
 
 def all_well_formed(records: DataFrame, sep: str) -> bool:

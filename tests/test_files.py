@@ -7,9 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import rowferry.sources.delimited as delimited
+import rowferry.sources.records as record_files
 from rowferry.sinks import export_delimited, export_format, export_name, export_quoted
 from rowferry.sources import preview_file, read_delimited, read_lenient, sample_file, spans_lines, text_lines
-from rowferry.sources.records import all_well_formed, split_records
 from tests.conftest import rows
 
 PEOPLE = [("1", "John Doe", "john@example.com"), ("2", "Jane Roe", "jane@example.com")]
@@ -144,7 +144,8 @@ def test_large_files_are_cut_into_records(spark, spanning, monkeypatch):
         split = read_delimited(spark, path)
         assert split.columns == ["id", "two\nlines", "c"]
         assert sorted((tuple(c or None for c in r) for r in split.collect()), key=repr) == records
-        assert all_well_formed(split_records(spark, path), ",")
+        cut = record_files.cut_records(spark, path, ",")
+        assert cut.count() == len(records) and cut.where("is_spanning").count() > 100
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -170,10 +171,18 @@ def test_any_text_survives(spark, tmp_path, cells, sep):
 def test_stray_quotes_are_left_to_the_parser(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "stray.csv", 'a,b\n5" pipe,x\n7" pipe,y\nz,"two\nlines"\n')
     monkeypatch.setattr(delimited, "ONE_TASK_BYTES", 0)
-    assert not all_well_formed(split_records(spark, path), ",")
+    assert record_files.cut_records(spark, path, ",") is None
     assert rows(read_delimited(spark, path)) == [('5" pipe', "x"), ('7" pipe', "y"), ("z", "two\nlines")]
 
 
+def test_stray_quote_is_not_gathered(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "long.csv", 'a,b\n5" pipe,x\n' + "y,z\n" * 400)
+    monkeypatch.setattr(record_files, "RECORD_MAX_BYTES", 100)
+    monkeypatch.setattr(record_files, "gather_records", None)
+    assert record_files.cut_records(spark, path, ",") is None
+    assert read_delimited(spark, path).count() == 401
+
+
 def test_line_positions(spark, tmp_path):
     write(tmp_path / "b.csv", "3\n")
     write(tmp_path / "a.csv", "1\n\n2\n")
