@@ -205,6 +205,59 @@ def _row_identity(df: DataFrame) -> list[Column]:
     return [F.col(quote_name(c)) for c in df.columns if df.columns.count(c) == 1] or [F.lit(0)]
 
 
+def tracked_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Column,
+    left_keys: Sequence[Column],
+    right_keys: Sequence[Column],
+    how: str,
+    hot_key_rows: int | None = None,
+) -> DataFrame:
+    """Outer, semi or anti join on key equalities and more, balanced under hot keys.
+
+    Salting does not work here, as a row may find no partner under its key. So
+    the matches come from an inner join, which adaptive execution can split
+    on both sides, and rows without one are told by their file and row number.
+    Where no key is hot, or rows do not come straight from files, it is a
+    plain join.
+    """
+    bound = HOT_KEY_ROWS if hot_key_rows is None else hot_key_rows
+    keep_left = how in ("left", "full", "left_semi", "left_anti")
+    keep_right = how in ("right", "full")
+    known = (not keep_left or has_row_index(left)) and (not keep_right or has_row_index(right))
+    hot = known and (
+        (keep_left and hot_keys(right, right_keys, bound) is not None)
+        or (keep_right and hot_keys(left, left_keys, bound) is not None)
+    )
+    if not hot:
+        return left.join(right, on, how)
+    tags = {side: [f"{side}_file", f"{side}_row"] for side in ("left", "right")}
+
+    def tag(df: DataFrame, side: str) -> DataFrame:
+        file, row = tags[side]
+        return df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+
+    tagged_left = tag(left, "left") if keep_left else left
+    tagged_right = tag(right, "right") if keep_right else right
+    matched = tagged_left.join(tagged_right, on, "inner")
+    if how in ("left_semi", "left_anti"):
+        return tagged_left.join(matched.select(*tags["left"]).distinct(), tags["left"], how).drop(*tags["left"])
+
+    def blanks(df: DataFrame) -> list[Column]:
+        return [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+
+    every = [t for side in tags.values() for t in side]
+    result = matched.drop(*every)
+    if keep_left:
+        alone = tagged_left.join(matched.select(*tags["left"]).distinct(), tags["left"], "left_anti")
+        result = result.union(alone.drop(*every).select("*", *blanks(right)))
+    if keep_right:
+        alone = tagged_right.join(matched.select(*tags["right"]).distinct(), tags["right"], "left_anti")
+        result = result.union(alone.drop(*every).select(*blanks(left), "*"))
+    return result
+
+
 def array_join(df: DataFrame, column: Column, item: str, keep_empty: bool = False, position: str | None = None) -> DataFrame:
     """One row per array element; ``keep_empty`` also keeps rows without elements."""
     if position:

@@ -72,6 +72,11 @@ def _apply(frame: DataFrame, join: JoinSpec, spec: ExportSpec, tables: Tables, s
     if what == "global":
         right = joins.broadcast_if_small(right)
     if pairs is None:
+        terms, _ = join.equal_terms(main_table)
+        if salt_hot_keys and terms and how != "inner":
+            left_keys = [column_of(table, column) for table, column, _ in terms]
+            right_keys = [column_of(join.table, column) for _, _, column in terms]
+            return joins.tracked_join(frame, right, on, left_keys, right_keys, how)
         return joins.theta_join(frame, right, on, how)
     if what == "global":
         return frame.join(right, on, how)

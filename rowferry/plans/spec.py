@@ -113,25 +113,32 @@ class JoinSpec:
         has_condition = not is_blank(self.condition) or bool(self.pairs)
         return not is_blank(self.table) and not is_blank(self.kind) and has_condition
 
-    def equal_pairs(self, main_table: str) -> list[tuple[str, str, str]] | None:
-        """(left table, left column, joined column) when the condition is only equalities."""
+    def equal_terms(self, main_table: str) -> tuple[list[tuple[str, str, str]], bool]:
+        """(left table, left column, joined column) of each plain column equality
+        that must hold, and whether these are the whole condition."""
         if self.pairs:
-            return [(*split_reference(local, main_table), right) for local, right in self.pairs]
-        if is_blank(self.condition):
-            return None
-        found = []
-        for term in re.split(r"\s+AND\s+", self.condition.strip(), flags=re.I):
+            return [(*split_reference(local, main_table), right) for local, right in self.pairs], True
+        text = (self.condition or "").strip()
+        inner = re.fullmatch(r"\(([^()]*)\)", text)
+        text = inner.group(1) if inner else text
+        if not text or re.search(r"[()]|\bOR\b|\bBETWEEN\b|\bCASE\b", text, flags=re.I):
+            return [], False
+        found, whole = [], True
+        for term in re.split(r"\s+AND\s+", text, flags=re.I):
             match = re.fullmatch(r"([\w`]+)\.([\w`]+)\s*=\s*([\w`]+)\.([\w`]+)", term.replace('"', "").strip())
-            if not match:
-                return None
-            a_table, a_col, b_table, b_col = (part.strip("`") for part in match.groups())
-            if b_table == self.table and a_table != self.table:
+            a_table, a_col, b_table, b_col = (part.strip("`") for part in match.groups()) if match else [""] * 4
+            if match and b_table == self.table and a_table != self.table:
                 found.append((a_table, a_col, b_col))
-            elif a_table == self.table and b_table != self.table:
+            elif match and a_table == self.table and b_table != self.table:
                 found.append((b_table, b_col, a_col))
             else:
-                return None
-        return found
+                whole = False
+        return found, whole
+
+    def equal_pairs(self, main_table: str) -> list[tuple[str, str, str]] | None:
+        """``equal_terms`` if the condition is nothing else."""
+        found, whole = self.equal_terms(main_table)
+        return found if found and whole else None
 
 
 @dataclass(frozen=True)

@@ -142,6 +142,40 @@ def test_salted_joins_equal_plain_joins(spark, tmp_path, how, bound):
         assert rows(salted) == rows(plain)
 
 
+@pytest.mark.parametrize("how", ["left", "right", "full", "left_semi", "left_anti"])
+def test_tracked_joins_equal_plain_joins(spark, tmp_path, how):
+    spark.range(120).selectExpr("if(id % 3 = 0, 7, id % 30) as k", "id as a").write.parquet(str(tmp_path / "l"))
+    spark.range(90).selectExpr("if(id % 4 = 0, 9, id % 40) as j", "id as b").write.parquet(str(tmp_path / "r"))
+    tables = {"l": spark.read.parquet(str(tmp_path / "l")), "r": spark.read.parquet(str(tmp_path / "r"))}
+    left, right = tables["l"].alias("l"), tables["r"].alias("r")
+    on = F.expr("l.k = r.j AND l.a < r.b")
+    plain = left.join(right, on, how)
+    tracked = joins.tracked_join(left, right, on, [left["k"]], [right["j"]], how, hot_key_rows=5)
+    assert tracked.columns == plain.columns
+    assert rows(tracked) == rows(plain)
+    assert rows(joins.tracked_join(left, right, on, [left["k"]], [right["j"]], how)) == rows(plain)
+
+
+def test_tracked_joins_keep_table_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_KEY_ROWS", 2)
+    for name in ("l", "r"):
+        spark.range(40).selectExpr("id % 4 as k", "id as v").write.parquet(str(tmp_path / name))
+    tables = {name: spark.read.parquet(str(tmp_path / name)) for name in ("l", "r")}
+    spec = ExportSpec("l", ("k", "v", "r.v"), (JoinSpec("r", "FULL JOIN", "l.k = r.k AND l.v < r.v"),))
+    out = prepare_export(spec, tables)
+    assert out.columns == ["k", "l_v", "r_v"]
+    assert rows(out) == rows(compile_export(spec, tables))
+
+
+def test_equal_terms():
+    def terms(condition):
+        return JoinSpec("b", "LEFT JOIN", condition).equal_terms("a")
+
+    assert terms("a.x = b.y") == ([("a", "x", "y")], True)
+    assert terms("(b.y = a.x AND a.z > b.w)") == ([("a", "x", "y")], False)
+    assert terms("a.x = b.y OR a.z = b.w") == terms("lower(a.x) = lower(b.y)") == terms(" ") == ([], False)
+
+
 def test_salted_chain_keeps_table_names(spark, tables, monkeypatch):
     monkeypatch.setattr(joins, "HOT_KEY_ROWS", 1)
     spec = ExportSpec(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowferry.operators.joins import array_join, salted_join
+from rowferry.operators.joins import array_join, salted_join, tracked_join
 from rowferry.plans import ExportSpec, JoinSpec, compile_export
 from workloads.common import table, tables
 
@@ -133,6 +133,22 @@ def join_full_hot(spark, folder):
     return joined.select("c_custkey", "c_name", "event_id", "user_id")
 
 
+def _later_lines(spark, folder, how):
+    """Orders and those of their lines that shipped much later, frequent orders balanced."""
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    on = (orders["o_orderkey"] == lines["l_orderkey"]) & (lines["l_shipdate"] > orders["o_orderdate"])
+    return tracked_join(orders, lines, on, [orders["o_orderkey"]], [lines["l_orderkey"]], how, hot_key_rows=4)
+
+
+def join_left_condition_hot(spark, folder):
+    joined = _later_lines(spark, folder, "left")
+    return joined.select("o_orderkey", "o_orderdate", "l_linenumber", "l_partkey", "l_shipdate")
+
+
+def join_anti_condition_hot(spark, folder):
+    return _later_lines(spark, folder, "left_anti").select("o_orderkey", "o_orderdate")
+
+
 def join_right_hot(spark, folder):
     events, customer = table(spark, folder, "events"), table(spark, folder, "customer")
     joined = salted_join(events, customer, [events["user_id"]], [customer["c_custkey"]], "right", hot_key_rows=5)
@@ -144,6 +160,8 @@ QUERIES = {name: join_query(spec) for name, spec in SPECS.items()} | {
     "array_join_inner": array_join_inner,
     "array_join_left": array_join_left,
     "join_left_hot": join_left_hot,
+    "join_left_condition_hot": join_left_condition_hot,
+    "join_anti_condition_hot": join_anti_condition_hot,
     "join_right_hot": join_right_hot,
     "join_full_hot": join_full_hot,
 }
@@ -212,6 +230,14 @@ SQL = {
         "WHERE CAST(item AS DOUBLE) > 0.2) x ON e.vec_id = x.vec_id"
     ),
     "join_left_hot": "SELECT n_nationkey, n_name, c_custkey, c_name FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey",
+    "join_left_condition_hot": (
+        "SELECT o_orderkey, o_orderdate, l_linenumber, l_partkey, l_shipdate FROM orders "
+        "LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate > o_orderdate"
+    ),
+    "join_anti_condition_hot": (
+        "SELECT o_orderkey, o_orderdate FROM orders WHERE NOT EXISTS "
+        "(SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate)"
+    ),
     "join_right_hot": "SELECT c_custkey, c_name, event_id, user_id FROM events RIGHT JOIN customer ON user_id = c_custkey",
     "join_full_hot": "SELECT c_custkey, c_name, event_id, user_id FROM customer FULL JOIN events ON c_custkey = user_id",
 }
