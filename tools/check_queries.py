@@ -45,8 +45,9 @@ def main():
     wanted = sys.argv[2:]
     spark = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("CHECK_PARTITIONS", "8"))
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", os.environ.get("CHECK_TZ", "UTC"))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
