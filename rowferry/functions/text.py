@@ -51,9 +51,14 @@ def iso_text(ts: Column) -> Column:
 
 
 def parse_datetime(text: Column, formats: Sequence[str]) -> Column:
-    """The first format that fits wins; NULL when none does."""
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast(T.TimestampNTZType()) for f in formats]
-    return F.coalesce(*tries)
+    """The first format that fits wins; NULL when none does.
+
+    Texts are read as UTC and kept without a zone, so the session zone and its
+    clock changes do not matter.
+    """
+    tries = [F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{f} xx")) for f in formats]
+    seconds = (F.unix_micros(F.coalesce(*tries)).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast(T.TimestampNTZType()) + F.make_dt_interval(secs=seconds)
 
 
 def char_count(text: Column, char: str) -> Column:

@@ -88,6 +88,12 @@ def test_parse_datetime(spark):
     assert one(spark, "2020-01-02 03:04", parse) == "2020-01-02 03:04:00"
     assert one(spark, "05/01/2021", parse) == "2021-01-05 00:00:00"
     assert one(spark, "soon", parse) is None
+    assert one(spark, "1969-12-31 23:59", parse) == "1969-12-31 23:59:00"
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert one(spark, "2024-03-10 02:30", parse) == "2024-03-10 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_delimiters():
