@@ -1,15 +1,14 @@
 """Every registered query against its SQL on the given tables."""
 
-import collections
-
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+import workloads
 from tools.check_queries import NAMES, bag
 
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES = workloads.all_queries()
+SQL = workloads.all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -35,4 +34,4 @@ def test_query(spark, db, sf_dir, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).columns == ["o_orderkey", "o_totalprice", "c_name"]
-    assert isinstance(collections.Counter(QUERIES), dict)
+    assert QUERIES.keys() <= entry_point.queries().keys()
