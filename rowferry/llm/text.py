@@ -43,13 +43,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """The batch cut between rows into pieces of about ``size`` bytes of text."""
+def chunks(
+    batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES, rows: int = 1 << 20
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The batch cut between rows into pieces of about ``size`` bytes of text and at most ``rows`` rows."""
     data, offsets = column_bytes(batch.column(column))
     row = 0
     while row < batch.num_rows:
         stop = int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1
-        stop = min(max(stop, row + 1), batch.num_rows)
+        stop = min(max(stop, row + 1), row + rows, batch.num_rows)
         yield batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 
