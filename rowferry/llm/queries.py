@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowferry.llm.bpe import decode_ids, encode_texts
 from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
+from rowferry.llm.tokens import pattern, read_tokens, token_digests, vocabulary, write_tokens
+from rowferry.session import scratch_path
+
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -83,9 +88,28 @@ FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_digests(read_tokens(spark, path))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary(BYTE_RANKS)
+    decoded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, pattern()), ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_similar_documents": op2_similar_documents,
+    "op3_token_files": op3_token_files,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 SQL = {
