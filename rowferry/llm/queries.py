@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm.bpe import decode_ids, encode_texts
+from rowferry.llm.chat import conversation_digests, format_conversations
+from rowferry.llm.components import settle
 from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
+from rowferry.llm.quality import judge
 from rowferry.llm.tokens import pattern, read_tokens, token_digests, vocabulary, write_tokens
 from rowferry.session import scratch_path
 
@@ -105,14 +108,56 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A conversation of control strings that the query adds to the table.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    hard = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
+        F.lit(HARD_TEXT).alias("text"),
+    )
+    added = turns.select("conv_id", "turn", "role", "text").unionByName(hard.withColumn("turn", F.col("turn").cast("long")))
+    return conversation_digests(settle(format_conversations(added), "chat"))
+
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+safe AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>') AS t,
+         replace(replace(replace(replace(role, '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>'), chr(10), '\n') AS r
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(t) + length(r) + 13) AS BIGINT) AS formatted_chars
+FROM safe GROUP BY conv_id
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_similar_documents": op2_similar_documents,
     "op3_token_files": op3_token_files,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_chat_format": op9_chat_format,
+    "op10_quality": op10_quality,
 }
 
 SQL = {
     "op1_decontaminate": OP1_SQL,
     "op2_similar_documents": OP2_SQL,
+    "op9_chat_format": OP9_SQL,
 }
