@@ -28,8 +28,9 @@ CORE = 0.75
 #: Fewer documents than this give no estimate; their documents meet the rule.
 MIN_GROUP = 60
 STEPS = 12
-#: Chance of a regular document beyond the cutoff, under normality.
-TAIL = 1e-6
+#: Squared distance that is rejected, in multiples of the number of statistics
+#: (the mean of a normal variable's). Text statistics have longer tails than normal ones.
+CUTOFF = 20.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 UPPER = np.zeros(256, bool)
@@ -218,7 +219,7 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     return settle(e.join(s, same).select("e.*", "scale"), "estimates")
 
 
-def judge(docs: DataFrame, id_column: str = "doc_id", tail: float = TAIL) -> DataFrame:
+def judge(docs: DataFrame, id_column: str = "doc_id", cutoff: float = CUTOFF) -> DataFrame:
     """Per row: doc_id, lang, source, the counts, base_failed, distance and kept.
 
     ``distance`` is the squared robust distance within language and source, in
@@ -234,7 +235,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", tail: float = TAIL) -> Dat
     same = F.col("v.lang").eqNullSafe(F.col("e.lang")) & F.col("v.source").eqNullSafe(F.col("e.source")) & ~F.col("v.base_failed")
     columns = [F.col(f"e.{c}") for c in estimates.columns if c not in GROUP]
     judged = v.join(e, same, "left").select("v.*", *columns).withColumn("distance", _distance() / F.greatest(F.col("scale"), F.lit(1e-9)))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(1 - tail, P), F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff * P, F.lit(True))
     return judged.select(
         F.col("doc_id").alias(id_column), *GROUP, *COUNTS, *EXTRA, *STATISTICS, "base_failed", "distance", kept.alias("kept")
     )
