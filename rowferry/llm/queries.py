@@ -11,6 +11,7 @@ from rowferry.llm.components import settle
 from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
 from rowferry.llm.quality import judge
+from rowferry.llm.secret_scan import BASE_RULES, find_secrets
 from rowferry.llm.tokens import pattern, read_tokens, token_digests, vocabulary, write_tokens
 from rowferry.session import scratch_path
 
@@ -97,6 +98,24 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_tokens(spark, path))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in BASE_RULES]
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(of, base),
+        F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary(BYTE_RANKS)
     decoded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, pattern()), ranks)
@@ -151,6 +170,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_similar_documents": op2_similar_documents,
     "op3_token_files": op3_token_files,
+    "op4_secret_scan": op4_secret_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
