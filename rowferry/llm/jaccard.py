@@ -40,6 +40,12 @@ WORDS = 5
 PERCENT = 75
 #: Frequent shingles that every task knows; the most frequent ones of the corpus. Only the order of lists depends on it.
 FREQUENT = 1 << 19
+#: Shingles that a task counts at once.
+GATHERED = 1 << 22
+#: Members up to which every pair of a list is looked at when entries are thinned out; longer lists go by their extremes.
+SHORT = 64
+#: Bits of the map that lets a task pass over texts that are not asked for.
+MAP_BITS = 1 << 26
 #: Largest boundary that is considered, and the cost of a list entry in subsets.
 MAX_SMALL = 24
 LIST_COST = 4
@@ -105,27 +111,38 @@ def _first_of_class(ids: np.ndarray, size: np.ndarray, seen: set) -> np.ndarray:
 
 
 def _census(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, size) of each row, and (shingle, count) of shingles that several classes of a chunk hold."""
+    """(doc_id, class, size) of each row, and (shingle, count) of shingles that classes of one task share.
+
+    A task counts in windows of GATHERED shingles and reports what occurs more
+    than once in a window, so the counts of frequent shingles are close and
+    rare ones cost nothing.
+    """
 
     def task(batches):
+        kind, gathered, held, seen = None, [], 0, set()
+
+        def counts():
+            values, count = np.unique(np.concatenate(gathered) if gathered else np.zeros(0, _U64), return_counts=True)
+            values, count = values[count > 1], count[count > 1]
+            m = len(values)
+            empty = [pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())]
+            return pa.RecordBatch.from_arrays(empty + [pa.array(values.view(np.int64)), pa.array(count.astype(np.int64))], columns)
+
+        columns = ["doc_id", "class", "size", "shingle", "count"]
         for batch in batches:
+            kind = batch.column("doc_id").type
             for part, data, offsets in chunks(batch, rows=_ROWS):
                 shingles, row = shingle_sets(data, offsets)
                 ids, size = class_ids(shingles, row, part.num_rows)
-                fresh = _first_of_class(ids, size, set())
-                values, count = np.unique(shingles[fresh[row]], return_counts=True)
-                values, count = values[count > 1], count[count > 1]
-                n, m = part.num_rows, len(values)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([part.column("doc_id"), pa.nulls(m, part.column("doc_id").type)]),
-                        pa.concat_arrays([pa.array(ids), pa.nulls(m, pa.int64())]),
-                        pa.concat_arrays([pa.array(size.astype(np.int32)), pa.nulls(m, pa.int32())]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(values.view(np.int64))]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(count.astype(np.int64))]),
-                    ],
-                    ["doc_id", "class", "size", "shingle", "count"],
-                )
+                gathered.append(shingles[_first_of_class(ids, size, seen)[row]])
+                held += len(gathered[-1])
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids), pa.array(size.astype(np.int32)), none, none], columns)
+                if held > GATHERED:
+                    yield counts()
+                    gathered, held = [], 0
+        if held:
+            yield counts()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return settle(docs.mapInArrow(task, f"doc_id {kind}, class long, size int, shingle long, count long"), "census")
@@ -257,15 +274,43 @@ def _lists(entries: DataFrame) -> DataFrame:
     return rare.select(columns).unionByName(frequent.select(columns)).dropDuplicates(["key", "class"])
 
 
-def _members(docs: DataFrame, documents: DataFrame, lists: DataFrame) -> DataFrame:
-    """(class, shingles) of all classes in lists, from the text of one document each."""
-    wanted = documents.join(lists.select("class").distinct(), "class", "left_semi")
-    chosen = settle(wanted.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    d, c = docs.alias("d"), chosen.select("doc_id").distinct().alias("c")
-    texts = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
+def _thinned(lists: DataFrame) -> DataFrame:
+    """The entries that fit another member of their list."""
+    facts = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("reach").alias("furthest"))
+    sized = lists.join(facts.where("n > 1"), "key")
+    own = ["class", "size", "place", "reach"]
+    short = sized.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list(F.struct(*own)).alias("all"))
+    fits = F.filter(
+        "all",
+        lambda x: F.exists("all", lambda y: (x["class"] != y["class"]) & (x["size"] <= y["reach"]) & (y["size"] <= x["reach"])),
+    )
+    long = sized.where(F.col("n") > SHORT).where("least <= reach AND furthest >= size")
+    return short.select("key", F.explode(fits).alias("x")).select("key", "x.*").unionByName(long.select("key", *own))
+
+
+def _spots(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
+
+
+def _members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(class, shingles) of the chosen classes, from the text of one document each.
+
+    A bit map of fixed size over document ids spares the texts of others; what
+    it lets through by chance goes in the join.
+    """
+    bits = chosen.select(_spots("doc_id").alias("spot")).groupBy(F.expr("spot div 32768").alias("page"))
+    pages = bits.agg(F.bitmap_construct_agg(F.pmod("spot", F.lit(32768))).alias("bits")).collect()
+    bitmap = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
+    for r in pages:
+        bitmap[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.ravel())
 
     def task(batches):
+        bitmap = shared.value
         for batch in batches:
+            spot = batch.column("spot").to_numpy()
+            held = bitmap[spot >> 3] >> (spot & 7) & 1
+            batch = batch.filter(pa.array(held.astype(bool)))
             for part, data, offsets in chunks(batch, rows=_ROWS):
                 shingles, row = shingle_sets(data, offsets)
                 ids, size = class_ids(shingles, row, part.num_rows)
@@ -274,12 +319,16 @@ def _members(docs: DataFrame, documents: DataFrame, lists: DataFrame) -> DataFra
                     [pa.array(ids), pa.ListArray.from_arrays(pa.array(cuts), pa.array(shingles.view(np.int64)))], ["class", "shingles"]
                 )
 
-    sets = texts.mapInArrow(task, "class long, shingles array<long>")
-    return settle(sets.join(chosen.select("class"), "class", "left_semi").dropDuplicates(["class"]), "members")
+    sets = docs.withColumn("spot", _spots("doc_id")).mapInArrow(task, "class long, shingles array<long>")
+    return sets.join(chosen.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
-def _alike(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike."""
+    pairs = settle(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    chosen = settle(documents.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "chosen")
+    members = settle(_members(docs, chosen), "members")
     one = members.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     two = members.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -351,20 +400,16 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     frequent = (frequent["shingle"].to_numpy(np.int64).view(_U64), frequent["n"].to_numpy(np.int64))
     sizes = documents.where(F.col("size").between(1, 2 * MAX_SMALL)).groupBy("class", "size").count().groupBy("size").count().collect()
     entries = _entries(docs, frequent, boundary({r["size"]: r["count"] for r in sizes}))
-    entries = settle(
-        _lists(entries)
-        .withColumn("part", F.lit("l"))
-        .unionByName(entries.where("part = 's'").withColumn("reach", F.lit(None).cast("long")).select("key", "class", "size", "place", "reach", "part")),
-        "lists",
-    )
-    lists = entries.where("part = 'l'").drop("part")
+    columns = ["key", "class", "size", "place", "reach", "part"]
+    subsets = entries.where("part = 's'").withColumn("reach", F.lit(None).cast("long"))
+    entries = settle(_lists(entries).withColumn("part", F.lit("l")).select(columns).unionByName(subsets.select(columns)), "lists")
+    lists = settle(_thinned(entries.where("part = 'l'").drop("part")), "thinned")
     links = [settle(_light_links(entries.where("part = 's'")), "light")]
-    members = _members(docs, documents, lists)
     for pivots in (*PIVOTS, None):
         labels = components(reduce(DataFrame.unionByName, links)) if len(links) > 1 else None
         rest = settle(_open_lists(lists, labels), "open")
         pairs = _all_pairs(rest) if pivots is None else _pivot_pairs(rest, pivots)
-        links.append(settle(_alike(pairs, members), "alike"))
+        links.append(settle(_alike(pairs, docs, documents), "alike"))
     labels = components(reduce(DataFrame.unionByName, links))
     grouped = documents.where("size > 0").join(labels.withColumnRenamed("node", "class"), "class", "left")
     grouped = settle(grouped.withColumn("component", F.coalesce("component", "class")), "grouped")
