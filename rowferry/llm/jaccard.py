@@ -148,6 +148,21 @@ def _census(docs: DataFrame) -> DataFrame:
     return settle(docs.mapInArrow(task, f"doc_id {kind}, class long, size int, shingle long, count long"), "census")
 
 
+def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most FREQUENT shingles in order and their counts: all above the count that leaves so many."""
+    tail = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("c")).collect()
+    total, least = 0, 1 << 62
+    for r in sorted(tail, key=lambda r: -r["n"]):
+        total += r["c"]
+        if total > FREQUENT:
+            break
+        least = r["n"]
+    held = counts.where(F.col("n") >= least).toArrow()
+    shingles, n = held["shingle"].to_numpy().view(_U64), held["n"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
 @lru_cache(maxsize=None)
 def _partner_sizes(size: int) -> tuple[tuple[int, int], ...]:
     """(smaller, larger) sizes of all alike pairs that a set of this size can be in."""
@@ -396,8 +411,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     census = _census(docs)
     documents = census.where("class IS NOT NULL").select("doc_id", "class", "size")
     counts = census.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("n"))
-    frequent = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
-    frequent = (frequent["shingle"].to_numpy(np.int64).view(_U64), frequent["n"].to_numpy(np.int64))
+    frequent = _most_frequent(settle(counts, "counts"))
     sizes = documents.where(F.col("size").between(1, 2 * MAX_SMALL)).groupBy("class", "size").count().groupBy("size").count().collect()
     entries = _entries(docs, frequent, boundary({r["size"]: r["count"] for r in sizes}))
     columns = ["key", "class", "size", "place", "reach", "part"]
