@@ -10,9 +10,11 @@ from rowferry.llm.chat import conversation_digests, format_conversations
 from rowferry.llm.components import settle
 from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
+from rowferry.llm.language import predict_languages, settled_profiles
 from rowferry.llm.quality import judge
 from rowferry.llm.secret_scan import BASE_RULES, find_secrets
 from rowferry.llm.tokens import pattern, read_tokens, token_digests, vocabulary, write_tokens
+from rowferry.llm.toxicity import score_texts, train
 from rowferry.session import scratch_path
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -116,6 +118,22 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(column: str, by: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False)))
+    learned = docs.where(F.col("doc_id").isNotNull() & ~F.col("held_out"))
+    return predict_languages(docs, settled_profiles(learned), ("doc_id", "held_out"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)))
+    model = train(docs, table(spark, sf_dir, "labels"), _remainder("doc_id", 5) != 0)
+    return score_texts(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary(BYTE_RANKS)
     decoded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, pattern()), ranks)
@@ -171,6 +189,8 @@ QUERIES = {
     "op2_similar_documents": op2_similar_documents,
     "op3_token_files": op3_token_files,
     "op4_secret_scan": op4_secret_scan,
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
