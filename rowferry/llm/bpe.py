@@ -145,7 +145,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, columns: tuple[str,
                     [*columns, "ids"],
                 )
 
-    docs = docs.select(*columns, F.col("text"))
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return docs.mapInArrow(task, f"{kinds}, ids array<int>")
 

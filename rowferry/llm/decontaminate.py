@@ -28,12 +28,6 @@ GRAM = 5
 #: Measured size of benchmark texts up to which they are sent to every task.
 MAX_LOCAL_BYTES = 16 << 20
 
-HITS = "n_words long, n_hit long, hits array<struct<item:int,start:long,end:long>>"
-_HITS = [
-    ("n_words", pa.int64()),
-    ("n_hit", pa.int64()),
-    ("hits", pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))),
-]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +127,7 @@ def runs(items: Items, hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def hit_columns(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    """The columns of HITS for the rows of a chunk."""
+    """Words, hit words, and hits (item, start, end in words of the row) of each row of a chunk."""
     hashes, row = word_hashes(data, offsets)
     rows = len(offsets) - 1
     n_words = np.bincount(row, minlength=rows)
@@ -152,29 +146,33 @@ def hit_columns(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[pa.
     return [pa.array(n_words), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(cuts), entries)]
 
 
-def find_hits(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", max_local_bytes: int = MAX_LOCAL_BYTES) -> DataFrame:
-    """Per document: the id, n_words, n_hit, and hits (item_id, start, end in words).
+def find_hits(docs: DataFrame, items: DataFrame, columns: tuple[str, ...] = ("doc_id",), max_local_bytes: int = MAX_LOCAL_BYTES) -> DataFrame:
+    """Per document: the given columns, n_words, n_hit, and hits (item_id, start, end in words).
 
     ``items`` has item_id and text. A null text has no words and no item
     without words is ever found; repeated rows on either side are handled each
-    for itself, a null item_id is reported as null. Extra columns are ignored.
+    for itself, a null item_id is reported as null. Other columns are left out.
     """
     items = items.select("item_id", "text")
-    docs = docs.select(F.col(id_column).alias("doc_id"), "text")
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
     size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     if (size[0] or 0) + 16 * size[1] <= max_local_bytes:
         rows = items.collect()
         data, offsets = column_bytes(pa.array([r["text"] for r in rows], pa.large_string()))
-        found = _against(docs, docs.sparkSession.sparkContext.broadcast((Items.of(data, offsets), [r["item_id"] for r in rows])))
-    else:
-        found = _joined(docs, items)
-    return found.withColumnRenamed("doc_id", id_column)
+        shared = docs.sparkSession.sparkContext.broadcast((Items.of(data, offsets), [r["item_id"] for r in rows]))
+        return _against(docs, shared, columns)
+    return _joined(docs, items, columns)
 
 
-_OUT = "doc_id {kind}, n_words long, n_hit long, hits array<struct<item_id:{item},start:long,end:long>>"
+def _kind(frame: DataFrame, column: str) -> str:
+    return frame.schema[column].dataType.simpleString()
 
 
-def _against(docs: DataFrame, shared) -> DataFrame:
+def _schema(frame: DataFrame, columns: tuple[str, ...], item: str) -> str:
+    return ", ".join([*(f"`{c}` {_kind(frame, c)}" for c in columns), f"n_words long, n_hit long, hits array<struct<item_id:{item},start:long,end:long>>"])
+
+
+def _against(docs: DataFrame, shared, columns: tuple[str, ...]) -> DataFrame:
     def task(batches):
         items, ids = shared.value
         ids = pa.array(ids, pa.int64())
@@ -184,14 +182,14 @@ def _against(docs: DataFrame, shared) -> DataFrame:
                 fields = hits.values.flatten()
                 named = pa.StructArray.from_arrays([ids.take(fields[0]), fields[1], fields[2]], ["item_id", "start", "end"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), n_words, n_hit, pa.ListArray.from_arrays(hits.offsets, named)],
-                    ["doc_id", "n_words", "n_hit", "hits"],
+                    [*(part.column(c) for c in columns), n_words, n_hit, pa.ListArray.from_arrays(hits.offsets, named)],
+                    [*columns, "n_words", "n_hit", "hits"],
                 )
 
-    return docs.mapInArrow(task, _OUT.format(kind=docs.schema["doc_id"].dataType.simpleString(), item="long"))
+    return docs.mapInArrow(task, _schema(docs, columns, "long"))
 
 
-def _kept_grams(rows: DataFrame, sizes: tuple[int, ...], own_length: bool) -> DataFrame:
+def _kept_grams(rows: DataFrame, own_length: bool) -> DataFrame:
     """Distinct (size, gram, key) of all rows; size 0 stands for the kept grams of windows."""
 
     def task(batches):
@@ -199,7 +197,7 @@ def _kept_grams(rows: DataFrame, sizes: tuple[int, ...], own_length: bool) -> Da
             for part, data, offsets in chunks(batch):
                 hashes, row = word_hashes(data, offsets)
                 length = np.bincount(row, minlength=part.num_rows)
-                for size in (0, *sizes):
+                for size in range(WINDOW):
                     grams, at = winnow(hashes, row) if size == 0 else whole_grams(hashes, row, size)
                     if own_length and size:
                         own = length[row[at]] == size
@@ -209,28 +207,19 @@ def _kept_grams(rows: DataFrame, sizes: tuple[int, ...], own_length: bool) -> Da
                         ["size", "gram", "key"],
                     )
 
-    return rows.mapInArrow(task, f"size int, gram long, key {rows.schema['key'].dataType.simpleString()}").distinct()
+    return rows.mapInArrow(task, f"size int, gram long, key {_kind(rows, 'key')}").distinct()
 
 
-def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The same for a benchmark of any size; documents go by a digest of their text."""
+    rows = docs.select(F.struct(*columns).alias("columns"), "text", F.sha2("text", 256).alias("digest"))
+    texts = rows.select("digest", "text").where("text IS NOT NULL").dropDuplicates(["digest"])
     keyed = items.select(F.col("item_id").alias("key"), "text")
-    sizes = tuple(range(1, WINDOW))
-    candidates = (
-        _kept_grams(docs.select(F.col("doc_id").alias("key"), "text"), sizes, False)
-        .withColumnRenamed("key", "doc_id")
-        .join(_kept_grams(keyed, sizes, True).withColumnRenamed("key", "item_id"), ["size", "gram"])
-        .select("doc_id", "item_id")
-        .distinct()
-    )
-    # Rows that share an id are told apart by their text; equal rows have equal hits.
-    rows = docs.withColumn("row", F.sha2("text", 256))
-    texts = rows.dropDuplicates(["doc_id", "row"])
+    found = _kept_grams(texts.withColumnRenamed("digest", "key"), False).withColumnRenamed("key", "digest")
+    candidates = found.join(_kept_grams(keyed, True).withColumnRenamed("key", "item_id"), ["size", "gram"]).select("digest", "item_id").distinct()
+    i = items.withColumnRenamed("text", "item_text").alias("i")
     pairs = (
-        candidates.join(texts, candidates["doc_id"].eqNullSafe(texts["doc_id"]))
-        .select(texts["doc_id"], "row", "text", "item_id")
-        .alias("p")
-        .join(items.alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id")))
-        .select("p.doc_id", "p.row", "p.text", "p.item_id", F.col("i.text").alias("item_text"))
+        candidates.join(texts, "digest").alias("p").join(i, F.col("p.item_id").eqNullSafe(F.col("i.item_id"))).select("p.digest", "p.text", "p.item_id", "item_text")
     )
 
     def task(batches):
@@ -239,46 +228,36 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
                 item_data, item_offsets = column_bytes(part.column("item_text"))
                 hits = []
                 for k in range(part.num_rows):
-                    items = Items.of(item_data[item_offsets[k] : item_offsets[k + 1]], np.array([0, item_offsets[k + 1] - item_offsets[k]]))
-                    hits.append(hit_columns(items, data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[2])
+                    own = Items.of(item_data[item_offsets[k] : item_offsets[k + 1]], np.array([0, item_offsets[k + 1] - item_offsets[k]]))
+                    hits.append(hit_columns(own, data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[2])
                 spans = pa.chunked_array(hits).combine_chunks()
                 fields = spans.values.flatten()
                 pair = pa.StructArray.from_arrays([fields[1], fields[2]], ["start", "end"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("doc_id", "row", "item_id")] + [pa.ListArray.from_arrays(spans.offsets, pair)],
-                    ["doc_id", "row", "item_id", "spans"],
+                    [part.column("digest"), part.column("item_id"), pa.ListArray.from_arrays(spans.offsets, pair)], ["digest", "item_id", "spans"]
                 )
 
-    def kind(frame, column):
-        return frame.schema[column].dataType.simpleString()
-
-    spans = pairs.mapInArrow(
-        task, f"doc_id {kind(docs, 'doc_id')}, row string, item_id {kind(items, 'item_id')}, spans array<struct<start:long,end:long>>"
-    )
+    item = _kind(items, "item_id")
+    spans = pairs.mapInArrow(task, f"digest string, item_id {item}, spans array<struct<start:long,end:long>>")
     hits = (
-        spans.select("doc_id", "row", F.explode("spans").alias("s"), "item_id")
-        .groupBy("doc_id", "row")
+        spans.select("digest", "item_id", F.explode("spans").alias("s"))
+        .groupBy("digest")
         .agg(F.array_sort(F.collect_set(F.struct(F.col("item_id"), F.col("s.start"), F.col("s.end")))).alias("hits"))
     )
 
     def counted(batches):
         for batch in batches:
             for part, data, offsets in chunks(batch):
-                row = words(data, offsets, WORD_BYTE)[2]
-                n_words = np.bincount(row, minlength=part.num_rows)
+                n_words = np.bincount(words(data, offsets, WORD_BYTE)[2], minlength=part.num_rows)
                 n_hit = []
                 for k, spans in enumerate(part.column("hits").to_pylist()):
                     hit = np.zeros(int(n_words[k]), bool)
-                    for s in spans or ():
+                    for s in spans:
                         hit[s["start"] : s["end"]] = True
                     n_hit.append(int(hit.sum()))
-                hits = part.column("hits")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n_words), pa.array(n_hit, pa.int64()), hits], ["doc_id", "n_words", "n_hit", "hits"]
+                    [part.column("columns"), pa.array(n_words), pa.array(n_hit, pa.int64()), part.column("hits")], ["columns", "n_words", "n_hit", "hits"]
                 )
 
-    r, h = rows.alias("r"), hits.alias("h")
-    joined = r.join(h, F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("r.row").eqNullSafe(F.col("h.row")), "left").select(
-        "r.doc_id", "r.text", F.coalesce("h.hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits")
-    )
-    return joined.mapInArrow(counted, _OUT.format(kind=kind(docs, "doc_id"), item=kind(items, "item_id")))
+    joined = rows.join(hits, "digest", "left").select("columns", "text", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
+    return joined.mapInArrow(counted, _schema(joined, ("columns",), item)).select("columns.*", "n_words", "n_hit", "hits")

@@ -203,7 +203,7 @@ def predict_languages(docs: DataFrame, profiles: DataFrame, columns: tuple[str,
                     [*(part.column(c) for c in columns), names.take(pa.array(best)), pa.array(np.clip(score, 0, 1))], [*columns, "lang_pred", "score"]
                 )
 
-    docs = docs.select(*columns, "text")
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return docs.mapInArrow(task, f"{kinds}, lang_pred string, score double")
 

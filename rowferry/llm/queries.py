@@ -18,6 +18,16 @@ from rowferry.llm.toxicity import score_texts, train
 from rowferry.session import scratch_path
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Score from which a document counts as toxic.
+TOXIC = 0.5
+
+
+def _remainder(column: str, by: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+#: Rows whose labels may be learned.
+LEARNED = _remainder("doc_id", 5) != 0
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -118,10 +128,6 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _remainder(column: str, by: int):
-    return F.crc32(F.col(column).cast("string").cast("binary")) % by
-
-
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False)))
     learned = docs.where(F.col("doc_id").isNotNull() & ~F.col("held_out"))
@@ -130,8 +136,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)))
-    model = train(docs, table(spark, sf_dir, "labels"), _remainder("doc_id", 5) != 0)
-    return score_texts(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    model = train(docs, table(spark, sf_dir, "labels"), LEARNED)
+    return score_texts(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

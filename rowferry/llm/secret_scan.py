@@ -244,7 +244,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, columns: tupl
                 spans = pa.StructArray.from_arrays([names.take(pa.array(flat[:, 1])), pa.array(flat[:, 0]), pa.array(flat[:, 2])], ["kind", "start", "end"])
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in columns] + [pa.ListArray.from_arrays(pa.array(cuts), spans)], [*columns, "spans"])
 
-    docs = docs.select(*columns, "text")
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return docs.mapInArrow(task, f"{kinds}, spans {SPANS}")
 

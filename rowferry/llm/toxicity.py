@@ -175,6 +175,6 @@ def score_texts(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_
                     [*columns, "score", "offending"],
                 )
 
-    docs = docs.select(*columns, "text")
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return docs.mapInArrow(task, f"{kinds}, score double, offending array<struct<start:long,end:long,score:double>>")
