@@ -11,6 +11,7 @@ from rowferry.llm.components import settle
 from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
 from rowferry.llm.language import predict_languages, settled_profiles
+from rowferry.llm.pages import main_texts
 from rowferry.llm.quality import judge
 from rowferry.llm.secret_scan import BASE_RULES, find_secrets
 from rowferry.llm.tokens import pattern, read_tokens, token_digests, vocabulary, write_tokens
@@ -140,6 +141,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary(BYTE_RANKS)
     decoded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, pattern()), ranks)
@@ -197,6 +202,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
