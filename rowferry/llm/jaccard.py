@@ -41,9 +41,11 @@ PERCENT = 75
 #: Frequent shingles that every task knows; the most frequent ones of the corpus. Only the order of lists depends on it.
 FREQUENT = 1 << 19
 #: Shingles that a task counts at once.
-GATHERED = 1 << 22
+GATHERED = 1 << 21
 #: Members up to which every pair of a list is looked at when entries are thinned out; longer lists go by their extremes.
 SHORT = 64
+#: Earlier lists that an entry remembers, to see whether a pair has met before.
+REMEMBERED = 64
 #: Bits of the map that lets a task pass over texts that are not asked for.
 MAP_BITS = 1 << 26
 #: Largest boundary that is considered, and the cost of a list entry in subsets.
@@ -53,6 +55,8 @@ LIST_COST = 4
 PIVOTS = (1, 8)
 
 _ROWS = 1000
+#: Parts of the entries.
+SUBSET, RARE, OFTEN = 0, 1, 2
 _ELEMENT_BITS = 54
 _U64 = np.uint64
 
@@ -201,7 +205,7 @@ def subsets(shingles: np.ndarray) -> tuple[list[int], list[bool]]:
 
 
 def _entries(docs: DataFrame, frequent, small: int) -> DataFrame:
-    """Rows (part, key, class, size, place): subsets ('s', place 1 for the smaller size), rare ('r') and frequent ('f') list entries."""
+    """Rows (part, key, class, size, place): subsets (place 1 for the smaller size), rare and frequent list entries."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def task(batches):
@@ -217,7 +221,7 @@ def _entries(docs: DataFrame, frequent, small: int) -> DataFrame:
                 edge = np.cumsum(size) - size
                 for k in np.flatnonzero(fresh & (size <= small)).tolist():
                     keys, smaller = subsets(shingles[edge[k] : edge[k] + size[k]])
-                    yield _batch("s", keys, np.full(len(keys), ids[k]), np.full(len(keys), size[k]), smaller)
+                    yield _batch(SUBSET, keys, np.full(len(keys), ids[k]), np.full(len(keys), size[k]), smaller)
                 listed = fresh & (100 * size >= PERCENT * (small + 1))
                 own = listed[row]
                 shingles, row = shingles[own], row[own]
@@ -233,20 +237,20 @@ def _entries(docs: DataFrame, frequent, small: int) -> DataFrame:
                 place = np.arange(rare.sum()) - (np.cumsum(rares) - rares)[row[rare]]
                 take = place < prefix[row[rare]]
                 owner = row[rare][take]
-                yield _batch("r", shingles[rare][take].view(np.int64), ids[owner], size[owner], place[take])
+                yield _batch(RARE, shingles[rare][take].view(np.int64), ids[owner], size[owner], place[take])
                 late = np.flatnonzero(~rare & (rares < prefix)[row])
                 late = late[np.lexsort((shingles[late], order[late], row[late]))]
                 lates = np.bincount(row[late], minlength=part.num_rows)
                 place = np.arange(len(late)) - (np.cumsum(lates) - lates)[row[late]] + rares[row[late]]
                 take = place < prefix[row[late]]
                 owner = row[late][take]
-                yield _batch("f", shingles[late][take].view(np.int64), ids[owner], size[owner], place[take])
+                yield _batch(OFTEN, shingles[late][take].view(np.int64), ids[owner], size[owner], place[take])
 
-    return docs.mapInArrow(task, "part string, key long, class long, size int, place int")
+    return docs.mapInArrow(task, "part int, key long, class long, size int, place int")
 
 
 def _batch(kind, keys, ids, size, place):
-    arrays = [pa.array([kind] * len(keys), pa.string()), pa.array(keys), pa.array(ids)]
+    arrays = [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(ids)]
     return pa.RecordBatch.from_arrays(
         arrays + [pa.array(np.asarray(size).astype(np.int32)), pa.array(np.asarray(place).astype(np.int32))],
         ["part", "key", "class", "size", "place"],
@@ -268,7 +272,7 @@ def _lists(entries: DataFrame) -> DataFrame:
     """List entries that some other member of their list may be alike to."""
     over = Window.partitionBy("key")
     rare = (
-        entries.where("part = 'r'")
+        entries.where(F.col("part") == RARE)
         .select("key", "class", "size", "place", _reach().alias("reach"))
         .withColumns(
             {
@@ -284,7 +288,7 @@ def _lists(entries: DataFrame) -> DataFrame:
         .where("one <> other")
         .where("CASE WHEN n = 2 THEN sizes - size <= reach AND reaches - reach >= size ELSE least <= reach AND furthest >= size END")
     )
-    frequent = entries.where("part = 'f'").withColumn("reach", _reach())
+    frequent = entries.where(F.col("part") == OFTEN).withColumn("reach", _reach())
     columns = ["key", "class", "size", "place", "reach"]
     return rare.select(columns).unionByName(frequent.select(columns)).dropDuplicates(["key", "class"])
 
@@ -308,10 +312,10 @@ def _spots(column: str) -> Column:
 
 
 def _members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(class, shingles) of the chosen classes, from the text of one document each.
+    """(doc_id, class, shingles) of the chosen documents, and of some others.
 
     A bit map of fixed size over document ids spares the texts of others; what
-    it lets through by chance goes in the join.
+    it lets through by chance falls out of the join with the pairs.
     """
     bits = chosen.select(_spots("doc_id").alias("spot")).groupBy(F.expr("spot div 32768").alias("page"))
     pages = bits.agg(F.bitmap_construct_agg(F.pmod("spot", F.lit(32768))).alias("bits")).collect()
@@ -330,59 +334,58 @@ def _members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 shingles, row = shingle_sets(data, offsets)
                 ids, size = class_ids(shingles, row, part.num_rows)
                 cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.ListArray.from_arrays(pa.array(cuts), pa.array(shingles.view(np.int64)))], ["class", "shingles"]
-                )
+                sets = pa.ListArray.from_arrays(pa.array(cuts), pa.array(shingles.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids), sets], ["doc_id", "class", "shingles"])
 
-    sets = docs.withColumn("spot", _spots("doc_id")).mapInArrow(task, "class long, shingles array<long>")
-    return sets.join(chosen.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.withColumn("spot", _spots("doc_id")).mapInArrow(task, f"doc_id {kind}, class long, shingles array<long>")
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike."""
+    """The pairs (a, b) whose whole sets are alike; a class is read from one document."""
     pairs = settle(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = settle(documents.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    members = settle(_members(docs, chosen), "members")
-    one = members.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    two = members.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+    members = _members(docs, chosen)
+    for side, shingles in (("a", "x"), ("b", "y")):
+        known = chosen.select(F.col("class").alias(side), F.col("doc_id").alias("doc"))
+        sets = members.select(F.col("class").alias("c"), F.col("doc_id").alias("d"), F.col("shingles").alias(shingles)).hint("merge")
+        found = pairs.join(known, side).join(sets, (F.col(side) == F.col("c")) & F.col("doc").eqNullSafe(F.col("d")))
+        pairs = found.drop("c", "d", "doc")
     common = F.size(F.array_intersect("x", "y"))
-    checked = pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
-    return checked.where(f"100 * c >= {PERCENT} * u").select("a", "b")
+    checked = pairs.select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
+    return checked.where(f"100 * c >= {PERCENT} * u").select("a", "b").distinct()
 
 
 def _possible(joined: DataFrame) -> DataFrame:
-    """Distinct pairs that can still share enough after the last list they were seen in together."""
+    """Distinct pairs (a, b) of list entries that met."""
     a, b = F.col("l.class"), F.col("p.class")
-    swap = a > b
-    seen = joined.select(
-        F.least(a, b).alias("a"),
-        F.greatest(a, b).alias("b"),
-        F.when(swap, F.col("p.size")).otherwise(F.col("l.size")).alias("na"),
-        F.when(swap, F.col("l.size")).otherwise(F.col("p.size")).alias("nb"),
-        F.when(swap, F.col("p.place")).otherwise(F.col("l.place")).alias("pa"),
-        F.when(swap, F.col("l.place")).otherwise(F.col("p.place")).alias("pb"),
-    )
-    grouped = seen.groupBy("a", "b", "na", "nb").agg(F.countDistinct("pa").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return grouped.where(F.col("c") + left >= needed(F.col("na"), F.col("nb"))).select("a", "b")
+    return joined.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-_FITS = "l.component <> p.component AND l.size <= p.reach AND p.size <= l.reach"
+_FITS = "l.component <> p.component AND l.size <= p.reach AND p.size <= l.reach AND NOT arrays_overlap(l.earlier, p.earlier)"
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Lists with their members' components, without those in one component."""
+    """Lists with their members' components, without those in one component.
+
+    Each entry tells the earlier lists that its class is in, if they are at
+    most REMEMBERED: a pair need not be looked at again after its first list.
+    """
     own = lists.withColumn("component", F.col("class"))
     if labels is not None:
         own = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return own.join(mixed, "key")
+    own = own.join(mixed, "key")
+    places = own.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("all")).where(F.size("all") <= REMEMBERED + 1)
+    before = F.filter("all", lambda x: x["place"] < F.col("place"))["key"]
+    told = own.join(places, "class", "left").withColumn("earlier", F.coalesce(before, F.array().cast("array<long>")))
+    return told.drop("all")
 
 
 def _pivot_pairs(lists: DataFrame, pivots: int) -> DataFrame:
     """Pairs of list members with the members that stand for the list's largest components."""
-    groups = lists.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("size", "class", "place", "reach")).alias("p"))
+    groups = lists.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("size", "class", "place", "reach", "earlier")).alias("p"))
     if pivots == 1:
         best = groups.groupBy("key").agg(F.min(F.struct(F.col("p"), F.col("component"))).alias("g")).select("key", "g.p.*", "g.component")
     else:
@@ -415,10 +418,10 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     sizes = documents.where(F.col("size").between(1, 2 * MAX_SMALL)).groupBy("class", "size").count().groupBy("size").count().collect()
     entries = _entries(docs, frequent, boundary({r["size"]: r["count"] for r in sizes}))
     columns = ["key", "class", "size", "place", "reach", "part"]
-    subsets = entries.where("part = 's'").withColumn("reach", F.lit(None).cast("long"))
-    entries = settle(_lists(entries).withColumn("part", F.lit("l")).select(columns).unionByName(subsets.select(columns)), "lists")
-    lists = settle(_thinned(entries.where("part = 'l'").drop("part")), "thinned")
-    links = [settle(_light_links(entries.where("part = 's'")), "light")]
+    subsets = entries.where(F.col("part") == SUBSET).withColumn("reach", F.lit(None).cast("long"))
+    entries = settle(_lists(entries).withColumn("part", F.lit(RARE)).select(columns).unionByName(subsets.select(columns)), "lists")
+    lists = settle(_thinned(entries.where(F.col("part") == RARE).drop("part")), "thinned")
+    links = [settle(_light_links(entries.where(F.col("part") == SUBSET)), "light")]
     for pivots in (*PIVOTS, None):
         labels = components(reduce(DataFrame.unionByName, links)) if len(links) > 1 else None
         rest = settle(_open_lists(lists, labels), "open")
