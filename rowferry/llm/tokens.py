@@ -8,7 +8,9 @@ reader takes any stripes in parallel and skips those without a wanted id.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.text import chunks
-from rowferry.llm.units import UnitEncoder
+from rowferry.llm.units import Remembered, UnitEncoder
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
@@ -38,26 +40,61 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: Pieces of these signs are lower-cased and composed sign by sign, and fall into runs of letters, single digits and the rest.
+PLAIN = re.compile(r"[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PARTS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_signs() -> list[str]:
+    """The sign that byte-level vocabularies write for each byte: itself if printable, else the next free one from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
+
+
+@lru_cache(maxsize=2)
 def _text_encoder(path: str) -> UnitEncoder:
+    """The tokenizer of a file, as an encoder that keeps what it knows while its worker lives.
+
+    The common pieces, without apostrophes and special signs, are split as the
+    file's pre-tokenizer splits them and given to its model part by part; all
+    others go through the whole tokenizer.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    # The vocabulary drops white space, so pieces are encoded in lines of many and told apart by their place.
+    merge, signs, parts = tokenizer.model.tokenize, byte_signs(), Remembered()
+    # Other pieces are encoded in lines of many and told apart by their place.
     line = 2000
 
-    def encode(pieces: list[bytes]) -> list[np.ndarray]:
+    def part(text: str) -> bytes:
+        found = parts.get(text)
+        if found is None:
+            spelled = text if text.isascii() else "".join(signs[b] for b in text.encode())
+            found = np.array([t.id for t in merge(spelled)], np.int32).tobytes()
+            parts.put(text, found)
+        return found
+
+    def encode(pieces: list[bytes]) -> list[bytes]:
         texts = [x.decode().strip(" \t\n\v\f\r") for x in pieces]
-        out = []
-        for k in range(0, len(texts), line):
-            own = texts[k : k + line]
-            found = tokenizer.encode("\n".join(own), add_special_tokens=False)
-            length = np.fromiter(map(len, own), np.int64, len(own))
+        out: list[bytes] = [b""] * len(texts)
+        odd = []
+        for k, text in enumerate(texts):
+            if PLAIN.fullmatch(text):
+                out[k] = b"".join(map(part, PARTS.findall(text.lower())))
+            else:
+                odd.append(k)
+        for begin in range(0, len(odd), line):
+            own = odd[begin : begin + line]
+            found = tokenizer.encode("\n".join(texts[k] for k in own), add_special_tokens=False)
+            length = np.fromiter((len(texts[k]) for k in own), np.int64, len(own))
             starts = np.cumsum(length + 1) - length - 1
             ids = np.array(found.ids, np.int32)
             place = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(place, starts)
-            out.extend(np.split(ids, cuts[1:]))
+            cuts = np.append(np.searchsorted(place, starts), len(ids))
+            for k, a, b in zip(own, cuts[:-1], cuts[1:]):
+                out[k] = ids[a:b].tobytes()
         return out
 
     return UnitEncoder(encode)
@@ -118,7 +155,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     tokens = spark.read.orc(path)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     bases = tokens.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return tokens.join(bases, "file").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    # One row a file, as many as there were ranges.
+    return tokens.join(F.broadcast(bases), "file").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:

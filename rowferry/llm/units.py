@@ -1,8 +1,8 @@
 """Token ids of whole texts, encoding each distinct piece between spaces once.
 
 A text is cut before spaces (`unit_offsets`), a batch's pieces are numbered by
-Arrow's dictionary encoding, and only pieces not met before are encoded. The
-cache of a task holds a bounded number of pieces and starts anew when full.
+Arrow's dictionary encoding, and only pieces not met before are encoded. A
+worker remembers a bounded number of pieces from task to task.
 """
 
 from __future__ import annotations
@@ -15,17 +15,39 @@ import pyarrow.compute as pc
 
 from rowferry.llm.text import unit_offsets
 
-#: Pieces that a task remembers, and their longest length in bytes.
-CACHED = 200_000
+#: Pieces that a worker remembers in each of two generations, and their longest length in bytes.
+CACHED = 150_000
 CACHED_BYTES = 64
 
 
+class Remembered:
+    """Ids of pieces, as bytes of int32. The older of two generations goes when the younger is full."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, piece):
+        found = self.young.get(piece)
+        if found is None:
+            found = self.old.get(piece)
+            if found is not None:
+                self.young[piece] = found
+        return found
+
+    def put(self, piece, ids: bytes) -> None:
+        if len(piece) <= CACHED_BYTES:
+            if len(self.young) >= CACHED:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
+
+
 class UnitEncoder:
-    """Ids of rows of a chunk; ``encode`` maps a list of byte strings to their id arrays."""
+    """Ids of rows of a chunk; ``encode`` maps a list of byte strings to their ids as bytes of int32."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]]):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
         self.encode = encode
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.known = Remembered()
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the offsets of each row among them."""
@@ -36,15 +58,13 @@ class UnitEncoder:
         coded = pc.dictionary_encode(units)
         distinct = coded.dictionary.to_pylist()
         index = coded.indices.to_numpy()
-        cache = self.cache
-        new = [x for x in distinct if x not in cache]
-        fresh = dict(zip(new, self.encode(new)))
-        ids = [fresh[x] if x in fresh else cache[x] for x in distinct]
-        if len(cache) + len(fresh) > CACHED:
-            cache.clear()
-        cache.update((k, v) for k, v in fresh.items() if len(k) <= CACHED_BYTES)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        ids = [self.known.get(x) for x in distinct]
+        new = [k for k, x in enumerate(ids) if x is None]
+        for k, found in zip(new, self.encode([distinct[k] for k in new])):
+            ids[k] = found
+            self.known.put(distinct[k], found)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), np.int32)
         first = np.cumsum(length) - length
         own = length[index]
         ends = np.concatenate([[0], np.cumsum(own)])
