@@ -11,6 +11,7 @@ pre-token of a megabyte takes time in proportion to its length.
 from __future__ import annotations
 
 import base64
+import sys
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.text import chunks
-from rowferry.llm.units import UnitEncoder
+from rowferry.llm.units import Remembered, UnitEncoder
 
 #: Ranks under one bit of the upper bitmap level.
 BLOCK = 256
@@ -112,22 +113,25 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=2)
 def _unit_encoder(path: str, pattern: str) -> UnitEncoder:
+    """An encoder that keeps what it knows while its worker lives."""
     ranks = load_ranks(path)
     split = split_pattern(pattern).findall
+    known = Remembered()
 
-    def one(piece: bytes) -> list[int]:
+    def one(piece: bytes) -> bytes:
         rank = ranks.get(piece)
-        return [rank] if rank is not None else merge_ranks(piece, ranks)
-
-    def encode(pieces: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for piece in pieces:
-            ids: list[int] = []
-            for match in split(piece.decode()):
-                ids += one(match.encode())
-            out.append(np.array(ids, np.int32))
-        return out
+        if rank is not None:
+            return rank.to_bytes(4, sys.byteorder)
+        found = known.get(piece)
+        if found is None:
+            found = np.array(merge_ranks(piece, ranks), np.int32).tobytes()
+            known.put(piece, found)
+        return found
+
+    def encode(pieces: list[bytes]) -> list[bytes]:
+        return [b"".join([one(match.encode()) for match in split(piece.decode())]) for piece in pieces]
 
     return UnitEncoder(encode)
 
