@@ -11,6 +11,7 @@ pre-token of a megabyte takes time in proportion to its length.
 from __future__ import annotations
 
 import base64
+import hashlib
 import sys
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from rowferry.llm.text import chunks
 from rowferry.llm.units import Remembered, UnitEncoder
 
-#: Ranks under one bit of the upper bitmap level.
-BLOCK = 256
+#: Ranks under one bit of the upper bitmap level: 2 ** SHIFT.
+SHIFT = 8
+MASK = (1 << SHIFT) - 1
 #: The white space of the pattern's engine; Python's also counts U+001C to U+001F.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -43,43 +45,49 @@ def split_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(inside)
 
 
-def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def pair_ranks(ranks: dict[bytes, int]) -> list[int]:
+    """Rank of each pair of single bytes, at first byte times 256 plus second; -1 for none."""
+    return [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+
+
+def merge_ranks(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
     """Ids of one pre-token: always the lowest rank next, the leftmost of equals."""
     n = len(piece)
     if n == 1:
         return [ranks[piece]]
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    pair = [-1] * n
+    find = ranks.get
+    # Rank of the pair that begins at each place; its bucket may hold places whose rank has changed.
+    pair = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+    pair.append(-1)
     buckets: dict[int, list[int]] = {}
     blocks: dict[int, int] = {}
     upper = 0
-    find = ranks.get
-    for k in range(n - 1):
-        rank = find(piece[k : k + 2], -1)
+    for k, rank in enumerate(pair):
         if rank >= 0:
-            pair[k] = rank
             if rank in buckets:
                 buckets[rank].append(k)
             else:
                 buckets[rank] = [k]
-                block = rank // BLOCK
-                blocks[block] = blocks.get(block, 0) | 1 << rank % BLOCK
+                block = rank >> SHIFT
+                blocks[block] = blocks.get(block, 0) | 1 << (rank & MASK)
                 upper |= 1 << block
     while upper:
         block = (upper & -upper).bit_length() - 1
         bits = blocks[block]
-        low = (bits & -bits).bit_length() - 1
-        rank = block * BLOCK + low
-        # Positions of a bucket form a heap, so the leftmost comes first.
+        low = bits & -bits
+        rank = (block << SHIFT) + low.bit_length() - 1
         bucket = buckets[rank]
-        k = heappop(bucket)
-        if not bucket:
+        # Places of a bucket form a heap, so the leftmost comes first.
+        if len(bucket) == 1:
+            k = bucket[0]
             del buckets[rank]
-            bits ^= 1 << low
-            blocks[block] = bits
-            if not bits:
+            if bits == low:
                 upper ^= 1 << block
+            blocks[block] = bits ^ low
+        else:
+            k = heappop(bucket)
         if pair[k] != rank:
             continue
         gone = after[k]
@@ -88,28 +96,31 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         pair[gone] = -1
         if end < n:
             before[end] = k
-        for left in (k, before[k]):
-            if left < 0:
-                continue
-            middle = after[left]
-            if middle >= n:
-                pair[left] = -1
-                continue
-            rank = find(piece[left : after[middle]], -1)
-            pair[left] = rank
-            if rank >= 0:
-                if rank in buckets:
-                    heappush(buckets[rank], left)
+            new = find(piece[k : after[end]], -1)
+        else:
+            new = -1
+        pair[k] = new
+        left = before[k]
+        while True:
+            if new >= 0:
+                if new in buckets:
+                    heappush(buckets[new], k)
                 else:
-                    buckets[rank] = [left]
-                    block = rank // BLOCK
-                    blocks[block] = blocks.get(block, 0) | 1 << rank % BLOCK
+                    buckets[new] = [k]
+                    block = new >> SHIFT
+                    blocks[block] = blocks.get(block, 0) | 1 << (new & MASK)
                     upper |= 1 << block
+            if left < 0:
+                break
+            # Then the pair to the left.
+            pair[left] = new = find(piece[left:end], -1)
+            k, left = left, -1
     out = []
     k = 0
     while k < n:
-        out.append(ranks[piece[k : after[k]]])
-        k = after[k]
+        end = after[k]
+        out.append(ranks[piece[k:end]])
+        k = end
     return out
 
 
@@ -118,7 +129,8 @@ def _unit_encoder(path: str, pattern: str) -> UnitEncoder:
     """An encoder that keeps what it knows while its worker lives."""
     ranks = load_ranks(path)
     split = split_pattern(pattern).findall
-    known = Remembered()
+    pairs = pair_ranks(ranks)
+    known = Remembered(300_000)
 
     def one(piece: bytes) -> bytes:
         rank = ranks.get(piece)
@@ -126,7 +138,7 @@ def _unit_encoder(path: str, pattern: str) -> UnitEncoder:
             return rank.to_bytes(4, sys.byteorder)
         found = known.get(piece)
         if found is None:
-            found = np.array(merge_ranks(piece, ranks), np.int32).tobytes()
+            found = np.array(merge_ranks(piece, ranks, pairs), np.int32).tobytes()
             known.put(piece, found)
         return found
 
@@ -154,28 +166,76 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, columns: tuple[str,
     return docs.mapInArrow(task, f"{kinds}, ids array<int>")
 
 
+def spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in one array, the start of each, and its length."""
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length
+
+
+def joined(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spelling of ids one after the other, and where each begins and the last ends."""
+    flat, first, length = table
+    own = length[ids]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    return flat[np.arange(ends[-1]) + np.repeat(first[ids] - ends[:-1], own)], ends
+
+
+def row_groups(cuts: np.ndarray, size: int = 1 << 18):
+    """Ranges of rows with about ``size`` ids each; a longer row is a range of its own."""
+    row, rows = 0, len(cuts) - 1
+    while row < rows:
+        stop = max(int(np.searchsorted(cuts, cuts[row] + size, "right")) - 1, row + 1)
+        yield row, stop
+        row = stop
+
+
+def id_digests(tokens: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The given columns, n_tokens and ids_sha256, of the decimal ids joined by commas."""
+
+    def task(batches):
+        table = spelled([b"%d," % k for k in range(1 << 17)])
+        for batch in batches:
+            column = batch.column("ids")
+            ids = column.flatten().to_numpy(zero_copy_only=False)
+            cuts = column.offsets.to_numpy().astype(np.int64)
+            cuts = cuts - cuts[0]
+            digests = []
+            for row, stop in row_groups(cuts):
+                own = cuts[row : stop + 1]
+                data, ends = joined(table, ids[own[0] : own[-1]])
+                data = data.tobytes()
+                ends = ends[own - own[0]]
+                digests += [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns), pa.array(np.diff(cuts)), pa.array(digests, pa.string())], [*columns, "n_tokens", "ids_sha256"]
+            )
+
+    tokens = tokens.select(*dict.fromkeys([*columns, "ids"]))
+    kinds = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in columns)
+    return tokens.mapInArrow(task, f"{kinds}, n_tokens long, ids_sha256 string")
+
+
 def decode_ids(tokens: DataFrame, ranks: str, columns: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """The given columns and decoded (binary): the bytes of each row's ids."""
 
     def task(batches):
-        table = load_ranks(ranks)
-        size = max(table.values()) + 1
-        tokens = [b""] * size
-        for token, rank in table.items():
+        known = load_ranks(ranks)
+        tokens = [b""] * (max(known.values()) + 1)
+        for token, rank in known.items():
             tokens[rank] = token
-        length = np.fromiter(map(len, tokens), np.int64, size)
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
-        first = np.cumsum(length) - length
+        table = spelled(tokens)
         for batch in batches:
             column = batch.column("ids")
             ids = column.flatten().to_numpy(zero_copy_only=False)
             cuts = column.offsets.to_numpy().astype(np.int64)
             cuts = cuts - cuts[0]
-            own = length[ids]
-            ends = np.concatenate([[0], np.cumsum(own)])
-            data = flat[np.arange(ends[-1]) + np.repeat(first[ids] - ends[:-1], own)]
-            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts]), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [decoded.cast(pa.binary())], [*columns, "decoded"])
+            for row, stop in row_groups(cuts):
+                own = cuts[row : stop + 1]
+                data, ends = joined(table, ids[own[0] : own[-1]])
+                places = pa.py_buffer(ends[own - own[0]])
+                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - row, [None, places, pa.py_buffer(data)])
+                part = batch.slice(row, stop - row)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), decoded.cast(pa.binary())], [*columns, "decoded"])
 
     tokens = tokens.select(*columns)
     kinds = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm.bpe import decode_ids, encode_texts
+from rowferry.llm.bpe import decode_ids, encode_texts, id_digests
 from rowferry.llm.chat import conversation_digests, format_conversations
 from rowferry.llm.components import settle
 from rowferry.llm.decontaminate import find_hits
@@ -147,13 +147,9 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary(BYTE_RANKS)
-    decoded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, pattern()), ranks)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    encoded = encode_texts(table(spark, sf_dir, "documents"), ranks, pattern())
+    digests = id_digests(decode_ids(encoded, ranks).withColumn("decoded_sha256", F.sha2("decoded", 256)), ("doc_id", "decoded_sha256"))
+    return digests.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 #: A conversation of control strings that the query adds to the table.

@@ -16,14 +16,15 @@ import pyarrow.compute as pc
 from rowferry.llm.text import unit_offsets
 
 #: Pieces that a worker remembers in each of two generations, and their longest length in bytes.
-CACHED = 150_000
+CACHED = 100_000
 CACHED_BYTES = 64
 
 
 class Remembered:
     """Ids of pieces, as bytes of int32. The older of two generations goes when the younger is full."""
 
-    def __init__(self):
+    def __init__(self, size: int = CACHED):
+        self.size = size
         self.young: dict = {}
         self.old: dict = {}
 
@@ -37,7 +38,7 @@ class Remembered:
 
     def put(self, piece, ids: bytes) -> None:
         if len(piece) <= CACHED_BYTES:
-            if len(self.young) >= CACHED:
+            if len(self.young) >= self.size:
                 self.old, self.young = self.young, {}
             self.young[piece] = ids
 

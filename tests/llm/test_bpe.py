@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from rowferry.llm.bpe import decode_ids, encode_texts, load_ranks, merge_ranks
+from rowferry.llm.bpe import decode_ids, encode_texts, load_ranks, merge_ranks, pair_ranks
 from rowferry.llm.tokens import pattern, vocabulary
 
 RANKS = vocabulary("byte_bpe_multi_50k.tiktoken")
@@ -47,4 +47,4 @@ def test_one_long_pre_token(library):
     ranks = load_ranks(RANKS)
     rng = random.Random(1)
     for piece in ("a" * 5000, "".join(rng.choices("abcdeé日", k=20_000))):
-        assert merge_ranks(piece.encode(), ranks) == library._core_bpe.encode_single_piece(piece.encode())
+        assert merge_ranks(piece.encode(), ranks, pair_ranks(ranks)) == library._core_bpe.encode_single_piece(piece.encode())
