@@ -22,12 +22,12 @@ BLANKS = r"[\x00-\x20]*"
 DIGITS = r"([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 HEX_DIGITS = r"0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+"
 DAY = r"[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
-WHOLE_NUMBER = r"^[+-]?[0-9]+$"
-DECIMAL_NUMBER = rf"^{BLANKS}[+-]?{DIGITS}{BLANKS}$"
-REAL_NUMBER = rf"^{BLANKS}[+-]?(NaN|Infinity|({DIGITS}|{HEX_DIGITS})[fFdD]?){BLANKS}$"
-ISO_DATE = rf"^{DAY}$"
-ISO_DATETIME = rf"^{DAY}[Tt]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{{0,9}})?)?$"
-UUID_TEXT = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+WHOLE_NUMBER = r"\A[+-]?[0-9]+\z"
+DECIMAL_NUMBER = rf"\A{BLANKS}[+-]?{DIGITS}{BLANKS}\z"
+REAL_NUMBER = rf"\A{BLANKS}[+-]?(NaN|Infinity|({DIGITS}|{HEX_DIGITS})[fFdD]?){BLANKS}\z"
+ISO_DATE = rf"\A{DAY}\z"
+ISO_DATETIME = rf"\A{DAY}[Tt]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{{0,9}})?)?\z"
+UUID_TEXT = r"\A[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z"
 TRUE_WORDS = ("true", "1", "yes")
 FALSE_WORDS = ("false", "0", "no")
 

@@ -14,7 +14,7 @@ from rowferry.plans.spec import quote_name
 # around a cell (kept around {...}), characters not allowed in a file name,
 # and the count of delimiters and quotes above which a line is complex.
 BLANKS = "".join(chr(code) for code in range(0x21))
-ENCLOSING_QUOTES = r'(?s)^"(?!\{[^}]+\}"$)(.*)"$'
+ENCLOSING_QUOTES = r'(?s)\A"(?!\{[^}]+\}"\z)(.*)"\z'
 UNSAFE_NAME_CHARS = r"[^a-zA-Z0-9\-_]"
 COMPLEX_LINE_COUNT = 10
 
@@ -38,13 +38,28 @@ def unquote(cell: Column) -> Column:
 
 
 def clean_header(cell: Column) -> Column:
-    return F.regexp_replace(cell, '^"|"$', "")
+    return F.regexp_replace(cell, r'\A"|"\z', "")
 
 
 def safe_name(text: Column) -> Column:
     return F.regexp_replace(text, UNSAFE_NAME_CHARS, "_")
 
 
+# Fixed value: how a row of one column without a value is spelled, as its line would be empty.
+ONLY_NULL = "\\N"
+LIKE_NULL = r"\A\\+N\z"
+
+
+def spell_null(text: Column) -> Column:
+    """Text of the only column of a file: NULL is spelled, texts spelled like it get a backslash more."""
+    return F.when(text.isNull(), F.lit(ONLY_NULL)).when(text.rlike(LIKE_NULL), F.concat(F.lit("\\"), text)).otherwise(text)
+
+
+def read_null(text: Column) -> Column:
+    """The reverse of ``spell_null``."""
+    return F.when(text.rlike(LIKE_NULL), F.nullif(F.substring(text, 2, 1 << 30), F.lit("N"))).otherwise(text)
+
+
 def iso_text(ts: Column) -> Column:
     """Zone-less timestamp as ISO text with all its microseconds."""
     return F.replace(ts.cast("string"), F.lit(" "), F.lit("T"))

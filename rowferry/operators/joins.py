@@ -7,8 +7,6 @@ join, and both sides of a full join, are salted here.
 
 from __future__ import annotations
 
-import contextlib
-import io
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,11 +14,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.plans.spec import quote_name
+from rowferry.plans.spec import quote_name, unused_name
 from rowferry.session import scratch_path
 
-# A side may be sent to every executor only within both bounds.
-BROADCAST_MAX_ROWS = 1_000_000
+# Estimated size, by files and columns read, up to which a side is sent to every executor.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 # A key with more rows than this is hot: its rows are spread over several tasks.
@@ -32,54 +29,24 @@ def all_of(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, terms)
 
 
-def is_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
-    """Measure whether a side fits the broadcast bounds (rows first, then bytes)."""
-    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
-    if df.count() > max_rows:
-        return False
-    size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0]
-    return (size or 0) <= max_bytes
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a side, from the sizes of its files; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Send a side everywhere if it is proven small, else leave the join to a shuffle."""
-    return F.broadcast(df) if is_small(df) else df
+    """Ask to send a side everywhere if it is estimated small, else leave the join to the planner."""
+    return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_MAX_BYTES else df
 
 
-def product_join(left: DataFrame, right: DataFrame, on: Column | None, how: str = "inner") -> DataFrame:
-    """Join without an equality: one side must be proven small and is broadcast.
+def theta_join(left: DataFrame, right: DataFrame, on: Column | None, how: str = "inner") -> DataFrame:
+    """Join on any condition, or none.
 
-    With both sides large the work would grow with their product, so that is
-    refused instead of started.
+    Equalities in the condition make it a hash or merge join. Without one every
+    pair of rows is asked for, and it is the planner that sends the smaller
+    side around or spreads the product over all tasks.
     """
-    on = F.lit(True) if on is None else on
-    if how in ("inner", "left", "left_semi", "left_anti") and is_small(right):
-        return left.join(F.broadcast(right), on, how)
-    if how in ("inner", "right") and is_small(left):
-        return F.broadcast(left).join(right, on, how)
-    if how == "full" and is_small(left) and is_small(right):
-        return left.join(F.broadcast(right), on, how)
-    raise ValueError(
-        f"a {how} join without an equality needs a side of at most {BROADCAST_MAX_ROWS} rows and "
-        f"{BROADCAST_MAX_BYTES} bytes; add an equality between the tables"
-    )
-
-
-def nested_loops(df: DataFrame) -> int:
-    """How many joins of the plan compare every pair of rows."""
-    plan = io.StringIO()
-    with contextlib.redirect_stdout(plan):
-        df.explain()
-    return plan.getvalue().count("NestedLoopJoin") + plan.getvalue().count("CartesianProduct")
-
-
-def theta_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """Join on any condition; without an equality in it, one side must be small."""
-    joined = left.join(right, on, how)
-    if nested_loops(joined) > nested_loops(left):
-        return product_join(left, right, on, how)
-    return joined
+    return left.join(right, F.lit(True) if on is None else on, how)
 
 
 def filter_join(left: DataFrame, right: DataFrame, left_keys: Sequence[Column], right_keys: Sequence[Column], how: str) -> DataFrame:
@@ -88,9 +55,10 @@ def filter_join(left: DataFrame, right: DataFrame, left_keys: Sequence[Column],
     Keys are made distinct with a partial aggregate before the shuffle, so a
     frequent right key costs no more than a rare one; NULL keys match nothing.
     """
-    named = [k.alias(f"key_{i}") for i, k in enumerate(right_keys)]
+    names = [unused_name(f"key_{i}", left.columns) for i in range(len(right_keys))]
+    named = [k.alias(name) for name, k in zip(names, right_keys)]
     keys = right.where(all_of([k.isNotNull() for k in right_keys])).select(*named).distinct()
-    return left.join(keys, all_of([k == F.col(f"key_{i}") for i, k in enumerate(left_keys)]), how)
+    return left.join(keys, all_of([k == F.col(name) for name, k in zip(names, left_keys)]), how)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -137,9 +105,10 @@ def _with_salts(df: DataFrame, keys: Sequence[Column], hot: DataFrame | None, na
     """Add column ``name``: the salts of the row's key, NULL if it is not hot."""
     if hot is None:
         return df.select("*", F.lit(None).cast("int").alias(name))
-    side = hot.select(*[F.col(f"key_{i}").alias(f"{name}_{i}") for i in range(len(keys))], F.col("salts").alias(name))
-    found = df.join(broadcast_if_small(side), all_of([k == F.col(f"{name}_{i}") for i, k in enumerate(keys)]), "left")
-    return found.drop(*[f"{name}_{i}" for i in range(len(keys))])
+    names = [unused_name(f"{name}_{i}", df.columns) for i in range(len(keys))]
+    side = hot.select(*[F.col(f"key_{i}").alias(n) for i, n in enumerate(names)], F.col("salts").alias(name))
+    found = df.join(broadcast_if_small(side), all_of([k == F.col(n) for n, k in zip(names, keys)]), "left")
+    return found.drop(*names)
 
 
 def salted_join(
@@ -168,25 +137,26 @@ def salted_join(
         same = [f"key_{i}" for i in range(len(left_keys))]
         hot_right = hot_right.join(hot_left.select(*same), same, "left_anti")
 
+    taken = [*left.columns, *right.columns]
+    tag = {(side, what): unused_name(f"{side}_{what}", taken) for side in ("left", "right") for what in ("hash", "own", "other", "salt", "here")}
+
     def prepare(df, keys, own, other, side):
         # Salts follow from the row itself: a lost task's rerun repeats them.
         row_hash = F.lit(0) if own is None else F.xxhash64(*_row_identity(df))
-        tagged = df.select("*", row_hash.alias(f"{side}_hash"))
-        tagged = _with_salts(_with_salts(tagged, keys, own, f"{side}_own"), keys, other, f"{side}_other")
-        own_salt = F.pmod(F.col(f"{side}_hash"), F.col(f"{side}_own")).cast("int")
-        choices = F.when(
-            F.col(f"{side}_other").isNotNull(), F.sequence(F.lit(0), F.col(f"{side}_other") - 1)
-        ).otherwise(F.array(F.coalesce(own_salt, F.lit(0))))
-        return tagged.select("*", F.explode(choices).alias(f"{side}_salt"), F.lit(True).alias(f"{side}_here"))
+        tagged = df.select("*", row_hash.alias(tag[side, "hash"]))
+        tagged = _with_salts(_with_salts(tagged, keys, own, tag[side, "own"]), keys, other, tag[side, "other"])
+        own_salt = F.pmod(F.col(tag[side, "hash"]), F.col(tag[side, "own"])).cast("int")
+        others = F.col(tag[side, "other"])
+        choices = F.when(others.isNotNull(), F.sequence(F.lit(0), others - 1)).otherwise(F.array(F.coalesce(own_salt, F.lit(0))))
+        return tagged.select("*", F.explode(choices).alias(tag[side, "salt"]), F.lit(True).alias(tag[side, "here"]))
 
     ready_left = prepare(left, left_keys, hot_left, hot_right, "left")
     ready_right = prepare(right, right_keys, hot_right, hot_left, "right")
-    joined = ready_left.join(ready_right, on & (F.col("left_salt") == F.col("right_salt")), how)
-    lonely_copy = (F.col("left_other").isNotNull() & F.col("right_here").isNull()) | (
-        F.col("right_other").isNotNull() & F.col("left_here").isNull()
+    joined = ready_left.join(ready_right, on & (F.col(tag["left", "salt"]) == F.col(tag["right", "salt"])), how)
+    lonely_copy = (F.col(tag["left", "other"]).isNotNull() & F.col(tag["right", "here"]).isNull()) | (
+        F.col(tag["right", "other"]).isNotNull() & F.col(tag["left", "here"]).isNull()
     )
-    extra = [f"{s}_{c}" for s in ("left", "right") for c in ("hash", "own", "other", "salt", "here")]
-    return joined.where(~lonely_copy).drop(*extra)
+    return joined.where(~lonely_copy).drop(*tag.values())
 
 
 def has_row_index(df: DataFrame) -> bool:
@@ -232,7 +202,8 @@ def tracked_join(
     )
     if not hot:
         return left.join(right, on, how)
-    tags = {side: [f"{side}_file", f"{side}_row"] for side in ("left", "right")}
+    taken = [*left.columns, *right.columns]
+    tags = {side: [unused_name(f"{side}_{what}", taken) for what in ("file", "row")] for side in ("left", "right")}
 
     def tag(df: DataFrame, side: str) -> DataFrame:
         file, row = tags[side]

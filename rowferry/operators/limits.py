@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rowferry.plans.spec import PREVIEW_ROWS, TABLE_HEAD_ROWS, quote_name
+from rowferry.plans.spec import PREVIEW_ROWS, TABLE_HEAD_ROWS, quote_name, unused_name
 from rowferry.session import shared_folder
 
-# Up to this many rows a plain limit may run in one task. It shuffles up to
-# that many rows of every task, so where files can be counted it is lower.
+# Up to this many rows a plain limit runs in one task; the rows kept are the same beyond.
 ONE_TASK_ROWS = 1_000_000
-ONE_TASK_FILE_ROWS = 10_000
 
 ROW_BITS = 33  # low bits of monotonically_increasing_id: row number in its partition
 
@@ -40,20 +38,21 @@ def first_rows(df: DataFrame, n: int | None, order_by: Sequence[Column] = (), on
         return (df.orderBy(*order_by) if order_by else df).limit(n)
     shared_folder(df.sparkSession)
     fixed = (spread_sort(df, order_by) if order_by else df).checkpoint()
+    part, row, before = (unused_name(name, df.columns) for name in ("part", "row_in_part", "before"))
     numbered = fixed.select(
         "*",
-        F.spark_partition_id().alias("part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("row_in_part"),
+        F.spark_partition_id().alias(part),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias(row),
     )
-    sizes = fixed.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = fixed.groupBy(F.spark_partition_id().alias(part)).agg(F.count(F.lit(1)).alias("rows"))
     # One row per partition, so this window and the broadcast stay small.
-    running = F.sum("rows").over(Window.orderBy("part"))
-    before = sizes.select("part", (running - F.col("rows")).alias("before"))
-    kept = numbered.join(F.broadcast(before), "part").where(F.col("before") + F.col("row_in_part") < n)
-    return kept.select(*[F.col(quote_name(c)) for c in df.columns])
+    running = F.sum("rows").over(Window.orderBy(part))
+    earlier = sizes.select(part, (running - F.col("rows")).alias(before))
+    kept = numbered.join(F.broadcast(earlier), part).where(F.col(before) + F.col(row) < n)
+    return kept.drop(part, row, before)
 
 
-def first_rows_of_files(df: DataFrame, n: int | None, one_task_rows: int | None = None) -> DataFrame:
+def first_rows_of_files(df: DataFrame, n: int | None) -> DataFrame:
     """``first_rows`` for a Parquet-backed table: the first ``n`` rows in file order.
 
     Row counts come from file footers; only the files that hold the first
@@ -61,23 +60,14 @@ def first_rows_of_files(df: DataFrame, n: int | None, one_task_rows: int | None
     """
     if not n or n <= 0:
         return df
-    if n <= (ONE_TASK_FILE_ROWS if one_task_rows is None else one_task_rows):
-        return df.limit(n)
     path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     files = df.groupBy(path.alias("file")).agg(F.count(F.lit(1)).alias("rows"))
     running = F.sum("rows").over(Window.orderBy("file"))
-    needed = files.select("file", (running - F.col("rows")).alias("before"), "rows").where(F.col("before") < n)
-    whole, last = [], None
-    # As many files as the limit needs, not as many as the table has.
-    for file in needed.collect():
-        if file.before + file.rows <= n:
-            whole.append(file.file)
-        else:
-            last = file
-    keep = path.isin(whole) if whole else F.lit(False)
-    if last is not None:
-        keep = keep | ((path == last.file) & (row < n - last.before))
-    return df.where(path.isin([*whole, *([last.file] if last else [])])).where(keep)
+    # Files count in the order of their paths, so one path tells where the limit ends.
+    last = files.select("file", (running - F.col("rows")).alias("before")).where(F.col("before") < n).orderBy(F.desc("file")).head()
+    if last is None:
+        return df
+    return df.where(path <= last.file).where((path < last.file) | (row < n - last.before))
 
 
 def top_groups(df: DataFrame, key: Column | str, measure: Column, k: int, descending: bool = True) -> DataFrame:

@@ -15,8 +15,6 @@ from rowferry.plans.spec import BYTES_PER_ROW, is_blank, quote_name
 # Delimiters tried by detection.
 DELIMITER_CHOICES = (",", "\t", "|", ";")
 
-KEY_PROBE_ROWS = 2000
-
 # Values longer than this are compared by their SHA-256.
 LONG_VALUE = 128
 
@@ -43,7 +41,8 @@ def _comparable(df: DataFrame, column: str) -> Column:
         return value.cast("string")
     # Long values cross the shuffle as their digest.
     text = value.cast("string")
-    return F.when(F.length(text) > LONG_VALUE, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+    # The sign before tells a digest from a text that is spelled like one.
+    return F.when(F.length(text) > LONG_VALUE, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(F.concat(F.lit("="), text))
 
 
 def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -82,35 +81,23 @@ def column_inventory(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def candidate_keys(df: DataFrame) -> DataFrame:
-    """``(column_name, row_count, null_count, is_key)``: a key is unique and never NULL.
-
-    A repeated or missing value among a few rows already rules a column out.
-    Only the columns left are tested on the whole table.
-    """
-    columns = df.columns
-    probe = df.select(*[F.sha2(_comparable(df, c), 256).alias(c) for c in columns]).take(KEY_PROBE_ROWS)
-    open_columns = [
-        c for i, c in enumerate(columns) if None not in (seen := [r[i] for r in probe]) and len(set(seen)) == len(seen)
-    ]
-    nulls = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.struct(*[F.count_if(F.col(quote_name(c)).isNull()).alias(c) for c in columns]).alias("nulls"),
-    )
-    counts = nulls.select("row_count", "nulls.*").unpivot(
-        ["row_count"], [F.col(quote_name(c)) for c in columns], "column_name", "null_count"
-    )
-    if not open_columns:
-        return counts.select("column_name", "row_count", "null_count", F.lit(False).alias("is_key"))
+    """``(column_name, row_count, null_count, is_key)``: a key is unique and never NULL."""
+    # Numbers stand for the columns, whose names may be those used here.
+    numbers = {str(i): c for i, c in enumerate(df.columns)}
+    named = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    plain = df.select(*[F.col(quote_name(c)).alias(i) for i, c in numbers.items()])
+    nulls = plain.agg(*[F.count_if(F.col(quote_name(i)).isNull()).alias(i) for i in numbers], F.count(F.lit(1)).alias("row_count"))
+    counts = nulls.unpivot(["row_count"], [F.col(quote_name(i)) for i in numbers], "number", "null_count")
     repeats = (
-        _cells(df, open_columns)
+        _cells(plain, list(numbers))
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("column_name")
+        .groupBy(F.col("column_name").alias("number"))
         .agg(F.max("n").alias("most"))
     )
     is_key = (F.col("null_count") == 0) & (F.coalesce(F.col("most"), F.lit(2)) == 1)
-    return counts.join(F.broadcast(repeats), "column_name", "left").select(
-        "column_name", "row_count", "null_count", is_key.alias("is_key")
+    return counts.join(repeats, "number", "left").select(
+        named[F.col("number")].alias("column_name"), "row_count", "null_count", is_key.alias("is_key")
     )
 
 
@@ -125,10 +112,10 @@ def estimate_size(df: DataFrame) -> DataFrame:
 
 
 def validate_width(lines: DataFrame, sep: str) -> DataFrame:
-    """One row: do all lines have as many cells as the first one?
+    """One row: do all records have as many cells as the first one?
 
-    ``lines`` comes from ``sources.text_lines``: ``value`` and the position
-    columns that tell which line is the first.
+    ``lines`` comes from ``sources.record_lines`` (or ``text_lines`` where no
+    cell spans lines): ``value`` and the position that tells which is the first.
     """
     widths = lines.select(cell_count(F.col("value"), sep).alias("width"), "position")
     found = widths.agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowferry.operators import joins
 from rowferry.operators.limits import first_rows, first_rows_of_files, preview_rows, spread_sort
-from rowferry.plans.spec import ExportSpec, JoinSpec, is_blank, quote_name, split_reference
+from rowferry.plans.spec import ExportSpec, JoinSpec, is_blank, quote_name, split_reference, unused_name
 
 Tables = Mapping[str, DataFrame] | Callable[[str], DataFrame]
 
@@ -60,7 +60,7 @@ def _apply(frame: DataFrame, join: JoinSpec, spec: ExportSpec, tables: Tables, s
 
     right = _table(tables, join.table)
     on = condition_of(join, main_table)
-    pairs = join.equal_pairs(main_table)
+    pairs = join.equal_pairs(main_table, right.columns, frame.columns)
     if what == "any":
         if pairs is None:
             raise ValueError("an ANY join needs a condition of column equalities")
@@ -68,11 +68,11 @@ def _apply(frame: DataFrame, join: JoinSpec, spec: ExportSpec, tables: Tables, s
         chosen = joins.first_per_key(right, keys, join.order_by, _mentioned(spec, right))
         return frame.join(chosen.alias(join.table), on, how)
     if what == "product" or on is None:
-        return joins.product_join(frame, right, on, how)
+        return joins.theta_join(frame, right, on, how)
     if what == "global":
         right = joins.broadcast_if_small(right)
     if pairs is None:
-        terms, _ = join.equal_terms(main_table)
+        terms, _ = join.equal_terms(main_table, right.columns, frame.columns)
         if salt_hot_keys and terms and how != "inner":
             left_keys = [column_of(table, column) for table, column, _ in terms]
             right_keys = [column_of(join.table, column) for _, _, column in terms]
@@ -108,13 +108,20 @@ def _projection(spec: ExportSpec) -> list[Column]:
     unfolded = {name for j in spec.joins if j.mode[0] == "array" and j.array_column for name in _array_columns(j)}
     references = [split_reference(c, main) for c in spec.columns]
     names = [column for _, column in references]
-    out = []
+    out: list[tuple[str, Column]] = []
+    taken: set[str] = set()
     for (table, column), written in zip(references, spec.columns):
         if table in hidden:
             raise ValueError(f"{written!r}: a SEMI or ANTI join keeps only the left columns")
         source = F.col(quote_name(column)) if column in unfolded and "." not in written else column_of(table, column)
-        out.append(source.alias(column if names.count(column) == 1 else f"{table}_{column}"))
-    return out
+        name = column if names.count(column) == 1 else f"{table}_{column}"
+        # The same column chosen again is numbered.
+        number = 1
+        while (shown := name if number == 1 else f"{name}_{number}").lower() in taken:
+            number += 1
+        taken.add(shown.lower())
+        out.append((shown, source))
+    return [source.alias(name) for name, source in out]
 
 
 def _ordering(spec: ExportSpec) -> list[Column]:
@@ -123,11 +130,7 @@ def _ordering(spec: ExportSpec) -> list[Column]:
 
 
 def compile_export(spec: ExportSpec, tables: Tables) -> DataFrame:
-    """Joins, projection, order and limit as one lazy plan.
-
-    Only a join kind that must measure a side (GLOBAL, CROSS and conditions
-    without an equality) runs a job while compiling.
-    """
+    """Joins, projection, order and limit as one lazy plan."""
     frame = _joined(spec, tables, salt_hot_keys=False)
     if spec.counts_rows:
         return frame.agg(F.count(F.lit(1)).alias("COUNT(*)"))
@@ -163,7 +166,8 @@ def prepare_export(spec: ExportSpec, tables: Tables) -> DataFrame:
     if not spec.joins and not spec.order_by and joins.has_row_index(frame):
         return first_rows_of_files(frame, spec.limit).select(*_projection(spec))
     # The order may use columns that are not exported, so they travel along.
-    keys = {f"order_{i}": key for i, key in enumerate(_ordering(spec))}
+    names = frame.select(*_projection(spec)).columns
+    keys = {unused_name(f"order_{i}", names): key for i, key in enumerate(_ordering(spec))}
     projected = frame.select(*_projection(spec), *[key.alias(name) for name, key in keys.items()])
     if spec.limit and spec.limit > 0:
         return first_rows(projected, spec.limit, [F.col(name) for name in keys]).drop(*keys)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 # Spelled-out delimiters.
@@ -37,6 +37,9 @@ JOIN_KINDS = {
     "LEFT ANTI": ("table", "left_anti"),
     "ANY": ("any", "inner"),
     "LEFT ANY": ("any", "left"),
+    "ANY LEFT": ("any", "left"),
+    "ANY INNER": ("any", "inner"),
+    "INNER ANY": ("any", "inner"),
     "GLOBAL": ("global", "inner"),
     "GLOBAL LEFT": ("global", "left"),
     "ARRAY": ("array", "inner"),
@@ -46,12 +49,27 @@ JOIN_KINDS = {
 PREVIEW_ROWS = 100
 TABLE_HEAD_ROWS = 1000
 SAMPLE_ROWS = 1000
-TABLE_EXPORT_ROWS = 10_000_000
 BYTES_PER_ROW = 100
 MAX_BAD_ROWS = 10
 MAX_BAD_RATIO = 0.01
 
 
+# A literal, a quoted name, a word, an operator of two signs, or one sign.
+CONDITION_TOKEN = re.compile(r"'(?:[^']|'')*'|`(?:[^`]|``)*`|\"[^\"]*\"|[\w$]+|<=>|[<>=!]=|<>|\S")
+
+
+def condition_tokens(condition: str) -> list[str]:
+    return CONDITION_TOKEN.findall(condition)
+
+
+def is_name(token: str) -> bool:
+    return token[0] in '`"' or re.fullmatch(r"[A-Za-z_]\w*", token) is not None
+
+
+def plain_name(token: str) -> str:
+    return token[1:-1].replace("``", "`") if token[0] in '`"' else token
+
+
 def is_blank(text: str | None) -> bool:
     return text is None or not text.strip()
 
@@ -75,6 +93,14 @@ def quote_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def unused_name(name: str, *column_lists) -> str:
+    """The name, with as many ``_`` behind it as it takes to be in none of the lists."""
+    taken = {c.lower() for columns in column_lists for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_reference(reference: str, main_table: str) -> tuple[str, str]:
     """``table.column`` cut at the first dot; a bare name belongs to the main table."""
     table, dot, column = reference.replace('"', "").partition(".")
@@ -113,31 +139,55 @@ class JoinSpec:
         has_condition = not is_blank(self.condition) or bool(self.pairs)
         return not is_blank(self.table) and not is_blank(self.kind) and has_condition
 
-    def equal_terms(self, main_table: str) -> tuple[list[tuple[str, str, str]], bool]:
+    def equal_terms(
+        self, main_table: str, right_columns: Sequence[str] = (), left_columns: Sequence[str] = ()
+    ) -> tuple[list[tuple[str, str, str]], bool]:
         """(left table, left column, joined column) of each plain column equality
-        that must hold, and whether these are the whole condition."""
+        that must hold, and whether these are the whole condition.
+
+        A name without a table is the joined table's if only that has it, else
+        the main table's.
+        """
         if self.pairs:
             return [(*split_reference(local, main_table), right) for local, right in self.pairs], True
-        text = (self.condition or "").strip()
-        inner = re.fullmatch(r"\(([^()]*)\)", text)
-        text = inner.group(1) if inner else text
-        if not text or re.search(r"[()]|\bOR\b|\bBETWEEN\b|\bCASE\b", text, flags=re.I):
+        tokens = condition_tokens(self.condition or "")
+        while tokens[:1] == ["("] and tokens[-1:] == [")"] and "(" not in tokens[1:] and ")" not in tokens[1:-1]:
+            tokens = tokens[1:-1]
+        if not tokens or {"(", ")", "OR", "BETWEEN", "CASE", "NOT"} & {t.upper() for t in tokens}:
             return [], False
+        terms: list[list[str]] = [[]]
+        for token in tokens:
+            if token.upper() == "AND":
+                terms.append([])
+            else:
+                terms[-1].append(token)
+
+        def reference(part: list[str]) -> tuple[str, str] | None:
+            if not all(is_name(t) if i % 2 == 0 else t == "." for i, t in enumerate(part)) or len(part) not in (1, 3):
+                return None
+            names = [plain_name(t) for t in part[::2]]
+            if len(names) == 2:
+                return names[0], names[1]
+            only_right = names[0] in right_columns and names[0] not in left_columns
+            return (self.table if only_right else main_table), names[0]
+
         found, whole = [], True
-        for term in re.split(r"\s+AND\s+", text, flags=re.I):
-            match = re.fullmatch(r"([\w`]+)\.([\w`]+)\s*=\s*([\w`]+)\.([\w`]+)", term.replace('"', "").strip())
-            a_table, a_col, b_table, b_col = (part.strip("`") for part in match.groups()) if match else [""] * 4
-            if match and b_table == self.table and a_table != self.table:
-                found.append((a_table, a_col, b_col))
-            elif match and a_table == self.table and b_table != self.table:
-                found.append((b_table, b_col, a_col))
+        for term in terms:
+            at = term.index("=") if term.count("=") == 1 else 0
+            a, b = (reference(term[:at]), reference(term[at + 1 :])) if at else (None, None)
+            if a and b and b[0] == self.table != a[0]:
+                found.append((*a, b[1]))
+            elif a and b and a[0] == self.table != b[0]:
+                found.append((*b, a[1]))
             else:
                 whole = False
         return found, whole
 
-    def equal_pairs(self, main_table: str) -> list[tuple[str, str, str]] | None:
+    def equal_pairs(
+        self, main_table: str, right_columns: Sequence[str] = (), left_columns: Sequence[str] = ()
+    ) -> list[tuple[str, str, str]] | None:
         """``equal_terms`` if the condition is nothing else."""
-        found, whole = self.equal_terms(main_table)
+        found, whole = self.equal_terms(main_table, right_columns, left_columns)
         return found if found and whole else None
 
 

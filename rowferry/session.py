@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -34,21 +33,29 @@ def build_session(app_name: str = "rowferry", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Every executor must reach it, so a private temporary folder is made up
-    only for a local session that names none.
+    Every executor must reach it. Where none is named, it is a folder of the
+    session's warehouse, which executors share as well.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="rowferry-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    named = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, not yet existing path under the shared folder."""
     return f"{shared_folder(spark)}/rowferry/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared folder and read again, so that nothing before is run twice."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Remove all scratch of the shared folder's sessions, once no plan reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/rowferry")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowferry.functions.text import UNSAFE_NAME_CHARS, iso_text
+from rowferry.functions.text import UNSAFE_NAME_CHARS, iso_text, spell_null
 from rowferry.plans.export import Tables, prepare_export
 from rowferry.plans.spec import ExportSpec, decode_delimiter, is_blank, quote_name
 
@@ -36,16 +36,23 @@ DIALECT = {
 }
 
 
+# Times keep all their microseconds; those with a zone are told in the session's.
+JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def as_text_cells(df: DataFrame) -> DataFrame:
-    """What the text writer cannot write exactly, as text: zone-less times with
-    microseconds in ISO form, nested values as JSON."""
+    """What the text writer cannot write exactly, as text: times with all
+    microseconds in ISO form (of the session's zone, which is not written),
+    nested values as JSON."""
     cells = []
     for field in df.schema.fields:
         value = F.col(quote_name(field.name))
-        if isinstance(field.dataType, T.TimestampNTZType):
+        if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
             value = iso_text(value)
         elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            value = F.to_json(value)
+            value = F.to_json(value, JSON_TIMES)
+        if len(df.columns) == 1:
+            value = spell_null(value.cast("string"))
         cells.append(value.alias(field.name))
     return df.select(*cells)
 
@@ -94,7 +101,7 @@ def export_format(df: DataFrame, path: str, format_name: str | None = None, mode
     if writer == "csv":
         return _write(as_text_cells(df), path, writer, DIALECT | options, mode)
     if writer == "json":
-        options = {"ignoreNullFields": "false"}
+        options = {"ignoreNullFields": "false"} | JSON_TIMES
     return _write(df, path, writer, options, mode)
 
 

@@ -80,9 +80,12 @@ def append_rows(df: DataFrame, table: str) -> int:
 
 
 def load_types(df: DataFrame, spec: LoadSpec, target: T.StructType | None) -> dict[str, str]:
-    """Declared type of each file column that is loaded."""
+    """Declared type of each file column that is loaded; a column that the file lacks is an error."""
     declared = dict(spec.column_types or {})
     chosen: Sequence[str] = spec.columns or tuple(declared) or tuple(df.columns)
+    absent = [c for c in chosen if c not in df.columns]
+    if absent and df.columns:
+        raise ValueError(f"the file has no column {', '.join(absent)}")
     types = {}
     for column in chosen:
         if column not in df.columns:
@@ -100,16 +103,19 @@ def load_file(
     spark: SparkSession,
     path: str | Sequence[str],
     spec: LoadSpec,
-    multi_line: bool | None = None,
     rejects: str | None = None,
 ) -> LoadResult:
     """Load delimited files into a table: create it if asked, convert, append.
 
-    The load is refused before anything is written if the bad rows exceed both
-    limits; fewer bad rows are left out, counted in ``rejected`` and, if a
-    ``rejects`` path is given, kept there as text with the columns at fault.
+    A row is bad if a cell does not fit its type or the row has too few or too
+    many cells. The load is refused before anything is written if the bad rows
+    exceed both limits; fewer bad rows are left out, counted in ``rejected``
+    and, if a ``rejects`` path is given, kept there as text with the columns at
+    fault.
     """
-    text = read_delimited(spark, path, spec.separator, spec.has_header, multi_line=multi_line)
+    read = read_delimited(spark, path, spec.separator, spec.has_header, misfit=True)
+    misfit = read.columns[-1]
+    text = read.select(*[quote_name(c) for c in read.columns[:-1]])
     fits = set()
     if spec.infer:
         chosen = text.select(*[quote_name(c) for c in spec.columns or text.columns])
@@ -121,14 +127,12 @@ def load_file(
         create_table(spark, spec.table, spec.column_types or dict.fromkeys(text.columns, "String"), spec.location)
     target = spark.table(table_id(spec.table)).schema
     types = load_types(text, spec, target)
-    rejected = 0
     checked = {c: t for c, t in types.items() if c not in fits and base_name(t) != "String"}
-    if checked:
-        budget = ErrorBudget(spec.max_bad_rows, spec.max_bad_ratio)
-        _, rejected = check_budget(text.select(*[quote_name(c) for c in checked]), checked, budget)
+    budget = ErrorBudget(spec.max_bad_rows, spec.max_bad_ratio)
+    _, rejected = check_budget(read.select(*[quote_name(c) for c in (*checked, misfit)]), checked, budget, misfit)
     if rejected and rejects:
-        reject_rows(text, types).write.mode("append").parquet(rejects)
-    rows = good_rows(text, types) if rejected else typed_projection(text, types)
+        reject_rows(read, types, misfit).write.mode("append").parquet(rejects)
+    rows = good_rows(read, types, misfit) if rejected else typed_projection(text, types)
     return LoadResult(append_rows(rows, spec.table), True, DONE, rejected)
 
 

@@ -2,8 +2,8 @@ from rowferry.sources.delimited import (
     preview_file,
     read_delimited,
     read_lenient,
+    record_lines,
     sample_file,
-    spans_lines,
     text_lines,
 )
 from rowferry.sources.jdbc import jdbc_options, read_jdbc
@@ -18,8 +18,8 @@ __all__ = [
     "read_delimited",
     "read_jdbc",
     "read_lenient",
+    "record_lines",
     "sample_file",
     "scan_table",
-    "spans_lines",
     "text_lines",
 ]

@@ -6,25 +6,25 @@ Every read gives text columns; types are applied by a projection afterwards.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowferry.functions.text import char_count, clean_header, is_complex_line, split_quoted, trim_cells
-from rowferry.plans.spec import PREVIEW_ROWS, SAMPLE_ROWS, decode_delimiter, quote_name
-from rowferry.sources.records import cut_records, parse_records
+from rowferry.functions.text import clean_header, is_complex_line, read_null, split_quoted, trim_cells
+from rowferry.plans.spec import PREVIEW_ROWS, SAMPLE_ROWS, decode_delimiter, quote_name, unused_name
+from rowferry.session import settled
+from rowferry.sources.records import Records, cut_records
 
+# Fixed value: what a preview shows for a file with only a header.
 NO_DATA = "(No data)"
 
 # Stands for a cell with nothing while parsing, apart from quoted empty text.
 NULL_MARK = "\x00null\x00"
 
-# A file whose cells span lines is read by one task up to this size.
-ONE_TASK_BYTES = 256 * 1024 * 1024
 
-
-def csv_options(sep: str, header: bool, multi_line: bool) -> dict[str, str]:
+def csv_options(sep: str, header: bool = False) -> dict[str, str]:
     """Reader options of the standard dialect: a quote is escaped by doubling it.
 
     A cell with nothing is NULL, a quoted cell with nothing is empty text.
@@ -34,26 +34,43 @@ def csv_options(sep: str, header: bool, multi_line: bool) -> dict[str, str]:
         "header": str(header).lower(),
         "quote": '"',
         "escape": '"',
-        "multiLine": str(multi_line).lower(),
+        "multiLine": "true",
         "encoding": "UTF-8",
         "mode": "PERMISSIVE",
         "nullValue": NULL_MARK,
+        "maxCharsPerColumn": "-1",
     }
 
 
-def spans_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Whether any quoted cell may run over a line end.
+def _cells(spark: SparkSession, record: str, sep: str) -> list[str | None]:
+    """The cells of one record, as many as it has."""
+    one = spark.createDataFrame([(record,)], "record string")
+    options = csv_options(sep)
+    width = one.select(F.schema_of_csv(F.lit(record), {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"})).head()[0].count("_c")
+    schema = ", ".join(f"c{i} string" for i in range(max(width, 1)))
+    return list(one.select(F.from_csv("record", schema, options).alias("cells")).select("cells.*").head())
 
-    A record that ends on its own line holds an even number of quotes, so
-    without an odd line every record is one line. Stops at the first odd one.
-    """
-    lines = spark.read.text(path)
-    return not lines.where(char_count(F.col("value"), '"') % 2 == 1).isEmpty()
+
+def header_names(cells: Sequence[str | None]) -> list[str]:
+    """Column names of a header: blank ones are numbered, repeated ones get their number behind."""
+    lower = [(c or "").lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if lower.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
 
 
-def largest_file(spark: SparkSession, path: str | Sequence[str]) -> int:
-    files = spark.read.format("binaryFile").load(path)
-    return files.agg(F.max("length")).head()[0] or 0
+MISFIT = "misfit"
+
+
+def _parsed(records: DataFrame, names: Sequence[str], sep: str, misfit: bool, taken: Sequence[str] = ()) -> DataFrame:
+    """Text columns from records; ``misfit`` marks records with another number of cells."""
+    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "bad string"])
+    options = csv_options(sep) | {"columnNameOfCorruptRecord": "bad"}
+    cells = records.where("record <> ''").select(F.from_csv("record", schema, options).alias("cells"))
+    columns = [F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)]
+    if len(names) == 1:
+        columns = [read_null(F.col("cells.c0")).alias(names[0])]
+    if misfit:
+        columns.append(F.col("cells.bad").isNotNull().alias(unused_name(MISFIT, taken or names)))
+    return cells.select(*columns)
 
 
 def read_delimited(
@@ -63,35 +80,66 @@ def read_delimited(
     header: bool = True,
     columns: Sequence[str] | None = None,
     rename: Mapping[str, str] | None = None,
-    multi_line: bool | None = None,
     multi_char: bool = False,
-    one_task_bytes: int | None = None,
+    misfit: bool = False,
 ) -> DataFrame:
     """Scan delimited files into text columns.
 
-    Files are cut into splits unless cells span lines; ``multi_line=None``
-    finds out with a scan of the text, a caller who knows passes it. Where
-    cells span lines a file is one task, and files above ``one_task_bytes``
-    (256 MB) are cut into records in parallel instead. ``columns`` keeps only these,
-    in this order, and the parser skips the others. Without a header the
-    names are Column1..N; ``rename`` maps names to new ones.
+    Files are cut into records in parallel, also where cells span lines. Empty
+    lines are no records; in files of one column ``\\N`` is a cell without a
+    value. Every file's first record is its header; files whose
+    headers differ are matched by column name. ``columns`` keeps only these, in
+    this order. Without a header the names are Column1..N, as many as the first
+    record of the first file has; ``rename`` maps names to new ones.
+    ``misfit`` adds a last column that tells records with too few or too many cells.
     """
     sep = decode_delimiter(sep, multi_char)
-    if multi_line is None:
-        multi_line = spans_lines(spark, path)
-    options = csv_options(sep, header, multi_line)
-    df = spark.read.options(**options).csv(path)
-    if multi_line and largest_file(spark, path) > (ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes):
-        records = cut_records(spark, path, sep, header)
-        if records is not None:
-            df = parse_records(records, df.columns, options)
-    if not header:
-        df = df.toDF(*[f"Column{i}" for i in range(1, len(df.columns) + 1)])
+    found = cut_records(spark, path, sep)
+    df = _with_headers(spark, found, sep, misfit) if header else _without_header(spark, found, sep, misfit)
     if columns is not None:
-        df = df.select(*[quote_name(c) for c in columns])
-    if rename:
-        df = df.withColumnsRenamed(dict(rename))
-    return df
+        df = df.select(*[quote_name(c) for c in columns], *([quote_name(df.columns[-1])] if misfit else []))
+    return df.withColumnsRenamed(dict(rename)) if rename else df
+
+
+def _nothing(spark: SparkSession, misfit: bool) -> DataFrame:
+    return spark.createDataFrame([], T.StructType([T.StructField(MISFIT, T.BooleanType())] if misfit else []))
+
+
+def _without_header(spark: SparkSession, found: Records, sep: str, misfit: bool) -> DataFrame:
+    first = found.heads.orderBy("file").head()
+    if first is None:
+        return _nothing(spark, misfit)
+    names = [f"Column{i + 1}" for i in range(len(_cells(spark, first.record, sep)))]
+    return _parsed(found.rows, names, sep, misfit)
+
+
+def _with_headers(spark: SparkSession, found: Records, sep: str, misfit: bool) -> DataFrame:
+    # One row for each header in use, in the order of the files that begin with it.
+    headers = found.heads.groupBy("record").agg(F.min("file").alias("file")).orderBy("file").collect()
+    if not headers:
+        return _nothing(spark, misfit)
+    heads = found.heads.select("file", F.col("line").alias("head_line"), F.col("piece").alias("head_piece"))
+    if len(headers) == 1:
+        # Lines before a header are empty.
+        names = header_names(_cells(spark, headers[0].record, sep))
+        at = heads.select("head_line", "head_piece")
+        body = found.rows.join(at, (F.col("line") == F.col("head_line")) & (F.col("piece") <= F.col("head_piece")), "left_anti")
+        return _parsed(body, names, sep, misfit)
+    body = found.rows.join(found.heads.select("file", F.col("line").alias("head_line"), F.col("piece").alias("head_piece"), F.col("record").alias("header")), "file")
+    body = body.where("line > head_line OR line = head_line AND piece > head_piece")
+    names = [header_names(_cells(spark, h.record, sep)) for h in headers]
+    every = list(dict.fromkeys(n for own in names for n in own))
+    parts = [
+        _parsed(body.where(F.col("header") == h.record), own, sep, misfit, every) for h, own in zip(headers, names)
+    ]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return df.select(*[quote_name(c) for c in every], *([quote_name(unused_name(MISFIT, every))] if misfit else []))
+
+
+def record_lines(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_char: bool = False) -> DataFrame:
+    """Records that are not empty as ``value``, with the ``position`` that orders them."""
+    rows = cut_records(spark, path, decode_delimiter(sep, multi_char)).rows
+    return rows.where("record <> ''").select(F.col("record").alias("value"), F.struct("file", "line", "piece").alias("position"))
 
 
 def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -104,25 +152,32 @@ def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.text(path).where(F.length("value") > 0).select("value", position.alias("position"))
 
 
-def _first_file(spark: SparkSession, path: str | Sequence[str]) -> str | None:
-    return min(spark.read.text(path).inputFiles(), default=None)
-
+def _head(spark: SparkSession, path: str | Sequence[str], n: int) -> tuple[str | None, list[str]]:
+    """The first file that has a line with something in it, and its first ``n`` such lines.
 
-def _head(spark: SparkSession, path: str | Sequence[str], n: int) -> list[str]:
-    """The first lines of the first file: one task reads up to ``n`` lines."""
-    first = _first_file(spark, path)
-    return [] if first is None else [r.value for r in spark.read.text(first).take(n)]
+    Only files of no bytes are passed over by their size; the others are looked
+    at one after the other, which reads as far as ``n`` lines.
+    """
+    sizes = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path", "length").where("length > 0")
+    last = None
+    while True:
+        first = sizes.agg(F.min("path")).head()[0] if last is None else sizes.where(F.col("path") > last).agg(F.min("path")).head()[0]
+        if first is None:
+            return None, []
+        lines = spark.read.text(first).where(F.length("value") > 0).take(n)
+        if lines:
+            return first, [r.value for r in lines]
+        last = first
 
 
 def _without_headers(lines: DataFrame, first: str) -> DataFrame:
     """Drop the first line of every file if it is the header line.
 
-    A later line that happens to equal the header is data and stays. The lines
-    to drop are one number per file, so they are broadcast.
+    A later line that happens to equal the header is data and stays.
     """
-    same = lines.where((F.col("value") == F.lit(first)) & (F.col("position.start") == 0))
-    drop = same.groupBy("position.file").agg(F.min("position.line").alias("header_line")).select("header_line")
-    return lines.join(F.broadcast(drop), F.col("position.line") == F.col("header_line"), "left_anti")
+    firsts = lines.groupBy("position.file").agg(F.min(F.struct("position", "value")).alias("head"))
+    drop = settled(firsts.where(F.col("head.value") == F.lit(first)).select(F.col("head.position.line").alias("header_line")), "headers")
+    return lines.join(drop, F.col("position.line") == F.col("header_line"), "left_anti")
 
 
 def read_lenient(
@@ -134,12 +189,12 @@ def read_lenient(
 ) -> DataFrame:
     """Scan line by line: a quote toggles quoting, cells are trimmed, empty lines dropped.
 
-    Column names come from the first line of the first file (every file's
-    first line is then a header) or are Column1..N. Short lines are padded
-    with NULL, cells beyond the header are dropped.
+    Column names come from the first line of the first file that has one (every
+    file's first line is then a header) or are Column1..N. Short lines are
+    padded with NULL, cells beyond the header are dropped.
     """
     sep = decode_delimiter(sep)
-    first = next((line for line in _head(spark, path, PREVIEW_ROWS) if line), None)
+    first = next(iter(_head(spark, path, 1)[1]), None)
     if first is None:
         return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names or []]))
     head = spark.createDataFrame([(first,)], "value string").select(split_quoted(F.col("value"), sep).alias("cells"))
@@ -159,13 +214,13 @@ def preview_file(
     header: bool = True,
     keep_quotes: bool | None = None,
 ) -> DataFrame:
-    """The first 100 lines by the lenient rules; a header counts as one of them.
+    """The first 100 lines with something in them by the lenient rules; a header counts as one of them.
 
-    A file with only a header gives one ``(No data)`` row, an empty file no
-    rows and no columns.
+    They are those of the first file that has any. A file with only a header
+    gives one ``(No data)`` row, files without lines no rows and no columns.
     """
     sep = decode_delimiter(sep)
-    lines = [line for line in _head(spark, path, PREVIEW_ROWS) if line]
+    _, lines = _head(spark, path, PREVIEW_ROWS)
     if not lines:
         return spark.createDataFrame([], T.StructType([]))
     cut = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "line int, value string")
@@ -178,16 +233,32 @@ def preview_file(
     return rows.orderBy("line").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def sample_file(spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True, n: int = SAMPLE_ROWS) -> DataFrame:
-    """The first 1000 records of the first file by the standard rules, cells trimmed.
+def sample_file(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    sep: str = ",",
+    header: bool = True,
+    n: int = SAMPLE_ROWS,
+    loose: bool | None = None,
+) -> DataFrame:
+    """The first 1000 records of the first file with any by the standard rules, cells trimmed.
 
-    A header counts as one of them. A first line with many delimiters and
-    quotes is taken as a sign of loose quoting: then the first 100 lines are
-    read by the lenient rules, without quotes.
+    A header counts as one of them. ``loose`` reads the first 100 lines by the
+    lenient rules instead, without quotes; if it is not given, a first line
+    with many delimiters and quotes asks for that. Only the head of the file is
+    read.
     """
-    first = _first_file(spark, path)
-    line = spark.read.text(first).limit(1).where(is_complex_line(F.col("value"), decode_delimiter(sep)))
-    if not line.isEmpty():
+    sep = decode_delimiter(sep)
+    first, lines = _head(spark, path, 1)
+    if first is None:
+        return spark.createDataFrame([], T.StructType([]))
+    if loose is None:
+        loose = not spark.createDataFrame([(lines[0],)], "value string").where(is_complex_line(F.col("value"), sep)).isEmpty()
+    if loose:
         return preview_file(spark, first, sep, header, keep_quotes=False)
-    records = read_delimited(spark, first, sep, header)
+    records = spark.read.options(**csv_options(sep, header)).csv(first)
+    if not header:
+        records = records.toDF(*[f"Column{i}" for i in range(1, len(records.columns) + 1)])
     return trim_cells(spark.createDataFrame(records.take(n - header), records.schema))
+
+

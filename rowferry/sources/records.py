@@ -1,124 +1,159 @@
-"""Cut large delimited files into records when quoted cells span lines.
-
-Spark's own multi-line reader gives a file to one task. Here lines are read in
-splits and each line learns from the number of quotes before it whether it
-starts inside a quoted cell. Only the lines of records that span lines are
-grouped, one group per record; all other lines are records as they are.
+"""Delimited files cut into records in parallel, wherever lines and splits end.
+
+Records end at a line feed, at a carriage return or at both, outside of quoted
+cells. Files are read in splits. What a line's quotes do to the state "inside a
+quoted cell" is a function of that state, and such functions compose: first
+within a split, then over the splits of a file. Lines of splits that no cell
+crosses are records as they are and meet no shuffle; the others are placed by
+a window over their split, and only lines of records that span lines are
+grouped.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowferry.functions.text import char_count
-from rowferry.session import scratch_path
+from rowferry.session import settled
+
+# What a line does to the state, as its state after from 0, plus twice that from 1.
+CLOSES, SWAPS, KEEPS, OPENS = 0, 1, 2, 3
 
-# A record larger than this is a sign of a stray quote, not a record.
-RECORD_MAX_BYTES = 128 * 1024 * 1024
+# Stands for a record end within a line while records are taken apart.
+RECORD_END = "\x00\r\x00"
 
 
-def cut_records(spark: SparkSession, path: str | Sequence[str], sep: str, header: bool = True) -> DataFrame | None:
-    """``(record, is_spanning)`` for every record except the header records.
+def _ends_inside(line: Column, sep: str, inside: bool) -> Column:
+    """Whether a line that starts in or out of a quoted cell ends inside one.
 
-    None if the files do not keep to the standard dialect: a stray quote may
-    then look like a very long record, so sizes are measured before anything
-    is grouped.
+    The line is walked quote by quote. A quote opens a cell only at its start,
+    two quotes inside a cell are one, a quote anywhere else is text.
     """
-    lines = place_lines(spark, path, header)
-    alone, spanning = lines.where("alone"), owned_lines(lines.where("NOT alone"))
-    if largest_record(spanning) > RECORD_MAX_BYTES:
-        return None
-    records = gather_records(alone, spanning)
-    return records if all_well_formed(records, sep) else None
+    outside, within, closing, first = 0, 1, 2, 3
 
+    def step(state: Column, part: Column) -> Column:
+        mode = (
+            F.when(state["mode"] == first, F.lit(within if inside else outside))
+            .when(state["mode"] == outside, F.when(state["edge"], F.lit(within)).otherwise(F.lit(outside)))
+            .when(state["mode"] == within, F.lit(closing))
+            .otherwise(F.lit(within))
+        )
+        after = F.when((mode == closing) & (part != ""), F.lit(outside)).otherwise(mode)
+        edge = F.endswith(part, F.lit(sep)) | F.endswith(part, F.lit("\r")) | ((state["mode"] == first) & (part == ""))
+        return F.struct(after.alias("mode"), edge.alias("edge"))
 
-def place_lines(spark: SparkSession, path: str | Sequence[str], header: bool) -> DataFrame:
-    """Every line except headers: is it a record ``alone``, and if not, the line that
-    begins its record, unless that lies in an earlier split.
+    start = F.struct(F.lit(first).alias("mode"), F.lit(False).alias("edge"))
+    return F.aggregate(F.split(line, '"', -1), start, step, lambda s: (s["mode"] == within).cast("int"))
 
-    Groups of the windows are file splits, so their size is bounded by
-    ``spark.sql.files.maxPartitionBytes``. The result is used several times
-    and therefore written to the shared folder.
-    """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+
+def quote_effect(line: Column, sep: str) -> Column:
+    effect = _ends_inside(line, sep, False) + 2 * _ends_inside(line, sep, True)
+    return F.when(F.contains(line, F.lit('"')), effect).otherwise(F.lit(KEEPS))
+
+
+def read_lines(spark: SparkSession, path: str | Sequence[str], sep: str) -> DataFrame:
+    """Lines with their place (file, split, line) and the effect of their quotes."""
+    lines = spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path))
+    return lines.select(
         F.col("value"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line"),
-        (char_count(F.col("value"), '"') % 2).alias("odd"),
-    )
-
-    # One row per split: is its first line inside a quoted cell?
-    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = lines.groupBy("file", "start").agg(F.sum("odd").alias("odds"))
-    splits = splits.select("file", "start", (F.coalesce(F.sum("odds").over(before), F.lit(0)) % 2).alias("opened"))
-
-    in_split = Window.partitionBy("file", "start").orderBy("line")
-    earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = (F.col("opened") + F.coalesce(F.sum("odd").over(earlier), F.lit(0))) % 2
-    placed = lines.join(splits, ["file", "start"]).select("*", (inside == 0).alias("begins"))
-    placed = placed.select(
-        "*",
-        F.sum(F.col("begins").cast("int")).over(so_far).alias("record_no"),
-        F.max(F.when(F.col("begins"), F.col("line"))).over(so_far).alias("first_line"),
+        quote_effect(F.col("value"), sep).alias("effect"),
     )
-    if header:
-        # A header that spans lines lies in the first split like any header.
-        placed = placed.where(~((F.col("start") == 0) & (F.col("record_no") == 1)))
-
-    alone = (F.col("begins") & (F.col("odd") == 0)).alias("alone")
-    saved = scratch_path(spark, "lines")
-    placed.select("file", "start", "line", "value", "first_line", alone).write.parquet(saved)
-    return spark.read.parquet(saved)
-
 
-def owned_lines(spanning: DataFrame) -> DataFrame:
-    """The record (``file``, ``first``) of each line of records that span lines.
 
-    Lines at the head of a split may end a record begun in an earlier split;
-    one row per split tells which.
-    """
-    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    begun = spanning.groupBy("file", "start").agg(F.max("first_line").alias("last_first"))
-    carried = begun.select("file", "start", F.last("last_first", ignorenulls=True).over(before).alias("carried"))
-    owned = spanning.join(carried, ["file", "start"])
-    return owned.select("file", "start", "line", "value", F.coalesce("first_line", "carried").alias("first"))
-
-
-def largest_record(spanning: DataFrame) -> int:
-    """Bytes of the largest record that spans lines, summed in each task first."""
-    sizes = spanning.groupBy("file", "first").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
-    return sizes.agg(F.max("bytes")).head()[0] or 0
-
-
-def gather_records(alone: DataFrame, spanning: DataFrame) -> DataFrame:
-    """Lines that are records as they are, and one group per record of the others."""
-    single = alone.select(F.col("value").alias("record"), F.lit(False).alias("is_spanning"))
-    part = F.struct("start", "line", "value")
-    gathered = spanning.groupBy("file", "first").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    whole = gathered.select(F.array_join(F.col("parts.value"), "\n").alias("record"), F.lit(True).alias("is_spanning"))
-    clean = F.regexp_replace(F.col("record"), r"\r\z", "").alias("record")
-    return single.unionByName(whole).select(clean, "is_spanning").where(F.length(F.trim("record")) > 0)
+def _with_states(rows: DataFrame, keys: Sequence[str], order: str, incoming: Column, before: str, after: str) -> DataFrame:
+    """Add the state before and after each row, running through the rows of each key."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fixed = F.col("effect").isin(CLOSES, OPENS)
+    swaps = rows.withColumn("swaps", F.sum((F.col("effect") == SWAPS).cast("int")).over(so_far))
+    # After a line that fixes the state, only the swaps since then count.
+    at_fixed = F.last(F.when(fixed, F.struct((F.col("effect") == OPENS).cast("int").alias("state"), "swaps")), ignorenulls=True).over(earlier)
+    told = swaps.withColumns({"at_fixed": at_fixed, "swaps_before": F.coalesce(F.lag("swaps").over(Window.partitionBy(*keys).orderBy(order)), F.lit(0))})
+    since = F.col("swaps_before") - F.coalesce(F.col("at_fixed.swaps"), F.lit(0))
+    state = told.withColumn(before, (F.coalesce(F.col("at_fixed.state"), incoming) + since) % 2)
+    ends = (
+        F.when(F.col("effect") == CLOSES, F.lit(0))
+        .when(F.col("effect") == OPENS, F.lit(1))
+        .when(F.col("effect") == SWAPS, 1 - F.col(before))
+        .otherwise(F.col(before))
+    )
+    return state.withColumn(after, ends).drop("swaps", "at_fixed", "swaps_before")
 
 
-def all_well_formed(records: DataFrame, sep: str) -> bool:
-    """Whether every quote belongs to a quoted cell of the standard dialect.
+@dataclass(frozen=True)
+class Records:
+    """Records with their place, and the first record of each file."""
 
-    If so, the cut into records is the one a parser makes: text before a line
-    end is then outside quotes exactly if its quotes are even.
-    """
-    cell = rf'(?:\A|{re.escape(sep)})"[^"]*"(?={re.escape(sep)}|\z)'
-    rest = F.regexp_replace(F.replace(F.col("record"), F.lit('""'), F.lit("")), cell, "")
-    return records.where(F.contains("record", F.lit('"')) & F.contains(rest, F.lit('"'))).isEmpty()
+    rows: DataFrame  # record, file, line (of the first line), piece (within the line)
+    heads: DataFrame  # file, line, record of the first record that is not empty
 
 
-def parse_records(records: DataFrame, columns: Sequence[str], options: dict[str, str]) -> DataFrame:
-    """Text columns from records."""
-    schema = ", ".join(f"c{i} string" for i in range(len(columns)))
-    cells = records.select(F.from_csv("record", schema, options).alias("cells"))
-    return cells.select("cells.*").toDF(*columns)
+def cut_records(spark: SparkSession, path: str | Sequence[str], sep: str) -> Records:
+    """Every record of the files, empty ones included; a last cell that never closes runs to the end of its file."""
+    lines = read_lines(spark, path, sep)
+    filled = F.length(F.replace("value", F.lit("\r"), F.lit(""))) > 0
+    facts = lines.groupBy("file", "start").agg(
+        F.max((F.col("effect") % 2 == 1).cast("int")).alias("opens"),
+        F.min(F.when(filled, F.col("line"))).alias("line"),
+        F.min_by(F.when(filled, F.col("value")), F.when(filled, F.col("line"))).alias("value"),
+        F.min_by(F.when(filled, F.col("effect")), F.when(filled, F.col("line"))).alias("effect"),
+    )
+    facts = settled(facts, "splits")
+    first = F.min(F.when(F.col("line").isNotNull(), F.struct("line", "value", "effect"))).alias("head")
+    heads = facts.groupBy("file").agg(first).where("head IS NOT NULL").select("file", "head.*")
+    whole = lines.select("value", "file", "line")
+    if not facts.where("opens = 1").isEmpty():
+        whole = _joined_lines(lines, facts)
+    rows = _pieces(whole)
+    if heads.where("effect % 2 = 1").isEmpty():
+        first_records = _pieces(heads.select("value", "file", "line"))
+    else:
+        first_records = rows.join(heads.select("file", "line"), ["file", "line"])
+    first_records = first_records.where("record <> ''")
+    found = first_records.groupBy("file", "line").agg(F.min_by(F.struct("piece", "record"), "piece").alias("first"))
+    return Records(rows, settled(found.select("file", "line", "first.piece", "first.record"), "heads"))
+
+
+def _pieces(lines: DataFrame) -> DataFrame:
+    """Records within whole lines: carriage returns outside of quotes end records."""
+    clean = F.regexp_replace("value", r"\r\z", "")
+    parts = F.transform(
+        F.split(clean, '"', -1),
+        lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit("\r"), F.lit(RECORD_END))).otherwise(part),
+    )
+    pieces = F.when(F.contains(clean, F.lit("\r")), F.split(F.array_join(parts, '"'), RECORD_END, -1)).otherwise(F.array(clean))
+    return lines.select("file", "line", F.posexplode(pieces).alias("piece", "record"))
+
+
+def _joined_lines(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """Lines, those of one record that spans lines joined."""
+    # Splits as functions of the state: what their lines with quotes do, one after the other.
+    quoted = lines.where(F.col("effect") != KEEPS).select("file", "start", "line", "effect")
+    ends = _with_states(quoted, ["file", "start"], "line", F.lit(0), "b0", "a0")
+    ends = _with_states(ends, ["file", "start"], "line", F.lit(1), "b1", "a1")
+    effects = ends.groupBy("file", "start").agg(F.max_by(F.col("a0") + 2 * F.col("a1"), "line").alias("effect"))
+    splits = facts.select("file", "start", "opens").join(effects, ["file", "start"], "left").withColumn("effect", F.coalesce("effect", F.lit(KEEPS)))
+    states = _with_states(splits, ["file"], "start", F.lit(0), "incoming", "outgoing")
+    crossed = settled(states.where("opens = 1 OR incoming = 1").select("file", "start", "incoming"), "crossed")
+
+    alone = lines.join(crossed.select("file", "start"), ["file", "start"], "left_anti").select("value", "file", "line")
+    placed = _with_states(lines.join(crossed, ["file", "start"]), ["file", "start"], "line", F.col("incoming"), "before", "after")
+    begins = F.when(F.col("before") == 0, F.col("line"))
+    so_far = Window.partitionBy("file", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("first", F.last(begins, ignorenulls=True).over(so_far))
+    single = placed.where("before = 0 AND after = 0").select("value", "file", "line")
+    spanning = placed.where("before = 1 OR after = 1").select("file", "start", "line", "value", "first")
+    # Lines at the head of a split may belong to a record begun in an earlier one.
+    begun = spanning.groupBy("file", "start").agg(F.max("first").alias("latest"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    carried = begun.select("file", "start", F.last("latest", ignorenulls=True).over(earlier).alias("carried"))
+    owned = spanning.join(carried, ["file", "start"]).withColumn("owner", F.coalesce("first", "carried"))
+    gathered = owned.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "line", "value"))).alias("parts"))
+    joined = gathered.select(F.array_join("parts.value", "\n").alias("value"), "file", F.col("owner").alias("line"))
+    return alone.unionByName(single).unionByName(joined)

@@ -1,3 +1,3 @@
-from rowferry.streaming.load import progress_rows, stream_load
+from rowferry.streaming.load import loaded_rows, progress_rows, stream_load
 
-__all__ = ["progress_rows", "stream_load"]
+__all__ = ["loaded_rows", "progress_rows", "stream_load"]

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from rowferry.functions.casting import typed_projection
-from rowferry.operators.quality import good_rows, reject_rows
-from rowferry.plans.spec import decode_delimiter, quote_name
-from rowferry.sources.delimited import csv_options
+from rowferry.operators.quality import ErrorBudget, TooManyBadRows, bad_row, good_rows, reject_rows
+from rowferry.plans.spec import quote_name
+from rowferry.sources.delimited import read_delimited
 
-PROGRESS_CONF = "spark.sql.streaming.numRecentProgressUpdates"
-KEPT_BATCHES = 1_000_000
-PROGRESS_SCHEMA = (
-    "batch bigint, rows_read bigint, rows_loaded bigint, bytes_read bigint, "
-    "rows_so_far bigint, bytes_so_far bigint, rows_per_second double"
-)
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+STEP_SCHEMA = "batch bigint, rows_read bigint, rows_loaded bigint, bytes_read bigint, seconds double"
 
 
 def stream_load(
@@ -32,53 +28,76 @@ def stream_load(
     sep: str = ",",
     header: bool = True,
     files_per_batch: int | None = None,
-    multi_line: bool = False,
     keep_bad_rows: bool = False,
     rejects: str | None = None,
+    budget: ErrorBudget = ErrorBudget(),
 ) -> StreamingQuery:
     """Load all files not loaded yet into Parquet at ``target`` and stop.
 
-    ``checkpoint`` records what was loaded: a rerun takes only new files, and a
-    rerun after a failure loads nothing twice. Rows that do not fit their
-    types are left out, or kept with NULLs if ``keep_bad_rows``; a ``rejects``
-    path gets them as text, with its own record of the files done.
+    Files are read like any delimited files: columns go by the names in each
+    header (without one, by position), cells may span lines, a declared column
+    that no file of a batch has is an error. Rows that do not fit their types
+    or have the wrong width are left out, and kept as text under ``rejects`` if
+    given; a batch with more of them than the budget allows fails the load
+    before anything of it is written. ``keep_bad_rows`` keeps them with NULLs.
+
+    ``checkpoint`` records what was loaded: a rerun takes only new files. A
+    batch writes a folder of its own, which its rerun replaces; ``loaded_rows``
+    reads them all.
     """
-    text_schema = T.StructType([T.StructField(c, T.StringType()) for c in types])
-    reader = spark.readStream.schema(text_schema).options(**csv_options(decode_delimiter(sep), header, multi_line))
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
     if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    text = reader.csv(folder)
-    if rejects:
-        _write(reject_rows(text, types), rejects, f"{checkpoint}/rejects").start().awaitTermination()
-    # A cell takes its bytes and one separator or line end.
-    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(quote_name(c)), F.lit(0)) + 1 for c in types])
-    text = text.observe("read", F.sum(size).alias("bytes_read"))
-    typed = typed_projection(text, types) if keep_bad_rows else good_rows(text, types)
-    writer = _write(typed.observe("load", F.count(F.lit(1)).alias("rows_loaded")), target, f"{checkpoint}/rows")
-    # Keep the progress of every batch, not only of the last hundred.
-    kept = spark.conf.get(PROGRESS_CONF)
-    spark.conf.set(PROGRESS_CONF, str(KEPT_BATCHES))
-    try:
-        query = writer.start()
-    finally:
-        spark.conf.set(PROGRESS_CONF, kept)
+        files = files.option("maxFilesPerTrigger", files_per_batch)
+
+    def load(batch: DataFrame, number: int) -> None:
+        began = time.time()
+        paths = [r.path for r in batch.collect()]
+        if not paths:
+            return
+        session = batch.sparkSession
+        text = read_delimited(session, paths, sep, header, misfit=True)
+        if not header:
+            text = text.toDF(*list(types)[: len(text.columns) - 1], *text.columns[len(types) : -1], text.columns[-1])
+        misfit = text.columns[-1]
+        absent = [c for c in types if c not in text.columns[:-1]]
+        if absent and len(text.columns) > 1:
+            raise ValueError(f"the files have no column {', '.join(absent)}")
+        if absent:
+            return
+        # A cell takes its bytes and one separator or line end.
+        size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(quote_name(c)), F.lit(0)) + 1 for c in types])
+        seen = text.agg(F.count("*"), F.count_if(bad_row(types, misfit)), F.coalesce(F.sum(size), F.lit(0))).head()
+        bad = 0 if keep_bad_rows else seen[1]
+        if bad > budget.max_rows and bad > seen[0] * budget.max_ratio:
+            raise TooManyBadRows(f"{bad} of {seen[0]} rows do not fit their types")
+        rows = typed_projection(text, types) if keep_bad_rows else good_rows(text, types, misfit)
+        rows.write.mode("overwrite").parquet(f"{target}/batch-{number}")
+        if rejects and bad:
+            reject_rows(text, types, misfit).write.mode("overwrite").parquet(f"{rejects}/batch-{number}")
+        step = (number, seen[0], seen[0] - bad, seen[2], time.time() - began)
+        session.createDataFrame([step], STEP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/progress/batch-{number}")
+
+    paths = files.load(folder).select("path")
+    query = paths.writeStream.foreachBatch(load).option("checkpointLocation", f"{checkpoint}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def _write(rows: DataFrame, path: str, checkpoint: str):
-    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(availableNow=True)
+def loaded_rows(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of all batches under ``target`` (or under a folder of rejects)."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(target)
 
 
-def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+def progress_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """One row per batch of a load: rows and bytes, in the batch and so far, and speed."""
-    rows, rows_so_far, bytes_so_far = [], 0, 0
-    for step in query.recentProgress:
-        seen = step.observedMetrics
-        loaded = seen["load"].rows_loaded if "load" in seen else 0
-        size = (seen["read"].bytes_read or 0) if "read" in seen else 0
-        rows_so_far, bytes_so_far = rows_so_far + loaded, bytes_so_far + size
-        speed = step.processedRowsPerSecond
-        rows.append((step.batchId, step.numInputRows, loaded, size, rows_so_far, bytes_so_far, speed))
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA)
+    steps = spark.read.schema(STEP_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{checkpoint}/progress")
+    so_far = Window.orderBy("batch")
+    return steps.select(
+        "batch",
+        "rows_read",
+        "rows_loaded",
+        "bytes_read",
+        F.sum("rows_loaded").over(so_far).alias("rows_so_far"),
+        F.sum("bytes_read").over(so_far).alias("bytes_so_far"),
+        (F.col("rows_read") / F.col("seconds")).alias("rows_per_second"),
+    )

@@ -5,11 +5,11 @@ import uuid
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-import rowferry.sources.delimited as delimited
 import rowferry.sources.records as record_files
 from rowferry.sinks import export_delimited, export_format, export_name, export_quoted
-from rowferry.sources import preview_file, read_delimited, read_lenient, sample_file, spans_lines, text_lines
+from rowferry.sources import preview_file, read_delimited, read_lenient, record_lines, sample_file, text_lines
 from tests.conftest import rows
 
 PEOPLE = [("1", "John Doe", "john@example.com"), ("2", "Jane Roe", "jane@example.com")]
@@ -43,7 +43,6 @@ def test_round_trip(spark, tmp_path, sep, quoted):
     out = str(tmp_path / "nested" / "folder")
     written = (export_quoted if quoted else export_delimited)(df, out, sep)
     assert written == len(ODD)
-    assert spans_lines(spark, out)
     # With quotes around everything NULL and empty text look the same.
     expected = df.na.fill("") if quoted else df
     assert rows(read_delimited(spark, out, sep)) == rows(expected)
@@ -134,23 +133,44 @@ def spanning(tmp_path):
     return str(tmp_path), sorted(records, key=repr)
 
 
-def test_large_files_are_cut_into_records(spark, spanning, monkeypatch):
+@pytest.mark.parametrize("split", [None, "10000", "700"])
+def test_records_do_not_depend_on_splits(spark, spanning, split):
     path, records = spanning
-    monkeypatch.setattr(delimited, "ONE_TASK_BYTES", 0)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        assert spark.read.text(path).rdd.getNumPartitions() > 20
-        split = read_delimited(spark, path)
-        assert split.columns == ["id", "two\nlines", "c"]
-        assert sorted((tuple(c or None for c in r) for r in split.collect()), key=repr) == records
-        cut = record_files.cut_records(spark, path, ",")
-        assert cut.count() == len(records) and cut.where("is_spanning").count() > 100
+        got = read_delimited(spark, path)
+        assert got.columns == ["id", "two\nlines", "c"]
+        assert sorted((tuple(c or None for c in r) for r in got.collect()), key=repr) == records
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    monkeypatch.undo()
-    assert sorted((tuple(c or None for c in r) for r in read_delimited(spark, path).collect()), key=repr) == records
+
+
+def quote_state(line, sep, inside):
+    """Whether a line ends inside a quoted cell, sign by sign."""
+    at_start, k = not inside, 0
+    while k < len(line):
+        c = line[k]
+        if inside:
+            if c == '"' and line[k + 1 : k + 2] == '"':
+                k += 1
+            elif c == '"':
+                inside = False
+        elif c == '"' and at_start:
+            inside = True
+        at_start = not inside and c in (sep, "\r")
+        k += 1
+    return inside
+
+
+def test_quote_effects(spark):
+    choose = random.Random(3)
+    lines = ["".join(choose.choices('a,"\r', k=choose.randint(0, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in lines], "v string")
+    for r in df.select("v", record_files.quote_effect(F.col("v"), ",").alias("e")).collect():
+        assert r.e == quote_state(r.v, ",", False) + 2 * quote_state(r.v, ",", True), repr(r.v)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -165,22 +185,55 @@ def test_any_text_survives(spark, tmp_path, cells, sep):
     out = str(tmp_path / uuid.uuid4().hex)
     export_delimited(df, out, sep)
     assert rows(read_delimited(spark, out, sep)) == rows(df)
-    assert rows(read_delimited(spark, out, sep, multi_line=True, one_task_bytes=0)) == rows(df)
 
 
-def test_stray_quotes_are_left_to_the_parser(spark, tmp_path, monkeypatch):
+def test_stray_quotes_are_text(spark, tmp_path):
     path = write(tmp_path / "stray.csv", 'a,b\n5" pipe,x\n7" pipe,y\nz,"two\nlines"\n')
-    monkeypatch.setattr(delimited, "ONE_TASK_BYTES", 0)
-    assert record_files.cut_records(spark, path, ",") is None
     assert rows(read_delimited(spark, path)) == [('5" pipe', "x"), ('7" pipe', "y"), ("z", "two\nlines")]
+    assert read_delimited(spark, write(tmp_path / "long.csv", 'a,b\n5" pipe,x\n' + "y,z\n" * 400)).count() == 401
+
+
+@pytest.mark.parametrize("end", ["\n", "\r", "\r\n"])
+def test_line_ends(spark, tmp_path, end):
+    path = write(tmp_path / "e.csv", end.join(["", "", "a,b", "", '1,"x\r\ny"', " , ", "", "2,z"]) + end)
+    assert rows(read_delimited(spark, path)) == sorted([("1", "x\r\ny"), (" ", " "), ("2", "z")], key=repr)
+
+
+def test_first_files_without_rows(spark, tmp_path):
+    for name, text in (("0", ""), ("1", "\n" * 300), ("2", "a,b\n1,2\n")):
+        write(tmp_path / f"{name}.csv", text)
+    folder = str(tmp_path)
+    for read in (read_delimited, read_lenient, preview_file, sample_file):
+        assert rows(read(spark, folder)) == [("1", "2")]
+    assert read_delimited(spark, folder, header=False).columns == ["Column1", "Column2"]
+
+
+def test_headers_in_another_order(spark, tmp_path):
+    write(tmp_path / "1.csv", "id,name\n1,x\n")
+    write(tmp_path / "2.csv", "name,id\ny,2\n")
+    write(tmp_path / "3.csv", "id\n3\n")
+    assert rows(read_delimited(spark, str(tmp_path))) == sorted([("1", "x"), ("2", "y"), ("3", None)], key=repr)
+
+
+def test_misfits(spark, tmp_path):
+    path = write(tmp_path / "m.csv", "a,misfit\n1,2\n1\n1,2,3\n")
+    got = read_delimited(spark, path, misfit=True)
+    assert got.columns == ["a", "misfit", "misfit_"]
+    assert sorted(r.misfit_ for r in got.collect()) == [False, True, True]
+
+
+def test_rows_of_nothing_survive(spark, tmp_path):
+    one = spark.createDataFrame([("x",), (None,), ("",), ("\\N",), ("\\\\N",), (" ",)], "v string")
+    two = spark.createDataFrame([("x", None), (None, None)], "a string, b string")
+    export_delimited(one, str(tmp_path / "one"))
+    export_delimited(two, str(tmp_path / "two"), "tab")
+    assert rows(read_delimited(spark, str(tmp_path / "one"))) == rows(one)
+    assert rows(read_delimited(spark, str(tmp_path / "two"), "tab")) == rows(two)
 
 
-def test_stray_quote_is_not_gathered(spark, tmp_path, monkeypatch):
-    path = write(tmp_path / "long.csv", 'a,b\n5" pipe,x\n' + "y,z\n" * 400)
-    monkeypatch.setattr(record_files, "RECORD_MAX_BYTES", 100)
-    monkeypatch.setattr(record_files, "gather_records", None)
-    assert record_files.cut_records(spark, path, ",") is None
-    assert read_delimited(spark, path).count() == 401
+def test_record_lines(spark, tmp_path):
+    path = write(tmp_path / "r.csv", 'a,b\n"x\ny",1\n\n')
+    assert [r.value for r in record_lines(spark, path).orderBy("position").collect()] == ["a,b", '"x\ny",1']
 
 
 def test_line_positions(spark, tmp_path):

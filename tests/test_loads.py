@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from rowferry.operators.quality import TooManyBadRows
 from rowferry.operators.sets import append_union
@@ -6,7 +7,7 @@ from rowferry.plans import LoadSpec
 from rowferry.sinks import append_rows, create_table, load_file, load_outcome
 from rowferry.sources import catalog_inventory, catalog_tables, jdbc_options, preview_table, scan_table
 from rowferry.session import scratch_path
-from rowferry.streaming import progress_rows, stream_load
+from rowferry.streaming import loaded_rows, progress_rows, stream_load
 from tests.conftest import rows
 
 TEXT = "id,name,day\n1,ann,2020-01-01\n2,bob,\n"
@@ -106,15 +107,57 @@ def test_stream(spark, tmp_path):
     places = (str(folder), TYPES, str(tmp_path / "out"), str(tmp_path / "state"))
     write(folder, name="1.csv")
     write(folder, "id,name,day\n3,cy,2021-05-05\nx,bad,\n", "2.csv")
-    first = stream_load(spark, *places, files_per_batch=1)
-    assert [r.rows_so_far for r in progress_rows(spark, first).collect()][-1] == 3
+    stream_load(spark, *places, files_per_batch=1)
+    assert [r.rows_so_far for r in progress_rows(spark, places[3]).orderBy("batch").collect()][-1] == 3
     # Nothing new, nothing loaded; then only the new file.
     stream_load(spark, *places)
-    assert spark.read.parquet(places[2]).count() == 3
+    assert loaded_rows(spark, places[2]).count() == 3
     kept = str(tmp_path / "bad")
     stream_load(spark, places[0], TYPES, str(tmp_path / "again"), str(tmp_path / "again-state"), rejects=kept)
-    assert rows(spark.read.parquet(kept)) == [("x", "bad", None, "id")]
+    assert rows(loaded_rows(spark, kept)) == [("x", "bad", None, "id")]
     write(folder, "id,name,day\n4,di,\n", "3.csv")
-    last = stream_load(spark, *places)
-    assert sum(r.rows_read for r in progress_rows(spark, last).collect()) == 1
-    assert rows(spark.read.parquet(places[2]).select("id")) == [(1,), (2,), (3,), (4,)]
+    stream_load(spark, *places)
+    assert [r.rows_read for r in progress_rows(spark, places[3]).orderBy("batch").collect()][-1] == 1
+    assert rows(loaded_rows(spark, places[2]).select("id")) == [(1,), (2,), (3,), (4,)]
+
+
+def test_stream_goes_by_header(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder, 'name,id\n"a\nb",1\n', "1.csv")
+    write(folder, "id,score,name\n2,7,x\n", "2.csv")
+    stream_load(spark, str(folder), {"id": "Int32", "name": "String"}, str(tmp_path / "out"), str(tmp_path / "s"))
+    assert rows(loaded_rows(spark, str(tmp_path / "out"))) == [(1, "a\nb"), (2, "x")]
+    with pytest.raises(StreamingQueryException, match="no column missing"):
+        stream_load(spark, str(folder), {"missing": "Int32"}, str(tmp_path / "o2"), str(tmp_path / "s2"))
+    bare = tmp_path / "bare"
+    bare.mkdir()
+    write(bare, "5,e\n", "1.csv")
+    stream_load(spark, str(bare), {"id": "Int32", "name": "String"}, str(tmp_path / "o3"), str(tmp_path / "s3"), header=False)
+    assert rows(loaded_rows(spark, str(tmp_path / "o3"))) == [(5, "e")]
+
+
+def test_stream_budget(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder, "id\n" + "x\n" * 1000 + "1\n")
+    with pytest.raises(StreamingQueryException, match="1000 of 1001"):
+        stream_load(spark, str(folder), {"id": "Int32"}, str(tmp_path / "out"), str(tmp_path / "s"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_ragged_rows_are_bad_rows(spark, tmp_path):
+    half = "".join(f"{i},x,y\n" for i in range(500)) + "".join(f"{i}\n" for i in range(500))
+    spec = LoadSpec("ragged_half", create=True, column_types={"a": "Int32", "b": "String"})
+    with pytest.raises(TooManyBadRows, match="1000 of 1000"):
+        load_file(spark, write(tmp_path, "a,b\n" + half), spec)
+    kept = str(tmp_path / "kept")
+    few = "a,b\n" + "".join(f"{i},x\n" for i in range(20)) + "7\n8,x,y\n"
+    assert load_file(spark, write(tmp_path, few, "few.csv"), spec, rejects=kept).rejected == 2
+    assert {r.bad_columns for r in spark.read.parquet(kept).collect()} == {"(width)"}
+
+
+def test_absent_declared_column(spark, tmp_path):
+    spec = LoadSpec("absent", create=True, column_types=TYPES | {"more": "String"})
+    with pytest.raises(ValueError, match="no column more"):
+        load_file(spark, write(tmp_path), spec)

@@ -105,6 +105,23 @@ def cast_uuid(spark, folder):
     )
 
 
+def cast_line_end(spark, folder):
+    """A line end behind a value makes it unfit for every type with a tight shape."""
+    end = F.lit("\n")
+    moment = F.col("o_orderdate")
+    digest = F.md5(text("o_orderkey"))
+    uuid = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    spelled = {
+        "Int32": text("o_orderkey"), "Int64": text("o_orderkey"), "UInt32": text("o_orderkey"), "Bool": F.lit("true"),
+        "Date": moment.cast("date").cast("string"), "DateTime": iso_text(moment), "UUID": uuid,
+    }
+    return table(spark, folder, "orders").select(
+        "o_orderkey",
+        *[cast_text(value, kind).isNotNull().alias(f"plain_{kind}") for kind, value in spelled.items()],
+        *[cast_text(F.concat(value, end), kind).isNotNull().alias(f"ended_{kind}") for kind, value in spelled.items()],
+    )
+
+
 def cast_nested(spark, folder):
     """Arrays and maps from their JSON text."""
     as_text = table(spark, folder, "embeddings").select("vec_id", F.to_json("embedding").alias("items"))
@@ -151,6 +168,7 @@ def parse_datetime_formats(spark, folder):
 
 
 QUERIES = {
+    "cast_line_end": cast_line_end,
     "cast_int": cast_int,
     "cast_bigint": cast_bigint,
     "cast_double": cast_double,
@@ -167,6 +185,9 @@ QUERIES = {
 UUID_SQL = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
 
 SQL = {
+    "cast_line_end": "SELECT o_orderkey, "
+    + ", ".join(f"{v} AS {p}_{t}" for p, v in (("plain", "true"), ("ended", "false")) for t in ("Int32", "Int64", "UInt32", "Bool", "Date", "DateTime", "UUID"))
+    + " FROM orders",
     "cast_int": (
         "SELECT o_orderkey, TRY_CAST(o_orderkey AS INTEGER) AS plain, TRY_CAST(-o_orderkey AS INTEGER) AS negative, "
         "TRY_CAST(o_orderkey AS INTEGER) AS signed, CAST(NULL AS INTEGER) AS padded, "

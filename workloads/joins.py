@@ -149,6 +149,20 @@ def join_anti_condition_hot(spark, folder):
     return _later_lines(spark, folder, "left_anti").select("o_orderkey", "o_orderdate")
 
 
+def join_any_odd_names(spark, folder):
+    """ANY joins on names with blanks, without a table, with AND in a literal beside them."""
+    odd = {
+        "c": table(spark, folder, "customer").withColumnsRenamed({"c_custkey": "cust key"}),
+        "o": table(spark, folder, "orders").withColumnsRenamed({"o_custkey": "cust of", "o_orderkey": "order"}),
+    }
+    quoted = JoinSpec("o", "ANY LEFT JOIN", "c.`cust key` = o.`cust of`", order_by=("o_orderdate", "order"))
+    bare = JoinSpec("o", "ANY JOIN", "(`cust key` = `cust of`)", order_by=("o_orderdate", "order"))
+    kept = ("cust key", "o.order")
+    left = compile_export(ExportSpec("c", kept, (quoted,)), odd).select(F.lit("left").alias("way"), F.col("cust key").alias("c"), F.col("order").alias("o"))
+    inner = compile_export(ExportSpec("c", kept, (bare,)), odd).select(F.lit("inner"), "cust key", "order")
+    return left.union(inner)
+
+
 def join_right_hot(spark, folder):
     events, customer = table(spark, folder, "events"), table(spark, folder, "customer")
     joined = salted_join(events, customer, [events["user_id"]], [customer["c_custkey"]], "right", hot_key_rows=5)
@@ -163,6 +177,7 @@ QUERIES = {name: join_query(spec) for name, spec in SPECS.items()} | {
     "join_left_condition_hot": join_left_condition_hot,
     "join_anti_condition_hot": join_anti_condition_hot,
     "join_right_hot": join_right_hot,
+    "join_any_odd_names": join_any_odd_names,
     "join_full_hot": join_full_hot,
 }
 
@@ -189,6 +204,11 @@ SQL = {
         "SELECT c_custkey, o_orderkey, o_orderdate, o_totalprice FROM customer JOIN (SELECT *, row_number() OVER "
         "(PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pick FROM orders) o ON c_custkey = o_custkey WHERE pick = 1"
     ),
+    "join_any_odd_names": (
+        "WITH picked AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pick FROM orders) "
+        "SELECT 'left' AS way, c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN picked ON c_custkey = o_custkey AND pick = 1 "
+        "UNION ALL SELECT 'inner', c_custkey, o_orderkey FROM customer JOIN picked ON c_custkey = o_custkey AND pick = 1"
+    ),
     "join_global": "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "join_global_left": "SELECT c_custkey, s_name FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey",
     "join_any_left": (

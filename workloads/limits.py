@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowferry.operators.limits import first_rows, first_rows_of_files, pinned_sort, table_head, top_groups
@@ -43,9 +44,8 @@ def limit_export_large(spark, folder):
 
 
 def limit_export_files(spark, folder):
-    """A large limit over one table reads only the files that hold its rows: whole rows, each once."""
-    lines = first_rows_of_files(table(spark, folder, "events"), 700, one_task_rows=100)
-    return lines.agg(F.count(F.lit(1)).alias("rows_kept"), F.count_distinct("event_id").alias("distinct_rows"))
+    """A limit over one table reads only the files that hold its rows: the first rows in file order."""
+    return first_rows_of_files(table(spark, folder, "events"), 700)
 
 
 def table_head_query(spark, folder):
@@ -58,9 +58,17 @@ def topk_groups(spark, folder):
 
 
 def pinned_sort_query(spark, folder):
-    """Position of every customer with one segment pinned first, as a checkable column."""
-    customer = table(spark, folder, "customer").select("c_mktsegment", "c_custkey")
-    return pinned_sort(customer, "c_mktsegment", "MACHINERY")
+    """How the segments follow each other: where in the sorted rows each begins and ends."""
+    customer = table(spark, folder, "customer")
+    ordered = pinned_sort(customer, "c_mktsegment", "MACHINERY").select("c_mktsegment", F.monotonically_increasing_id().alias("place"))
+    spans = ordered.groupBy("c_mktsegment").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
+    by_place = Window.orderBy("first")
+    return spans.select(
+        "c_mktsegment",
+        F.row_number().over(by_place).alias("position"),
+        F.col("n").alias("customers"),
+        F.coalesce(F.col("first") > F.lag("last").over(by_place), F.lit(True)).alias("after_the_one_before"),
+    )
 
 
 QUERIES = {
@@ -85,11 +93,14 @@ SQL = {
     "limit_export_large": (
         "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 4321"
     ),
-    "limit_export_files": "SELECT least(count(*), 700) AS rows_kept, least(count(*), 700) AS distinct_rows FROM events",
+    "limit_export_files": "SELECT * FROM events ORDER BY event_id LIMIT 700",
     "table_head": "SELECT * FROM customer ORDER BY c_custkey LIMIT 1000",
     "topk_groups": (
         "SELECT o_custkey, round(CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 4) AS avg_price FROM orders "
         "GROUP BY o_custkey ORDER BY avg_price DESC, o_custkey LIMIT 10"
     ),
-    "pinned_sort": "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment <> 'MACHINERY', c_mktsegment",
+    "pinned_sort": (
+        "SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY c_mktsegment <> 'MACHINERY', c_mktsegment) AS INTEGER) AS position, "
+        "count(*) AS customers, true AS after_the_one_before FROM customer GROUP BY c_mktsegment"
+    ),
 }

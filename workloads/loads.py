@@ -8,7 +8,7 @@ from rowferry.operators.quality import error_budget, reject_rows, validate_types
 from rowferry.operators.sets import append_union
 from rowferry.plans import LoadSpec
 from rowferry.sinks.files import export_delimited
-from rowferry.sinks.tables import append_rows, create_table, load_file
+from rowferry.sinks.tables import append_rows, create_table, load_file, load_outcome
 from workloads.common import EVENT_TYPES, ORDER_TYPES, event_text, fresh_path, fresh_table, table
 
 
@@ -109,6 +109,42 @@ def load_rejects(spark, folder):
     return spark.read.parquet(kept)
 
 
+def load_ragged(spark, folder):
+    """Rows with a cell too many or too few are bad rows, counted and kept apart."""
+    path, kept = fresh_path(spark, "ragged-file"), fresh_path(spark, "ragged-rejects")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    key, narrow, wide = F.col("o_orderkey"), F.col("o_orderkey") % 10 == 1, F.col("o_orderkey") % 10 == 0
+    line = F.concat_ws(",", key.cast("string"), F.when(~narrow, F.col("o_orderstatus")), F.when(wide, F.lit("x")))
+    orders.select(line.alias("k,s")).repartition(3).write.options(header="true", sep="\x02", quote="\x01").csv(path)
+    name = fresh_table("ragged")
+    spec = LoadSpec(name, create=True, column_types={"k": "Int64", "s": "String"}, max_bad_ratio=0.9, location=fresh_path(spark, "ragged"))
+    result = load_file(spark, path, spec, rejects=kept)
+    good = spark.table(name).select(F.col("k").alias("o_orderkey"), F.lit("loaded").alias("outcome"))
+    bad = spark.read.parquet(kept).select(F.col("k").cast("bigint"), F.col("bad_columns"))
+    return good.union(bad).withColumn("rejected", F.lit(result.rejected).cast("bigint"))
+
+
+def load_header_order(spark, folder):
+    """Files whose headers name the columns in another order."""
+    path = fresh_path(spark, "order-file")
+    orders = table(spark, folder, "orders")
+    export_delimited(orders.where("o_orderkey % 2 = 0"), path)
+    export_delimited(orders.where("o_orderkey % 2 = 1").select(*reversed(orders.columns)), path, mode="append")
+    name = fresh_table("order")
+    load_file(spark, path, LoadSpec(name, create=True, column_types=ORDER_TYPES, location=fresh_path(spark, "order")))
+    return spark.table(name)
+
+
+def load_missing_column(spark, folder):
+    """A declared column that the file lacks is an error; nothing is loaded."""
+    name = fresh_table("missing")
+    spec = LoadSpec(name, create=True, column_types=ORDER_TYPES | {"o_comment": "String"}, location=fresh_path(spark, "missing"))
+    outcome = load_outcome(spark, _orders_file(spark, folder), spec)
+    return spark.table(name).agg(F.count("*").alias("rows_loaded")).select(
+        F.lit(outcome.success).alias("success"), F.lit(outcome.message).alias("message"), "rows_loaded"
+    )
+
+
 def reject_rows_query(spark, folder):
     return reject_rows(event_text(spark, folder), EVENT_TYPES)
 
@@ -139,6 +175,9 @@ QUERIES = {
     "rows_loaded": rows_loaded,
     "load_with_bad_rows": load_with_bad_rows,
     "load_rejects": load_rejects,
+    "load_ragged": load_ragged,
+    "load_header_order": load_header_order,
+    "load_missing_column": load_missing_column,
     "reject_rows": reject_rows_query,
     "error_budget": error_budget_query,
     "validate_types": validate_types_query,
@@ -169,6 +208,12 @@ SQL = {
     "rows_loaded": "SELECT count(*) AS first_rows, count(*) AS second_rows, 2 * count(*) AS table_rows FROM orders",
     "load_with_bad_rows": "SELECT * FROM events WHERE event_type <> 'error'",
     "load_rejects": REJECTS_SQL,
+    "load_ragged": (
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <= 1 THEN '(width)' ELSE 'loaded' END AS outcome, "
+        "(SELECT count(*) FROM orders WHERE o_orderkey % 10 <= 1) AS rejected FROM orders"
+    ),
+    "load_header_order": "SELECT * FROM orders",
+    "load_missing_column": "SELECT false AS success, 'Error: the file has no column o_comment' AS message, CAST(0 AS BIGINT) AS rows_loaded",
     "reject_rows": REJECTS_SQL,
     "error_budget": (
         "SELECT count(*) AS row_count, count(*) FILTER (WHERE event_type = 'error') AS bad_count, "

@@ -15,14 +15,14 @@ from rowferry.operators.profile import (
     validate_width,
 )
 from rowferry.sinks.files import export_delimited
-from rowferry.sources.delimited import read_delimited, text_lines
+from rowferry.sources.delimited import read_delimited, record_lines, text_lines
 from workloads.common import LINE_TYPES, fresh_path, table, text
 
 
 def infer_types_query(spark, folder):
     path = fresh_path(spark, "infer")
     export_delimited(table(spark, folder, "lineitem"), path)
-    return infer_types(read_delimited(spark, path, multi_line=False))
+    return infer_types(read_delimited(spark, path))
 
 
 def infer_types_mixed(spark, folder):
@@ -62,6 +62,13 @@ def validate_width_query(spark, folder):
     return validate_width(text_lines(spark, path), "|")
 
 
+def validate_width_spanning(spark, folder):
+    """Texts with line ends in their cells: records count, not lines."""
+    path = fresh_path(spark, "width-spanning")
+    export_delimited(table(spark, folder, "documents"), path, header=False)
+    return validate_width(record_lines(spark, path), ",")
+
+
 def validate_width_ragged(spark, folder):
     """Lines of words: the widths differ."""
     path = fresh_path(spark, "ragged")
@@ -72,7 +79,9 @@ def validate_width_ragged(spark, folder):
 
 
 def estimate_size_query(spark, folder):
-    return estimate_size(table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    """Whole rows; the number with a fraction is told to the cent."""
+    customer = table(spark, folder, "customer")
+    return estimate_size(customer.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)")))
 
 
 def candidate_keys_query(spark, folder):
@@ -107,6 +116,7 @@ QUERIES = {
     "infer_types_table": validate_types_by_inference,
     "validate_width": validate_width_query,
     "validate_width_ragged": validate_width_ragged,
+    "validate_width_spanning": validate_width_spanning,
     "estimate_size": estimate_size_query,
     "candidate_keys": candidate_keys_query,
     "column_inventory_text": column_inventory_text,
@@ -124,7 +134,14 @@ def _whole_type(table_name, column):
 
 
 def _type(table_name, column, name):
-    return f"SELECT '{column}' AS column_name, CASE WHEN count({column}) > 0 THEN '{name}' ELSE 'String' END AS type_name FROM {table_name}"
+    """The type that every text of the column casts to, else String."""
+    text = {"DateTime": f"strftime({column}, '%Y-%m-%dT%H:%M:%S')"}.get(name, f"CAST({column} AS VARCHAR)")
+    kinds = {"Float64": "DOUBLE", "DateTime": "TIMESTAMP", "Int32": "INTEGER", "Int64": "BIGINT"}
+    if name == "String":
+        fits = f"count({column}) = count(TRY_CAST({text} AS DOUBLE))"
+        return f"SELECT '{column}' AS column_name, CASE WHEN {fits} THEN 'Float64' ELSE 'String' END AS type_name FROM {table_name}"
+    fits = f"count({column}) > 0 AND count({column}) = count(TRY_CAST({text} AS {kinds[name]}))"
+    return f"SELECT '{column}' AS column_name, CASE WHEN {fits} THEN '{name}' ELSE 'String' END AS type_name FROM {table_name}"
 
 
 def _line_type(column, name):
@@ -174,6 +191,10 @@ SQL = {
         "SELECT count(*) AS line_count, CAST(11 AS INTEGER) AS first_width, CAST(11 AS INTEGER) AS min_width, "
         "CAST(11 AS INTEGER) AS max_width, true AS is_valid FROM lineitem"
     ),
+    "validate_width_spanning": (
+        "SELECT count(*) AS line_count, CAST(5 AS INTEGER) AS first_width, CAST(5 AS INTEGER) AS min_width, "
+        "CAST(5 AS INTEGER) AS max_width, true AS is_valid FROM documents"
+    ),
     "validate_width_ragged": (
         "SELECT count(*) AS line_count, CAST(min_by(width, doc_id) AS INTEGER) AS first_width, "
         "CAST(min(width) AS INTEGER) AS min_width, CAST(max(width) AS INTEGER) AS max_width, "
@@ -181,7 +202,8 @@ SQL = {
     ),
     "estimate_size": (
         "SELECT count(*) AS row_count, count(*) * 100 AS estimated_bytes, "
-        "CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) + strlen(c_name) + strlen(c_mktsegment) + 3) AS BIGINT) AS text_bytes FROM customer"
+        "CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) + strlen(c_name) + strlen(CAST(c_nationkey AS VARCHAR)) "
+        "+ strlen(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)) + strlen(c_mktsegment) + 5) AS BIGINT) AS text_bytes FROM customer"
     ),
     "candidate_keys": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from rowferry.functions.casting import typed_projection
-from rowferry.plans import ExportSpec, JoinSpec, compile_export
+from rowferry.operators.joins import salted_join
+from rowferry.operators.limits import first_rows
+from rowferry.operators.profile import candidate_keys
+from rowferry.plans import ExportSpec, JoinSpec, compile_export, prepare_export
 from workloads.common import EVENT_TYPES, event_text, table, tables
 
 
@@ -56,12 +61,38 @@ def project_duplicates(spark, folder):
     return compile_export(spec, renamed)
 
 
+CUSTOMER_KEYS = ("c_custkey", "c_custkey", "c_nationkey", "c_custkey", "c_custkey", "c_custkey")
+ORDER_KEYS = ("o_orderkey", "o_custkey", "o_orderkey", "o_custkey", "o_orderkey", "o_custkey")
+RESERVED = ("order_0", "key_0", "part", "before", "left_own", "row_count")
+
+
+def project_reserved_names(spark, folder):
+    """Tables whose columns are named like those that joins, limits and sorts add for themselves."""
+    customer = table(spark, folder, "customer").select(*[F.col(c).alias(n) for n, c in zip(RESERVED, CUSTOMER_KEYS)])
+    orders = table(spark, folder, "orders").select(*[F.col(c).alias(n) for n, c in zip(RESERVED, ORDER_KEYS)])
+    known = {"c": customer, "o": orders}
+
+    def ways():
+        for kind in ("SEMI", "ANTI"):
+            join = JoinSpec("o", f"{kind} JOIN", "c.key_0 = o.key_0")
+            yield kind, compile_export(ExportSpec("c", RESERVED, (join,)), known)
+        salted = salted_join(customer.alias("c"), orders.alias("o"), [F.col("c.key_0")], [F.col("o.key_0")], "full", hot_key_rows=5)
+        yield "SALTED", salted.select(*[F.coalesce(f"c.{n}", f"o.{n}").alias(n) for n in RESERVED])
+        yield "LIMIT", first_rows(orders, 50, [F.col("order_0")], one_task_rows=10)
+        yield "ORDER", prepare_export(ExportSpec("o", RESERVED, order_by=("key_0", "order_0")), known)
+
+    rows = reduce(lambda a, b: a.union(b), [df.select(F.lit(way).alias("way"), *RESERVED) for way, df in ways()])
+    keys = candidate_keys(orders).select(F.concat(F.lit("KEYS "), "column_name"), "row_count", F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.col("is_key").cast("bigint"))
+    return rows.union(keys)
+
+
 def cast_projection(spark, folder):
     """Text to declared types; what does not fit becomes NULL."""
     return typed_projection(event_text(spark, folder), EVENT_TYPES | {"props": "Json"})
 
 
 QUERIES = {
+    "project_reserved_names": project_reserved_names,
     "project_columns": project_columns,
     "project_qualified": project_qualified,
     "project_odd_names": project_odd_names,
@@ -69,7 +100,23 @@ QUERIES = {
     "cast_projection": cast_projection,
 }
 
+C_ROW = "c_custkey AS order_0, c_custkey AS key_0, CAST(c_nationkey AS BIGINT) AS part, c_custkey AS before, c_custkey AS left_own, c_custkey AS row_count"
+O_ROW = "o_orderkey, o_custkey, o_orderkey, o_custkey, o_orderkey, o_custkey"
+
 SQL = {
+    "project_reserved_names": (
+        f"SELECT 'SEMI' AS way, {C_ROW} FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL "
+        f"SELECT 'ANTI', {C_ROW} FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL "
+        f"SELECT 'SALTED', coalesce(c_custkey, o_orderkey), coalesce(c_custkey, o_custkey), coalesce(c_nationkey, o_orderkey), "
+        "coalesce(c_custkey, o_custkey), coalesce(c_custkey, o_orderkey), coalesce(c_custkey, o_custkey) "
+        "FROM customer FULL JOIN orders ON c_custkey = o_custkey UNION ALL "
+        f"(SELECT 'LIMIT', {O_ROW} FROM orders ORDER BY o_orderkey LIMIT 50) UNION ALL "
+        f"SELECT 'ORDER', {O_ROW} FROM orders UNION ALL "
+        "SELECT 'KEYS ' || name, (SELECT count(*) FROM orders), NULL, NULL, NULL, NULL, "
+        "(SELECT CAST(CASE WHEN name IN ('order_0', 'part', 'left_own') THEN count(DISTINCT o_orderkey) = count(*) "
+        "ELSE count(DISTINCT o_custkey) = count(*) END AS BIGINT) FROM orders) "
+        "FROM (VALUES ('order_0'), ('key_0'), ('part'), ('before'), ('left_own'), ('row_count')) AS names(name)"
+    ),
     "project_columns": "SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem",
     "project_qualified": "SELECT c_name, n_name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "project_odd_names": (

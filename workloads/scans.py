@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from rowferry.functions.casting import typed_projection
 from rowferry.operators.profile import column_inventory, table_inventory
-from rowferry.sinks.files import export_delimited
+from rowferry.sinks.files import export_delimited, export_quoted
 from rowferry.sources.delimited import preview_file, read_delimited, read_lenient, sample_file
 from rowferry.sources.tables import catalog_inventory, preview_table, scan_table
 from workloads.common import DOCUMENT_TYPES, LINE_TYPES, ORDER_TYPES, fresh_path, fresh_table, table
@@ -24,10 +26,58 @@ def scan_csv(spark, folder):
 
 
 def scan_csv_records(spark, folder):
-    """The same files cut into records in parallel, as large files are."""
+    """Every value in quotes, doubled quotes and line ends within."""
     path = fresh_path(spark, "scan-records")
-    export_delimited(table(spark, folder, "documents"), path)
-    return typed_projection(read_delimited(spark, path, multi_line=True, one_task_bytes=0), DOCUMENT_TYPES)
+    text = F.concat(F.lit('"'), F.col("text"), F.lit('",\r\n""'))
+    export_quoted(table(spark, folder, "documents").withColumn("text", text), path)
+    back = typed_projection(read_delimited(spark, path), DOCUMENT_TYPES)
+    return back.withColumn("text", F.expr("substring(text, 2, length(text) - 7)"))
+
+
+def _line(frame):
+    return F.concat_ws(",", *[F.col(c).cast("string") for c in frame.columns])
+
+
+def scan_cr(spark, folder):
+    """Files whose records end at carriage returns, one of them within quotes."""
+    path = fresh_path(spark, "scan-cr")
+    customer = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit('"'), "c_name", F.lit('\r"""')).alias("c_name"), "c_nationkey")
+    files = customer.repartition(3, "c_custkey").groupBy(F.spark_partition_id().alias("part")).agg(F.collect_list(_line(customer)).alias("lines"))
+    whole = F.concat(F.lit("c_custkey,c_name,c_nationkey\r\r"), F.array_join("lines", "\r"), F.lit("\r"))
+    files.select("part", whole.alias("value")).write.partitionBy("part").text(path)
+    return typed_projection(read_delimited(spark, f"{path}/*"), {"c_custkey": "Int64", "c_name": "String", "c_nationkey": "Int32"})
+
+
+def scan_blank_lines(spark, folder):
+    """Blank lines before the header and between records are none; a record of blanks is one."""
+    path = fresh_path(spark, "scan-blank")
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    lines = nation.coalesce(1).sortWithinPartitions("n_nationkey").select(
+        F.when(F.col("n_nationkey") == 0, F.lit("\n\r\n\nn_nationkey,n_name,n_regionkey\n , , \n")).otherwise(F.lit("\n\n")), _line(nation)
+    )
+    lines.select(F.concat(*[F.col(f"`{c}`") for c in lines.columns])).write.text(path)
+    return read_delimited(spark, path)
+
+
+def scan_empty_first_part(spark, folder):
+    """A folder that begins with empty files, read in all four ways: rows of each."""
+    path = fresh_path(spark, "scan-empty-first")
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    nation.select(_line(nation)).where("false").write.text(path)
+    export_delimited(nation.coalesce(1).orderBy("n_nationkey"), path, mode="append")
+    ways = {"standard": read_delimited, "lenient": read_lenient, "preview": preview_file, "sample": sample_file}
+    frames = [read(spark, path).select(F.lit(name).alias("way"), "n_nationkey", "n_name") for name, read in ways.items()]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def scan_header_order(spark, folder):
+    """Files of one folder with their columns in different order, one with a column less."""
+    path = fresh_path(spark, "scan-header-order")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    export_delimited(orders.where("o_orderkey % 3 = 0"), path)
+    export_delimited(orders.where("o_orderkey % 3 = 1").select("o_totalprice", "o_orderkey", "o_custkey"), path, mode="append")
+    export_delimited(orders.where("o_orderkey % 3 = 2").select("o_custkey", "o_orderkey"), path, mode="append")
+    return typed_projection(read_delimited(spark, path), {c: ORDER_TYPES[c] for c in orders.columns})
 
 
 def scan_tsv(spark, folder):
@@ -47,7 +97,7 @@ def scan_csv_selected(spark, folder):
     export_delimited(table(spark, folder, "lineitem"), path)
     chosen = ["l_shipdate", "l_orderkey", "l_linenumber"]
     return typed_projection(
-        read_delimited(spark, path, columns=chosen, multi_line=False), {c: LINE_TYPES[c] for c in chosen}
+        read_delimited(spark, path, columns=chosen), {c: LINE_TYPES[c] for c in chosen}
     )
 
 
@@ -93,9 +143,8 @@ def scan_lenient_tab(spark, folder):
 
 def _ordered_export(spark, folder, label):
     path = fresh_path(spark, label)
-    columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-    export_delimited(table(spark, folder, "orders").select(*columns).orderBy("o_orderkey"), path)
-    return path, {c: ORDER_TYPES[c] for c in columns}
+    export_delimited(table(spark, folder, "orders").orderBy("o_orderkey"), path)
+    return path, ORDER_TYPES
 
 
 def preview_file_query(spark, folder):
@@ -138,6 +187,10 @@ def preview_table_query(spark, folder):
 QUERIES = {
     "scan_csv": scan_csv,
     "scan_csv_records": scan_csv_records,
+    "scan_cr": scan_cr,
+    "scan_blank_lines": scan_blank_lines,
+    "scan_empty_first_part": scan_empty_first_part,
+    "scan_header_order": scan_header_order,
     "scan_tsv": scan_tsv,
     "scan_pipe": scan_pipe,
     "scan_csv_selected": scan_csv_selected,
@@ -170,6 +223,18 @@ LINE_COLUMNS = {
 SQL = {
     "scan_csv": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "scan_csv_records": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "scan_cr": "SELECT c_custkey, c_name || chr(13) || '\"' AS c_name, c_nationkey FROM customer",
+    "scan_blank_lines": (
+        "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation "
+        "UNION ALL SELECT ' ', ' ', ' '"
+    ),
+    "scan_empty_first_part": (
+        "SELECT way, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation, "
+        "(VALUES ('standard'), ('lenient'), ('preview'), ('sample')) AS w(way)"
+    ),
+    "scan_header_order": (
+        "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 <> 2 THEN o_totalprice END AS o_totalprice FROM orders"
+    ),
     "scan_tsv": "SELECT * FROM orders",
     "scan_pipe": "SELECT * FROM lineitem",
     "scan_csv_selected": "SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem",
@@ -187,10 +252,10 @@ SQL = {
         "'a \"b\" ' || CAST(c_nationkey AS VARCHAR) AS inner_quotes FROM customer"
     ),
     "preview_file": (
-        "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 99"
+        "SELECT * FROM orders ORDER BY o_orderkey LIMIT 99"
     ),
     "sample_file": (
-        "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 999"
+        "SELECT * FROM orders ORDER BY o_orderkey LIMIT 999"
     ),
     "scan_table": "SELECT * FROM supplier",
     "table_inventory": " UNION ALL ".join(
