@@ -14,7 +14,7 @@ from rowferry.llm.bpe import decode_ids, encode_texts
 from rowferry.llm.components import settle
 from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
-from rowferry.llm.queries import BYTE_RANKS, LEARNED, TOXIC, table
+from rowferry.llm.queries import BYTE_RANKS, TOXIC, learned, table
 from rowferry.llm.secret_scan import find_secrets, mask
 from rowferry.llm.tokens import pattern, vocabulary
 from rowferry.llm.toxicity import score_texts, train
@@ -33,7 +33,7 @@ def _unpacked(rows: DataFrame, columns: list[str], text="text", **changed) -> Da
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the model is learned from labelled rows of these documents."""
-    model = train(docs, table(spark, sf_dir, "labels"), LEARNED)
+    model = train(docs, table(spark, sf_dir, "labels"), learned())
     return _unpacked(score_texts(_packed(docs), model, CARRIED).where(F.col("score") < TOXIC), docs.columns)
 
 

@@ -1,18 +1,11 @@
-"""Connected components of links, and tables written between steps."""
+"""Connected components of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.session import scratch_path
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """The rows written to the shared folder and read again, so that a lost executor costs nothing before."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from rowferry.session import settled as settle
 
 
 def _to_least(edges: DataFrame) -> DataFrame:

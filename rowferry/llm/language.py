@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowferry.llm.components import settle
 from rowferry.llm.text import chunks
+from rowferry.session import settled as settle
 
 #: N-grams of a profile, and of a document that are compared.
 PROFILE = 400

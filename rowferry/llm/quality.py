@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.components import settle
 from rowferry.llm.text import ASCII_SPACE, NOT_SPACE, chunks, gram_hashes, hash_spans, words
+from rowferry.session import settled as settle
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50

@@ -27,8 +27,9 @@ def _remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
-#: Rows whose labels may be learned.
-LEARNED = _remainder("doc_id", 5) != 0
+def learned():
+    """Rows whose labels may be learned."""
+    return _remainder("doc_id", 5) != 0
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -137,7 +138,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)))
-    model = train(docs, table(spark, sf_dir, "labels"), LEARNED)
+    model = train(docs, table(spark, sf_dir, "labels"), learned())
     return score_texts(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
