@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.bpe import decode_ids, encode_texts, id_digests
 from rowferry.llm.chat import conversation_digests, format_conversations
-from rowferry.llm.components import settle
 from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
 from rowferry.llm.language import predict_languages, settled_profiles
@@ -16,7 +15,7 @@ from rowferry.llm.quality import judge
 from rowferry.llm.secret_scan import BASE_RULES, find_secrets
 from rowferry.llm.tokens import pattern, read_tokens, token_digests, vocabulary, write_tokens
 from rowferry.llm.toxicity import score_texts, train
-from rowferry.session import scratch_path
+from rowferry.session import scratch_path, settled as settle
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Score from which a document counts as toxic.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.text import LOWER, WORD_BYTE, chunks, column_bytes, hash_spans, mix, words
+from rowferry.llm.text import LOWER, WORD_BYTE, chunks, hash_spans, mix, words
 
 #: Labelled documents that are learned from, chosen by a hash of their id, and the longest text among them.
 SAMPLE = 6000
@@ -80,33 +80,54 @@ class Model:
         return -np.logaddexp(0, total)
 
 
-def fit(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> Model:
+def _parts(texts: pa.Array):
+    """Chunks of the texts: first row, and what ``sentences`` says of each."""
+    first = 0
+    for part, data, offsets in chunks(pa.RecordBatch.from_arrays([texts], ["text"])):
+        yield first, part.num_rows, sentences(data, offsets)
+        first += part.num_rows
+
+
+def _telling_features(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
+    """Hashes of the features whose documents differ most in their labels from the rest, in order."""
+    held: tuple[np.ndarray, ...] = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    for first, rows, (features, sentence, _, _, row) in _parts(texts):
+        known, number = np.unique(features, return_inverse=True)
+        pairs = np.unique(number * rows + row[sentence])
+        count = np.bincount(pairs // rows, minlength=len(known)).astype(float)
+        bad = np.bincount(pairs // rows, weights=toxic[first + pairs % rows], minlength=len(known))
+        keys = np.concatenate([held[0], known])
+        merged, where = np.unique(keys, return_inverse=True)
+        held = (merged, *(np.bincount(where, weights=np.concatenate(c), minlength=len(merged)) for c in ((held[1], count), (held[2], bad))))
+    features, count, bad = held
+    share = toxic.mean()
+    contrast = np.abs(bad - count * share) / np.sqrt(np.maximum(count, 1) * share * (1 - share))
+    contrast[count < MIN_DOCUMENTS] = -1
+    chosen = np.sort(np.argsort(-contrast, kind="stable")[:FEATURES])
+    return features[chosen[contrast[chosen] > 0]]
+
+
+def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Weights that make the noisy-or of sentences likeliest under the documents' labels (Adam, with an absolute penalty).
 
     Without rows of both labels nothing can be told apart: no word has a
     weight, and the bias makes every sentence clean or toxic.
     """
-    hashes, sentence, starts, _, row = sentences(data, offsets)
-    if not len(hashes) or labels.min() == labels.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if len(labels) and labels.min() == 1 else -40.0)
-    rows, count = len(offsets) - 1, len(starts)
     toxic = labels == 1
-    vocabulary, word = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(word * rows + row[sentence])
-    held = np.bincount(pairs // rows, minlength=len(vocabulary))
-    bad = np.bincount(pairs // rows, weights=toxic[pairs % rows], minlength=len(vocabulary))
-    share = toxic.mean()
-    contrast = np.abs(bad - held * share) / np.sqrt(held * share * (1 - share))
-    contrast[held < MIN_DOCUMENTS] = -1
-    chosen = np.sort(np.argsort(-contrast, kind="stable")[:FEATURES])
-    chosen = chosen[contrast[chosen] > 0]
+    if not len(labels) or toxic.all() or not toxic.any():
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if len(labels) and toxic.all() else -40.0)
+    chosen = _telling_features(texts, toxic)
     if not len(chosen):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    number = np.full(len(vocabulary), -1)
-    number[chosen] = np.arange(len(chosen))
-    own = number[word] >= 0
-    size = len(chosen)
-    pairs = np.unique(sentence[own] * size + number[word[own]])
+        return Model(chosen, np.zeros(0), -40.0)
+    size, rows, count = len(chosen), len(labels), 0
+    pairs_of, rows_of = [], []
+    for first, _, (features, own, starts, _, own_row) in _parts(texts):
+        spot = np.minimum(np.searchsorted(chosen, features), size - 1)
+        hit = chosen[spot] == features
+        pairs_of.append(np.unique((own[hit] + count) * size + spot[hit]))
+        rows_of.append(own_row + first)
+        count += len(starts)
+    pairs, row = np.concatenate(pairs_of), np.concatenate(rows_of)
     sentence, word = pairs // size, pairs % size
     weights, bias = np.zeros(size), START_BIAS
     first, second = np.zeros(size + 1), np.zeros(size + 1)
@@ -126,7 +147,7 @@ def fit(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> Model:
         weights -= move[:-1]
         weights = np.sign(weights) * np.maximum(np.abs(weights) - scale[:-1] * LASSO, 0)
         bias -= move[-1]
-    return Model(vocabulary[chosen], weights, float(bias))
+    return Model(chosen, weights, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=None, sample: int = SAMPLE, id_column: str = "doc_id") -> Model:
@@ -143,9 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, sample: int = SAMPLE,
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_column).alias("doc_id"), "text").where(F.octet_length("text") <= TRAIN_BYTES)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
-    data, offsets = column_bytes(pa.array([r["text"] for r in rows], pa.large_string()))
-    return fit(data, offsets, np.array([r["toxic"] for r in rows], np.int64))
+    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample)
+    held = rows.select("text", "toxic").toArrow().combine_chunks()
+    texts = held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string())
+    return fit(texts if isinstance(texts, pa.Array) else texts.chunk(0), held["toxic"].to_numpy().astype(np.int64))
 
 
 def score_texts(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
