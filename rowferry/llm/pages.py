@@ -7,8 +7,9 @@ hashes over (page, count), so they are gathered by partial aggregation and no
 task holds a host. A class found on at least half of the host's pages, with
 several tokens, a tag among them, is valid if it nests: all of it lies in one
 slot between neighbours of the host's widest class. Valid classes make up the
-host's template. Text that is in the template is dropped; what fills the slots
-is extracted, except slots that are no article by their elements or names.
+host's template. Blocks whose text is all in the template are dropped; what
+fills the slots is extracted, except slots that are no article by their
+elements or names.
 """
 
 from __future__ import annotations
@@ -267,8 +268,9 @@ def extract(html: str, template_texts: frozenset[str] = frozenset()) -> str:
     """The blocks of the article, joined by an empty line.
 
     Text stands in the article, else in the main element, else outside of
-    blocks that are mostly links. If the template holds all of it, the page is
-    the template's only filling and keeps its text.
+    blocks that are mostly links. A block goes if the template holds all its
+    runs of text; if it holds all blocks, the page is the template's only
+    filling and keeps its text.
     """
     blocks: list[list[tuple[str, int, bool, bool]]] = [[]]
     for kind, label, aside, main, link in parse(html):
@@ -288,7 +290,9 @@ def extract(html: str, template_texts: frozenset[str] = frozenset()) -> str:
     def joined(all_texts: bool) -> str:
         out = []
         for block in blocks:
-            kept = [(text, link) for text, main, link, own in block if main >= level and (own or all_texts)]
+            kept = [(text, link) for text, main, link, _ in block if main >= level]
+            if not all_texts and not any(own and text.strip() for text, main, _, own in block if main >= level):
+                continue
             text = " ".join("".join(t for t, _ in kept).split())
             if not text:
                 continue

@@ -86,6 +86,12 @@ def _walk(tree) -> tuple[set[str] | None, Query]:
     queries: list[Query] = []
     whole = True
     for op, value in tree:
+        if op in (code.MAX_REPEAT, code.MIN_REPEAT) and value[0] >= 1 and (found := _walk(value[2])[0]) is not None:
+            # What repeats stands behind what came before, and before what follows.
+            whole = False
+            queries.append(_or(map(_trigrams, _concat(exact, found) or exact)))
+            exact = found
+            continue
         found, query = _node(op, value)
         longer = _concat(exact, found) if found is not None else None
         if longer is not None:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from rowferry.llm import secret_scan as S
@@ -53,7 +54,7 @@ def test_queries_of_patterns():
     assert S.trigram_query("ab") == S.ALL
     assert S.trigram_query("(abc|x)") == S.ALL
     assert S.trigram_query("abc") == ("tri", b"abc")
-    assert S.trigrams_of(S.trigram_query("(?:ab)?cde+f")) == {b"cde"} or S.trigrams_of(S.trigram_query("(?:ab)?cde+f")) >= {b"cde"}
+    assert S.trigrams_of(S.trigram_query("(?:ab)?cde+f")) >= {b"cde"}
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -68,17 +69,18 @@ def test_every_match_satisfies_the_query(seed):
             text = "".join(rng.choices(alphabet, k=14)) + rng.choice(["abccd", "efgjkjk", "lmnabc", "habc"])
             if re.search(pattern, text):
                 grams = {S.number(text[k : k + 3].encode()) for k in range(len(text) - 2)}
-                found = S.answer(query, lambda g: __import__("numpy").array([0] if g in grams else [], int), 1)
+                found = S.answer(query, lambda g: np.array([0] if g in grams else [], int), 1)
                 assert found.tolist() == [0], (pattern, text, query)
 
 
 def test_stored_index_finds_all(spark, tmp_path, real):
     path = str(tmp_path / "index")
-    S.write_index(real, path)
-    rule = S.BASE_RULES[0]
-    found = {r[0] for r in S.candidates(spark.read.parquet(path), S.trigram_query(rule.pattern)).collect()}
-    wanted = {r["doc_id"] for r in real.collect() if any(k == "assign" for k, _, _ in plain(r["text"]))}
-    assert wanted and wanted <= found and len(found) < real.count() / 2
+    hard = spark.createDataFrame([(-k, t) for k, t in enumerate(HARD, 1)], "doc_id long, text string")
+    docs = real.select("doc_id", "text").union(hard)
+    S.write_index(docs, path)
+    found = {r[0] for r in S.candidates(spark.read.parquet(path), S.trigram_query(S.BASE_RULES[0].pattern)).collect()}
+    wanted = {r["doc_id"] for r in docs.collect() if any(k == "assign" for k, _, _ in plain(r["text"]))}
+    assert wanted and wanted <= found and len(found) < docs.count() / 2
 
 
 def test_mask(spark):
