@@ -64,7 +64,7 @@ def _text_encoder(path: str) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    merge, signs, parts = tokenizer.model.tokenize, byte_signs(), Remembered(200_000)
+    merge, signs, parts = tokenizer.model.tokenize, byte_signs(), Remembered(400_000)
     # Other pieces are encoded in lines of many and told apart by their place.
     line = 2000
 
