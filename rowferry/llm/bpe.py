@@ -130,7 +130,7 @@ def _unit_encoder(path: str, pattern: str) -> UnitEncoder:
     ranks = load_ranks(path)
     split = split_pattern(pattern).findall
     pairs = pair_ranks(ranks)
-    known = Remembered(500_000)
+    known = Remembered(250_000)
 
     def one(piece: bytes) -> bytes:
         rank = ranks.get(piece)

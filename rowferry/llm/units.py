@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from rowferry.llm.text import unit_offsets
 
 #: Pieces that a worker remembers in each of two generations, and their longest length in bytes.
-CACHED = 200_000
+CACHED = 80_000
 CACHED_BYTES = 64
 
 
