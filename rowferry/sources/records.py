@@ -122,7 +122,8 @@ def cut_records(spark: SparkSession, path: str | Sequence[str], sep: str) -> Rec
 
 def _pieces(lines: DataFrame) -> DataFrame:
     """Records within whole lines: carriage returns outside of quotes end records."""
-    clean = F.regexp_replace("value", r"\r\z", "")
+    value = F.col("value")
+    clean = F.when(F.endswith(value, F.lit("\r")), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
     parts = F.transform(
         F.split(clean, '"', -1),
         lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit("\r"), F.lit(RECORD_END))).otherwise(part),
