@@ -1,8 +1,8 @@
 """Quality rules: base rules a document, then robust multivariate outliers.
 
 The minimum covariance determinant of each language and source is estimated
-over all its documents that meet the base rules: from a deterministic start,
-every step takes the share ``CORE`` of smallest Mahalanobis distances and
+over the distinct statistics of all its documents that meet the base rules, so
+exact copies count once: from a deterministic start, every step takes the share ``CORE`` of smallest Mahalanobis distances and
 computes centre and covariance of these anew, until the determinants no longer
 fall. A step is two aggregations with partial sums, so a group of any size is
 never in one task. Documents far from their group's centre are rejected.
@@ -25,7 +25,7 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Share of a group that the estimate is computed from.
 CORE = 0.75
-#: Fewer documents than this give no estimate; their documents meet the rule.
+#: Fewer distinct documents than this give no estimate; their documents meet the rule.
 MIN_GROUP = 60
 STEPS = 12
 #: Squared distance that is rejected, in multiples of the number of statistics
@@ -199,7 +199,11 @@ def _start(vectors: DataFrame) -> DataFrame:
 
 
 def robust_estimates(vectors: DataFrame) -> DataFrame:
-    """Per group the estimate after the last step that lowered its determinant, and a scale for distances."""
+    """Per group the estimate after the last step that lowered its determinant, and a scale for distances.
+
+    Every distinct vector of statistics counts once, so copies of a text have no more weight than the text.
+    """
+    vectors = settle(vectors.select(*GROUP, *STATISTICS).distinct(), "vectors")
     estimates = settle(_start(vectors), "estimates")
     before = None
     for _ in range(STEPS):
