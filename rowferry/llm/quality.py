@@ -2,9 +2,10 @@
 
 The minimum covariance determinant of each language and source is estimated
 over the distinct statistics of all its documents that meet the base rules, so
-exact copies count once: from a deterministic start, every step takes the share ``CORE`` of smallest Mahalanobis distances and
-computes centre and covariance of these anew, until the determinants no longer
-fall. A step is two aggregations with partial sums, so a group of any size is
+exact copies count once: from several deterministic starts, every step takes
+the (n + P + 1) / 2 smallest Mahalanobis distances and computes centre and
+covariance of these anew, until the determinants no longer fall; the least one
+is kept. A step is two aggregations with partial sums, so a group of any size is
 never in one task. Documents far from their group's centre are rejected.
 """
 
@@ -23,8 +24,10 @@ from rowferry.session import settled as settle
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: Share of a group that the estimate is computed from.
-CORE = 0.75
+#: Shares of a group, of which the one next to (n + P + 1) / 2 rows is the estimate's core: it bears the most outliers.
+SHARES = [k / 200 for k in range(100, 201)]
+#: Documents that a core has at least, where there are so many.
+MIN_CORE = 30
 #: Fewer distinct documents than this give no estimate; their documents meet the rule.
 MIN_GROUP = 60
 STEPS = 12
@@ -132,102 +135,146 @@ def chi_square(share: float, p: int) -> float:
     return p * (1 - 2 / (9 * p) + NormalDist().inv_cdf(share) * math.sqrt(2 / (9 * p))) ** 3
 
 
+def consistency(share: float, p: int) -> float:
+    """What the covariance of a normal variable's innermost share is to be multiplied by."""
+    from statistics import NormalDist
+
+    if share > 0.995:
+        return 1.0
+    spread = 2 / (9 * (p + 2))
+    return share / NormalDist().cdf(((chi_square(share, p) / (p + 2)) ** (1 / 3) - 1 + spread) / math.sqrt(spread))
+
+
 P = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 GROUP = ["lang", "source"]
+#: An estimate in the making: one of a group's starts.
+TRIAL = [*GROUP, "start"]
+CENTRE = [f"c{i}" for i in range(P)]
+MATRIX = [f"p{i}_{j}" for i, j in _PAIRS]
 
 
-def _distance() -> Column:
-    centred = [F.col(s) - F.col(f"c{i}") for i, s in enumerate(STATISTICS)]
-    terms = [(1 if i == j else 2) * F.col(f"p{i}_{j}") * centred[i] * centred[j] for i, j in _PAIRS]
+def _total(terms: list[Column]) -> Column:
     total = terms[0]
     for term in terms[1:]:
         total = total + term
     return total
 
 
+def _distance() -> Column:
+    centred = [F.col(s) - F.col(f"c{i}") for i, s in enumerate(STATISTICS)]
+    return _total([(1 if i == j else 2) * F.col(f"p{i}_{j}") * centred[i] * centred[j] for i, j in _PAIRS])
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """The left rows with the other columns of the right side; null keys are equal."""
+    a, b = left.alias("a"), right.alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return a.join(b, same, how).select("a.*", *(F.col(f"b.{c}") for c in right.columns if c not in keys))
+
+
 def _with(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
-    v, e = vectors.alias("v"), estimates.alias("e")
-    same = F.col("v.lang").eqNullSafe(F.col("e.lang")) & F.col("v.source").eqNullSafe(F.col("e.source"))
-    columns = [F.col(f"e.{c}") for c in estimates.columns if c not in GROUP]
-    return v.join(e, same).select("v.*", *columns).withColumn("d2", _distance())
+    return _joined(vectors, estimates, GROUP).withColumn("d2", _distance())
+
+
+def _fields(frame: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def _estimates(moments: DataFrame) -> DataFrame:
-    """Centre, inverse covariance and log determinant from one row of moments a group."""
-    names = [f"c{i}" for i in range(P)] + [f"p{i}_{j}" for i, j in _PAIRS]
+    """Centre, inverse covariance, log determinant and scale of distances from one row of a core's moments a trial."""
 
     def task(frames):
         for frame in frames:
             rows = []
             for r in frame.to_dict("records"):
-                mean = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
+                mean = np.array([r[f"s{i}"] for i in range(P)]) / r["core"]
                 cov = np.empty((P, P))
                 for i, j in _PAIRS:
-                    cov[i, j] = cov[j, i] = r[f"m{i}_{j}"] / r["n"] - mean[i] * mean[j]
+                    cov[i, j] = cov[j, i] = r[f"m{i}_{j}"] / r["core"] - mean[i] * mean[j]
                 # A statistic that hardly varies in the core keeps a least spread.
                 cov += np.diag(1e-6 + 1e-9 * np.abs(mean))
                 inverse = np.linalg.inv(cov)
-                rows.append([r["lang"], r["source"], *mean, *(inverse[i, j] for i, j in _PAIRS), np.linalg.slogdet(cov)[1]])
-            yield pd.DataFrame(rows, columns=[*GROUP, *names, "logdet"])
-
-    fields = ", ".join(f"`{c}` {moments.schema[c].dataType.simpleString()}" for c in GROUP)
-    return moments.mapInPandas(task, f"{fields}, " + ", ".join(f"{c} double" for c in [*names, "logdet"]))
-
-
-def _moments(rows: DataFrame) -> DataFrame:
+                scale = consistency(r["core"] / r["n"], P)
+                rows.append([*(r[c] for c in [*TRIAL, "n"]), *mean, *(inverse[i, j] for i, j in _PAIRS), np.linalg.slogdet(cov)[1], scale])
+            yield pd.DataFrame(rows, columns=[*TRIAL, "n", *CENTRE, *MATRIX, "logdet", "scale"])
+
+    doubles = ", ".join(f"{c} double" for c in [*CENTRE, *MATRIX, "logdet", "scale"])
+    return moments.mapInPandas(task, f"{_fields(moments, [*TRIAL, 'n'])}, {doubles}")
+
+
+def _step(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The estimates from the cores of the given ones."""
+    near = _with(vectors, estimates.select(*TRIAL, *CENTRE, *MATRIX))
+    cuts = near.groupBy(*TRIAL).agg(F.percentile_approx("d2", SHARES, 10000).alias("cuts"))
+    core = F.greatest((F.col("n") + P + 1) / 2, F.least(F.col("n"), F.lit(MIN_CORE)))
+    at = F.least(F.ceil((core / F.col("n") - SHARES[0]) * 200), F.lit(len(SHARES) - 1)).cast("int")
+    cut = F.get("cuts", at).alias("cut")
+    known = settle(_joined(estimates, cuts, TRIAL).select(*TRIAL, "n", *CENTRE, *MATRIX, cut), "cuts")
     sums = [F.sum(s).alias(f"s{i}") for i, s in enumerate(STATISTICS)]
-    return rows.groupBy(*GROUP).agg(
-        F.count("*").alias("n"), *sums, *(F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"m{i}_{j}") for i, j in _PAIRS)
-    )
+    products = [F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"m{i}_{j}") for i, j in _PAIRS]
+    inner = _with(vectors, known).where("d2 <= cut")
+    return _estimates(inner.groupBy(*TRIAL).agg(F.first("n").alias("n"), F.count("*").alias("core"), *sums, *products))
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Medians, and a diagonal of scaled median deviations."""
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Three starts about a group's medians: scaled median deviations alone, and with the correlations of
+    hyperbolic tangents or of directions, neither of which far documents can turn at will."""
     medians = vectors.groupBy(*GROUP).agg(F.count("*").alias("n"), *(F.median(s).alias(f"c{i}") for i, s in enumerate(STATISTICS)))
-    medians = medians.where(F.col("n") >= MIN_GROUP).drop("n")
-    v, m = vectors.alias("v"), settle(medians, "medians").alias("m")
-    same = F.col("v.lang").eqNullSafe(F.col("m.lang")) & F.col("v.source").eqNullSafe(F.col("m.source"))
-    joined = v.join(m, same)
-    spread = [F.median(F.abs(F.col(f"v.{s}") - F.col(f"m.c{i}"))).alias(f"mad{i}") for i, s in enumerate(STATISTICS)]
-    keep = [F.first(f"m.c{i}").alias(f"c{i}") for i in range(P)]
-    groups = joined.groupBy(F.col("m.lang").alias("lang"), F.col("m.source").alias("source")).agg(*keep, *spread)
-    inverse = {
-        f"p{i}_{j}": 1 / (F.pow(1.4826 * F.col(f"mad{i}"), 2) + 1e-6) if i == j else F.lit(0.0) for i, j in _PAIRS
-    }
-    return groups.withColumns(inverse).withColumn("logdet", F.lit(1e300)).drop(*(f"mad{i}" for i in range(P)))
+    medians = settle(medians.where(F.col("n") >= MIN_GROUP), "medians")
+    spread = [F.median(F.abs(F.col(s) - F.col(f"c{i}"))).alias(f"mad{i}") for i, s in enumerate(STATISTICS)]
+    spreads = _joined(vectors, medians, GROUP).groupBy(*GROUP).agg(*spread)
+    spreads = spreads.withColumns({f"mad{i}": F.sqrt(F.pow(1.4826 * F.col(f"mad{i}"), 2) + 1e-6) for i in range(P)})
+    known = settle(_joined(medians, spreads, GROUP), "spreads")
+    z = _joined(vectors, known, GROUP).withColumns({f"z{i}": (F.col(s) - F.col(f"c{i}")) / F.col(f"mad{i}") for i, s in enumerate(STATISTICS)})
+    z = z.withColumn("zz", _total([F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)]) + 1e-12)
+    tanh = [F.sum(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS]
+    turn = [F.sum(F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).alias(f"u{i}_{j}") for i, j in _PAIRS]
+    sums = _joined(z.groupBy(*GROUP).agg(*tanh, *turn), known, GROUP)
+
+    def task(frames):
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                mad = np.array([r[f"mad{i}"] for i in range(P)])
+                for start, name in enumerate(["", "t", "u"]):
+                    shape = np.eye(P)
+                    if name:
+                        for i, j in _PAIRS:
+                            shape[i, j] = shape[j, i] = r[f"{name}{i}_{j}"] / r["n"]
+                        own = np.sqrt(np.diag(shape)) + 1e-12
+                        shape = shape / np.outer(own, own) + 1e-3 * np.eye(P)
+                    inverse = np.linalg.inv(shape * np.outer(mad, mad))
+                    rows.append([*(r[c] for c in GROUP), start, r["n"], *(r[c] for c in CENTRE), *(inverse[i, j] for i, j in _PAIRS)])
+            yield pd.DataFrame(rows, columns=[*TRIAL, "n", *CENTRE, *MATRIX])
+
+    return sums.mapInPandas(task, f"{_fields(sums, GROUP)}, start int, n long, " + ", ".join(f"{c} double" for c in [*CENTRE, *MATRIX]))
 
 
 def robust_estimates(vectors: DataFrame) -> DataFrame:
-    """Per group the estimate after the last step that lowered its determinant, and a scale for distances.
+    """Per group the estimate of least determinant that its starts lead to, and a scale for distances.
 
     Every distinct vector of statistics counts once, so copies of a text have no more weight than the text.
     """
     vectors = settle(vectors.select(*GROUP, *STATISTICS).distinct(), "vectors")
-    estimates = settle(_start(vectors), "estimates")
+    estimates = settle(_starts(vectors), "estimates")
     before = None
     for _ in range(STEPS):
-        near = _with(vectors, estimates)
-        cut = near.groupBy(*GROUP).agg(F.percentile_approx("d2", CORE, 10000).alias("cut"))
-        n, c = near.alias("n"), cut.alias("c")
-        same = F.col("n.lang").eqNullSafe(F.col("c.lang")) & F.col("n.source").eqNullSafe(F.col("c.source"))
-        core = n.join(c, same).where("n.d2 <= c.cut").select("n.lang", "n.source", *(f"n.{s}" for s in STATISTICS))
-        estimates = settle(_estimates(_moments(core)), "estimates")
+        estimates = settle(_step(vectors, estimates), "estimates")
         now = estimates.agg(F.sum("logdet")).first()[0]
         if now is None or before is not None and before - now <= 1e-4 * max(1.0, abs(before)):
             break
         before = now
-    scale = _with(vectors, estimates).groupBy(*GROUP).agg((F.percentile_approx("d2", 0.5, 10000) / chi_square(0.5, P)).alias("scale"))
-    e, s = estimates.alias("e"), scale.alias("s")
-    same = F.col("e.lang").eqNullSafe(F.col("s.lang")) & F.col("e.source").eqNullSafe(F.col("s.source"))
-    return settle(e.join(s, same).select("e.*", "scale"), "estimates")
+    columns = [c for c in estimates.columns if c not in GROUP]
+    best = estimates.groupBy(*GROUP).agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("best"))
+    return settle(best.select(*GROUP, *(f"best.{c}" for c in columns if c not in ("start", "n"))), "estimates")
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", cutoff: float = CUTOFF) -> DataFrame:
     """Per row: doc_id, lang, source, the counts, base_failed, distance and kept.
 
     ``distance`` is the squared robust distance within language and source, in
-    units in which its median is that of a chi-square variable; null where the
+    units in which a normal variable's is chi-square; null where the
     base rules fail or the group is smaller than MIN_GROUP. Null languages and
     sources are groups of their own; rows of one id are judged each for itself.
     """
@@ -235,10 +282,8 @@ def judge(docs: DataFrame, id_column: str = "doc_id", cutoff: float = CUTOFF) ->
     counts = settle(count_texts(docs).withColumn("base_failed", base_failed()), "counts")
     vectors = _vector(counts)
     estimates = robust_estimates(vectors.where("NOT base_failed").select(*GROUP, *STATISTICS))
-    v, e = vectors.alias("v"), estimates.alias("e")
-    same = F.col("v.lang").eqNullSafe(F.col("e.lang")) & F.col("v.source").eqNullSafe(F.col("e.source")) & ~F.col("v.base_failed")
-    columns = [F.col(f"e.{c}") for c in estimates.columns if c not in GROUP]
-    judged = v.join(e, same, "left").select("v.*", *columns).withColumn("distance", _distance() / F.greatest(F.col("scale"), F.lit(1e-9)))
+    known = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
+    judged = _joined(vectors, estimates, GROUP, "left").withColumn("distance", known)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff * P, F.lit(True))
     return judged.select(
         F.col("doc_id").alias(id_column), *GROUP, *COUNTS, *EXTRA, *STATISTICS, "base_failed", "distance", kept.alias("kept")

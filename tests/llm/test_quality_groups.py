@@ -32,3 +32,29 @@ def test_copies_weigh_no_more_than_their_text(spark):
     rows = clean + [("copy", "en", "hot", clean[0][3])] * 500 + [("junk", "en", "hot", junk(rng)) for _ in range(20)]
     found = verdicts(spark, rows)
     assert found["clean"] >= 0.99 and found["copy"] == 1 and found["junk"] == 0
+
+
+def test_outliers_up_to_nearly_half_are_rejected(spark):
+    rng = np.random.default_rng(3)
+    frames = []
+    for share in (0.24, 0.34, 0.45):
+        n = int(1000 * share)
+        good = rng.multivariate_normal([5, 0.9, -4, -4, 3], np.diag([0.3, 0.01, 0.2, 0.2, 0.1]) ** 2, 1000 - n)
+        bad = rng.multivariate_normal([20, 0.5, -8, -0.5, 0.5], np.diag([1, 0.01, 0.2, 0.2, 0.1]) ** 2, n)
+        rows = pd.DataFrame(np.vstack([good, bad]), columns=Q.STATISTICS)
+        frames.append(rows.assign(lang="en", source=str(share), bad=np.arange(1000) >= 1000 - n))
+    rows = pd.concat(frames)
+    found = Q.robust_estimates(spark.createDataFrame(rows.drop(columns="bad"))).toPandas().set_index("source")
+    for source, own in rows.groupby("source"):
+        r = found.loc[source]
+        inverse = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(5)] for i in range(5)])
+        off = own[Q.STATISTICS].to_numpy() - r[[f"c{k}" for k in range(5)]].to_numpy(float)
+        rejected = np.einsum("ni,ij,nj->n", off, inverse, off) / r["scale"] > Q.CUTOFF * 5
+        assert rejected[own["bad"]].all() and not rejected[~own["bad"]].any(), source
+
+
+def test_junk_of_a_third_is_rejected(spark):
+    rng = np.random.default_rng(4)
+    rows = [("clean", "en", "hot", prose(rng)) for _ in range(200)] + [("junk", "en", "hot", junk(rng)) for _ in range(100)]
+    found = verdicts(spark, rows)
+    assert found["clean"] >= 0.99 and found["junk"] == 0
