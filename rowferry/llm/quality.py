@@ -6,7 +6,8 @@ exact copies count once: from several deterministic starts, every step takes
 the (n + P + 1) / 2 smallest Mahalanobis distances and computes centre and
 covariance of these anew, until the determinants no longer fall; the least one
 is kept. A step is two aggregations with partial sums, so a group of any size is
-never in one task. Documents far from their group's centre are rejected.
+never in one task. Documents far from their group's centre are rejected; small groups are judged
+by their language's estimate, small languages by that of all documents.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ MAX_REPEATED_PERCENT = 50
 SHARES = [k / 200 for k in range(100, 201)]
 #: Documents that a core has at least, where there are so many.
 MIN_CORE = 30
-#: Fewer distinct documents than this give no estimate; their documents meet the rule.
+#: A group of fewer distinct documents than this is judged by its language's estimate over all
+#: sources, a language of fewer by that over all documents.
 MIN_GROUP = 60
 STEPS = 12
 #: Squared distance that is rejected, in multiples of the number of statistics
@@ -148,8 +150,10 @@ def consistency(share: float, p: int) -> float:
 P = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 GROUP = ["lang", "source"]
-#: An estimate in the making: one of a group's starts.
-TRIAL = [*GROUP, "start"]
+#: What an estimate is made over: level 0 is a language and source, 1 a language, 2 all documents.
+POOL = ["level", *GROUP]
+#: An estimate in the making: one of a pool's starts.
+TRIAL = [*POOL, "start"]
 CENTRE = [f"c{i}" for i in range(P)]
 MATRIX = [f"p{i}_{j}" for i, j in _PAIRS]
 
@@ -174,7 +178,7 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 
 def _with(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
-    return _joined(vectors, estimates, GROUP).withColumn("d2", _distance())
+    return _joined(vectors, estimates, POOL).withColumn("d2", _distance())
 
 
 def _fields(frame: DataFrame, columns: list[str]) -> str:
@@ -218,19 +222,19 @@ def _step(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def _starts(vectors: DataFrame) -> DataFrame:
-    """Three starts about a group's medians: scaled median deviations alone, and with the correlations of
+    """Three starts about a pool's medians: scaled median deviations alone, and with the correlations of
     hyperbolic tangents or of directions, neither of which far documents can turn at will."""
-    medians = vectors.groupBy(*GROUP).agg(F.count("*").alias("n"), *(F.median(s).alias(f"c{i}") for i, s in enumerate(STATISTICS)))
-    medians = settle(medians.where(F.col("n") >= MIN_GROUP), "medians")
+    medians = vectors.groupBy(*POOL).agg(F.count("*").alias("n"), *(F.median(s).alias(f"c{i}") for i, s in enumerate(STATISTICS)))
+    medians = settle(medians.where((F.col("n") >= MIN_GROUP) | (F.col("level") == 2)), "medians")
     spread = [F.median(F.abs(F.col(s) - F.col(f"c{i}"))).alias(f"mad{i}") for i, s in enumerate(STATISTICS)]
-    spreads = _joined(vectors, medians, GROUP).groupBy(*GROUP).agg(*spread)
+    spreads = _joined(vectors, medians, POOL).groupBy(*POOL).agg(*spread)
     spreads = spreads.withColumns({f"mad{i}": F.sqrt(F.pow(1.4826 * F.col(f"mad{i}"), 2) + 1e-6) for i in range(P)})
-    known = settle(_joined(medians, spreads, GROUP), "spreads")
-    z = _joined(vectors, known, GROUP).withColumns({f"z{i}": (F.col(s) - F.col(f"c{i}")) / F.col(f"mad{i}") for i, s in enumerate(STATISTICS)})
+    known = settle(_joined(medians, spreads, POOL), "spreads")
+    z = _joined(vectors, known, POOL).withColumns({f"z{i}": (F.col(s) - F.col(f"c{i}")) / F.col(f"mad{i}") for i, s in enumerate(STATISTICS)})
     z = z.withColumn("zz", _total([F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)]) + 1e-12)
     tanh = [F.sum(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS]
     turn = [F.sum(F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).alias(f"u{i}_{j}") for i, j in _PAIRS]
-    sums = _joined(z.groupBy(*GROUP).agg(*tanh, *turn), known, GROUP)
+    sums = _joined(z.groupBy(*POOL).agg(*tanh, *turn), known, POOL)
 
     def task(frames):
         for frame in frames:
@@ -245,18 +249,48 @@ def _starts(vectors: DataFrame) -> DataFrame:
                         own = np.sqrt(np.diag(shape)) + 1e-12
                         shape = shape / np.outer(own, own) + 1e-3 * np.eye(P)
                     inverse = np.linalg.inv(shape * np.outer(mad, mad))
-                    rows.append([*(r[c] for c in GROUP), start, r["n"], *(r[c] for c in CENTRE), *(inverse[i, j] for i, j in _PAIRS)])
+                    rows.append([*(r[c] for c in POOL), start, r["n"], *(r[c] for c in CENTRE), *(inverse[i, j] for i, j in _PAIRS)])
             yield pd.DataFrame(rows, columns=[*TRIAL, "n", *CENTRE, *MATRIX])
 
-    return sums.mapInPandas(task, f"{_fields(sums, GROUP)}, start int, n long, " + ", ".join(f"{c} double" for c in [*CENTRE, *MATRIX]))
+    return sums.mapInPandas(task, f"{_fields(sums, POOL)}, start int, n long, " + ", ".join(f"{c} double" for c in [*CENTRE, *MATRIX]))
 
 
-def robust_estimates(vectors: DataFrame) -> DataFrame:
+def _semi(left: DataFrame, right: DataFrame) -> DataFrame:
+    a, b = left.alias("a"), right.alias("b")
+    return a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left_semi")
+
+
+def _pools(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct vectors of every pool that is needed, and the pool (as level, of_lang, of_source) that judges each group."""
+    sizes = settle(vectors.groupBy(*GROUP).agg(F.count("*").alias("n")), "sizes")
+    small = sizes.where(F.col("n") < MIN_GROUP).select("lang").distinct()
+    own = vectors.select(F.lit(0).alias("level"), *GROUP, *STATISTICS)
+    nothing = {c: F.lit(None).cast(vectors.schema[c].dataType).alias(c) for c in GROUP}
+    languages = _semi(vectors, small).select("lang", *STATISTICS).distinct()
+    languages = settle(languages.select(F.lit(1).alias("level"), "lang", nothing["source"], *STATISTICS), "languages")
+    spoken = settle(languages.groupBy("lang").agg(F.count("*").alias("n_lang")), "sizes")
+    rare = spoken.where(F.col("n_lang") < MIN_GROUP)
+    pools = own.unionByName(languages)
+    if not rare.isEmpty():
+        everything = vectors.select(*STATISTICS).distinct()
+        pools = pools.unionByName(everything.select(F.lit(2).alias("level"), nothing["lang"], nothing["source"], *STATISTICS))
+    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("n_lang") >= MIN_GROUP, 1).otherwise(2)
+    judges = _joined(sizes, spoken, ["lang"], "left").select(*GROUP, level.alias("level"))
+    of = [F.when(F.col("level") < 2, F.col("lang")).alias("of_lang"), F.when(F.col("level") < 1, F.col("source")).alias("of_source")]
+    return settle(pools, "pools"), settle(judges.select(*GROUP, "level", *of), "judges")
+
+
+def robust_estimates(vectors: DataFrame, pooled: bool = False) -> DataFrame:
     """Per group the estimate of least determinant that its starts lead to, and a scale for distances.
 
     Every distinct vector of statistics counts once, so copies of a text have no more weight than the text.
+    Groups under MIN_GROUP have the estimate of their language or of all documents if ``pooled``, else none.
     """
     vectors = settle(vectors.select(*GROUP, *STATISTICS).distinct(), "vectors")
+    if pooled:
+        vectors, judges = _pools(vectors)
+    else:
+        vectors = vectors.withColumn("level", F.lit(0))
     estimates = settle(_starts(vectors), "estimates")
     before = None
     for _ in range(STEPS):
@@ -265,9 +299,13 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
         if now is None or before is not None and before - now <= 1e-4 * max(1.0, abs(before)):
             break
         before = now
-    columns = [c for c in estimates.columns if c not in GROUP]
-    best = estimates.groupBy(*GROUP).agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("best"))
-    return settle(best.select(*GROUP, *(f"best.{c}" for c in columns if c not in ("start", "n"))), "estimates")
+    columns = [*CENTRE, *MATRIX, "logdet", "scale"]
+    best = estimates.groupBy(*POOL).agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("best"))
+    best = best.select(*POOL, *(f"best.{c}" for c in columns))
+    if not pooled:
+        return settle(best.drop("level"), "estimates")
+    best = best.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    return settle(_joined(judges, best, ["level", "of_lang", "of_source"]).select(*GROUP, *columns), "estimates")
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", cutoff: float = CUTOFF) -> DataFrame:
@@ -275,13 +313,15 @@ def judge(docs: DataFrame, id_column: str = "doc_id", cutoff: float = CUTOFF) ->
 
     ``distance`` is the squared robust distance within language and source, in
     units in which a normal variable's is chi-square; null where the
-    base rules fail or the group is smaller than MIN_GROUP. Null languages and
+    base rules fail. A group under MIN_GROUP is judged by the estimate of its
+    language over all sources or, if that is under it too, of all documents;
+    with up to MIN_CORE of these none is far from the others. Null languages and
     sources are groups of their own; rows of one id are judged each for itself.
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), "lang", "source", "text")
     counts = settle(count_texts(docs).withColumn("base_failed", base_failed()), "counts")
     vectors = _vector(counts)
-    estimates = robust_estimates(vectors.where("NOT base_failed").select(*GROUP, *STATISTICS))
+    estimates = robust_estimates(vectors.where("NOT base_failed").select(*GROUP, *STATISTICS), pooled=True)
     known = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     judged = _joined(vectors, estimates, GROUP, "left").withColumn("distance", known)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff * P, F.lit(True))

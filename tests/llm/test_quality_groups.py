@@ -58,3 +58,11 @@ def test_junk_of_a_third_is_rejected(spark):
     rows = [("clean", "en", "hot", prose(rng)) for _ in range(200)] + [("junk", "en", "hot", junk(rng)) for _ in range(100)]
     found = verdicts(spark, rows)
     assert found["clean"] >= 0.99 and found["junk"] == 0
+
+
+def test_small_groups_and_languages_are_judged(spark):
+    rng = np.random.default_rng(5)
+    rows = [("clean", "en", f"s{k % 9}", prose(rng)) for k in range(90)] + [("junk", "en", f"s{k}", junk(rng)) for k in range(9)]
+    rows += [("rare", lang, "s1", prose(rng)) for lang in ("fr", None) for _ in range(10)] + [("odd", "fr", None, junk(rng))]
+    found = verdicts(spark, rows)
+    assert found["clean"] >= 0.98 and found["rare"] >= 0.95 and found["junk"] == found["odd"] == 0
