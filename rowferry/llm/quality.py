@@ -32,7 +32,8 @@ MIN_CORE = 30
 #: A group of fewer distinct documents than this is judged by its language's estimate over all
 #: sources, a language of fewer by that over all documents.
 MIN_GROUP = 60
-STEPS = 12
+#: Share of its log determinant by which a trial must fall to go on.
+TOLERANCE = 1e-4
 #: Squared distance that is rejected, in multiples of the number of statistics
 #: (the mean of a normal variable's). Text statistics have longer tails than normal ones.
 CUTOFF = 20.0
@@ -283,6 +284,8 @@ def _pools(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 def robust_estimates(vectors: DataFrame, pooled: bool = False) -> DataFrame:
     """Per group the estimate of least determinant that its starts lead to, and a scale for distances.
 
+    Each start of each group goes on until its own determinant no longer falls, whatever the others do.
+
     Every distinct vector of statistics counts once, so copies of a text have no more weight than the text.
     Groups under MIN_GROUP have the estimate of their language or of all documents if ``pooled``, else none.
     """
@@ -291,16 +294,15 @@ def robust_estimates(vectors: DataFrame, pooled: bool = False) -> DataFrame:
         vectors, judges = _pools(vectors)
     else:
         vectors = vectors.withColumn("level", F.lit(0))
-    estimates = settle(_starts(vectors), "estimates")
-    before = None
-    for _ in range(STEPS):
-        estimates = settle(_step(vectors, estimates), "estimates")
-        now = estimates.agg(F.sum("logdet")).first()[0]
-        if now is None or before is not None and before - now <= 1e-4 * max(1.0, abs(before)):
-            break
-        before = now
+    falling = settle(_step(vectors, settle(_starts(vectors), "estimates")), "estimates")
+    tried = falling
+    while not falling.isEmpty():
+        before = falling.select(*TRIAL, F.col("logdet").alias("before"))
+        now = settle(_joined(_step(vectors, falling), before, TRIAL), "estimates")
+        tried = tried.unionByName(now.drop("before"))
+        falling = now.where(F.col("before") - F.col("logdet") > TOLERANCE * F.greatest(F.lit(1.0), F.abs("before"))).drop("before")
     columns = [*CENTRE, *MATRIX, "logdet", "scale"]
-    best = estimates.groupBy(*POOL).agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("best"))
+    best = tried.groupBy(*POOL).agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("best"))
     best = best.select(*POOL, *(f"best.{c}" for c in columns))
     if not pooled:
         return settle(best.drop("level"), "estimates")

@@ -66,3 +66,16 @@ def test_small_groups_and_languages_are_judged(spark):
     rows += [("rare", lang, "s1", prose(rng)) for lang in ("fr", None) for _ in range(10)] + [("odd", "fr", None, junk(rng))]
     found = verdicts(spark, rows)
     assert found["clean"] >= 0.98 and found["rare"] >= 0.95 and found["junk"] == found["odd"] == 0
+
+
+def test_an_estimate_does_not_depend_on_other_groups(spark):
+    rng = np.random.default_rng(6)
+    # Correlated, skewed and half mixed: the slow one. The others have settled after a step or two.
+    slow = np.exp(rng.multivariate_normal(np.zeros(5), 0.9 * np.ones((5, 5)) + 0.1 * np.eye(5), 3000))
+    slow[:1300] += [0, 1, 2, 3, 4]
+    alone = pd.DataFrame(slow, columns=Q.STATISTICS).assign(lang="en", source="slow")
+    quick = [pd.DataFrame(rng.normal(size=(70, 5)) * 1e-3, columns=Q.STATISTICS).assign(lang="en", source=f"s{k}") for k in range(40)]
+    columns = [f"c{k}" for k in range(5)] + ["logdet", "scale"]
+    one = Q.robust_estimates(spark.createDataFrame(alone)).select(*columns).first()
+    both = Q.robust_estimates(spark.createDataFrame(pd.concat([alone, *quick]))).where("source = 'slow'").select(*columns).first()
+    assert np.allclose(one, both, rtol=1e-9)
