@@ -225,9 +225,9 @@ def _step(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
 def _starts(vectors: DataFrame) -> DataFrame:
     """Three starts about a pool's medians: scaled median deviations alone, and with the correlations of
     hyperbolic tangents or of directions, neither of which far documents can turn at will."""
-    medians = vectors.groupBy(*POOL).agg(F.count("*").alias("n"), *(F.median(s).alias(f"c{i}") for i, s in enumerate(STATISTICS)))
+    medians = vectors.groupBy(*POOL).agg(F.count("*").alias("n"), *(F.percentile_approx(s, 0.5, 10000).alias(f"c{i}") for i, s in enumerate(STATISTICS)))
     medians = settle(medians.where((F.col("n") >= MIN_GROUP) | (F.col("level") == 2)), "medians")
-    spread = [F.median(F.abs(F.col(s) - F.col(f"c{i}"))).alias(f"mad{i}") for i, s in enumerate(STATISTICS)]
+    spread = [F.percentile_approx(F.abs(F.col(s) - F.col(f"c{i}")), 0.5, 10000).alias(f"mad{i}") for i, s in enumerate(STATISTICS)]
     spreads = _joined(vectors, medians, POOL).groupBy(*POOL).agg(*spread)
     spreads = spreads.withColumns({f"mad{i}": F.sqrt(F.pow(1.4826 * F.col(f"mad{i}"), 2) + 1e-6) for i in range(P)})
     known = settle(_joined(medians, spreads, POOL), "spreads")

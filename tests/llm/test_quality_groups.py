@@ -79,3 +79,12 @@ def test_an_estimate_does_not_depend_on_other_groups(spark):
     one = Q.robust_estimates(spark.createDataFrame(alone)).select(*columns).first()
     both = Q.robust_estimates(spark.createDataFrame(pd.concat([alone, *quick]))).where("source = 'slow'").select(*columns).first()
     assert np.allclose(one, both, rtol=1e-9)
+
+
+def test_starts_hold_no_list_of_a_group(spark, monkeypatch):
+    def exact(*_):
+        raise AssertionError("the exact median gathers a group's values")
+
+    monkeypatch.setattr(Q.F, "median", exact)
+    rows = pd.DataFrame(np.random.default_rng(7).normal(size=(80, 5)), columns=Q.STATISTICS).assign(lang="en", source="s")
+    assert Q.robust_estimates(spark.createDataFrame(rows)).count() == 1
