@@ -4,12 +4,12 @@ The tokens of a page are its tags, each with the path of open elements, and
 its runs of text. Tokens of one host that occur equally often on every page
 share an occurrence vector and form a class; vectors are compared by sums of
 hashes over (page, count), so they are gathered by partial aggregation and no
-task holds a host. A class found on at least half of the host's pages, with
+task holds a host. A class found on at least half of the host's distinct pages, with
 several tokens, a tag among them, is valid if it nests: all of it lies in one
 slot between neighbours of the host's widest class. Valid classes make up the
-host's template. Blocks whose text is all in the template are dropped; what
-fills the slots is extracted, except slots that are no article by their
-elements or names.
+host's template. What fills the slots is extracted: the article or main element
+whole; on pages without one the slot with most of the text that differs, which
+names of asides only help to choose. Texts of the template outside it are dropped.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -32,6 +33,9 @@ MIN_PAGES = 3
 GATHERED = 200_000
 
 # Elements of HTML.
+CONTAINERS = frozenset("article aside center details div dl fieldset footer form header main menu nav ol search section table tbody td tr ul".split())
+LISTS = frozenset("dl menu ol ul".split())
+HEADING = re.compile("h[1-6]|hgroup")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -53,6 +57,7 @@ SIBLINGS = {
 ASIDE_ELEMENTS = frozenset(
     "head nav aside footer form button select textarea script style noscript template iframe svg math menu dialog object canvas audio video".split()
 )
+NEVER_ELEMENTS = frozenset("head button select textarea script style noscript template iframe svg math object canvas audio video".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 ASIDE_NAMES = frozenset(
@@ -74,26 +79,32 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 
 @lru_cache(maxsize=4096)
-def _aside(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds no article; ``inside`` an article."""
-    if name in ASIDE_ELEMENTS or name == "header" and not inside:
-        return True
+def _aside(name: str, attributes: str, inside: bool) -> int:
+    """How little an element holds an article: 0 for it may, 1 by its name or as a form, 2 by its kind, 3 if it is
+    not shown or holds comments. ``inside`` an article."""
+    if name in NEVER_ELEMENTS:
+        return 3
+    own = 1 if name == "form" else 2 if name in ASIDE_ELEMENTS or name == "header" and not inside else 0
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return own
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    if found.get("role", "").lower() in ASIDE_ROLES:
-        return True
+        return 3
+    role = found.get("role", "").lower()
+    if role in ASIDE_ROLES:
+        own = max(own, 1 if role == "form" else 2)
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     if name in ("html", "body", "main"):
-        return False
+        return own
     if name == "article":
-        return not (ASIDE_NAMES | COMMENT_NAMES).isdisjoint(names.split())
+        if not COMMENT_NAMES.isdisjoint(names.split()):
+            return 3
+        return max(own, int(not ASIDE_NAMES.isdisjoint(names.split())))
     parts = set(re.findall(r"[a-z]+", names))
     if not COMMENT_NAMES.isdisjoint(parts):
-        return True
-    return CONTENT_NAMES.isdisjoint(parts) and (not ASIDE_NAMES.isdisjoint(parts) or "header" in parts and not inside)
+        return 3
+    named = CONTENT_NAMES.isdisjoint(parts) and (not ASIDE_NAMES.isdisjoint(parts) or "header" in parts and not inside)
+    return max(own, int(named))
 
 
 @lru_cache(maxsize=4096)
@@ -104,8 +115,11 @@ def _main(name: str, attributes: str) -> int:
     return int(name == "main" or 'role="main"' in attributes or "role='main'" in attributes)
 
 
-def parse(html: str) -> Iterator[tuple[str, str, bool, int, bool]]:
-    """Tokens (kind, label or text, aside, main, in a link) in page order.
+def parse(html: str) -> Iterator[tuple[str, str, int, int, bool, tuple[int, int]]]:
+    """Tokens (kind, label or text, aside, main, in a link, saved) in page order.
+
+    An article or main element that opens in an aside of degree 1 or 2 is none itself;
+    ``saved`` is that degree and the element's number, else (0, 0).
 
     Kinds: '<' and '>' for opened and closed elements, 't' for text, 'b' for
     the border of a block, 's' for a space. Open paragraphs, list items and
@@ -113,8 +127,10 @@ def parse(html: str) -> Iterator[tuple[str, str, bool, int, bool]]:
     """
     names: list[str] = []
     paths: list[str] = [""]
-    asides: list[bool] = [False]
+    asides: list[int] = [0]
     mains: list[int] = [0]
+    saves: list[tuple[int, int]] = [(0, 0)]
+    opened = 0
     links = 0
     last = 0
 
@@ -123,15 +139,15 @@ def parse(html: str) -> Iterator[tuple[str, str, bool, int, bool]]:
         while len(names) > depth:
             name = names.pop()
             paths.pop()
-            aside, main = asides.pop(), mains.pop()
+            aside, main, saved = asides.pop(), mains.pop(), saves.pop()
             links -= name == "a"
             if name in BLOCK:
-                yield "b", "", aside, main, False
-            yield ">", f"{paths[-1]}</{name}", aside, main, False
+                yield "b", "", aside, main, False, saved
+            yield ">", f"{paths[-1]}</{name}", aside, main, False, saved
 
     for m in TOKEN.finditer(html):
         if m.start() > last:
-            yield "t", html[last : m.start()], asides[-1], mains[-1], links > 0
+            yield "t", html[last : m.start()], asides[-1], mains[-1], links > 0, saves[-1]
         last = m.end()
         name = m[3] or m[6]
         if not name:
@@ -159,20 +175,22 @@ def parse(html: str) -> Iterator[tuple[str, str, bool, int, bool]]:
                 yield from pop(depth)
         attributes = m[4] or m[7] or ""
         if name in VOID:
-            yield ("b" if name == "hr" else "s"), "", asides[-1], mains[-1], False
+            yield ("b" if name == "hr" else "s"), "", asides[-1], mains[-1], False, saves[-1]
             continue
-        main = max(mains[-1], _main(name, attributes))
-        aside = asides[-1] or _aside(name, attributes, mains[-1] == 2)
-        yield "<", f"{paths[-1]}<{name}", aside, main, False
+        opened += 1
+        own, kind, saved = _aside(name, attributes, mains[-1] == 2), _main(name, attributes), saves[-1]
+        main, aside = max(mains[-1], kind), max(asides[-1], own)
+        yield "<", f"{paths[-1]}<{name}", aside, main, False, saved
         if name in BLOCK:
-            yield "b", "", aside, main, False
+            yield "b", "", aside, main, False, saved
         names.append(name)
         paths.append(f"{paths[-1]}/{name}")
         asides.append(aside)
         mains.append(main)
+        saves.append(saved)
         links += name == "a"
     if last < len(html):
-        yield "t", html[last:], asides[-1], mains[-1], links > 0
+        yield "t", html[last:], asides[-1], mains[-1], links > 0, saves[-1]
 
 
 def text_token(run: str) -> str:
@@ -202,6 +220,12 @@ def host() -> Column:
     return F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
+def contents(pages: DataFrame) -> DataFrame:
+    """(host, key, html): the distinct contents of each host's pages."""
+    rows = pages.select(host().alias("host"), F.xxhash64("html").alias("key"), "html")
+    return rows.where("host <> ''").dropDuplicates(["host", "key"])
+
+
 def token_vectors(pages: DataFrame) -> DataFrame:
     """(host, token, pages, v, w, place): of each token its pages, its occurrence vector's hash in two sums, and the sum of its first places."""
     schema = "host string, token string, pages long, v long, w long, place long"
@@ -233,7 +257,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         if gathered:
             yield given()
 
-    rows = pages.select(host().alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), "html").where("host <> ''")
+    rows = contents(pages).select("host", "key", "html")
     sums = [F.sum(c).alias(c) for c in columns[2:]]
     return rows.mapInArrow(task, schema).groupBy("host", "token").agg(*sums)
 
@@ -241,9 +265,10 @@ def token_vectors(pages: DataFrame) -> DataFrame:
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """(host, template): the tokens of classes on at least half of the host's pages, by place, with their class.
 
-    A host with fewer than MIN_PAGES pages has no template.
+    Equal pages of a host count once. A host with fewer than MIN_PAGES distinct pages has no template.
     """
-    counts = pages.groupBy(host().alias("host")).agg(F.count("*").alias("all")).where(F.col("all") >= MIN_PAGES)
+    keys = pages.select(host().alias("host"), F.xxhash64("html").alias("key")).where("host <> ''").distinct()
+    counts = keys.groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= MIN_PAGES)
     often = token_vectors(pages).join(counts, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.col("all") / 2))
     token = F.struct((F.col("place") / F.col("pages")).alias("place"), "token")
     classes = often.groupBy("host", "pages", "v", "w").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
@@ -251,64 +276,143 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     return tagged.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("rank"), (-F.size("tokens")).alias("size"), "tokens"))).alias("template"))
 
 
-def nested_texts(template: list[list[tuple[float, str]]] | None) -> frozenset[str]:
-    """The text tokens of valid classes; classes come widest first, their tokens by place."""
+def nested_tokens(template: list[list[tuple[float, str]]] | None) -> frozenset[str]:
+    """The tokens of valid classes; classes come widest first, their tokens by place."""
     if not template:
         return frozenset()
     borders = [place for place, _ in template[0]]
-    texts = set()
+    found = set()
     for number, tokens in enumerate(template):
         slots = {sum(b < place for b in borders) for place, _ in tokens}
         if number == 0 or len(slots) == 1:
-            texts.update(t for _, t in tokens if t.startswith("#"))
-    return frozenset(texts)
+            found.update(t for _, t in tokens)
+    return frozenset(found)
+
+
+class Run(NamedTuple):
+    text: str
+    aside: int
+    main: int
+    link: bool
+    saved: tuple[int, int]
+    own: bool
+    slot: int
+    node: int
+
+
+def _size(runs: list[Run]) -> int:
+    return sum(len(r.text.strip()) for r in runs)
+
+
+def _article(runs: list[Run]) -> list[Run] | None:
+    """The runs in articles, else in main elements; None if there are none.
 
+    Articles that stand in a form, or in an element of an aside's name, count if one of them has more text than
+    the others have together; those in elements that are asides by their kind only if there are no others.
+    """
+    level = max((r.main for r in runs if not r.saved[0] and r.text.strip()), default=0)
+    plain = [r for r in runs if level and not r.saved[0] and r.main >= level]
+    for degree in (1, 2):
+        saved = [r for r in runs if r.saved[0] == degree]
+        best = max((r.main for r in saved if r.text.strip()), default=0)
+        sizes: dict[tuple[int, int], int] = {}
+        for r in saved:
+            sizes[r.saved] = sizes.get(r.saved, 0) + len(r.text.strip())
+        other = _size(plain) if level else 0 if degree == 1 else _size([r for r in runs if not r.saved[0] and not r.link])
+        if best and max(sizes.values()) > other and (degree == 1 or not level):
+            return [r for r in saved if r.main >= best]
+    return plain or None
+
+
+def _kept(blocks: list[list[Run]], parents: list[int], names: list[str]) -> list[list[Run]]:
+    """The blocks of a page without article or main elements that are no template and no navigation."""
+
+    def chain(node: int) -> Iterator[int]:
+        while node:
+            yield node
+            node = parents[node]
+
+    def nearest(block: list[Run]) -> int:
+        return next((n for n in chain(block[0].node) if names[n] in CONTAINERS), 0)
+
+    words: dict[int, int] = {}
+    varying: dict[int, int] = {}
+    prose = []
+    for number, block in enumerate(blocks):
+        for r in block:
+            size = len(r.text.strip())
+            if size and not r.link:
+                for n in (0, *chain(r.node)):
+                    words[n] = words.get(n, 0) + any(map(str.isalnum, r.text))
+                    if r.own and names[n] in CONTAINERS or not n:
+                        varying[n] = varying.get(n, 0) + size * r.own
+                if r.own and any(map(str.isalnum, r.text)):
+                    prose.append(number)
+        if any(HEADING.fullmatch(names[n]) for n in chain(block[0].node)) and any(r.own and r.text.strip() for r in block):
+            prose.append(number)
+    # The innermost element with most of the prose that differs from page to page; later elements are further in.
+    slot = max((n for n, size in varying.items() if 2 * size > varying[0]), default=0)
+    first, last = (min(prose), max(prose)) if prose else (len(blocks), -1)
+    out = []
+    for number, block in enumerate(blocks):
+        near, above = nearest(block), set(chain(block[0].node))
+        within = not slot or slot in above
+        between = within and first <= number <= last
+        if not any(r.own and r.text.strip() for r in block) and not (between or slot and near == slot):
+            continue
+        linked = 2 * _size([r for r in block if r.link]) > _size(block)
+        if linked:
+            continue
+        out.append(block)
+    return out
 
-def extract(html: str, template_texts: frozenset[str] = frozenset()) -> str:
+
+def extract(html: str, template: frozenset[str] = frozenset()) -> str:
     """The blocks of the article, joined by an empty line.
 
-    Text stands in the article, else in the main element, else outside of
-    blocks that are mostly links. A block goes if the template holds all its
-    runs of text; if it holds all blocks, the page is the template's only
-    filling and keeps its text.
+    Text stands in the article, else in the main element; nothing is dropped there but asides. On other pages the
+    article's slot is the innermost element with most of the text that differs from the host's other pages: blocks
+    that the template holds go if they lie outside it, as do lists and divisions of nothing but links. An element of
+    an aside's name holds the article if its slot of the template has more such text than all that is not named so.
+    If nothing is left the page is the template's only filling and keeps its text.
     """
-    blocks: list[list[tuple[str, int, bool, bool]]] = [[]]
-    for kind, label, aside, main, link in parse(html):
-        if kind == "b":
+    blocks: list[list[Run]] = [[]]
+    parents, names, stack, slot = [0], [""], [0], 0
+    for kind, label, aside, main, link, saved in parse(html):
+        if kind in "<>":
+            slot += label in template
+            if kind == "<":
+                parents.append(stack[-1])
+                names.append(label.rpartition("<")[2])
+                stack.append(len(names) - 1)
+            else:
+                stack.pop()
+        elif kind == "b":
             if blocks[-1]:
                 blocks.append([])
-        elif aside:
-            continue
-        elif kind == "s":
-            blocks[-1].append((" ", main, link, True))
-        elif kind == "t":
+        elif aside < 2:
             run = label.strip()
-            own = not run or text_token(run) not in template_texts
-            blocks[-1].append((unescape(label), main, link, own))
-    level = max((main for block in blocks for text, main, _, _ in block if text.strip()), default=0)
-
-    def joined(all_texts: bool) -> str:
-        out = []
-        for block in blocks:
-            kept = [(text, link) for text, main, link, _ in block if main >= level]
-            if not all_texts and not any(own and text.strip() for text, main, _, own in block if main >= level):
-                continue
-            text = " ".join("".join(t for t, _ in kept).split())
-            if not text:
-                continue
-            if level == 0 and 2 * sum(len(t.strip()) for t, link in kept if link) > len(text):
-                continue
-            out.append(text)
-        return "\n\n".join(out)
-
-    return joined(False) or joined(True)
+            own = kind == "t" and bool(run) and text_token(run) not in template
+            blocks[-1].append(Run(unescape(label) if kind == "t" else " ", aside, main, link, saved, own, slot, stack[-1]))
+    runs = [r for block in blocks for r in block]
+    chosen = _article([r for r in runs if not r.aside])
+    if chosen is None:
+        shown = [[r for r in block if not r.aside] for block in blocks]
+        shown = [block for block in shown if any(r.text.strip() for r in block)]
+        # Without a template each text is the page's own.
+        kept = _kept(shown, parents, names) or _kept([[r._replace(own=True) for r in block] for block in shown], parents, names)
+    else:
+        inside = set(map(id, chosen))
+        kept = [[r for r in block if id(r) in inside] for block in blocks]
+    texts = (" ".join("".join(r.text for r in block).split()) for block in kept)
+    return "\n\n".join(t for t in texts if t)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of each page; the text is empty where there is none, or no html.
 
     Rows are pages each for itself: repeated rows are extracted alike and count
-    as pages of their host. Pages without a host have no template.
+    once in their host's template. Pages without a host have no template.
     """
     pages = pages.select("page_id", "url", "html")
     templates = settle(deduce_templates(pages).select("host", F.col("template.tokens").alias("template")), "templates")
@@ -324,7 +428,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
                     if len(texts) > 1000:
                         texts.clear()
                     template = batch.column("template")[number].as_py()
-                    texts[name] = nested_texts(template and [[(x["place"], x["token"]) for x in tokens] for tokens in template])
+                    texts[name] = nested_tokens(template and [[(x["place"], x["token"]) for x in tokens] for tokens in template])
                 found.append(extract(html or "", texts[name]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
