@@ -180,6 +180,8 @@ def parse(html: str) -> Iterator[tuple[str, str, int, int, bool, tuple[int, int]
         opened += 1
         own, kind, saved = _aside(name, attributes, mains[-1] == 2), _main(name, attributes), saves[-1]
         main, aside = max(mains[-1], kind), max(asides[-1], own)
+        if kind and not own and 0 < asides[-1] < 3:
+            aside, saved = 0, (asides[-1], opened)
         yield "<", f"{paths[-1]}<{name}", aside, main, False, saved
         if name in BLOCK:
             yield "b", "", aside, main, False, saved
@@ -397,7 +399,14 @@ def extract(html: str, template: frozenset[str] = frozenset()) -> str:
     runs = [r for block in blocks for r in block]
     chosen = _article([r for r in runs if not r.aside])
     if chosen is None:
-        shown = [[r for r in block if not r.aside] for block in blocks]
+        sizes: dict[int, int] = {}
+        for r in runs:
+            if template and r.aside and r.own and not r.link:
+                sizes[r.slot] = sizes.get(r.slot, 0) + len(r.text.strip())
+        widest = max(sizes, key=lambda k: sizes[k], default=None)
+        if widest is not None and sizes[widest] <= _size([r for r in runs if not r.aside and r.own and not r.link]):
+            widest = None
+        shown = [[r for r in block if not r.aside or r.slot == widest] for block in blocks]
         shown = [block for block in shown if any(r.text.strip() for r in block)]
         # Without a template each text is the page's own.
         kept = _kept(shown, parents, names) or _kept([[r._replace(own=True) for r in block] for block in shown], parents, names)

@@ -1,6 +1,6 @@
 """What belongs to an article stays: equal texts, odd wrappers, links."""
 
-from rowferry.llm.pages import main_texts
+from rowferry.llm.pages import extract, main_texts
 
 
 def texts(spark, pages, host="a.example"):
@@ -20,3 +20,18 @@ def test_copies_of_a_page_count_once(spark):
     page = "<html><head><title>x</title></head><body><div>Site</div><div><p>Words of {n} here.</p><p>More of {n}.</p></div></body></html>"
     found = texts(spark, [page.format(n="a")] * 8 + [page.format(n="b"), page.format(n="c")])
     assert found[0] == found[7] == "Words of a here.\n\nMore of a." and found[9] == "Words of c here.\n\nMore of c."
+
+
+def test_articles_in_wrappers_and_forms():
+    for wrapper in ("div class='wrapper sidebar-left'", "form id=aspnetForm", "aside"):
+        end = wrapper.split()[0]
+        assert extract(f"<{wrapper}><p>menu</p><article><p>one</p></article></{end}>") == "one", wrapper
+    assert extract("<main><div class=related><article>x</article></div><article>the longer one</article></main>") == "the longer one"
+    assert extract("<div class=comments><article>no</article></div><p>yes</p>") == "yes"
+    assert extract("<article>a long enough text</article><aside><article>teaser</article></aside>") == "a long enough text"
+
+
+def test_slot_of_a_template_beats_names(spark):
+    page = "<body><div>Site</div><div class='sidebar-widget'><p>{n} a whole article of words.</p></div><div class='x'>{n}</div></body>"
+    found = texts(spark, [page.format(n=f"no{k}") for k in range(5)])
+    assert all("a whole article of words" in t for t in found.values())
