@@ -363,8 +363,9 @@ def _kept(blocks: list[list[Run]], parents: list[int], names: list[str]) -> list
         if not any(r.own and r.text.strip() for r in block) and not (between or slot and near == slot):
             continue
         linked = 2 * _size([r for r in block if r.link]) > _size(block)
-        if linked:
-            continue
+        if linked and near and near != slot and not words.get(near) and not any(HEADING.fullmatch(names[n]) for n in above):
+            if not within or not slot and (number < first or names[near] not in LISTS):
+                continue
         out.append(block)
     return out
 

@@ -35,3 +35,8 @@ def test_slot_of_a_template_beats_names(spark):
     page = "<body><div>Site</div><div class='sidebar-widget'><p>{n} a whole article of words.</p></div><div class='x'>{n}</div></body>"
     found = texts(spark, [page.format(n=f"no{k}") for k in range(5)])
     assert all("a whole article of words" in t for t in found.values())
+
+
+def test_links_of_an_article_stay():
+    page = "<ul><li><a>Home</a><li><a>News</a></ul><div><h1><a>Title</a></h1><p>Some prose of the page.</p><p><a>A long link</a> x</p><ul><li><a>Ref</a></ul></div><div><a>Next</a> | <a>Last</a></div>"
+    assert extract(page) == "Title\n\nSome prose of the page.\n\nA long link x\n\nRef"
