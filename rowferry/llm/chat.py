@@ -5,8 +5,9 @@ Inside roles and texts the control strings are escaped, so they stand only
 where the template put them. The bytes of a chunk of turns are laid out at
 once: the lengths of all segments give offsets, the offsets give the place of
 every byte, and headers and contents are copied into one buffer that becomes
-the Arrow column. A conversation of any length is cut into pieces at chunk
-ends, so no task holds a whole one.
+the Arrow column. Turns are dealt to tasks by ranges of conversation and turn,
+and a conversation is cut into pieces at the ends of ranges and chunks, so no
+task formats a whole long one; only its digest is made in sequence.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.text import chunks, column_bytes
+from rowferry.session import settled as settle
 
 # Fixed values of the template.
 HEAD = b"### "
@@ -76,9 +79,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
     turns = turns.select("conv_id", "turn", "role", "text")
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = turns.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # The beginning of a text parts repeated turn numbers in the order of whole texts.
+    ranges = turns.repartitionByRange(parts, "conv_id", "turn", "role", F.substring("text", 1, 64))
+    ordered = ranges.sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def task(batches):
+        number = TaskContext.get().partitionId()
         last, piece = object(), 0
         for batch in batches:
             for part, _, _ in chunks(batch, size=PIECE_BYTES):
@@ -103,16 +109,25 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("conv_id").take(pa.array(cuts[:-1])),
+                        pa.array([number] * len(pieces), pa.int32()),
                         pa.array(pieces, pa.int32()),
                         pa.array(np.diff(cuts)),
                         text.cast(pa.string()),
                         pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(cuts))).astype(np.int32)), loss),
                     ],
-                    ["conv_id", "piece", "n_turns", "text", "loss"],
+                    ["conv_id", "range", "piece", "n_turns", "text", "loss"],
                 )
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return ordered.mapInArrow(task, f"conv_id {kind}, piece int, n_turns long, text string, loss array<struct<start:long,end:long>>")
+    schema = f"conv_id {kind}, range int, piece int, n_turns long, text string, loss array<struct<start:long,end:long>>"
+    pieces = settle(ordered.mapInArrow(task, schema), "pieces")
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
+    later = counts.withColumn("first", F.sum("n").over(earlier)).where("first > 0")
+    p, f = pieces.alias("p"), later.alias("f")
+    joined = p.join(f, F.col("p.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("p.range") == F.col("f.range")), "left")
+    place = (F.col("p.piece") + F.coalesce(F.col("f.first"), F.lit(0))).cast("int").alias("piece")
+    return joined.select("p.conv_id", place, "p.n_turns", "p.text", "p.loss")
 
 
 def conversation_digests(pieces: DataFrame) -> DataFrame:

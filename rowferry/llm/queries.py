@@ -15,7 +15,7 @@ from rowferry.llm.quality import judge
 from rowferry.llm.secret_scan import BASE_RULES, find_secrets
 from rowferry.llm.tokens import pattern, read_tokens, token_digests, vocabulary, write_tokens
 from rowferry.llm.toxicity import score_texts, train
-from rowferry.session import scratch_path, settled as settle
+from rowferry.session import scratch_path
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Score from which a document counts as toxic.
@@ -164,7 +164,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(HARD_TEXT).alias("text"),
     )
     added = turns.select("conv_id", "turn", "role", "text").unionByName(hard.withColumn("turn", F.col("turn").cast("long")))
-    return conversation_digests(settle(format_conversations(added), "chat"))
+    return conversation_digests(format_conversations(added))
 
 
 OP9_SQL = r"""
