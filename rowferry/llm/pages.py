@@ -224,8 +224,11 @@ def host() -> Column:
 
 def contents(pages: DataFrame) -> DataFrame:
     """(host, key, html): the distinct contents of each host's pages."""
-    rows = pages.select(host().alias("host"), F.xxhash64("html").alias("key"), "html")
-    return rows.where("host <> ''").dropDuplicates(["host", "key"])
+    rows = pages.select(host().alias("host"), F.xxhash64("html").alias("key"), "html").where("host <> ''")
+    copied = settle(rows.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    # Only copies are dealt anew with their html.
+    once = rows.join(copied, ["host", "key"], "left_anti")
+    return once.unionByName(rows.join(copied, ["host", "key"], "left_semi").dropDuplicates(["host", "key"]))
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
