@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
 from rowferry.llm.language import predict_languages, settled_profiles
 from rowferry.llm.pages import main_texts
+from rowferry.llm.periodic import periodic_runs
 from rowferry.llm.quality import judge
 from rowferry.llm.secret_scan import BASE_RULES, find_secrets
 from rowferry.llm.tokens import pattern, read_tokens, token_digests, vocabulary, write_tokens
@@ -191,6 +193,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _planted(rows, counts: np.ndarray) -> np.ndarray:
+    """In one of ten rows, by the crc32 of the id, the words from a place on repeat with a period."""
+    crc = rows.column("crc").fill_null(1).to_numpy()
+    rest, n = crc // 10, np.maximum(counts, 1)
+    begin = rest % n
+    period = np.where(crc % 10 == 0, 1 + (counts - begin) // (3 + rest % 8), n)
+    begin = np.where(crc % 10 == 0, begin, 0)
+    first = np.cumsum(counts) - counts
+    base = np.repeat(first + begin, counts)
+    beyond = np.arange(counts.sum()) - base
+    return base + np.where(beyond < 0, beyond, beyond % np.repeat(period, counts))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("crc", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    found = periodic_runs(docs, ("doc_id", "crc"), reorder=_planted)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumns({"best": best, "lines": F.array_join(lines, "")})
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        "best.length",
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_similar_documents": op2_similar_documents,
@@ -202,6 +235,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL = {
