@@ -17,6 +17,7 @@ from rowferry.llm.quality import judge
 from rowferry.llm.secret_scan import BASE_RULES, find_secrets
 from rowferry.llm.tokens import pattern, read_tokens, token_digests, vocabulary, write_tokens
 from rowferry.llm.toxicity import score_texts, train
+from rowferry.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, code_vectors
 from rowferry.session import scratch_path
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -224,6 +225,45 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """The rounds one after the other, over one row a component; components are whole numbers throughout."""
+    steps = [f"""
+kept AS (
+  SELECT vec_id, label, embedding AS e, len(embedding) // {PARTS} AS m FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+comps AS MATERIALIZED (
+  SELECT vec_id, CAST((i - 1) // m AS INT) AS part, CAST((i - 1) % m AS INT) AS pos, CAST(floor({SCALE} * CAST(e[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT vec_id, e, m, unnest(range(1, len(e) + 1)) AS i FROM kept)),
+b0 AS MATERIALIZED (
+  SELECT k, part, pos, x AS c
+  FROM comps JOIN (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS k FROM kept ORDER BY vec_id LIMIT {ENTRIES}) USING (vec_id))"""]
+    for r in range(ROUNDS + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, part, min(d * {ENTRIES} + k) // {ENTRIES} AS d, CAST(min(d * {ENTRIES} + k) % {ENTRIES} AS INT) AS k
+  FROM (SELECT vec_id, part, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM comps JOIN b{r} USING (part, pos) GROUP BY vec_id, part, k)
+  GROUP BY vec_id, part)""")
+        if r < ROUNDS:
+            steps.append(f"""
+b{r + 1} AS MATERIALIZED (
+  SELECT k, part, pos, coalesce(n, c) AS c
+  FROM b{r} LEFT JOIN (
+    SELECT part, k, pos, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS n
+    FROM (SELECT part, k, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM comps JOIN a{r} USING (vec_id, part) GROUP BY part, k, pos))
+  USING (part, k, pos))""")
+    steps.append(f"""
+coded AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY vec_id)""")
+    return "WITH" + ",".join(steps) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, k, pos)) FROM b{ROUNDS}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_similar_documents": op2_similar_documents,
@@ -236,10 +276,12 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL = {
     "op1_decontaminate": OP1_SQL,
     "op2_similar_documents": OP2_SQL,
     "op9_chat_format": OP9_SQL,
+    "op13_vector_codes": _op13_sql(),
 }
