@@ -11,6 +11,7 @@ from rowferry.llm.chat import conversation_digests, format_conversations
 from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
 from rowferry.llm.language import predict_languages, settled_profiles
+from rowferry.llm.neighbours import nearest_vectors
 from rowferry.llm.pages import main_texts
 from rowferry.llm.periodic import periodic_runs
 from rowferry.llm.quality import judge
@@ -194,6 +195,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def _planted(rows, counts: np.ndarray) -> np.ndarray:
     """In one of ten rows, by the crc32 of the id, the words from a place on repeat with a period."""
     crc = rows.column("crc").fill_null(1).to_numpy()
@@ -275,6 +280,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op11_nearest_vectors": op11_nearest_vectors,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
 }
