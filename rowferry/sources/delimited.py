@@ -14,8 +14,7 @@ from pyspark.sql import types as T
 
 from rowferry.functions.text import clean_header, is_complex_line, read_null, split_quoted, trim_cells
 from rowferry.plans.spec import PREVIEW_ROWS, SAMPLE_ROWS, decode_delimiter, quote_name, unused_name
-from rowferry.session import settled
-from rowferry.sources.records import Records, cut_records
+from rowferry.sources.records import Layout, Records, cut_records, file_layout, fixed_lines, place
 
 # Fixed value: what a preview shows for a file with only a header.
 NO_DATA = "(No data)"
@@ -24,7 +23,7 @@ NO_DATA = "(No data)"
 NULL_MARK = "\x00null\x00"
 
 
-def csv_options(sep: str, header: bool = False) -> dict[str, str]:
+def csv_options(sep: str, header: bool = False, multi_line: bool = True) -> dict[str, str]:
     """Reader options of the standard dialect: a quote is escaped by doubling it.
 
     A cell with nothing is NULL, a quoted cell with nothing is empty text.
@@ -34,7 +33,7 @@ def csv_options(sep: str, header: bool = False) -> dict[str, str]:
         "header": str(header).lower(),
         "quote": '"',
         "escape": '"',
-        "multiLine": "true",
+        "multiLine": str(multi_line).lower(),
         "encoding": "UTF-8",
         "mode": "PERMISSIVE",
         "nullValue": NULL_MARK,
@@ -60,17 +59,36 @@ def header_names(cells: Sequence[str | None]) -> list[str]:
 MISFIT = "misfit"
 
 
+def _named(cells: DataFrame, prefix: str, names: Sequence[str], misfit: bool, taken: Sequence[str] = ()) -> DataFrame:
+    """Text columns from parsed cells; ``misfit`` marks records with another number of cells."""
+    columns = [F.col(f"{prefix}c{i}").alias(n) for i, n in enumerate(names)]
+    if len(names) == 1:
+        columns = [read_null(F.col(f"{prefix}c0")).alias(names[0])]
+    if misfit:
+        # The reader gives the record at fault only beside another column.
+        any_cell = F.col(f"{prefix}c0").isNull() | (F.length(f"{prefix}c0") >= 0)
+        columns.append((F.col(f"{prefix}bad").isNotNull() & any_cell).alias(unused_name(MISFIT, taken or names)))
+    return cells.select(*columns)
+
+
 def _parsed(records: DataFrame, names: Sequence[str], sep: str, misfit: bool, taken: Sequence[str] = ()) -> DataFrame:
-    """Text columns from records; ``misfit`` marks records with another number of cells."""
+    """Columns from records."""
     schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "bad string"])
     options = csv_options(sep) | {"columnNameOfCorruptRecord": "bad"}
     cells = records.where("record <> ''").select(F.from_csv("record", schema, options).alias("cells"))
-    columns = [F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)]
-    if len(names) == 1:
-        columns = [read_null(F.col("cells.c0")).alias(names[0])]
-    if misfit:
-        columns.append(F.col("cells.bad").isNotNull().alias(unused_name(MISFIT, taken or names)))
-    return cells.select(*columns)
+    return _named(cells, "cells.", names, misfit, taken)
+
+
+def _scanned(
+    spark: SparkSession, path: str | Sequence[str], names: Sequence[str], sep: str, header: bool, misfit: bool, others: Sequence[str], taken: Sequence[str]
+) -> DataFrame:
+    """Columns of plain files: lines are split, cut and pruned by the scan itself, which leaves out each file's header."""
+    options = csv_options(sep, header, multi_line=False) | {"columnNameOfCorruptRecord": "bad"}
+    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), *(["bad string"] if misfit else [])])
+    cells = spark.read.schema(schema).options(**options).csv(path if isinstance(path, str) else list(path))
+    if others:
+        cells = cells.where(~F.col("_metadata.file_path").isin(list(others)))
+    return _named(cells, "", names, misfit, taken)
 
 
 def read_delimited(
@@ -94,8 +112,7 @@ def read_delimited(
     ``misfit`` adds a last column that tells records with too few or too many cells.
     """
     sep = decode_delimiter(sep, multi_char)
-    found = cut_records(spark, path, sep)
-    df = _with_headers(spark, found, sep, misfit) if header else _without_header(spark, found, sep, misfit)
+    df = _all_files(spark, path, sep, header, misfit)
     if columns is not None:
         df = df.select(*[quote_name(c) for c in columns], *([quote_name(df.columns[-1])] if misfit else []))
     return df.withColumnsRenamed(dict(rename)) if rename else df
@@ -105,51 +122,73 @@ def _nothing(spark: SparkSession, misfit: bool) -> DataFrame:
     return spark.createDataFrame([], T.StructType([T.StructField(MISFIT, T.BooleanType())] if misfit else []))
 
 
-def _without_header(spark: SparkSession, found: Records, sep: str, misfit: bool) -> DataFrame:
-    first = found.heads.orderBy("file").head()
+def _all_files(spark: SparkSession, path: str | Sequence[str], sep: str, header: bool, misfit: bool) -> DataFrame:
+    """Plain files by one scan, the others as records; each part with the names of its header."""
+    first = next(iter(_head(spark, path, 1)[1]), None)
     if first is None:
         return _nothing(spark, misfit)
-    names = [f"Column{i + 1}" for i in range(len(_cells(spark, first.record, sep)))]
-    return _parsed(found.rows, names, sep, misfit)
-
-
-def _with_headers(spark: SparkSession, found: Records, sep: str, misfit: bool) -> DataFrame:
-    # One row for each header in use, in the order of the files that begin with it.
-    headers = found.heads.groupBy("record").agg(F.min("file").alias("file")).orderBy("file").collect()
-    if not headers:
+    layout = file_layout(spark, path, sep, first, header)
+    found = cut_records(spark, path, sep, layout.others, layout.spanning) if layout.others else None
+    if not header:
+        return _without_header(spark, path, sep, misfit, layout, found)
+    # (first file that begins with it, header, its part), the parts' column names not yet settled.
+    groups = [] if layout.first is None else [(layout.first, layout.head, None)]
+    if found is not None:
+        # One row for each header in use.
+        heads = found.heads.groupBy("record").agg(F.min("file").alias("file")).collect()
+        groups += [(h.file, h.record, rows) for h, rows in zip(heads, _bodies(found, [h.record for h in heads]))]
+    if not groups:
         return _nothing(spark, misfit)
-    heads = found.heads.select("file", F.col("line").alias("head_line"), F.col("piece").alias("head_piece"))
-    if len(headers) == 1:
-        # Lines before a header are empty.
-        names = header_names(_cells(spark, headers[0].record, sep))
-        at = heads.select("head_line", "head_piece")
-        body = found.rows.join(at, (F.col("line") == F.col("head_line")) & (F.col("piece") <= F.col("head_piece")), "left_anti")
-        return _parsed(body, names, sep, misfit)
-    body = found.rows.join(found.heads.select("file", F.col("line").alias("head_line"), F.col("piece").alias("head_piece"), F.col("record").alias("header")), "file")
-    body = body.where("line > head_line OR line = head_line AND piece > head_piece")
-    names = [header_names(_cells(spark, h.record, sep)) for h in headers]
+    groups.sort(key=lambda g: g[0])
+    names = [header_names(_cells(spark, record, sep)) for _, record, _ in groups]
     every = list(dict.fromkeys(n for own in names for n in own))
     parts = [
-        _parsed(body.where(F.col("header") == h.record), own, sep, misfit, every) for h, own in zip(headers, names)
+        _scanned(spark, path, own, sep, True, misfit, layout.others, every) if rows is None else _parsed(rows, own, sep, misfit, every)
+        for own, (_, _, rows) in zip(names, groups)
     ]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df.select(*[quote_name(c) for c in every], *([quote_name(unused_name(MISFIT, every))] if misfit else []))
 
 
+def _without_header(spark: SparkSession, path: str | Sequence[str], sep: str, misfit: bool, layout: Layout, found: Records | None) -> DataFrame:
+    firsts = [] if layout.first is None else [(layout.first, None)]
+    if found is not None and (head := found.heads.orderBy("file").head()) is not None:
+        firsts.append((head.file, head.record))
+    if not firsts:
+        return _nothing(spark, misfit)
+    record = min(firsts)[1] or next(iter(_head(spark, path, 1)[1]))
+    names = [f"Column{i + 1}" for i in range(len(_cells(spark, record, sep)))]
+    parts = [] if layout.first is None else [_scanned(spark, path, names, sep, False, misfit, layout.others, names)]
+    if found is not None:
+        parts.append(_parsed(found.rows, names, sep, misfit))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _bodies(found: Records, headers: Sequence[str]) -> list[DataFrame]:
+    """The records behind the header, for each header; what stands before one is empty."""
+    heads = found.heads.select("file", F.col("line").alias("head_line"), F.col("piece").alias("head_piece"), F.col("record").alias("header"))
+    body = found.rows.join(heads, "file").where("line > head_line OR line = head_line AND piece > head_piece")
+    return [body.where(F.col("header") == h) for h in headers]
+
+
 def record_lines(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_char: bool = False) -> DataFrame:
-    """Records that are not empty as ``value``, with the ``position`` that orders them."""
-    rows = cut_records(spark, path, decode_delimiter(sep, multi_char)).rows
-    return rows.where("record <> ''").select(F.col("record").alias("value"), F.struct("file", "line", "piece").alias("position"))
+    """Records that are not empty as ``value``, with the ``position`` that orders them in one run of the plan."""
+    sep = decode_delimiter(sep, multi_char)
+    layout = file_layout(spark, path, sep, None, False)
+    plain = spark.read.text(path if isinstance(path, str) else list(path))
+    if layout.others:
+        plain = plain.where(~F.col("_metadata.file_path").isin(list(layout.others)))
+    plain = plain.where(F.length("value") > 0).select("value", *place())
+    lines = plain.select("value", F.struct("file", "line", F.lit(0).alias("piece")).alias("position"))
+    if not layout.others:
+        return lines
+    rows = cut_records(spark, path, sep, layout.others, layout.spanning).rows.where("record <> ''")
+    return lines.unionByName(rows.select(F.col("record").alias("value"), F.struct("file", "line", "piece").alias("position")))
 
 
 def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Non-empty lines with the ``position`` (file, split, line) that orders them."""
-    position = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    return spark.read.text(path).where(F.length("value") > 0).select("value", position.alias("position"))
+    """Non-empty lines with the ``position`` (file, split, line) that orders them in one run of the plan."""
+    return spark.read.text(path).where(F.length("value") > 0).select("value", F.struct(*place()).alias("position"))
 
 
 def _head(spark: SparkSession, path: str | Sequence[str], n: int) -> tuple[str | None, list[str]]:
@@ -170,14 +209,28 @@ def _head(spark: SparkSession, path: str | Sequence[str], n: int) -> tuple[str |
         last = first
 
 
-def _without_headers(lines: DataFrame, first: str) -> DataFrame:
-    """Drop the first line of every file if it is the header line.
+def _without_headers(spark: SparkSession, path: str | Sequence[str], first: str) -> DataFrame:
+    """Non-empty lines without the first one of every file that is the header line.
 
-    A later line that happens to equal the header is data and stays.
+    A later line that happens to equal the header is data and stays. Where a
+    header occurs once in its file its text tells it; lines of the files where
+    it does not are written once, and their first ones told by their place.
     """
-    firsts = lines.groupBy("position.file").agg(F.min(F.struct("position", "value")).alias("head"))
-    drop = settled(firsts.where(F.col("head.value") == F.lit(first)).select(F.col("head.position.line").alias("header_line")), "headers")
-    return lines.join(drop, F.col("position.line") == F.col("header_line"), "left_anti")
+    lines = text_lines(spark, path)
+    line, is_head = F.col("position.line"), F.col("value") == F.lit(first)
+    facts = lines.groupBy(F.col("position.file").alias("file")).agg(
+        F.count_if(is_head).alias("n"), F.min(line).alias("first"), F.min(F.when(is_head, line)).alias("head")
+    )
+    unclear = (F.col("n") > 1) | (F.col("n") == 1) & (F.col("first") != F.col("head"))
+    others = [r.file for r in facts.where(unclear).select("file").collect()]
+    plain = lines.where(~is_head)
+    if not others:
+        return plain.select("value")
+    fixed = fixed_lines(spark, path, others).where(F.length("value") > 0)
+    firsts = fixed.groupBy("file").agg(F.min("line").alias("line"))
+    at_head = fixed.where(is_head).join(firsts, ["file", "line"]).select("file", "line")
+    kept = fixed.join(at_head, ["file", "line"], "left_anti")
+    return plain.where(~F.col("position.file").isin(others)).select("value").unionByName(kept.select("value"))
 
 
 def read_lenient(
@@ -199,9 +252,7 @@ def read_lenient(
         return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names or []]))
     head = spark.createDataFrame([(first,)], "value string").select(split_quoted(F.col("value"), sep).alias("cells"))
     found = head.select(F.transform("cells", clean_header).alias("cells")).head().cells
-    rows = text_lines(spark, path)
-    if header:
-        rows = _without_headers(rows, first)
+    rows = _without_headers(spark, path, first) if header else text_lines(spark, path)
     names = list(names) if names else (found if header else [f"Column{i}" for i in range(1, len(found) + 1)])
     cells = rows.select(split_quoted(F.col("value"), sep).alias("cells"))
     return cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])

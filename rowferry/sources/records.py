@@ -1,7 +1,10 @@
 """Delimited files cut into records in parallel, wherever lines and splits end.
 
 Records end at a line feed, at a carriage return or at both, outside of quoted
-cells. Files are read in splits. What a line's quotes do to the state "inside a
+cells. One scan tells which files are plain: there every line is a record, and
+the reader's own lines are used. The lines of the other files are written once
+with their place, so that no later job numbers them otherwise, and are joined
+where cells run over their ends. What a line's quotes do to the state "inside a
 quoted cell" is a function of that state, and such functions compose: first
 within a split, then over the splits of a file. Lines of splits that no cell
 crosses are records as they are and meet no shuffle; the others are placed by
@@ -12,7 +15,9 @@ grouped.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,28 +30,28 @@ CLOSES, SWAPS, KEEPS, OPENS = 0, 1, 2, 3
 # Stands for a record end within a line while records are taken apart.
 RECORD_END = "\x00\r\x00"
 
+# The signs that a line reader takes for blanks.
+BLANKS = "".join(map(chr, range(33)))
+
+# So many bytes of a file tell which sign ends its lines.
+TOLD_BYTES = 1 << 16
+
 
 def _ends_inside(line: Column, sep: str, inside: bool) -> Column:
     """Whether a line that starts in or out of a quoted cell ends inside one.
 
-    The line is walked quote by quote. A quote opens a cell only at its start,
-    two quotes inside a cell are one, a quote anywhere else is text.
+    A quote opens a cell only at its start, two quotes inside a cell are one, a
+    quote anywhere else is text. No repetition of the pattern gives anything
+    back, so that a line is walked once.
     """
-    outside, within, closing, first = 0, 1, 2, 3
-
-    def step(state: Column, part: Column) -> Column:
-        mode = (
-            F.when(state["mode"] == first, F.lit(within if inside else outside))
-            .when(state["mode"] == outside, F.when(state["edge"], F.lit(within)).otherwise(F.lit(outside)))
-            .when(state["mode"] == within, F.lit(closing))
-            .otherwise(F.lit(within))
-        )
-        after = F.when((mode == closing) & (part != ""), F.lit(outside)).otherwise(mode)
-        edge = F.endswith(part, F.lit(sep)) | F.endswith(part, F.lit("\r")) | ((state["mode"] == first) & (part == ""))
-        return F.struct(after.alias("mode"), edge.alias("edge"))
-
-    start = F.struct(F.lit(first).alias("mode"), F.lit(False).alias("edge"))
-    return F.aggregate(F.split(line, '"', -1), start, step, lambda s: (s["mode"] == within).cast("int"))
+    # One sign: a class is faster than looking ahead at every sign.
+    apart = "".join(f"\\x{{{ord(c):x}}}" for c in sep)
+    edge, other = (f"[{apart}\r\n]", f"[^{apart}\r\n]") if len(sep) == 1 else (f"(?:{apart}|[\r\n])", f"(?:(?!{apart})[^\r\n])")
+    within = '[^"]*+(?:""[^"]*+)*+'
+    cells = f'(?:(?:"{within}"{other}*+|(?!"){other}++|){edge})*+'
+    opened = f'{cells}"{within}'
+    pattern = f'(?:{within}(?:"{other}*+{edge}{opened})?+)' if inside else opened
+    return F.rlike(line, F.lit(f"\\A{pattern}\\z")).cast("int")
 
 
 def quote_effect(line: Column, sep: str) -> Column:
@@ -54,16 +59,79 @@ def quote_effect(line: Column, sep: str) -> Column:
     return F.when(F.contains(line, F.lit('"')), effect).otherwise(F.lit(KEEPS))
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str], sep: str) -> DataFrame:
-    """Lines with their place (file, split, line) and the effect of their quotes."""
-    lines = spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path))
-    return lines.select(
-        F.col("value"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
-        quote_effect(F.col("value"), sep).alias("effect"),
+def _files(path: str | Sequence[str]) -> str | list[str]:
+    return path if isinstance(path, str) else list(path)
+
+
+def place() -> list[Column]:
+    """Columns that order lines within one run of a plan; another run may number them otherwise."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")]
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What one scan tells of files whose lines end at LF, CR or both.
+
+    In a plain file every line that is not empty is a record, the first one is
+    ``head``, and there are no lines of blanks alone. Nothing here depends on
+    how the files are split.
+    """
+
+    head: str | None  # the first line of the first plain file, a header if there are any
+    first: str | None  # the first plain file
+    others: tuple[str, ...]  # files that are not plain
+    spanning: bool  # whether a cell of any of them runs over a line end
+
+
+def file_layout(spark: SparkSession, path: str | Sequence[str], sep: str, head: str | None, header: bool) -> Layout:
+    """Which files are plain: where ``header`` is asked, only files that begin with ``head`` are."""
+    value, line = F.col("value"), F.col("line")
+    lines = spark.read.text(_files(path)).select("value", *place())
+    spans = F.when(F.contains(value, F.lit('"')), _ends_inside(value, sep, False)).otherwise(0)
+    blank = (F.btrim(value, F.lit(BLANKS)) == "").cast("int")
+    facts = lines.groupBy("file").agg(
+        F.max(spans).alias("spans"),
+        F.max(F.when(F.length(value) > 0, blank).otherwise(0)).alias("blank"),
+        F.min(line).alias("first"),
+        F.min(F.when(F.length(value) > 0, line)).alias("filled"),
+        F.min(F.when(value == F.lit(head), line)).alias("head"),
     )
+    plain = (F.col("spans") == 0) & (F.col("blank") == 0) & (F.col("first") == F.col("filled"))
+    if header:
+        plain &= F.col("first").eqNullSafe(F.col("head"))
+    plain = F.coalesce(plain, F.lit(False))
+    # Paths only of files that need the longer way.
+    found = facts.where(F.col("filled").isNotNull()).agg(F.min(F.when(plain, F.col("file"))).alias("first"), F.collect_list(F.when(~plain, F.col("file"))).alias("others"), F.max("spans").alias("spans")).head()
+    return Layout(head if found.first is not None else None, found.first, tuple(sorted(found.others)), bool(found.spans))
+
+
+def _ends(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
+    """The files by the sign that ends most of their lines, told by their first bytes.
+
+    Only the number of tasks depends on it: records are the same either way.
+    """
+
+    def told(file: str) -> str:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+        try:
+            some = bytes(stream.readNBytes(TOLD_BYTES))
+        finally:
+            stream.close()
+        return "\n" if some.count(b"\n") >= some.count(b"\r") else "\r"
+
+    groups: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(8) as pool:
+        for file, end in zip(files, pool.map(told, files)):
+            groups.setdefault(end, []).append(file)
+    return groups
+
+
+def fixed_lines(spark: SparkSession, path: str | Sequence[str], files: Sequence[str], end: str | None = None, **more: Column) -> DataFrame:
+    """Lines of the given files with their place and more columns, written once: the place stays whatever runs later."""
+    read = spark.read if end is None else spark.read.option("lineSep", end)
+    lines = read.text(_files(path)).where(F.col("_metadata.file_path").isin(list(files)))
+    return settled(lines.select("value", *place(), *(c.alias(n) for n, c in more.items())), "lines")
 
 
 def _with_states(rows: DataFrame, keys: Sequence[str], order: str, incoming: Column, before: str, after: str) -> DataFrame:
@@ -91,55 +159,64 @@ class Records:
     """Records with their place, and the first record of each file."""
 
     rows: DataFrame  # record, file, line (of the first line), piece (within the line)
-    heads: DataFrame  # file, line, record of the first record that is not empty
+    heads: DataFrame  # file, line, piece, record of the first record that is not empty
+
 
+def cut_records(spark: SparkSession, path: str | Sequence[str], sep: str, files: Sequence[str], spanning: bool = True) -> Records:
+    """Every record of the given files, empty ones included; a last cell that never closes runs to the end of its file.
 
-def cut_records(spark: SparkSession, path: str | Sequence[str], sep: str) -> Records:
-    """Every record of the files, empty ones included; a last cell that never closes runs to the end of its file."""
-    lines = read_lines(spark, path, sep)
-    filled = F.length(F.replace("value", F.lit("\r"), F.lit(""))) > 0
-    facts = lines.groupBy("file", "start").agg(
+    ``spanning`` tells whether a cell of any of them may run over a line end.
+    """
+    effect = quote_effect(F.col("value"), sep)
+    parts = [_cut(fixed_lines(spark, path, group, end, effect=effect), end, spanning) for end, group in sorted(_ends(spark, files).items())]
+    return Records(reduce(DataFrame.unionByName, [p.rows for p in parts]), reduce(DataFrame.unionByName, [p.heads for p in parts]))
+
+
+def _cut(lines: DataFrame, end: str, spanning: bool) -> Records:
+    filled = F.length(F.btrim("value", F.lit("\r\n"))) > 0
+    fixed = F.col("effect").isin(CLOSES, OPENS)
+    splits = lines.groupBy("file", "start").agg(
         F.max((F.col("effect") % 2 == 1).cast("int")).alias("opens"),
         F.min(F.when(filled, F.col("line"))).alias("line"),
-        F.min_by(F.when(filled, F.col("value")), F.when(filled, F.col("line"))).alias("value"),
-        F.min_by(F.when(filled, F.col("effect")), F.when(filled, F.col("line"))).alias("effect"),
+        # The last line that fixes the state, and the state.
+        F.max(F.when(fixed, 2 * F.col("line") + (F.col("effect") == OPENS).cast("int"))).alias("fixed"),
     )
-    facts = settled(facts, "splits")
-    first = F.min(F.when(F.col("line").isNotNull(), F.struct("line", "value", "effect"))).alias("head")
-    heads = facts.groupBy("file").agg(first).where("head IS NOT NULL").select("file", "head.*")
-    whole = lines.select("value", "file", "line")
-    if not facts.where("opens = 1").isEmpty():
-        whole = _joined_lines(lines, facts)
-    rows = _pieces(whole)
-    if heads.where("effect % 2 = 1").isEmpty():
-        first_records = _pieces(heads.select("value", "file", "line"))
+    splits = settled(splits, "splits")
+    first = splits.groupBy("file").agg(F.min("line").alias("line")).where("line IS NOT NULL")
+    heads = settled(lines.join(first, ["file", "line"]).select("file", "line", "value", "effect"), "heads")
+    rows = _pieces(_joined_lines(lines, splits, end) if spanning else lines.select("value", "file", "line"), end)
+    simple = not spanning or heads.where("effect % 2 = 1").isEmpty()
+    first_records = _pieces(heads.select("value", "file", "line"), end) if simple else rows.join(heads.select("file", "line"), ["file", "line"])
+    found = first_records.where("record <> ''").groupBy("file", "line").agg(F.min_by(F.struct("piece", "record"), "piece").alias("first"))
+    found = found.select("file", "line", "first.piece", "first.record")
+    return Records(rows, found if simple else settled(found, "heads"))
+
+
+def _pieces(lines: DataFrame, end: str) -> DataFrame:
+    """Records within whole lines: outside of quotes the other line end is one too."""
+    value, other = F.col("value"), "\r" if end == "\n" else "\n"
+    # Of CR and LF together, one has ended the line and the other stands at its edge.
+    if end == "\n":
+        clean = F.when(F.endswith(value, F.lit(other)), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
     else:
-        first_records = rows.join(heads.select("file", "line"), ["file", "line"])
-    first_records = first_records.where("record <> ''")
-    found = first_records.groupBy("file", "line").agg(F.min_by(F.struct("piece", "record"), "piece").alias("first"))
-    return Records(rows, settled(found.select("file", "line", "first.piece", "first.record"), "heads"))
-
-
-def _pieces(lines: DataFrame) -> DataFrame:
-    """Records within whole lines: carriage returns outside of quotes end records."""
-    value = F.col("value")
-    clean = F.when(F.endswith(value, F.lit("\r")), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
+        clean = F.when(F.startswith(value, F.lit(other)), F.substring(value, F.lit(2), F.length(value))).otherwise(value)
     parts = F.transform(
         F.split(clean, '"', -1),
-        lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit("\r"), F.lit(RECORD_END))).otherwise(part),
+        lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(other), F.lit(RECORD_END))).otherwise(part),
     )
-    pieces = F.when(F.contains(clean, F.lit("\r")), F.split(F.array_join(parts, '"'), RECORD_END, -1)).otherwise(F.array(clean))
+    pieces = F.when(F.contains(clean, F.lit(other)), F.split(F.array_join(parts, '"'), RECORD_END, -1)).otherwise(F.array(clean))
     return lines.select("file", "line", F.posexplode(pieces).alias("piece", "record"))
 
 
-def _joined_lines(lines: DataFrame, facts: DataFrame) -> DataFrame:
+def _joined_lines(lines: DataFrame, splits: DataFrame, end: str) -> DataFrame:
     """Lines, those of one record that spans lines joined."""
-    # Splits as functions of the state: what their lines with quotes do, one after the other.
-    quoted = lines.where(F.col("effect") != KEEPS).select("file", "start", "line", "effect")
-    ends = _with_states(quoted, ["file", "start"], "line", F.lit(0), "b0", "a0")
-    ends = _with_states(ends, ["file", "start"], "line", F.lit(1), "b1", "a1")
-    effects = ends.groupBy("file", "start").agg(F.max_by(F.col("a0") + 2 * F.col("a1"), "line").alias("effect"))
-    splits = facts.select("file", "start", "opens").join(effects, ["file", "start"], "left").withColumn("effect", F.coalesce("effect", F.lit(KEEPS)))
+    # Splits as functions of the state: fixed by their last line that fixes it, and the swaps since.
+    swaps = lines.where(F.col("effect") == SWAPS).select("file", "start", "line").join(splits.select("file", "start", "fixed"), ["file", "start"])
+    since = swaps.where(F.col("fixed").isNull() | (2 * F.col("line") > F.col("fixed"))).groupBy("file", "start").agg((F.count("*") % 2).alias("swaps"))
+    splits = splits.join(since, ["file", "start"], "left").withColumn("swaps", F.coalesce("swaps", F.lit(0)))
+    state = (F.col("fixed") % 2 + F.col("swaps")) % 2
+    effect = F.when(F.col("fixed").isNull(), F.when(F.col("swaps") == 1, SWAPS).otherwise(KEEPS)).otherwise(F.when(state == 1, OPENS).otherwise(CLOSES))
+    splits = splits.select("file", "start", "opens", effect.alias("effect"))
     states = _with_states(splits, ["file"], "start", F.lit(0), "incoming", "outgoing")
     crossed = settled(states.where("opens = 1 OR incoming = 1").select("file", "start", "incoming"), "crossed")
 
@@ -156,5 +233,5 @@ def _joined_lines(lines: DataFrame, facts: DataFrame) -> DataFrame:
     carried = begun.select("file", "start", F.last("latest", ignorenulls=True).over(earlier).alias("carried"))
     owned = spanning.join(carried, ["file", "start"]).withColumn("owner", F.coalesce("first", "carried"))
     gathered = owned.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "line", "value"))).alias("parts"))
-    joined = gathered.select(F.array_join("parts.value", "\n").alias("value"), "file", F.col("owner").alias("line"))
+    joined = gathered.select(F.array_join("parts.value", end).alias("value"), "file", F.col("owner").alias("line"))
     return alone.unionByName(single).unionByName(joined)
