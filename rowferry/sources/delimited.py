@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from rowferry.functions.text import clean_header, is_complex_line, read_null, split_quoted, trim_cells
 from rowferry.plans.spec import PREVIEW_ROWS, SAMPLE_ROWS, decode_delimiter, quote_name, unused_name
-from rowferry.sources.records import Layout, Records, cut_records, file_layout, fixed_lines, place
+from rowferry.sources.records import Layout, Records, cut_records, file_layout, fixed_lines, literal_path, place
 
 # Fixed value: what a preview shows for a file with only a header.
 NO_DATA = "(No data)"
@@ -203,7 +203,7 @@ def _head(spark: SparkSession, path: str | Sequence[str], n: int) -> tuple[str |
         first = sizes.agg(F.min("path")).head()[0] if last is None else sizes.where(F.col("path") > last).agg(F.min("path")).head()[0]
         if first is None:
             return None, []
-        lines = spark.read.text(first).where(F.length("value") > 0).take(n)
+        lines = spark.read.text(literal_path(first)).where(F.length("value") > 0).take(n)
         if lines:
             return first, [r.value for r in lines]
         last = first
@@ -306,8 +306,8 @@ def sample_file(
     if loose is None:
         loose = not spark.createDataFrame([(lines[0],)], "value string").where(is_complex_line(F.col("value"), sep)).isEmpty()
     if loose:
-        return preview_file(spark, first, sep, header, keep_quotes=False)
-    records = spark.read.options(**csv_options(sep, header)).csv(first)
+        return preview_file(spark, literal_path(first), sep, header, keep_quotes=False)
+    records = spark.read.options(**csv_options(sep, header)).csv(literal_path(first))
     if not header:
         records = records.toDF(*[f"Column{i}" for i in range(1, len(records.columns) + 1)])
     return trim_cells(spark.createDataFrame(records.take(n - header), records.schema))

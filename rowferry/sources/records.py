@@ -14,6 +14,7 @@ grouped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -63,6 +64,11 @@ def _files(path: str | Sequence[str]) -> str | list[str]:
     return path if isinstance(path, str) else list(path)
 
 
+def literal_path(path: str) -> str:
+    """A path whose signs of a pattern stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def place() -> list[Column]:
     """Columns that order lines within one run of a plan; another run may number them otherwise."""
     return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")]

@@ -14,6 +14,7 @@ from rowferry.functions.casting import typed_projection
 from rowferry.operators.quality import ErrorBudget, TooManyBadRows, bad_row, good_rows, reject_rows
 from rowferry.plans.spec import quote_name
 from rowferry.sources.delimited import read_delimited
+from rowferry.sources.records import literal_path
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 STEP_SCHEMA = "batch bigint, rows_read bigint, rows_loaded bigint, bytes_read bigint, seconds double"
@@ -51,7 +52,7 @@ def stream_load(
 
     def load(batch: DataFrame, number: int) -> None:
         began = time.time()
-        paths = [r.path for r in batch.collect()]
+        paths = [literal_path(r.path) for r in batch.collect()]
         if not paths:
             return
         session = batch.sparkSession
