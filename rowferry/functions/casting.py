@@ -106,6 +106,11 @@ def require_cast(text: Column, name: str) -> Column:
     return F.coalesce(cast_text(text, name), F.raise_error(message).cast(spark_type(name)))
 
 
+def typed_columns(types: Mapping[str, str]) -> list[Column]:
+    """The text columns of these names converted to their types."""
+    return [cast_text(F.col(quote_name(c)), t).alias(c) for c, t in types.items()]
+
+
 def typed_projection(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """One projection from text columns to the declared types, in declared order."""
-    return df.select(*[cast_text(F.col(quote_name(c)), t).alias(c) for c, t in types.items()])
+    return df.select(*typed_columns(types))

@@ -84,6 +84,11 @@ def check_budget(
 ) -> tuple[int, int]:
     """(rows, bad rows); raises if the budget is exceeded."""
     found = error_budget(df, types, budget, misfit).head()
-    if not found.within_budget:
-        raise TooManyBadRows(f"{found.bad_count} of {found.row_count} rows do not fit their types")
+    within_budget(found.row_count, found.bad_count, budget)
     return found.row_count, found.bad_count
+
+
+def within_budget(rows: int, bad: int, budget: ErrorBudget) -> None:
+    """Raises if the bad rows exceed both limits."""
+    if bad > budget.max_rows and bad > rows * budget.max_ratio:
+        raise TooManyBadRows(f"{bad} of {rows} rows do not fit their types")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowferry.functions.casting import typed_projection
+from rowferry.functions.casting import typed_columns
 from rowferry.functions.types import base_name, spark_type, type_name
 from rowferry.operators.infer import suggested_types
-from rowferry.operators.quality import ErrorBudget, check_budget, good_rows, reject_rows
+from rowferry.operators.quality import ErrorBudget, bad_row, reject_rows, within_budget
 from rowferry.plans.spec import LoadSpec, is_blank, quote_name
+from rowferry.session import scratch_path
+from rowferry.sinks.staging import Folders, stage
 from rowferry.sources.delimited import read_delimited
 
 
@@ -108,15 +111,20 @@ def load_file(
     """Load delimited files into a table: create it if asked, convert, append.
 
     A row is bad if a cell does not fit its type or the row has too few or too
-    many cells. The load is refused before anything is written if the bad rows
-    exceed both limits; fewer bad rows are left out, counted in ``rejected``
-    and, if a ``rejects`` path is given, kept there as text with the columns at
-    fault.
+    many cells. The load is refused if the bad rows exceed both limits, and no
+    row of it is ever seen; fewer bad rows are left out, counted in
+    ``rejected`` and, if a ``rejects`` path is given, kept there as text with
+    the columns at fault.
+
+    Rows are converted, counted and written in one pass, beside the table's
+    files; files of a Parquet table are then renamed into it, others inserted.
+    Only inferring types, and keeping rejects where there are any, read the
+    text once more.
     """
     read = read_delimited(spark, path, spec.separator, spec.has_header, misfit=True)
     misfit = read.columns[-1]
     text = read.select(*[quote_name(c) for c in read.columns[:-1]])
-    fits = set()
+    fits: set[str] = set()
     if spec.infer:
         chosen = text.select(*[quote_name(c) for c in spec.columns or text.columns])
         found = suggested_types(chosen)
@@ -128,12 +136,35 @@ def load_file(
     target = spark.table(table_id(spec.table)).schema
     types = load_types(text, spec, target)
     checked = {c: t for c, t in types.items() if c not in fits and base_name(t) != "String"}
-    budget = ErrorBudget(spec.max_bad_rows, spec.max_bad_ratio)
-    _, rejected = check_budget(read.select(*[quote_name(c) for c in (*checked, misfit)]), checked, budget, misfit)
-    if rejected and rejects:
-        reject_rows(read, types, misfit).write.mode("append").parquet(rejects)
-    rows = good_rows(read, types, misfit) if rejected else typed_projection(text, types)
-    return LoadResult(append_rows(rows, spec.table), True, DONE, rejected)
+    typed = dict(zip(types, typed_columns(types)))
+    columns = [(typed[f.name] if f.name in typed else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields]
+    folders, home = Folders(spark), plain_home(spark, spec.table)
+    # Within the table's folder, files need only be renamed to be part of it.
+    folder = f"{home}/_load-{uuid.uuid4().hex}" if home else scratch_path(spark, "load")
+    try:
+        staged = stage(read, bad_row(checked, misfit), columns, folder)
+        within_budget(staged.seen, staged.bad, ErrorBudget(spec.max_bad_rows, spec.max_bad_ratio))
+        if staged.bad and rejects:
+            reject_rows(read, types, misfit).write.mode("append").parquet(rejects)
+        if home:
+            for name in folders.names(folder):
+                if name.startswith("part-"):
+                    folders.move(f"{folder}/{name}", f"{home}/{name}")
+            spark.catalog.refreshTable(table_id(spec.table))
+        else:
+            spark.read.schema(target).parquet(folder).write.mode("append").insertInto(table_id(spec.table))
+    finally:
+        folders.drop(folder)
+    return LoadResult(staged.seen - staged.bad, True, DONE, staged.bad)
+
+
+def plain_home(spark: SparkSession, table: str) -> str | None:
+    """The folder of a Parquet table without partitions, buckets or statistics, whose rows are those of the files there."""
+    facts = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table_id(table)}").collect()}
+    special = ("# Partition Information", "# Partitioning", "Num Buckets", "Bucket Columns", "Statistics")
+    if (facts.get("Provider") or "").lower() != "parquet" or any(facts.get(k) for k in special) or any(k in facts for k in special):
+        return None
+    return facts.get("Location")
 
 
 def load_outcome(spark: SparkSession, path: str | Sequence[str], spec: LoadSpec) -> LoadResult:

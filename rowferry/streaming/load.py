@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from rowferry.functions.casting import typed_projection
-from rowferry.operators.quality import ErrorBudget, TooManyBadRows, bad_row, good_rows, reject_rows
-from rowferry.plans.spec import quote_name
+from rowferry.functions.casting import typed_columns
+from rowferry.operators.quality import ErrorBudget, TooManyBadRows, bad_row, reject_rows, within_budget
+from rowferry.sinks.staging import Folders, enter, entered, stage
 from rowferry.sources.delimited import read_delimited
 from rowferry.sources.records import literal_path
 
@@ -42,9 +42,12 @@ def stream_load(
     given; a batch with more of them than the budget allows fails the load
     before anything of it is written. ``keep_bad_rows`` keeps them with NULLs.
 
-    ``checkpoint`` records what was loaded: a rerun takes only new files. A
-    batch writes a folder of its own, which its rerun replaces; ``loaded_rows``
-    reads them all.
+    ``checkpoint`` records what was loaded: a rerun takes only new files. Every
+    attempt at a batch writes a folder of its own, in one pass over the text (a
+    second one keeps the rejects, where there are any). One entry in a ledger
+    makes it count; the first attempt entered stays, so that readers, who go by
+    the ledger (``loaded_rows``), never meet a folder that is being written.
+    Without ``files_per_batch`` the paths of all new files are on the driver.
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
     if files_per_batch:
@@ -52,7 +55,8 @@ def stream_load(
 
     def load(batch: DataFrame, number: int) -> None:
         began = time.time()
-        paths = [literal_path(r.path) for r in batch.collect()]
+        found = batch.collect()
+        paths, size = [literal_path(r.path) for r in found], sum(r.length for r in found)
         if not paths:
             return
         session = batch.sparkSession
@@ -65,28 +69,36 @@ def stream_load(
             raise ValueError(f"the files have no column {', '.join(absent)}")
         if absent:
             return
-        # A cell takes its bytes and one separator or line end.
-        size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(quote_name(c)), F.lit(0)) + 1 for c in types])
-        seen = text.agg(F.count("*"), F.count_if(bad_row(types, misfit)), F.coalesce(F.sum(size), F.lit(0))).head()
-        bad = 0 if keep_bad_rows else seen[1]
-        if bad > budget.max_rows and bad > seen[0] * budget.max_ratio:
-            raise TooManyBadRows(f"{bad} of {seen[0]} rows do not fit their types")
-        rows = typed_projection(text, types) if keep_bad_rows else good_rows(text, types, misfit)
-        rows.write.mode("overwrite").parquet(f"{target}/batch-{number}")
+        attempt, name = f"batch-{number}-{uuid.uuid4().hex}", f"batch-{number}"
+        staged = stage(text, bad_row(types, misfit), typed_columns(types), f"{target}/{attempt}", keep_bad_rows)
+        bad = 0 if keep_bad_rows else staged.bad
+        try:
+            within_budget(staged.seen, bad, budget)
+        except TooManyBadRows:
+            folders = Folders(session)
+            folders.drop(staged.folder)
+            if not folders.names(target):
+                folders.drop(target)
+            raise
         if rejects and bad:
-            reject_rows(text, types, misfit).write.mode("overwrite").parquet(f"{rejects}/batch-{number}")
-        step = (number, seen[0], seen[0] - bad, seen[2], time.time() - began)
-        session.createDataFrame([step], STEP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/progress/batch-{number}")
+            reject_rows(text, types, misfit).write.parquet(f"{rejects}/{attempt}")
+            enter(session, rejects, name, attempt)
+        enter(session, target, name, attempt)
+        step = (number, staged.seen, staged.seen - bad, size, time.time() - began)
+        session.createDataFrame([step], STEP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/progress/{name}")
 
-    paths = files.load(folder).select("path")
+    paths = files.load(folder).select("path", "length")
     query = paths.writeStream.foreachBatch(load).option("checkpointLocation", f"{checkpoint}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
 def loaded_rows(spark: SparkSession, target: str) -> DataFrame:
-    """The rows of all batches under ``target`` (or under a folder of rejects)."""
-    return spark.read.option("recursiveFileLookup", "true").parquet(target)
+    """The rows of all batches under ``target`` (or under a folder of rejects), as its ledger names them."""
+    folders = entered(spark, target)
+    if not folders:
+        raise ValueError(f"nothing was loaded to {target}")
+    return spark.read.parquet(*folders.values())
 
 
 def progress_rows(spark: SparkSession, checkpoint: str) -> DataFrame:

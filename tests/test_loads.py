@@ -7,7 +7,7 @@ from rowferry.plans import LoadSpec
 from rowferry.sinks import append_rows, create_table, load_file, load_outcome
 from rowferry.sources import catalog_inventory, catalog_tables, jdbc_options, preview_table, scan_table
 from rowferry.session import scratch_path
-from rowferry.streaming import loaded_rows, progress_rows, stream_load
+from rowferry.streaming import load as stream_module, loaded_rows, progress_rows, stream_load
 from tests.conftest import rows
 
 TEXT = "id,name,day\n1,ann,2020-01-01\n2,bob,\n"
@@ -161,3 +161,62 @@ def test_absent_declared_column(spark, tmp_path):
     spec = LoadSpec("absent", create=True, column_types=TYPES | {"more": "String"})
     with pytest.raises(ValueError, match="no column more"):
         load_file(spark, write(tmp_path), spec)
+
+
+def test_a_load_reads_its_text_once(spark, tmp_path):
+    """Nothing of a refused load is seen, and nothing of it is left; other tables than plain Parquet get an insert."""
+    bad = write(tmp_path, "id,name\n" + "x,y\n" * 50 + "1,a\n", "bad.csv")
+    good = write(tmp_path, "id,name\n1,a\n2,b\n", "good.csv")
+    for kind in ("USING parquet", "USING orc", "USING parquet PARTITIONED BY (id)"):
+        place = tmp_path / kind.split()[1] / str(len(kind))
+        spark.sql("DROP TABLE IF EXISTS staged_load")
+        spark.sql(f"CREATE TABLE staged_load (name STRING, id INT) {kind} LOCATION '{place}'")
+        for _ in range(2):
+            done = load_file(spark, good, LoadSpec("staged_load"))
+            assert (done.lines, done.rejected) == (2, 0)
+            with pytest.raises(TooManyBadRows, match="50 of 51"):
+                load_file(spark, bad, LoadSpec("staged_load"))
+        assert rows(spark.table("staged_load").select("id", "name")) == [(1, "a"), (1, "a"), (2, "b"), (2, "b")]
+        assert not [p for p in place.rglob("*") if p.name.startswith("_load")]
+    spark.sql("DROP TABLE staged_load")
+
+
+def test_bytes_are_those_of_the_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    text = 'id,unused,name\n1,"é, é","a ""b"""\n\n2,x,\n'
+    write(folder, text, "1.csv")
+    stream_load(spark, str(folder), {"id": "Int32", "name": "String"}, str(tmp_path / "out"), str(tmp_path / "s"))
+    assert [r.bytes_so_far for r in progress_rows(spark, str(tmp_path / "s")).collect()] == [len(text.encode())]
+
+
+def test_a_batch_that_fails_midway(spark, tmp_path, monkeypatch):
+    """Readers see what the ledger names: nothing of a failed attempt, and its rerun once."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder, name="1.csv")
+    places = (str(folder), TYPES, str(tmp_path / "out"), str(tmp_path / "state"))
+    stream_load(spark, *places)
+    write(folder, "id,name,day\n3,cy,\n", "2.csv")
+    enter, calls = stream_module.enter, []
+
+    def fails(*args):
+        calls.append(args)
+        if len(calls) == 1:
+            raise OSError("lost")
+        enter(*args)
+        if len(calls) == 2:
+            raise OSError("lost after the entry")
+
+    monkeypatch.setattr(stream_module, "enter", fails)
+    with pytest.raises(StreamingQueryException, match="lost"):
+        stream_load(spark, *places)
+    assert rows(loaded_rows(spark, places[2]).select("id")) == [(1,), (2,)]
+    before = loaded_rows(spark, places[2])
+    with pytest.raises(StreamingQueryException, match="after the entry"):
+        stream_load(spark, *places)
+    assert rows(before.select("id")) == [(1,), (2,)]
+    assert rows(loaded_rows(spark, places[2]).select("id")) == [(1,), (2,), (3,)]
+    stream_load(spark, *places)
+    assert rows(loaded_rows(spark, places[2]).select("id")) == [(1,), (2,), (3,)]
+    assert [r.rows_so_far for r in progress_rows(spark, places[3]).orderBy("batch").collect()] == [2, 3]

@@ -117,6 +117,7 @@ SQL = {
     "stream_progress": (
         "SELECT count(*) AS rows_read, count(*) AS rows_loaded, count(*) AS rows_so_far, CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) "
         "+ strlen(c_name) + strlen(CAST(c_nationkey AS VARCHAR)) + strlen(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)) "
-        "+ strlen(c_mktsegment) + 5) AS BIGINT) AS bytes_so_far FROM customer"
+        # The bytes of six files, each with its header.
+        "+ strlen(c_mktsegment) + 5) + 6 * (strlen('c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment') + 1) AS BIGINT) AS bytes_so_far FROM customer"
     ),
 }
