@@ -1,11 +1,35 @@
-"""Connected components of links."""
+"""Connected components of links, and tables that are dropped when no step needs them any more."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.session import settled as settle
+from rowferry.session import scratch_path
+from rowferry.sinks.staging import Folders
+
+
+class Scratch:
+    """Tables in the shared folder, each until it is dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, Folders(spark)
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        """The rows written and read again, so that nothing before is run twice."""
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        settled = self.spark.read.parquet(path)
+        self.paths[id(settled)] = (settled, path)
+        return settled
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Remove tables that no plan still to be run reads; frames of other origin stay."""
+        for table in tables:
+            _, path = self.paths.pop(id(table), (None, None))
+            if path:
+                self.folders.drop(path)
 
 
 def _to_least(edges: DataFrame) -> DataFrame:
@@ -14,24 +38,42 @@ def _to_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for the nodes of links (a, b); the component is its smallest node.
 
     Alternating star contraction: larger neighbours, then smaller ones and the
     node itself, are linked to the least neighbour until nothing changes. No
     links give no rows; self links and repeated links are ignored.
     """
-    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    edges = scratch.settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         near = _to_least(large)
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        edges = settle(small.where("u <> v").distinct(), "links")
+        before, edges = edges, scratch.settle(small.where("u <> v").distinct(), "links")
+        scratch.drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         state = now
+
+
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (node, component) after more links (a, b): only links between components are looked at, as links of these."""
+    ends = links
+    for side in ("a", "b"):
+        known = labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        ends = ends.join(known, side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
+    joined = scratch.settle(components(ends.where("a <> b").distinct(), scratch), "joined")
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    # A component keeps the name of its smallest node, so that unlabelled nodes are the rest of the names.
+    new = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    found = scratch.settle(old.unionByName(new), "labels")
+    scratch.drop(joined)
+    return found

@@ -16,14 +16,15 @@ of enumerating and of scanning.
 
 A list that one group of near copies fills would give all pairs. So each list
 is compared with a few of its members first; what they link is one component
-from then on, and only pairs across components remain to be compared.
+from then on, and only pairs across components remain to be compared. After
+each round links are contracted: components are the nodes of the next round.
 
 Shingles are 54 bits of a 64-bit hash; candidate pairs are checked on whole sets.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowferry.llm.components import components
+from rowferry.llm.components import Scratch, components, merged
 from rowferry.llm.text import LOWER, NOT_SPACE, chunks, gram_hashes, hash_spans, mix, words
 from rowferry.session import settled as settle
 
@@ -364,29 +365,37 @@ def _possible(joined: DataFrame) -> DataFrame:
     return joined.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-_FITS = "l.component <> p.component AND l.size <= p.reach AND p.size <= l.reach AND NOT arrays_overlap(l.earlier, p.earlier)"
+_FITS = "l.component <> p.component AND l.size <= p.reach AND p.size <= l.reach"
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Lists with their members' components, without those in one component.
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists with their members' components, without those in one component."""
+    own = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return own.join(mixed, "key")
+
+
+def _told_lists(lists: DataFrame) -> DataFrame:
+    """Entries with the marks of earlier lists that their class is in, if those are at most REMEMBERED.
 
-    Each entry tells the earlier lists that its class is in, if they are at
-    most REMEMBERED: a pair need not be looked at again after its first list.
+    A pair need not be looked at again after its first list. Only lists of the
+    class that are still open are told, and no more than are asked for.
     """
-    own = lists.withColumn("component", F.col("class"))
-    if labels is not None:
-        own = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    own = own.join(mixed, "key")
-    places = own.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("all")).where(F.size("all") <= REMEMBERED + 1)
-    before = F.filter("all", lambda x: x["place"] < F.col("place"))["key"]
-    told = own.join(places, "class", "left").withColumn("earlier", F.coalesce(before, F.array().cast("array<long>")))
-    return told.drop("all")
+    first = F.row_number().over(Window.partitionBy("class").orderBy("place", "key"))
+    counted = lists.withColumn("turn", first)
+    places = counted.where(F.col("turn") <= REMEMBERED + 1).groupBy("class").agg(F.array_sort(F.collect_list(F.struct("turn", "key"))).alias("all"))
+    told = counted.join(places.where(F.size("all") <= REMEMBERED), "class", "left")
+    before = F.filter("all", lambda x: x["turn"] < F.col("turn"))["key"]
+    return told.withColumn("earlier", F.coalesce(before, F.array().cast("array<long>"))).drop("all", "turn")
 
 
 def _pivot_pairs(lists: DataFrame, pivots: int) -> DataFrame:
-    """Pairs of list members with the members that stand for the list's largest components."""
-    groups = lists.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("size", "class", "place", "reach", "earlier")).alias("p"))
+    """Pairs of list members with the members that stand for the list's largest components.
+
+    Members come in one order for all lists, by size and class, so that lists
+    of one group of near copies agree on who stands for it.
+    """
+    groups = lists.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("size", "class", "place", "reach")).alias("p"))
     if pivots == 1:
         best = groups.groupBy("key").agg(F.min(F.struct(F.col("p"), F.col("component"))).alias("g")).select("key", "g.p.*", "g.component")
     else:
@@ -400,7 +409,8 @@ def _all_pairs(lists: DataFrame) -> DataFrame:
     groups = lists.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     rest = lists.join(main, "key").where("component <> main")
-    return _possible(lists.alias("p").join(rest.alias("l"), F.expr("l.key = p.key AND " + _FITS + " AND (p.component = l.main OR l.class < p.class)")))
+    once = " AND NOT arrays_overlap(l.earlier, p.earlier) AND (p.component = l.main OR l.class < p.class)"
+    return _possible(lists.alias("p").join(rest.alias("l"), F.expr("l.key = p.key AND " + _FITS + once)))
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -420,17 +430,24 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     entries = _entries(docs, frequent, boundary({r["size"]: r["count"] for r in sizes}))
     columns = ["key", "class", "size", "place", "reach", "part"]
     subsets = entries.where(F.col("part") == SUBSET).withColumn("reach", F.lit(None).cast("long"))
-    entries = settle(_lists(entries).withColumn("part", F.lit(RARE)).select(columns).unionByName(subsets.select(columns)), "lists")
-    lists = settle(_thinned(entries.where(F.col("part") == RARE).drop("part")), "thinned")
-    links = [settle(_light_links(entries.where(F.col("part") == SUBSET)), "light")]
+    scratch = Scratch(docs.sparkSession)
+    entries = scratch.settle(_lists(entries).withColumn("part", F.lit(RARE)).select(columns).unionByName(subsets.select(columns)), "lists")
+    lists = scratch.settle(_thinned(entries.where(F.col("part") == RARE).drop("part")), "thinned")
+    links = scratch.settle(_light_links(entries.where(F.col("part") == SUBSET)), "light")
+    labels = scratch.settle(components(links, scratch), "labels")
+    scratch.drop(entries, links)
     for pivots in (*PIVOTS, None):
-        labels = components(reduce(DataFrame.unionByName, links)) if len(links) > 1 else None
-        rest = settle(_open_lists(lists, labels), "open")
-        pairs = _all_pairs(rest) if pivots is None else _pivot_pairs(rest, pivots)
-        links.append(settle(_alike(pairs, docs, documents), "alike"))
-    labels = components(reduce(DataFrame.unionByName, links))
+        rest = scratch.settle(_open_lists(lists.select("key", "class", "size", "place", "reach"), labels), "open")
+        pairs = _all_pairs(_told_lists(rest)) if pivots is None else _pivot_pairs(rest, pivots)
+        links = scratch.settle(_alike(pairs, docs, documents), "alike")
+        before, labels = labels, merged(labels, links, scratch)
+        # What is in one component is not looked at again.
+        scratch.drop(lists, links, before)
+        lists = rest
+    scratch.drop(lists)
     grouped = documents.where("size > 0").join(labels.withColumnRenamed("node", "class"), "class", "left")
     grouped = settle(grouped.withColumn("component", F.coalesce("component", "class")), "grouped")
+    scratch.drop(labels)
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (
         grouped.join(least, "component")
