@@ -344,14 +344,19 @@ def _members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike; a class is read from one document."""
+    """The pairs (a, b) whose whole sets are alike; a class is read from one document.
+
+    A pair carries the set of its ``a``, so ``b`` is best the one that many pairs have.
+    """
     pairs = settle(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    chosen = settle(documents.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    members = _members(docs, chosen)
-    for side, shingles in (("a", "x"), ("b", "y")):
-        known = chosen.select(F.col("class").alias(side), F.col("doc_id").alias("doc"))
-        sets = members.select(F.col("class").alias("c"), F.col("doc_id").alias("d"), F.col("shingles").alias(shingles)).hint("merge")
+    sides = [pairs.select(F.col(side).alias("class"), F.lit(side == "a").alias("first"), F.lit(side == "b").alias("second")) for side in ("a", "b")]
+    wanted = sides[0].union(sides[1]).groupBy("class").agg(F.bool_or("first").alias("first"), F.bool_or("second").alias("second"))
+    chosen = documents.select("class", "doc_id").join(wanted, "class").groupBy("class", "first", "second").agg(F.min("doc_id").alias("doc_id"))
+    chosen = settle(chosen, "chosen")
+    for side, asked, shingles in (("a", "first", "x"), ("b", "second", "y")):
+        own = chosen.where(asked)
+        known = own.select(F.col("class").alias(side), F.col("doc_id").alias("doc"))
+        sets = _members(docs, own).select(F.col("class").alias("c"), F.col("doc_id").alias("d"), F.col("shingles").alias(shingles)).hint("merge")
         found = pairs.join(known, side).join(sets, (F.col(side) == F.col("c")) & F.col("doc").eqNullSafe(F.col("d")))
         pairs = found.drop("c", "d", "doc")
     common = F.size(F.array_intersect("x", "y"))
@@ -397,10 +402,12 @@ def _pivot_pairs(lists: DataFrame, pivots: int) -> DataFrame:
     """
     groups = lists.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("size", "class", "place", "reach")).alias("p"))
     if pivots == 1:
+        # One comparison a member, with the first of all that stand for its lists.
         best = groups.groupBy("key").agg(F.min(F.struct(F.col("p"), F.col("component"))).alias("g")).select("key", "g.p.*", "g.component")
-    else:
-        order = Window.partitionBy("key").orderBy(F.desc("n"), "p")
-        best = groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("key", "p.*", "component")
+        met = lists.alias("l").join(best.alias("p"), F.expr("l.key = p.key AND " + _FITS))
+        return met.groupBy(F.col("l.class").alias("a")).agg(F.min(F.struct("p.size", "p.class")).alias("p")).select("a", F.col("p.class").alias("b"))
+    order = Window.partitionBy("key").orderBy(F.desc("n"), "p")
+    best = groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("key", "p.*", "component")
     return _possible(lists.alias("l").join(best.alias("p"), F.expr("l.key = p.key AND " + _FITS)))
 
 
