@@ -15,7 +15,7 @@ allow the needed overlap. The boundary takes the least of the estimated costs
 of enumerating and of scanning.
 
 A list that one group of near copies fills would give all pairs. So each list
-is compared with a few of its members first; what they link is one component
+compares each member with a few others first; what they link is one component
 from then on, and only pairs across components remain to be compared. After
 each round links are contracted: components are the nodes of the next round.
 
@@ -53,8 +53,10 @@ MAP_BITS = 1 << 26
 #: Largest boundary that is considered, and the cost of a list entry in subsets.
 MAX_SMALL = 24
 LIST_COST = 4
-#: List members compared with the rest, round by round, before the exhaustive round.
-PIVOTS = (1, 8)
+#: Comparisons of a list member in a round before the exhaustive one, and members of a part of a list then.
+NEXT, PART = 3, 512
+#: The exhaustive round follows when fewer than this share of a round's pairs are alike, or after so many rounds.
+FRUITFUL, TURNS = 0.05, 6
 
 _ROWS = 1000
 #: Parts of the entries.
@@ -348,7 +350,6 @@ def _alike(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame
 
     A pair carries the set of its ``a``, so ``b`` is best the one that many pairs have.
     """
-    pairs = settle(pairs, "pairs")
     sides = [pairs.select(F.col(side).alias("class"), F.lit(side == "a").alias("first"), F.lit(side == "b").alias("second")) for side in ("a", "b")]
     wanted = sides[0].union(sides[1]).groupBy("class").agg(F.bool_or("first").alias("first"), F.bool_or("second").alias("second"))
     chosen = documents.select("class", "doc_id").join(wanted, "class").groupBy("class", "first", "second").agg(F.min("doc_id").alias("doc_id"))
@@ -394,21 +395,27 @@ def _told_lists(lists: DataFrame) -> DataFrame:
     return told.withColumn("earlier", F.coalesce(before, F.array().cast("array<long>"))).drop("all", "turn")
 
 
-def _pivot_pairs(lists: DataFrame, pivots: int) -> DataFrame:
-    """Pairs of list members with the members that stand for the list's largest components.
+def _few_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """For each list member a few pairs with members of other components of its lists.
 
-    Members come in one order for all lists, by size and class, so that lists
-    of one group of near copies agree on who stands for it.
+    Members stand in an order of classes that is the same for all lists, so
+    that lists of one group of near copies agree on who comes next, and another
+    one in every turn. A member meets the next ones of its lists; of all these
+    it takes the NEXT first. Long lists are cut into parts by class.
     """
-    groups = lists.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("size", "class", "place", "reach")).alias("p"))
-    if pivots == 1:
-        # One comparison a member, with the first of all that stand for its lists.
-        best = groups.groupBy("key").agg(F.min(F.struct(F.col("p"), F.col("component"))).alias("g")).select("key", "g.p.*", "g.component")
-        met = lists.alias("l").join(best.alias("p"), F.expr("l.key = p.key AND " + _FITS))
-        return met.groupBy(F.col("l.class").alias("a")).agg(F.min(F.struct("p.size", "p.class")).alias("p")).select("a", F.col("p.class").alias("b"))
-    order = Window.partitionBy("key").orderBy(F.desc("n"), "p")
-    best = groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("key", "p.*", "component")
-    return _possible(lists.alias("l").join(best.alias("p"), F.expr("l.key = p.key AND " + _FITS)))
+    order = F.xxhash64("class", F.lit(turn))
+    sizes = lists.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = lists.join(sizes, "key").withColumns({"order": order, "part": F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.col("parts"))})
+    over = Window.partitionBy("key", "part").orderBy("order", "class")
+    own = F.struct("class", "component", "size", "reach", "order")
+    dealt = dealt.withColumn("next", F.array(*(F.lead(own, k).over(over) for k in range(1, NEXT + 1))))
+    near = F.filter(
+        "next",
+        lambda x: (x["component"] != F.col("component")) & (x["size"] <= F.col("reach")) & (F.col("size") <= x["reach"]),
+    )
+    met = dealt.select(F.col("class").alias("a"), F.explode(near).alias("x")).select("a", F.col("x.class").alias("b"), F.col("x.order").alias("order")).distinct()
+    first = Window.partitionBy("a").orderBy("order", "b")
+    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= NEXT).select("a", "b")
 
 
 def _all_pairs(lists: DataFrame) -> DataFrame:
@@ -443,14 +450,19 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     links = scratch.settle(_light_links(entries.where(F.col("part") == SUBSET)), "light")
     labels = scratch.settle(components(links, scratch), "labels")
     scratch.drop(entries, links)
-    for pivots in (*PIVOTS, None):
+    turn, exhaustive = 0, False
+    while True:
         rest = scratch.settle(_open_lists(lists.select("key", "class", "size", "place", "reach"), labels), "open")
-        pairs = _all_pairs(_told_lists(rest)) if pivots is None else _pivot_pairs(rest, pivots)
+        pairs = scratch.settle(_all_pairs(_told_lists(rest)) if exhaustive else _few_pairs(rest, turn), "pairs")
         links = scratch.settle(_alike(pairs, docs, documents), "alike")
+        compared, found = pairs.count(), links.count()
         before, labels = labels, merged(labels, links, scratch)
         # What is in one component is not looked at again.
-        scratch.drop(lists, links, before)
-        lists = rest
+        scratch.drop(lists, pairs, links, before)
+        lists, turn = rest, turn + 1
+        if exhaustive:
+            break
+        exhaustive = found < FRUITFUL * compared or turn == TURNS
     scratch.drop(lists)
     grouped = documents.where("size > 0").join(labels.withColumnRenamed("node", "class"), "class", "left")
     grouped = settle(grouped.withColumn("component", F.coalesce("component", "class")), "grouped")

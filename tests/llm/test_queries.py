@@ -23,7 +23,7 @@ def db(sf_dir):
 
 
 def test_registered():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in llm.QUERIES)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in llm.QUERIES)] == []
     assert {"pipeline", *llm.QUERIES} <= set(entry_point.queries())
     assert set(llm.SQL) <= set(entry_point.oracle_sql())
 
