@@ -43,9 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def own_scratch(spark: SparkSession) -> str:
+    """This application's part of the shared folder; others may run beside it."""
+    return f"{shared_folder(spark)}/rowferry/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, not yet existing path under the shared folder."""
-    return f"{shared_folder(spark)}/rowferry/{label}-{uuid.uuid4().hex}"
+    return f"{own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
@@ -56,6 +61,6 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> bool:
-    """Remove all scratch of the shared folder's sessions, once no plan reads it any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/rowferry")
+    """Remove this application's scratch, once no plan reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_scratch(spark))
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
