@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -28,6 +29,8 @@ from rowferry.llm.units import Remembered, UnitEncoder
 #: Ranks under one bit of the upper bitmap level: 2 ** SHIFT.
 SHIFT = 8
 MASK = (1 << SHIFT) - 1
+#: Units that any pattern leaves whole that keeps one space in front of a word and splits by kinds of signs.
+PLAIN_UNIT = re.compile(rb" ?[a-z]+").fullmatch
 #: The white space of the pattern's engine; Python's also counts U+001C to U+001F.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -142,14 +145,20 @@ def _unit_encoder(path: str, pattern: str) -> UnitEncoder:
             known.put(piece, found)
         return found
 
-    def encode(pieces: list[bytes]) -> list[bytes]:
-        return [b"".join([one(match.encode()) for match in split(piece.decode())]) for piece in pieces]
+    def unit(piece: bytes) -> bytes:
+        if PLAIN_UNIT(piece):
+            return one(piece)
+        return b"".join([one(match.encode()) for match in split(piece.decode())])
 
-    return UnitEncoder(encode)
+    return UnitEncoder(lambda pieces: list(map(unit, pieces)), 250_000)
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The given columns and ids (array<int>) of each whole text; null is empty and has no ids."""
+    """The given columns and ids (array<int>) of each whole text.
+
+    A null or empty text has no ids; repeated rows are each given; a very long
+    text is a chunk of its own; other columns are left out.
+    """
 
     def task(batches):
         encode = _unit_encoder(ranks, pattern)
@@ -189,51 +198,95 @@ def row_groups(cuts: np.ndarray, size: int = 1 << 18):
         row = stop
 
 
+@lru_cache(maxsize=1)
+def _decimals() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return spelled([b"%d," % k for k in range(1 << 17)])
+
+
+@lru_cache(maxsize=2)
+def _token_table(ranks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    known = load_ranks(ranks)
+    tokens = [b""] * (max(known.values()) + 1)
+    for token, rank in known.items():
+        tokens[rank] = token
+    return spelled(tokens)
+
+
+def _spellings(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, cuts: np.ndarray):
+    """For ranges of rows: first row, row after the last, their ids spelled in one array, and each row's ends in it."""
+    for row, stop in row_groups(cuts):
+        own = cuts[row : stop + 1]
+        data, ends = joined(table, ids[own[0] : own[-1]])
+        yield row, stop, data, ends[own - own[0]]
+
+
+def _digests(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, cuts: np.ndarray, closing: int = 0) -> list[str]:
+    """SHA-256 of each row's spelling without its last ``closing`` bytes."""
+    found = []
+    for _, _, data, ends in _spellings(table, ids, cuts):
+        data = memoryview(np.ascontiguousarray(data))
+        found += [hashlib.sha256(data[a : max(a, b - closing)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return found
+
+
+def _list_parts(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a list column in order, and where each row's begin and the last end."""
+    cuts = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), cuts - cuts[0]
+
+
 def id_digests(tokens: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The given columns, n_tokens and ids_sha256, of the decimal ids joined by commas."""
+    """The given columns, n_tokens and ids_sha256, of the decimal ids joined by commas.
+
+    A row without ids has the digest of nothing; repeated rows are each given;
+    other columns are left out.
+    """
 
     def task(batches):
-        table = spelled([b"%d," % k for k in range(1 << 17)])
         for batch in batches:
-            column = batch.column("ids")
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            cuts = column.offsets.to_numpy().astype(np.int64)
-            cuts = cuts - cuts[0]
-            digests = []
-            for row, stop in row_groups(cuts):
-                own = cuts[row : stop + 1]
-                data, ends = joined(table, ids[own[0] : own[-1]])
-                data = data.tobytes()
-                ends = ends[own - own[0]]
-                digests += [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(np.diff(cuts)), pa.array(digests, pa.string())], [*columns, "n_tokens", "ids_sha256"]
-            )
+            ids, cuts = _list_parts(batch.column("ids"))
+            digests = pa.array(_digests(_decimals(), ids, cuts, 1), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.diff(cuts)), digests], [*columns, "n_tokens", "ids_sha256"])
 
     tokens = tokens.select(*dict.fromkeys([*columns, "ids"]))
     kinds = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in columns)
     return tokens.mapInArrow(task, f"{kinds}, n_tokens long, ids_sha256 string")
 
 
+def round_trips(docs: DataFrame, ranks: str, pattern: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The given columns, n_tokens, ids_sha256 and decoded_sha256, in one pass over the texts.
+
+    The same as `id_digests` and the digests of `decode_ids` over `encode_texts`,
+    without sending ids and bytes through Spark. A null or empty text has no
+    ids; repeated rows are each given; a very long text is a chunk of its own;
+    other columns are left out.
+    """
+
+    def task(batches):
+        encode, tokens = _unit_encoder(ranks, pattern), _token_table(ranks)
+        for batch in batches:
+            for part, data, offsets in chunks(batch):
+                ids, cuts = encode(data, offsets)
+                digests = [pa.array(_digests(_decimals(), ids, cuts, 1), pa.string()), pa.array(_digests(tokens, ids, cuts), pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in columns), pa.array(np.diff(cuts)), *digests], [*columns, "n_tokens", "ids_sha256", "decoded_sha256"]
+                )
+
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.mapInArrow(task, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def decode_ids(tokens: DataFrame, ranks: str, columns: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
-    """The given columns and decoded (binary): the bytes of each row's ids."""
+    """The given columns and decoded (binary): the bytes of each row's ids.
+
+    A row without ids has no bytes; repeated rows are each given; other columns are left out.
+    """
 
     def task(batches):
-        known = load_ranks(ranks)
-        tokens = [b""] * (max(known.values()) + 1)
-        for token, rank in known.items():
-            tokens[rank] = token
-        table = spelled(tokens)
         for batch in batches:
-            column = batch.column("ids")
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            cuts = column.offsets.to_numpy().astype(np.int64)
-            cuts = cuts - cuts[0]
-            for row, stop in row_groups(cuts):
-                own = cuts[row : stop + 1]
-                data, ends = joined(table, ids[own[0] : own[-1]])
-                places = pa.py_buffer(ends[own - own[0]])
-                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - row, [None, places, pa.py_buffer(data)])
+            for row, stop, data, ends in _spellings(_token_table(ranks), *_list_parts(batch.column("ids"))):
+                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - row, [None, pa.py_buffer(ends), pa.py_buffer(data)])
                 part = batch.slice(row, stop - row)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), decoded.cast(pa.binary())], [*columns, "decoded"])
 

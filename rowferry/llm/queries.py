@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm.bpe import decode_ids, encode_texts, id_digests
+from rowferry.llm.bpe import round_trips
 from rowferry.llm.chat import conversation_digests, format_conversations
 from rowferry.llm.decontaminate import find_hits
 from rowferry.llm.jaccard import similar_documents
@@ -150,10 +150,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = vocabulary(BYTE_RANKS)
-    encoded = encode_texts(table(spark, sf_dir, "documents"), ranks, pattern())
-    digests = id_digests(decode_ids(encoded, ranks).withColumn("decoded_sha256", F.sha2("decoded", 256)), ("doc_id", "decoded_sha256"))
-    return digests.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return round_trips(table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS), pattern())
 
 
 #: A conversation of control strings that the query adds to the table.

@@ -46,9 +46,9 @@ class Remembered:
 class UnitEncoder:
     """Ids of rows of a chunk; ``encode`` maps a list of byte strings to their ids as bytes of int32."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], remembered: int = CACHED):
         self.encode = encode
-        self.known = Remembered()
+        self.known = Remembered(remembered)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the offsets of each row among them."""

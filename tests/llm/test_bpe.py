@@ -1,11 +1,12 @@
 import base64
+import hashlib
 import random
 
 import public_tokenizers
 import pytest
 import tiktoken
 
-from rowferry.llm.bpe import decode_ids, encode_texts, load_ranks, merge_ranks, pair_ranks
+from rowferry.llm.bpe import decode_ids, encode_texts, id_digests, load_ranks, merge_ranks, pair_ranks, round_trips
 from rowferry.llm.tokens import pattern, vocabulary
 
 RANKS = vocabulary("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +26,15 @@ def check(frame, library):
     for r in rows:
         assert r["ids"] == library.encode_ordinary(r["text"] or ""), r["doc_id"]
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    digests = round_trips(frame, RANKS, pattern(), ("doc_id", "text"))
+    found = digests.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        ids = library.encode_ordinary(r["text"] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+    stepwise = id_digests(encoded.select("doc_id", "ids"), ("doc_id",))
+    assert sorted(map(repr, stepwise.collect())) == sorted(map(repr, digests.select("doc_id", "n_tokens", "ids_sha256").collect()))
 
 
 def test_edge_cases(docs, no_docs, library):
