@@ -133,7 +133,7 @@ def _unit_encoder(path: str, pattern: str) -> UnitEncoder:
     ranks = load_ranks(path)
     split = split_pattern(pattern).findall
     pairs = pair_ranks(ranks)
-    known = Remembered(250_000)
+    known = Remembered()
 
     def one(piece: bytes) -> bytes:
         rank = ranks.get(piece)
@@ -150,7 +150,7 @@ def _unit_encoder(path: str, pattern: str) -> UnitEncoder:
             return one(piece)
         return b"".join([one(match.encode()) for match in split(piece.decode())])
 
-    return UnitEncoder(lambda pieces: list(map(unit, pieces)), 250_000)
+    return UnitEncoder(lambda pieces: list(map(unit, pieces)))
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

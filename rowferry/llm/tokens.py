@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -64,7 +65,7 @@ def _text_encoder(path: str) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    merge, signs, parts = tokenizer.model.tokenize, byte_signs(), Remembered(200_000)
+    merge, signs, parts = tokenizer.model.tokenize, byte_signs(), Remembered()
     # Other pieces are encoded in lines of many and told apart by their place.
     line = 2000
 
@@ -72,7 +73,7 @@ def _text_encoder(path: str) -> UnitEncoder:
         found = parts.get(text)
         if found is None:
             spelled = text if text.isascii() else "".join(signs[b] for b in text.encode())
-            found = np.array([t.id for t in merge(spelled)], np.int32).tobytes()
+            found = array("i", [t.id for t in merge(spelled)]).tobytes()
             parts.put(text, found)
         return found
 
@@ -81,7 +82,9 @@ def _text_encoder(path: str) -> UnitEncoder:
         out: list[bytes] = [b""] * len(texts)
         odd = []
         for k, text in enumerate(texts):
-            if PLAIN.fullmatch(text):
+            if text.isascii() and text.isalpha():
+                out[k] = part(text.lower())
+            elif PLAIN.fullmatch(text):
                 out[k] = b"".join(map(part, PARTS.findall(text.lower())))
             else:
                 odd.append(k)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from rowferry.llm.text import unit_offsets
 
 #: Pieces that a worker remembers in each of two generations, and their longest length in bytes.
-CACHED = 80_000
+CACHED = 250_000
 CACHED_BYTES = 64
 
 
@@ -36,6 +36,16 @@ class Remembered:
                 self.young[piece] = found
         return found
 
+    def get_all(self, pieces: list) -> list:
+        """Ids of each piece, None for those not known."""
+        found = list(map(self.young.get, pieces))
+        if self.old:
+            for k in [k for k, ids in enumerate(found) if ids is None]:
+                ids = self.old.get(pieces[k])
+                if ids is not None:
+                    found[k] = self.young[pieces[k]] = ids
+        return found
+
     def put(self, piece, ids: bytes) -> None:
         if len(piece) <= CACHED_BYTES:
             if len(self.young) >= self.size:
@@ -46,9 +56,9 @@ class Remembered:
 class UnitEncoder:
     """Ids of rows of a chunk; ``encode`` maps a list of byte strings to their ids as bytes of int32."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], remembered: int = CACHED):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
         self.encode = encode
-        self.known = Remembered(remembered)
+        self.known = Remembered()
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the offsets of each row among them."""
@@ -59,7 +69,7 @@ class UnitEncoder:
         coded = pc.dictionary_encode(units)
         distinct = coded.dictionary.to_pylist()
         index = coded.indices.to_numpy()
-        ids = [self.known.get(x) for x in distinct]
+        ids = self.known.get_all(distinct)
         new = [k for k, x in enumerate(ids) if x is None]
         for k, found in zip(new, self.encode([distinct[k] for k in new])):
             ids[k] = found
