@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from rowferry.llm.text import LOWER, WORD_BYTE, chunks, column_bytes, gram_hashes, hash_spans, words
 
@@ -29,7 +31,6 @@ GRAM = 5
 MAX_LOCAL_BYTES = 16 << 20
 
 
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each lower-cased word."""
     starts, ends, row = words(data, offsets, WORD_BYTE)
@@ -151,7 +152,9 @@ def find_hits(docs: DataFrame, items: DataFrame, columns: tuple[str, ...] = ("do
 
     ``items`` has item_id and text. A null text has no words and no item
     without words is ever found; repeated rows on either side are handled each
-    for itself, a null item_id is reported as null. Other columns are left out.
+    for itself, a null item_id is reported as null. Item ids keep their type,
+    whatever the size of the benchmark; a document's text may be of any length.
+    Other columns are left out.
     """
     items = items.select("item_id", "text")
     docs = docs.select(*dict.fromkeys([*columns, "text"]))
@@ -160,7 +163,7 @@ def find_hits(docs: DataFrame, items: DataFrame, columns: tuple[str, ...] = ("do
         rows = items.collect()
         data, offsets = column_bytes(pa.array([r["text"] for r in rows], pa.large_string()))
         shared = docs.sparkSession.sparkContext.broadcast((Items.of(data, offsets), [r["item_id"] for r in rows]))
-        return _against(docs, shared, columns)
+        return _against(docs, shared, columns, items.schema["item_id"].dataType)
     return _joined(docs, items, columns)
 
 
@@ -172,10 +175,12 @@ def _schema(frame: DataFrame, columns: tuple[str, ...], item: str) -> str:
     return ", ".join([*(f"`{c}` {_kind(frame, c)}" for c in columns), f"n_words long, n_hit long, hits array<struct<item_id:{item},start:long,end:long>>"])
 
 
-def _against(docs: DataFrame, shared, columns: tuple[str, ...]) -> DataFrame:
+def _against(docs: DataFrame, shared, columns: tuple[str, ...], item_type: DataType) -> DataFrame:
+    arrow_type = to_arrow_type(item_type)
+
     def task(batches):
         items, ids = shared.value
-        ids = pa.array(ids, pa.int64())
+        ids = pa.array(ids, arrow_type)
         for batch in batches:
             for part, data, offsets in chunks(batch):
                 n_words, n_hit, hits = hit_columns(items, data, offsets)
@@ -186,18 +191,31 @@ def _against(docs: DataFrame, shared, columns: tuple[str, ...]) -> DataFrame:
                     [*columns, "n_words", "n_hit", "hits"],
                 )
 
-    return docs.mapInArrow(task, _schema(docs, columns, "long"))
+    return docs.mapInArrow(task, _schema(docs, columns, item_type.simpleString()))
+
+
+def _gram_sizes(items: DataFrame) -> list[int]:
+    """The lengths under a window that items have, and 0 if one is longer: at most ten numbers."""
+
+    def task(batches):
+        for batch in batches:
+            for part, data, offsets in chunks(batch):
+                length = np.bincount(words(data, offsets, WORD_BYTE)[2], minlength=part.num_rows)
+                sizes = np.unique(np.where(length < WINDOW, length, 0)[length > 0])
+                yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32))], ["size"])
+
+    return sorted(r["size"] for r in items.select("text").mapInArrow(task, "size int").distinct().collect())
 
 
-def _kept_grams(rows: DataFrame, own_length: bool) -> DataFrame:
-    """Distinct (size, gram, key) of all rows; size 0 stands for the kept grams of windows."""
+def _kept_grams(rows: DataFrame, own_length: bool, sizes: list[int]) -> DataFrame:
+    """Distinct (size, gram, key) of all rows, of the sizes given; size 0 stands for the kept grams of windows."""
 
     def task(batches):
         for batch in batches:
             for part, data, offsets in chunks(batch):
                 hashes, row = word_hashes(data, offsets)
                 length = np.bincount(row, minlength=part.num_rows)
-                for size in range(WINDOW):
+                for size in sizes:
                     grams, at = winnow(hashes, row) if size == 0 else whole_grams(hashes, row, size)
                     if own_length and size:
                         own = length[row[at]] == size
@@ -215,8 +233,9 @@ def _joined(docs: DataFrame, items: DataFrame, columns: tuple[str, ...]) -> Data
     rows = docs.select(F.struct(*columns).alias("columns"), "text", F.sha2("text", 256).alias("digest"))
     texts = rows.select("digest", "text").where("text IS NOT NULL").dropDuplicates(["digest"])
     keyed = items.select(F.col("item_id").alias("key"), "text")
-    found = _kept_grams(texts.withColumnRenamed("digest", "key"), False).withColumnRenamed("key", "digest")
-    candidates = found.join(_kept_grams(keyed, True).withColumnRenamed("key", "item_id"), ["size", "gram"]).select("digest", "item_id").distinct()
+    sizes = _gram_sizes(items)
+    found = _kept_grams(texts.withColumnRenamed("digest", "key"), False, sizes).withColumnRenamed("key", "digest")
+    candidates = found.join(_kept_grams(keyed, True, sizes).withColumnRenamed("key", "item_id"), ["size", "gram"]).select("digest", "item_id").distinct()
     i = items.withColumnRenamed("text", "item_text").alias("i")
     pairs = (
         candidates.join(texts, "digest").alias("p").join(i, F.col("p.item_id").eqNullSafe(F.col("i.item_id"))).select("p.digest", "p.text", "p.item_id", "item_text")

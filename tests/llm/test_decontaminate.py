@@ -65,3 +65,23 @@ def test_empty_tables(spark, docs, no_docs, limit):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert find_hits(no_docs, items, max_local_bytes=limit).count() == 0
     assert find_hits(docs, items.where("false"), max_local_bytes=limit).where("n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("kind", ["string", "int", "long"])
+def test_item_ids_keep_their_type(spark, docs, kind, limit):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text")
+    found = find_hits(docs, items, ("doc_id", "text"), max_local_bytes=limit)
+    assert found.schema["hits"].dataType.elementType["item_id"].dataType == items.schema["item_id"].dataType
+    own = str if kind == "string" else int
+    pairs = [(None if i is None else own(i), text) for i, text in ITEMS]
+    for r in found.collect():
+        assert (r["n_words"], r["n_hit"], {h["item_id"] for h in r["hits"]}) == brute(r["text"], pairs), r["doc_id"]
+
+
+@pytest.mark.parametrize("only", ["item_id = 2", "item_id = 5", "item_id in (2, 8)", "item_id = 4"])
+def test_benchmarks_of_few_lengths(spark, docs, only):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").where(only)
+    pairs = [(r["item_id"], r["text"]) for r in items.collect()]
+    for r in find_hits(docs, items, ("doc_id", "text"), max_local_bytes=0).collect():
+        assert (r["n_words"], r["n_hit"], {h["item_id"] for h in r["hits"]}) == brute(r["text"], pairs), r["doc_id"]
