@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.operators import joins
-from rowferry.operators.limits import first_rows, first_rows_of_files, preview_rows, spread_sort
+from rowferry.operators.limits import OrderKey, first_rows, first_rows_of_files, preview_rows, spread_sort
 from rowferry.plans.spec import ExportSpec, JoinSpec, is_blank, quote_name, split_reference, unused_name
 
 Tables = Mapping[str, DataFrame] | Callable[[str], DataFrame]
@@ -170,5 +170,5 @@ def prepare_export(spec: ExportSpec, tables: Tables) -> DataFrame:
     keys = {unused_name(f"order_{i}", names): key for i, key in enumerate(_ordering(spec))}
     projected = frame.select(*_projection(spec), *[key.alias(name) for name, key in keys.items()])
     if spec.limit and spec.limit > 0:
-        return first_rows(projected, spec.limit, [F.col(name) for name in keys]).drop(*keys)
+        return first_rows(projected, spec.limit, [OrderKey(name) for name in keys]).drop(*keys)
     return (spread_sort(projected, [F.col(name) for name in keys]) if keys else projected).drop(*keys)

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 import rowferry.operators.joins as joins
-from rowferry.operators.limits import first_rows, first_rows_of_files, pinned_sort, top_groups
+from rowferry.operators.limits import OrderKey, first_rows, first_rows_of_files, pinned_sort, rows_to_cut, top_groups
 from rowferry.plans import ExportSpec, JoinSpec, compile_export, count_export, export_preview, prepare_export
 from rowferry.plans.spec import LoadSpec, quote_name, split_reference
 from tests.conftest import rows
@@ -143,6 +144,63 @@ def test_large_limits_are_exact(spark, tmp_path):
     assert first_rows_of_files(files, 0).count() == 1000
 
 
+KEYS = [
+    [OrderKey("id")],
+    [OrderKey("id", descending=True)],
+    [OrderKey("hot"), OrderKey("name", descending=True), OrderKey("id")],
+    [OrderKey("hot", nulls_last=True), OrderKey("at", descending=True, nulls_last=False), OrderKey("id")],
+    [OrderKey("day", descending=True), OrderKey("price"), OrderKey("id", descending=True)],
+]
+
+
+@pytest.mark.parametrize("keys", KEYS)
+@pytest.mark.parametrize("from_files", [True, False])
+def test_limits_sort_only_rows_up_to_the_cut(spark, tmp_path, keys, from_files):
+    df = spark.range(6000).selectExpr(
+        "id",
+        "if(id % 3 = 0, 5L, if(id % 50 = 7, null, id % 100)) as hot",
+        "if(id % 11 = 0, null, concat('é', id % 17)) as name",
+        "if(id % 13 = 0, null, timestamp_micros(1700000000000000 + id % 29)) as at",
+        "date_add(date'2020-01-01', cast(id % 40 as int)) as day",
+        "cast(id % 9 as decimal(10,2)) as price",
+    )
+    if from_files:
+        df.repartition(5).write.parquet(str(tmp_path / "t"))
+        df = spark.read.parquet(str(tmp_path / "t"))
+    every = [tuple(r) for r in df.orderBy(*(key.sort for key in keys)).collect()]
+    for n in (300, 2500, 6000, 9000):
+        kept = first_rows(df, n, keys, one_task_rows=0, sampled=1000)
+        assert rows(kept) == sorted(every[:n], key=repr)
+    held = rows_to_cut(df, 600, keys, sampled=1000).count()
+    assert 600 <= held <= 1100
+
+
+def test_finding_the_cut_reads_only_the_keys(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id", "repeat('x', 50) as wide").write.parquet(str(tmp_path / "t"))
+    plans, plain = [], DataFrame.count
+
+    def count(self):
+        plans.append(self.groupBy().count()._jdf.queryExecution().executedPlan().toString())
+        return plain(self)
+
+    monkeypatch.setattr(DataFrame, "count", count)
+    rows_to_cut(spark.read.parquet(str(tmp_path / "t")), 500, [OrderKey("id")], sampled=1000)
+    assert len(plans) >= 2 and not any("wide" in plan.split("ReadSchema")[-1] for plan in plans)
+    assert "ReadSchema: struct<id:bigint>" in plans[-1]
+
+
+def test_cut_of_equal_rows_and_empty_tables(spark):
+    # All rows have one key; a hash of the other columns cuts among them.
+    df = spark.range(5000).selectExpr("1 as k", "id as v")
+    kept = first_rows(df, 700, [OrderKey("k")], one_task_rows=0, sampled=1000)
+    assert kept.count() == 700 == kept.distinct().count()
+    assert rows_to_cut(df, 700, [OrderKey("k")], sampled=1000).count() <= 1200
+    # Equal in every column: nothing to cut by, and still exact.
+    same = spark.range(3000).selectExpr("cast(null as string) as k", "2 as v")
+    assert first_rows(same, 700, [OrderKey("k")], one_task_rows=0, sampled=1000).count() == 700
+    assert first_rows(same.where("false"), 700, [OrderKey("k")], one_task_rows=0, sampled=1000).count() == 0
+
+
 def test_top_and_pinned(spark):
     df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 5), ("String", 0), ("d", 2)], "k string, v int")
     assert [tuple(r) for r in top_groups(df, "k", F.sum("v").alias("s"), 3).collect()] == [("c", 5), ("d", 2), ("a", 1)]

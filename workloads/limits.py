@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rowferry.operators.limits import first_rows, first_rows_of_files, pinned_sort, table_head, top_groups
+from rowferry.operators.limits import OrderKey, first_rows, first_rows_of_files, pinned_sort, table_head, top_groups
 from rowferry.plans import ExportSpec, JoinSpec, export_preview, prepare_export
 from workloads.common import table, tables
 
@@ -43,6 +43,21 @@ def limit_export_large(spark, folder):
     return first_rows(lines, 4321, order, one_task_rows=1000)
 
 
+def limit_export_cut(spark, folder):
+    """A large limit finds where it ends before it sorts; dates descend, the keys of equal dates ascend."""
+    orders = table(spark, folder, "orders").select("o_orderdate", "o_custkey", "o_orderkey")
+    order = [OrderKey("o_orderdate", descending=True), OrderKey("o_custkey"), OrderKey("o_orderkey")]
+    return first_rows(orders, 1500, order, one_task_rows=1000, sampled=2000)
+
+
+def limit_export_joined_cut(spark, folder):
+    """The same behind a join: its rows are written once, and cut by the text of a column with many equals."""
+    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "left").select("o_orderkey", "c_mktsegment", "o_orderpriority")
+    order = [OrderKey("c_mktsegment"), OrderKey("o_orderpriority", descending=True), OrderKey("o_orderkey")]
+    return first_rows(joined, 1200, order, one_task_rows=1000, sampled=2000)
+
+
 def limit_export_files(spark, folder):
     """A limit over one table reads only the files that hold its rows: the first rows in file order."""
     return first_rows_of_files(table(spark, folder, "events"), 700)
@@ -77,6 +92,8 @@ QUERIES = {
     "limit_export": limit_export,
     "limit_export_none": limit_export_none,
     "limit_export_large": limit_export_large,
+    "limit_export_cut": limit_export_cut,
+    "limit_export_joined_cut": limit_export_joined_cut,
     "limit_export_files": limit_export_files,
     "table_head": table_head_query,
     "topk_groups": topk_groups,
@@ -93,6 +110,11 @@ SQL = {
     "limit_export_large": (
         "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 4321"
     ),
+    "limit_export_cut": "SELECT o_orderdate, o_custkey, o_orderkey FROM orders ORDER BY o_orderdate DESC, o_custkey, o_orderkey LIMIT 1500",
+    "limit_export_joined_cut": (
+        "SELECT o_orderkey, c_mktsegment, o_orderpriority FROM orders LEFT JOIN customer ON o_custkey = c_custkey "
+        "ORDER BY c_mktsegment NULLS FIRST, o_orderpriority DESC, o_orderkey LIMIT 1200"
+    ),
     "limit_export_files": "SELECT * FROM events ORDER BY event_id LIMIT 700",
     "table_head": "SELECT * FROM customer ORDER BY c_custkey LIMIT 1000",
     "topk_groups": (
