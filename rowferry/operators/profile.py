@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import combinations
+from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,12 @@ DELIMITER_CHOICES = (",", "\t", "|", ";")
 # Values longer than this are compared by their SHA-256.
 LONG_VALUE = 128
 
+# Relative deviation of the sketches that discard column sets, how many deviations
+# below the row count still go on to the exact count, and sketches made in one pass.
+SKETCH_DEVIATION = 0.02
+SKETCH_MARGIN = 6
+SKETCHES_A_PASS = 200
+
 
 def row_count(df: DataFrame, name: str = "row_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
@@ -101,6 +109,58 @@ def candidate_keys(df: DataFrame) -> DataFrame:
     )
 
 
+def candidate_keys_composite(df: DataFrame, max_columns: int = 2) -> DataFrame:
+    """``(key_columns, n_columns, row_count)``: all minimal sets of up to ``max_columns`` columns that are keys.
+
+    A key is unique and never NULL; a set that holds a smaller key is left out;
+    an empty table has none. Level by level, sets of columns without NULLs are
+    discarded where the product of their columns' distinct counts, or a sketch
+    of their own, is too far below the row count. What remains is counted
+    exactly, all sets of a level in one shuffle. Names are joined by commas in
+    the table's order. The driver sees numbers of columns and counts only.
+    """
+    numbers = [str(i) for i in range(len(df.columns))]
+    texts = df.select(*[_comparable(df, c).alias(i) for i, c in zip(numbers, df.columns)])
+    counts = texts.agg(F.count(F.lit(1)), *[F.count(F.col(quote_name(i))) for i in numbers]).first()
+    rows = counts[0]
+    whole = [i for i, present in zip(numbers, counts[1:]) if present == rows and rows]
+    lowest = rows * (1 - SKETCH_MARGIN * SKETCH_DEVIATION)
+    highest = 1 + SKETCH_MARGIN * SKETCH_DEVIATION
+    distinct: dict[str, int] = {}
+    found: list[tuple[str, ...]] = []
+    for size in range(1, max_columns + 1):
+        sets = [s for s in combinations(whole, size) if not any(set(key) <= set(s) for key in found)]
+        if size > 1:
+            sets = [s for s in sets if prod(highest * distinct[i] for i in s) >= rows]
+        estimates = _distinct_estimates(texts, sets)
+        if size == 1:
+            distinct = {s[0]: n for s, n in zip(sets, estimates)}
+        found += _unique_sets(texts, [s for s, n in zip(sets, estimates) if n >= lowest])
+    spark = df.sparkSession
+    keys = [(",".join(df.columns[int(i)] for i in s), len(s), rows) for s in found]
+    return spark.createDataFrame(keys, "key_columns string, n_columns int, row_count long")
+
+
+def _distinct_estimates(texts: DataFrame, sets: Sequence[tuple[str, ...]]) -> list[int]:
+    """Sketched distinct counts of the sets, some at a time in one pass without a shuffle of rows."""
+    out: list[int] = []
+    for begin in range(0, len(sets), SKETCHES_A_PASS):
+        own = sets[begin : begin + SKETCHES_A_PASS]
+        hashes = [F.xxhash64(*[F.col(quote_name(i)) for i in s]) for s in own]
+        out += texts.agg(*[F.approx_count_distinct(h, SKETCH_DEVIATION).alias(f"n{k}") for k, h in enumerate(hashes)]).first()
+    return out
+
+
+def _unique_sets(texts: DataFrame, sets: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The sets whose values occur in one row only, counted exactly."""
+    if not sets:
+        return []
+    values = [F.struct(F.lit(k).alias("k"), F.to_json(F.array(*[F.col(quote_name(i)) for i in s])).alias("value")) for k, s in enumerate(sets)]
+    repeated = texts.select(F.inline(F.array(*values))).groupBy("k", "value").count().where("count > 1").select("k").distinct()
+    repeats = {r["k"] for r in repeated.collect()}
+    return [s for k, s in enumerate(sets) if k not in repeats]
+
+
 def estimate_size(df: DataFrame) -> DataFrame:
     """Rows, the flat estimate of bytes, and the measured bytes of the text form."""
     measured = F.sum(F.octet_length(F.to_csv(F.struct("*"))) + F.lit(1))

@@ -1,9 +1,13 @@
+import random
+from itertools import combinations
+
 import pytest
 
 from rowferry.operators.infer import infer_types, suggested_types
 from rowferry.operators.profile import (
     bad_width_lines,
     candidate_keys,
+    candidate_keys_composite,
     column_inventory,
     detect_delimiter,
     estimate_size,
@@ -146,3 +150,33 @@ def test_budget_needs_both_limits_exceeded(spark, bad, total, fits):
         with pytest.raises(TooManyBadRows):
             check_budget(df, types)
     assert check_budget(df, types, ErrorBudget(10_000, 0)) == (total, bad)
+
+
+def brute_keys(rows, names, most):
+    found = []
+    for size in range(1, most + 1):
+        for places in combinations(range(len(names)), size):
+            values = [tuple(r[k] for k in places) for r in rows]
+            if rows and not any(set(key) <= set(places) for key in found) and None not in {v for t in values for v in t} and len(set(values)) == len(rows):
+                found.append(places)
+    return sorted((",".join(names[k] for k in places), len(places), len(rows)) for places in found)
+
+
+@pytest.mark.parametrize("seed, values", [(1, 40), (2, 12), (3, 6)])
+def test_composite_keys_against_all_sets(spark, seed, values):
+    rng = random.Random(seed)
+    names = ["a", "key_columns", "k", "value.x", "e", "0"]
+    rows = [(k // 15, k % 15, *(rng.randrange(values) for _ in range(3)), rng.choice([None, 1, 2])) for k in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` long" for n in names))
+    for most in (1, 2, 3):
+        assert sorted(map(tuple, candidate_keys_composite(df, most).collect())) == brute_keys(rows, names, most)
+
+
+def test_composite_keys_of_odd_tables(spark):
+    df = spark.range(200).selectExpr("id", "id % 20 as m", "cast(id as string) as s", "repeat('x', 300) || (id div 20) as long", "null as n")
+    assert sorted(map(tuple, candidate_keys_composite(df).collect())) == [("id", 1, 200), ("m,long", 2, 200), ("s", 1, 200)]
+    assert candidate_keys_composite(df.where("false")).collect() == []
+    assert candidate_keys_composite(df.union(df)).collect() == []
+    # A third of all rows in one value, unique only together.
+    hot = spark.range(900).selectExpr("if(id % 3 = 0, -1, id) as h", "id div 3 as g", "id % 3 as r")
+    assert sorted(map(tuple, candidate_keys_composite(hot).collect())) == [("g,r", 2, 900), ("h,g", 2, 900)]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from rowferry.functions.text import is_complex_line
 from rowferry.operators.infer import infer_types
 from rowferry.operators.profile import (
     candidate_keys,
+    candidate_keys_composite,
     column_inventory,
     delimiter_widths,
     detect_delimiter,
@@ -88,6 +91,11 @@ def candidate_keys_query(spark, folder):
     return candidate_keys(table(spark, folder, "orders"))
 
 
+def candidate_keys_composite_query(spark, folder):
+    """Keys of up to two columns, over all columns of a table without a key of one."""
+    return candidate_keys_composite(table(spark, folder, "lineitem"))
+
+
 def column_inventory_text(spark, folder):
     return column_inventory(table(spark, folder, "documents"))
 
@@ -119,6 +127,7 @@ QUERIES = {
     "validate_width_spanning": validate_width_spanning,
     "estimate_size": estimate_size_query,
     "candidate_keys": candidate_keys_query,
+    "candidate_keys_composite": candidate_keys_composite_query,
     "column_inventory_text": column_inventory_text,
     "detect_delimiter": detect_delimiter_query,
     "delimiter_widths": delimiter_widths_query,
@@ -126,6 +135,23 @@ QUERIES = {
 }
 
 
+def _composite_keys_sql(table_name, columns):
+    """Every column and every pair of columns, counted one by one; pairs that hold a key are left out."""
+
+    def unique(*names):
+        return f"SELECT count(*) > 0 AND count(DISTINCT ({', '.join(names)})) = count(*) AND " + " AND ".join(f"count({c}) = count(*)" for c in names)
+
+    single = [f"({unique(c)} FROM {table_name}) AS {c}" for c in columns]
+    found = [f"SELECT '{c}' AS key_columns, 1 AS n_columns FROM single WHERE {c}" for c in columns]
+    found += [
+        f"SELECT '{a},{b}', 2 FROM single WHERE NOT {a} AND NOT {b} AND ({unique(a, b)} FROM {table_name})" for a, b in combinations(columns, 2)
+    ]
+    return (
+        f"WITH single AS (SELECT {', '.join(single)}), found AS ({' UNION ALL '.join(found)}) "
+        f"SELECT key_columns, CAST(n_columns AS INTEGER) AS n_columns, (SELECT count(*) FROM {table_name}) AS row_count FROM found"
+    )
+
+
 def _whole_type(table_name, column):
     return (
         f"SELECT '{column}' AS column_name, CASE WHEN max({column}) <= 2147483647 THEN 'Int32' ELSE 'Int64' END "
@@ -210,6 +236,7 @@ SQL = {
         f"count(DISTINCT {c}) = count(*) AS is_key FROM orders"
         for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     ),
+    "candidate_keys_composite": _composite_keys_sql("lineitem", tuple(LINE_TYPES)),
     "column_inventory_text": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) - count({c}) AS null_count, "
         f"count(DISTINCT {c}) AS distinct_count FROM documents"
