@@ -25,6 +25,8 @@ from rowferry.llm.units import Remembered, UnitEncoder
 END_ID = 1
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
+#: Bytes of text encoded at once: each distinct piece among them is looked up once.
+ENCODED_BYTES = 1 << 22
 
 
 def vocabulary(name: str) -> str:
@@ -119,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
         encode = _text_encoder(vocabulary(tokenizer) if "/" not in tokenizer else tokenizer)
         total = 0
         for batch in batches:
-            for part, data, offsets in chunks(batch):
+            for part, data, offsets in chunks(batch, size=ENCODED_BYTES):
                 ids, ends = encode(data, offsets)
                 ids = np.insert(ids, ends[1:], END_ID)
                 ends = ends + np.arange(len(ends))
