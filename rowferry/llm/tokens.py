@@ -131,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
                         pa.array(np.full(part.num_rows, file, np.int32)),
                         pa.array(ends[:-1] + total),
                         pa.array(np.diff(ends)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False))),
                     ],
                     ["doc_id", "file", "offset", "n_tokens", "ids"],
                 )

@@ -69,6 +69,7 @@ class UnitEncoder:
         coded = pc.dictionary_encode(units)
         distinct = coded.dictionary.to_pylist()
         index = coded.indices.to_numpy()
+        del units, coded
         ids = self.known.get_all(distinct)
         new = [k for k, x in enumerate(ids) if x is None]
         for k, found in zip(new, self.encode([distinct[k] for k in new])):
@@ -79,5 +80,6 @@ class UnitEncoder:
         first = np.cumsum(length) - length
         own = length[index]
         ends = np.concatenate([[0], np.cumsum(own)])
-        at = np.arange(ends[-1]) + np.repeat(first[index] - ends[:-1], own)
+        at = np.repeat(first[index] - ends[:-1], own)
+        at += np.arange(ends[-1])
         return flat[at], ends[np.searchsorted(cuts, offsets)]
