@@ -18,6 +18,8 @@ A list that one group of near copies fills would give all pairs. So each list
 compares each member with a few others first; what they link is one component
 from then on, and only pairs across components remain to be compared. After
 each round links are contracted: components are the nodes of the next round.
+Bit maps of the sets bound what a pair can share, so that whole sets travel
+only for pairs that may be alike.
 
 Shingles are 54 bits of a 64-bit hash; candidate pairs are checked on whole sets.
 """
@@ -58,6 +60,9 @@ NEXT, PART = 3, 512
 #: The exhaustive round follows when fewer than this share of a round's pairs are alike, or after so many rounds.
 FRUITFUL, TURNS = 0.05, 6
 
+#: Bits of a set's map for each shingle, at least, and the least length of a map.
+SKETCH_BITS, LEAST_BITS = 4, 512
+
 _ROWS = 1000
 #: Parts of the entries.
 SUBSET, RARE, OFTEN = 0, 1, 2
@@ -315,8 +320,8 @@ def _spots(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
 
 
-def _members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, class, shingles) of the chosen documents, and of some others.
+def _members(docs: DataFrame, chosen: DataFrame, sketched: bool = False) -> DataFrame:
+    """(doc_id, class, shingles) of the chosen documents, and of some others; ``sketched`` gives (doc_id, class, size, sketch).
 
     A bit map of fixed size over document ids spares the texts of others; what
     it lets through by chance falls out of the join with the pairs.
@@ -338,11 +343,66 @@ def _members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 shingles, row = shingle_sets(data, offsets)
                 ids, size = class_ids(shingles, row, part.num_rows)
                 cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(cuts), pa.array(shingles.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids), sets], ["doc_id", "class", "shingles"])
+                if sketched:
+                    maps = [sketch(shingles[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+                    told = {"size": pa.array(size.astype(np.int64)), "sketch": pa.array(maps, pa.binary())}
+                else:
+                    told = {"shingles": pa.ListArray.from_arrays(pa.array(cuts), pa.array(shingles.view(np.int64)))}
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids), *told.values()], ["doc_id", "class", *told])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.withColumn("spot", _spots("doc_id")).mapInArrow(task, f"doc_id {kind}, class long, shingles array<long>")
+    told = "size long, sketch binary" if sketched else "shingles array<long>"
+    return docs.withColumn("spot", _spots("doc_id")).mapInArrow(task, f"doc_id {kind}, class long, {told}")
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """A set's bit map; its length is a power of two and follows from the set's size."""
+    bits = max(LEAST_BITS, 1 << int(SKETCH_BITS * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_BITS
+    found = np.zeros(bits, bool)
+    found[shingles & _U64(bits - 1)] = True
+    return np.packbits(found).tobytes()
+
+
+def may_be_alike(x: bytes, n: int, y: bytes, m: int) -> bool:
+    """Whether sets of sizes n and m with these bit maps can be alike; never false for sets that are.
+
+    A bit that only one map has stands for a shingle, at least, that the other set lacks. The longer map
+    is folded to the shorter one's length.
+    """
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    length = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, length), axis=0) for v in (a, b))
+    shared = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return shared >= needed(n, m)
+
+
+def _one_document(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """One document of each of the classes, with the other columns of ``classes``."""
+    return documents.select("class", "doc_id").join(classes, "class").groupBy(*classes.columns).agg(F.min("doc_id").alias("doc_id"))
+
+
+def _sketches(docs: DataFrame, documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(class, size, sketch) of the classes."""
+    chosen = scratch.settle(_one_document(documents, classes), "chosen")
+    own = chosen.select(F.col("class").alias("c"), F.col("doc_id").alias("d"))
+    found = _members(docs, chosen, sketched=True).join(own, (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    # A repeated id may stand for a class twice, with the same set.
+    return scratch.settle(found.select("class", "size", "sketch").dropDuplicates(["class"]), "sketches")
+
+
+def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose bit maps let them be alike, with their other columns."""
+    columns = pairs.columns
+    for side in ("a", "b"):
+        known = sketches.select(F.col("class").alias(side), F.col("size").alias(f"n_{side}"), F.col("sketch").alias(f"map_{side}"))
+        pairs = pairs.join(known, side)
+
+    def task(batches):
+        for batch in batches:
+            x, n, y, m = (batch.column(c).to_pylist() for c in ("map_a", "n_a", "map_b", "n_b"))
+            yield batch.select(columns).filter(pa.array([may_be_alike(*p) for p in zip(x, n, y, m)], pa.bool_()))
+
+    return pairs.select(*columns, "map_a", "n_a", "map_b", "n_b").mapInArrow(task, ", ".join(f"{c} long" for c in columns))
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -352,8 +412,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame
     """
     sides = [pairs.select(F.col(side).alias("class"), F.lit(side == "a").alias("first"), F.lit(side == "b").alias("second")) for side in ("a", "b")]
     wanted = sides[0].union(sides[1]).groupBy("class").agg(F.bool_or("first").alias("first"), F.bool_or("second").alias("second"))
-    chosen = documents.select("class", "doc_id").join(wanted, "class").groupBy("class", "first", "second").agg(F.min("doc_id").alias("doc_id"))
-    chosen = settle(chosen, "chosen")
+    chosen = settle(_one_document(documents, wanted), "chosen")
     for side, asked, shingles in (("a", "first", "x"), ("b", "second", "y")):
         own = chosen.where(asked)
         known = own.select(F.col("class").alias(side), F.col("doc_id").alias("doc"))
@@ -401,7 +460,7 @@ def _few_pairs(lists: DataFrame, turn: int) -> DataFrame:
     Members stand in an order of classes that is the same for all lists, so
     that lists of one group of near copies agree on who comes next, and another
     one in every turn. A member meets the next ones of its lists; of all these
-    it takes the NEXT first. Long lists are cut into parts by class.
+    it takes the NEXT first, with their order. Long lists are cut into parts by class.
     """
     order = F.xxhash64("class", F.lit(turn))
     sizes = lists.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
@@ -415,7 +474,12 @@ def _few_pairs(lists: DataFrame, turn: int) -> DataFrame:
     )
     met = dealt.select(F.col("class").alias("a"), F.explode(near).alias("x")).select("a", F.col("x.class").alias("b"), F.col("x.order").alias("order")).distinct()
     first = Window.partitionBy("a").orderBy("order", "b")
-    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= NEXT).select("a", "b")
+    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= NEXT).select("a", "b", "order")
+
+
+def _first_pairs(pairs: DataFrame) -> DataFrame:
+    """Of each ``a`` the pair that comes first: one link joins it to its group."""
+    return pairs.groupBy("a").agg(F.min_by("b", F.struct("order", "b")).alias("b"))
 
 
 def _all_pairs(lists: DataFrame) -> DataFrame:
@@ -450,10 +514,12 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     links = scratch.settle(_light_links(entries.where(F.col("part") == SUBSET)), "light")
     labels = scratch.settle(components(links, scratch), "labels")
     scratch.drop(entries, links)
+    sketches = _sketches(docs, documents, lists.select("class").distinct(), scratch)
     turn, exhaustive = 0, False
     while True:
         rest = scratch.settle(_open_lists(lists.select("key", "class", "size", "place", "reach"), labels), "open")
-        pairs = scratch.settle(_all_pairs(_told_lists(rest)) if exhaustive else _few_pairs(rest, turn), "pairs")
+        met = _promising(_all_pairs(_told_lists(rest)) if exhaustive else _few_pairs(rest, turn), sketches)
+        pairs = scratch.settle(met if exhaustive else _first_pairs(met), "pairs")
         links = scratch.settle(_alike(pairs, docs, documents), "alike")
         compared, found = pairs.count(), links.count()
         before, labels = labels, merged(labels, links, scratch)
@@ -463,7 +529,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         if exhaustive:
             break
         exhaustive = found < FRUITFUL * compared or turn == TURNS
-    scratch.drop(lists)
+    scratch.drop(lists, sketches)
     grouped = documents.where("size > 0").join(labels.withColumnRenamed("node", "class"), "class", "left")
     grouped = settle(grouped.withColumn("component", F.coalesce("component", "class")), "grouped")
     scratch.drop(labels)

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from rowferry.llm import jaccard as J
@@ -110,3 +111,35 @@ def test_components(spark):
     rows = components(frame).collect()
     assert len(rows) == len(expected) and {r["node"]: r["component"] for r in rows} == expected
     assert components(frame.where("false")).count() == 0
+
+
+def test_bit_maps_lose_no_pair_that_is_alike():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 400))
+        pool = np.unique(rng.integers(0, 1 << 54, n + 200, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, gone, new = pool[:n], int(rng.integers(0, n)), int(rng.integers(0, 200))
+        b = np.concatenate([a[gone:], pool[n : n + new]])
+        common, union = len(a) - gone, len(a) + new
+        alike = 100 * common >= 75 * union
+        kept = J.may_be_alike(J.sketch(a), len(a), J.sketch(b), len(b))
+        assert kept or not alike
+        assert kept == J.may_be_alike(J.sketch(b), len(b), J.sketch(a), len(a))
+        ruled_out += not kept
+    assert ruled_out > 1500
+
+
+def test_large_group_of_near_copies(spark):
+    """Each differs from the base by a few words, so lists hold all of them; some also share a passage with strangers."""
+    rng = random.Random(9)
+    base, passage = [f"b{k}" for k in range(120)], [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(120)] = f"x{rng.randrange(9999)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(1000 + k, " ".join([f"s{k}-{j}" for j in range(40)] + passage)) for k in range(100)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
