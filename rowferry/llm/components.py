@@ -1,7 +1,8 @@
-"""Connected components of links, and tables that are dropped when no step needs them any more."""
+"""Connected components of links, and tables and broadcasts that are dropped when no step needs them any more."""
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +11,12 @@ from rowferry.sinks.staging import Folders
 
 
 class Scratch:
-    """Tables in the shared folder, each until it is dropped."""
+    """Tables in the shared folder, each until it is dropped, and values that tasks know until they are forgotten."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folders = spark, Folders(spark)
         self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.known: list[Broadcast] = []
 
     def settle(self, df: DataFrame, label: str) -> DataFrame:
         """The rows written and read again, so that nothing before is run twice."""
@@ -31,6 +33,16 @@ class Scratch:
             if path:
                 self.folders.drop(path)
 
+    def share(self, value) -> Broadcast:
+        """The value for all tasks until ``forget``."""
+        self.known.append(self.spark.sparkContext.broadcast(value))
+        return self.known[-1]
+
+    def forget(self) -> None:
+        """Free what was shared, on the driver and the executors; only for plans whose rows are settled."""
+        while self.known:
+            self.known.pop().destroy()
+
 
 def _to_least(edges: DataFrame) -> DataFrame:
     """Every node with the least of itself and its neighbours, beside each neighbour."""

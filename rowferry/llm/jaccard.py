@@ -213,9 +213,9 @@ def subsets(shingles: np.ndarray) -> tuple[list[int], list[bool]]:
     return np.concatenate(keys), np.concatenate(smaller)
 
 
-def _entries(docs: DataFrame, frequent, small: int) -> DataFrame:
+def _entries(docs: DataFrame, frequent, small: int, scratch: Scratch) -> DataFrame:
     """Rows (part, key, class, size, place): subsets (place 1 for the smaller size), rare and frequent list entries."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = scratch.share(frequent)
 
     def task(batches):
         values, rank = shared.value
@@ -320,7 +320,7 @@ def _spots(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
 
 
-def _members(docs: DataFrame, chosen: DataFrame, sketched: bool = False) -> DataFrame:
+def _members(docs: DataFrame, chosen: DataFrame, scratch: Scratch, sketched: bool = False) -> DataFrame:
     """(doc_id, class, shingles) of the chosen documents, and of some others; ``sketched`` gives (doc_id, class, size, sketch).
 
     A bit map of fixed size over document ids spares the texts of others; what
@@ -331,7 +331,7 @@ def _members(docs: DataFrame, chosen: DataFrame, sketched: bool = False) -> Data
     bitmap = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
     for r in pages:
         bitmap[r["page"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.ravel())
+    shared = scratch.share(bitmap.ravel())
 
     def task(batches):
         bitmap = shared.value
@@ -385,9 +385,11 @@ def _sketches(docs: DataFrame, documents: DataFrame, classes: DataFrame, scratch
     """(class, size, sketch) of the classes."""
     chosen = scratch.settle(_one_document(documents, classes), "chosen")
     own = chosen.select(F.col("class").alias("c"), F.col("doc_id").alias("d"))
-    found = _members(docs, chosen, sketched=True).join(own, (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    found = _members(docs, chosen, scratch, sketched=True).join(own, (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     # A repeated id may stand for a class twice, with the same set.
-    return scratch.settle(found.select("class", "size", "sketch").dropDuplicates(["class"]), "sketches")
+    sketches = scratch.settle(found.select("class", "size", "sketch").dropDuplicates(["class"]), "sketches")
+    scratch.forget()
+    return sketches
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -405,23 +407,26 @@ def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.select(*columns, "map_a", "n_a", "map_b", "n_b").mapInArrow(task, ", ".join(f"{c} long" for c in columns))
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, docs: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike; a class is read from one document.
 
     A pair carries the set of its ``a``, so ``b`` is best the one that many pairs have.
     """
     sides = [pairs.select(F.col(side).alias("class"), F.lit(side == "a").alias("first"), F.lit(side == "b").alias("second")) for side in ("a", "b")]
     wanted = sides[0].union(sides[1]).groupBy("class").agg(F.bool_or("first").alias("first"), F.bool_or("second").alias("second"))
-    chosen = settle(_one_document(documents, wanted), "chosen")
+    chosen = scratch.settle(_one_document(documents, wanted), "chosen")
     for side, asked, shingles in (("a", "first", "x"), ("b", "second", "y")):
         own = chosen.where(asked)
         known = own.select(F.col("class").alias(side), F.col("doc_id").alias("doc"))
-        sets = _members(docs, own).select(F.col("class").alias("c"), F.col("doc_id").alias("d"), F.col("shingles").alias(shingles)).hint("merge")
+        sets = _members(docs, own, scratch).select(F.col("class").alias("c"), F.col("doc_id").alias("d"), F.col("shingles").alias(shingles)).hint("merge")
         found = pairs.join(known, side).join(sets, (F.col(side) == F.col("c")) & F.col("doc").eqNullSafe(F.col("d")))
         pairs = found.drop("c", "d", "doc")
     common = F.size(F.array_intersect("x", "y"))
     checked = pairs.select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
-    return checked.where(f"100 * c >= {PERCENT} * u").select("a", "b").distinct()
+    links = scratch.settle(checked.where(f"100 * c >= {PERCENT} * u").select("a", "b").distinct(), "alike")
+    scratch.forget()
+    scratch.drop(chosen)
+    return links
 
 
 def _possible(joined: DataFrame) -> DataFrame:
@@ -505,11 +510,12 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     counts = census.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("n"))
     frequent = _most_frequent(settle(counts, "counts"))
     sizes = documents.where(F.col("size").between(1, 2 * MAX_SMALL)).groupBy("class", "size").count().groupBy("size").count().collect()
-    entries = _entries(docs, frequent, boundary({r["size"]: r["count"] for r in sizes}))
+    scratch = Scratch(docs.sparkSession)
+    entries = _entries(docs, frequent, boundary({r["size"]: r["count"] for r in sizes}), scratch)
     columns = ["key", "class", "size", "place", "reach", "part"]
     subsets = entries.where(F.col("part") == SUBSET).withColumn("reach", F.lit(None).cast("long"))
-    scratch = Scratch(docs.sparkSession)
     entries = scratch.settle(_lists(entries).withColumn("part", F.lit(RARE)).select(columns).unionByName(subsets.select(columns)), "lists")
+    scratch.forget()
     lists = scratch.settle(_thinned(entries.where(F.col("part") == RARE).drop("part")), "thinned")
     links = scratch.settle(_light_links(entries.where(F.col("part") == SUBSET)), "light")
     labels = scratch.settle(components(links, scratch), "labels")
@@ -520,7 +526,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         rest = scratch.settle(_open_lists(lists.select("key", "class", "size", "place", "reach"), labels), "open")
         met = _promising(_all_pairs(_told_lists(rest)) if exhaustive else _few_pairs(rest, turn), sketches)
         pairs = scratch.settle(met if exhaustive else _first_pairs(met), "pairs")
-        links = scratch.settle(_alike(pairs, docs, documents), "alike")
+        links = _alike(pairs, docs, documents, scratch)
         compared, found = pairs.count(), links.count()
         before, labels = labels, merged(labels, links, scratch)
         # What is in one component is not looked at again.
