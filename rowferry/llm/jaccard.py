@@ -278,11 +278,14 @@ def _reach() -> Column:
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """List entries that some other member of their list may be alike to."""
-    over = Window.partitionBy("key")
-    rare = (
-        entries.where(F.col("part") == RARE)
-        .select("key", "class", "size", "place", _reach().alias("reach"))
+    """Subsets, and list entries that some other member of their list may be alike to, in one pass over the entries.
+
+    Only rare shingles are looked at by list. The other entries, whose lists may be long, are dealt one by one.
+    """
+    rare = F.col("part") == RARE
+    over = Window.partitionBy("part", "dealt")
+    told = (
+        entries.withColumns({"reach": F.when(F.col("part") != SUBSET, _reach()), "dealt": F.when(rare, F.col("key")).otherwise(F.xxhash64("key", "class"))})
         .withColumns(
             {
                 "one": F.min("class").over(over),
@@ -294,12 +297,12 @@ def _lists(entries: DataFrame) -> DataFrame:
                 "furthest": F.max("reach").over(over),
             }
         )
-        .where("one <> other")
-        .where("CASE WHEN n = 2 THEN sizes - size <= reach AND reaches - reach >= size ELSE least <= reach AND furthest >= size END")
+        .where(~rare | (F.col("one") != F.col("other")))
+        .where(~rare | F.expr("CASE WHEN n = 2 THEN sizes - size <= reach AND reaches - reach >= size ELSE least <= reach AND furthest >= size END"))
     )
-    frequent = entries.where(F.col("part") == OFTEN).withColumn("reach", _reach())
-    columns = ["key", "class", "size", "place", "reach"]
-    return rare.select(columns).unionByName(frequent.select(columns)).dropDuplicates(["key", "class"])
+    # A shingle is rare or frequent, so that a list has entries of one part.
+    kept = told.select("key", "class", "size", "place", "reach", "part").dropDuplicates(["part", "key", "class"])
+    return kept.withColumn("part", F.when(F.col("part") == SUBSET, SUBSET).otherwise(RARE))
 
 
 def _thinned(lists: DataFrame) -> DataFrame:
@@ -512,9 +515,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     sizes = documents.where(F.col("size").between(1, 2 * MAX_SMALL)).groupBy("class", "size").count().groupBy("size").count().collect()
     scratch = Scratch(docs.sparkSession)
     entries = _entries(docs, frequent, boundary({r["size"]: r["count"] for r in sizes}), scratch)
-    columns = ["key", "class", "size", "place", "reach", "part"]
-    subsets = entries.where(F.col("part") == SUBSET).withColumn("reach", F.lit(None).cast("long"))
-    entries = scratch.settle(_lists(entries).withColumn("part", F.lit(RARE)).select(columns).unionByName(subsets.select(columns)), "lists")
+    entries = scratch.settle(_lists(entries), "lists")
     scratch.forget()
     lists = scratch.settle(_thinned(entries.where(F.col("part") == RARE).drop("part")), "thinned")
     links = scratch.settle(_light_links(entries.where(F.col("part") == SUBSET)), "light")
