@@ -80,11 +80,8 @@ def stream_rejects(spark, folder):
 
 
 def stream_progress(spark, folder):
-    path = fresh_path(spark, "progress")
-    types = {"c_custkey": "Int64", "c_name": "String", "c_nationkey": "Int32", "c_acctbal": "Decimal(18, 2)", "c_mktsegment": "String"}
-    customer = table(spark, folder, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
-    export_delimited(customer.select(*types).repartition(6, "c_custkey"), f"{path}/in")
-    stream_load(spark, f"{path}/in", types, f"{path}/out", f"{path}/state", files_per_batch=2)
+    path = _orders_folder(spark, folder, "progress")
+    stream_load(spark, f"{path}/in", ORDER_TYPES, f"{path}/out", f"{path}/state", files_per_batch=2)
     steps = progress_rows(spark, f"{path}/state")
     return steps.agg(
         F.sum("rows_read").alias("rows_read"),
@@ -115,9 +112,9 @@ SQL = {
     "stream_resume": "SELECT * FROM orders",
     "stream_rejects": "SELECT CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'loaded' END AS outcome, event_id FROM events",
     "stream_progress": (
-        "SELECT count(*) AS rows_read, count(*) AS rows_loaded, count(*) AS rows_so_far, CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) "
-        "+ strlen(c_name) + strlen(CAST(c_nationkey AS VARCHAR)) + strlen(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)) "
-        # The bytes of six files, each with its header.
-        "+ strlen(c_mktsegment) + 5) + 6 * (strlen('c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment') + 1) AS BIGINT) AS bytes_so_far FROM customer"
+        "SELECT count(*) AS rows_read, count(*) AS rows_loaded, count(*) AS rows_so_far, CAST(sum("
+        + " + ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)), 0)" for c in ORDER_TYPES)
+        # Five commas and a line end a row; six files, each with its header.
+        + f" + 6) + 6 * (strlen('{','.join(ORDER_TYPES)}') + 1) AS BIGINT) AS bytes_so_far FROM orders"
     ),
 }
