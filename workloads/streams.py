@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from rowferry.operators.quality import ErrorBudget
 from rowferry.sinks.files import export_delimited
 from rowferry.streaming.load import loaded_rows, progress_rows, stream_load
-from workloads.common import DOCUMENT_TYPES, EVENT_TYPES, ORDER_TYPES, event_text, fresh_path, table
+from workloads.common import DOCUMENT_TYPES, EVENT_TYPES, ORDER_TYPES, event_text, fresh_path, table, text
+
+
+# Bytes of text that one arriving file holds at most, about.
+FILE_BYTES = 128 << 20
+
+
+def _file_count(rows, least):
+    """Files for the rows' text, each of which one task writes: a few of a small table, more of a larger one."""
+    size = sum(F.coalesce(F.octet_length(text(c)), F.lit(0)) for c in rows.columns)
+    return max(least, -(-(rows.agg(F.sum(size)).first()[0] or 0) // FILE_BYTES))
 
 
 def _orders_folder(spark, folder, label):
@@ -38,7 +48,8 @@ def stream_by_header(spark, folder):
 def stream_spanning(spark, folder):
     """Cells over line ends."""
     path = fresh_path(spark, "stream-spanning")
-    export_delimited(table(spark, folder, "documents").repartition(4, "doc_id"), f"{path}/in")
+    documents = table(spark, folder, "documents")
+    export_delimited(documents.repartition(_file_count(documents, 4), "doc_id"), f"{path}/in")
     stream_load(spark, f"{path}/in", DOCUMENT_TYPES, f"{path}/out", f"{path}/state", files_per_batch=2)
     return loaded_rows(spark, f"{path}/out")
 
