@@ -20,11 +20,15 @@ DELIMITER_CHOICES = (",", "\t", "|", ";")
 # Values longer than this are compared by their SHA-256.
 LONG_VALUE = 128
 
-# Relative deviation of the sketches that discard column sets, how many deviations
-# below the row count still go on to the exact count, and sketches made in one pass.
+# Relative deviation of the sketches that discard columns, how many deviations below
+# the row count still go on to the exact count, and column sets taken in one pass.
 SKETCH_DEVIATION = 0.02
 SKETCH_MARGIN = 6
-SKETCHES_A_PASS = 200
+SETS_A_PASS = 200
+
+# Of larger tables, about so many entries of each column set are searched for repeats
+# before sets without any are counted whole.
+PROBE_ROWS = 1 << 18
 
 
 def row_count(df: DataFrame, name: str = "row_count") -> DataFrame:
@@ -114,51 +118,103 @@ def candidate_keys_composite(df: DataFrame, max_columns: int = 2) -> DataFrame:
 
     A key is unique and never NULL; a set that holds a smaller key is left out;
     an empty table has none. Level by level, sets of columns without NULLs are
-    discarded where the product of their columns' distinct counts, or a sketch
-    of their own, is too far below the row count. What remains is counted
-    exactly, all sets of a level in one shuffle. Names are joined by commas in
-    the table's order. The driver sees numbers of columns and counts only.
+    discarded where the product of their columns' distinct counts is too far
+    below the row count, or where a value is met twice. What remains is counted
+    exactly. Names are joined by commas in the table's order. The driver sees
+    numbers of columns, counts and one hash a set only.
     """
     numbers = [str(i) for i in range(len(df.columns))]
-    texts = df.select(*[_comparable(df, c).alias(i) for i, c in zip(numbers, df.columns)])
-    counts = texts.agg(F.count(F.lit(1)), *[F.count(F.col(quote_name(i))) for i in numbers]).first()
+    cells = df.select(*[_hashable(df, c).alias(i) for i, c in zip(numbers, df.columns)])
+    counts = cells.agg(F.count(F.lit(1)), *[F.count(F.col(quote_name(i))) for i in numbers]).first()
     rows = counts[0]
     whole = [i for i, present in zip(numbers, counts[1:]) if present == rows and rows]
     lowest = rows * (1 - SKETCH_MARGIN * SKETCH_DEVIATION)
     highest = 1 + SKETCH_MARGIN * SKETCH_DEVIATION
-    distinct: dict[str, int] = {}
+    distinct = dict(zip(whole, _distinct_estimates(cells, whole)))
     found: list[tuple[str, ...]] = []
     for size in range(1, max_columns + 1):
         sets = [s for s in combinations(whole, size) if not any(set(key) <= set(s) for key in found)]
-        if size > 1:
-            sets = [s for s in sets if prod(highest * distinct[i] for i in s) >= rows]
-        estimates = _distinct_estimates(texts, sets)
         if size == 1:
-            distinct = {s[0]: n for s, n in zip(sets, estimates)}
-        found += _unique_sets(texts, [s for s, n in zip(sets, estimates) if n >= lowest])
+            sets = [s for s in sets if distinct[s[0]] >= lowest]
+        else:
+            sets = [s for s in sets if prod(highest * distinct[i] for i in s) >= rows]
+        found += _unique_sets(cells, sets, rows)
     spark = df.sparkSession
     keys = [(",".join(df.columns[int(i)] for i in s), len(s), rows) for s in found]
     return spark.createDataFrame(keys, "key_columns string, n_columns int, row_count long")
 
 
-def _distinct_estimates(texts: DataFrame, sets: Sequence[tuple[str, ...]]) -> list[int]:
-    """Sketched distinct counts of the sets, some at a time in one pass without a shuffle of rows."""
+def _hashable(df: DataFrame, column: str) -> Column:
+    """A column such that equal values have equal hashes: numbers and times as they are, others as text."""
+    dtype = df.schema[column].dataType
+    value = F.col(quote_name(column))
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return value + F.lit(0.0)  # -0.0 counts as 0.0
+    if isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return value
+    return _comparable(df, column)
+
+
+def _distinct_estimates(cells: DataFrame, columns: Sequence[str]) -> list[int]:
+    """Sketched distinct counts of the columns, some at a time in one pass without a shuffle of rows."""
     out: list[int] = []
-    for begin in range(0, len(sets), SKETCHES_A_PASS):
-        own = sets[begin : begin + SKETCHES_A_PASS]
-        hashes = [F.xxhash64(*[F.col(quote_name(i)) for i in s]) for s in own]
-        out += texts.agg(*[F.approx_count_distinct(h, SKETCH_DEVIATION).alias(f"n{k}") for k, h in enumerate(hashes)]).first()
+    for begin in range(0, len(columns), SETS_A_PASS):
+        own = columns[begin : begin + SETS_A_PASS]
+        out += cells.agg(*[F.approx_count_distinct(F.col(quote_name(i)), SKETCH_DEVIATION).alias(f"n{i}") for i in own]).first()
+    return out
+
+
+def _unique_sets(cells: DataFrame, sets: Sequence[tuple[str, ...]], rows: int) -> list[tuple[str, ...]]:
+    """The sets whose values occur in one row only, counted exactly.
+
+    Of a large table a part of the entries is searched first; a value met twice
+    there ends the search for its set, every other set is counted whole.
+    """
+    out: list[tuple[str, ...]] = []
+    for begin in range(0, len(sets), SETS_A_PASS):
+        own = list(sets[begin : begin + SETS_A_PASS])
+        if rows >= 2 * PROBE_ROWS:
+            shown = _repeats(cells, own, rows // PROBE_ROWS)
+            own = [s for k, s in enumerate(own) if not shown.get(k)]
+        shown = _repeats(cells, own)
+        # Different values of one hash do not tell; such a set is counted by its values.
+        out += [s for k, s in enumerate(own) if k not in shown or not (shown[k] or _repeated_values(cells, {s: F.lit(True)}))]
     return out
 
 
-def _unique_sets(texts: DataFrame, sets: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """The sets whose values occur in one row only, counted exactly."""
+def _set_hash(columns: tuple[str, ...]) -> Column:
+    return F.xxhash64(*[F.col(quote_name(i)) for i in columns])
+
+
+def _repeats(cells: DataFrame, sets: Sequence[tuple[str, ...]], slices: int = 1) -> dict[int, bool]:
+    """Numbers of the sets with a hash met twice, and whether rows of one such hash have equal values.
+
+    With ``slices`` only entries of one slice of the hashes take part, which
+    holds all rows of its values, and those of some rows, which meet a value
+    that many rows have.
+    """
     if not sets:
-        return []
-    values = [F.struct(F.lit(k).alias("k"), F.to_json(F.array(*[F.col(quote_name(i)) for i in s])).alias("value")) for k, s in enumerate(sets)]
-    repeated = texts.select(F.inline(F.array(*values))).groupBy("k", "value").count().where("count > 1").select("k").distinct()
-    repeats = {r["k"] for r in repeated.collect()}
-    return [s for k, s in enumerate(sets) if k not in repeats]
+        return {}
+    entries = cells.select((F.rand(0) * slices < 1).alias("taken"), F.posexplode(F.array(*map(_set_hash, sets))).alias("k", "hash"))
+    if slices > 1:
+        entries = entries.where(F.col("taken") | (F.col("hash") % slices == 0))
+    repeated = entries.groupBy("k", "hash").count().where("count > 1").groupBy("k").agg(F.min("hash").alias("hash")).collect()
+    equal = _repeated_values(cells, {sets[r["k"]]: _set_hash(sets[r["k"]]) == r["hash"] for r in repeated})
+    return {r["k"]: sets[r["k"]] in equal for r in repeated}
+
+
+def _repeated_values(cells: DataFrame, wanted: Mapping[tuple[str, ...], Column]) -> set[tuple[str, ...]]:
+    """The sets that have equal values in several rows among those wanted of each."""
+    if not wanted:
+        return set()
+    sets = list(wanted)
+    values = [
+        F.when(wanted[s], F.struct(F.lit(k).alias("k"), F.to_json(F.array(*[F.col(quote_name(i)).cast("string") for i in s])).alias("value")))
+        for k, s in enumerate(sets)
+    ]
+    rows = cells.where(reduce(Column.__or__, wanted.values())).select(F.inline(F.array(*values))).where("k IS NOT NULL")
+    repeated = rows.groupBy("k", "value").count().where("count > 1").select("k").distinct()
+    return {sets[r["k"]] for r in repeated.collect()}
 
 
 def estimate_size(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from itertools import combinations
 import pytest
 
 from rowferry.operators.infer import infer_types, suggested_types
+from rowferry.operators import profile
 from rowferry.operators.profile import (
     bad_width_lines,
     candidate_keys,
@@ -180,3 +181,16 @@ def test_composite_keys_of_odd_tables(spark):
     # A third of all rows in one value, unique only together.
     hot = spark.range(900).selectExpr("if(id % 3 = 0, -1, id) as h", "id div 3 as g", "id % 3 as r")
     assert sorted(map(tuple, candidate_keys_composite(hot).collect())) == [("g,r", 2, 900), ("h,g", 2, 900)]
+
+
+@pytest.mark.parametrize("hashes, probe", [(1 << 62, 20), (11, 20)])
+def test_composite_keys_of_parts_and_of_equal_hashes(spark, monkeypatch, hashes, probe):
+    """A part of the entries only tells sets that are no keys; different values of one hash are no repeat."""
+    set_hash = profile._set_hash
+    monkeypatch.setattr(profile, "_set_hash", lambda columns: set_hash(columns) % hashes)
+    monkeypatch.setattr(profile, "PROBE_ROWS", probe)
+    rng = random.Random(4)
+    names = ["a", "b", "c", "d", "t", "f"]
+    rows = [(k // 15, k % 15, rng.randrange(40), k + (k == 299) * -1, f"x{k % 60}", (k % 100) * 0.5) for k in range(300)]
+    df = spark.createDataFrame(rows, "a long, b int, c long, d long, t string, f double")
+    assert sorted(map(tuple, candidate_keys_composite(df).collect())) == brute_keys(rows, names, 2)
