@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,22 @@ from rowferry.session import scratch_path
 from rowferry.sinks.staging import Folders
 
 
+#: Bytes of rows that Spark hands to a Python task at once; each side of the pipe holds such a batch a few times.
+BATCH_BYTES = "4m"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Plans that run inside hand about BATCH_BYTES to a task at once, or one row if it is larger."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 class Scratch:
     """Tables in the shared folder, each until it is dropped, and values that tasks know until they are forgotten."""
 
@@ -21,7 +39,8 @@ class Scratch:
     def settle(self, df: DataFrame, label: str) -> DataFrame:
         """The rows written and read again, so that nothing before is run twice."""
         path = scratch_path(self.spark, label)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         settled = self.spark.read.parquet(path)
         self.paths[id(settled)] = (settled, path)
         return settled

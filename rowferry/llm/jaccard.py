@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowferry.llm.components import Scratch, components, merged
+from rowferry.llm.components import Scratch, components, merged, small_batches
 from rowferry.llm.text import LOWER, NOT_SPACE, chunks, gram_hashes, hash_spans, mix, words
 from rowferry.session import settled as settle
 
@@ -158,7 +158,8 @@ def _census(docs: DataFrame) -> DataFrame:
             yield counts()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return settle(docs.mapInArrow(task, f"doc_id {kind}, class long, size int, shingle long, count long"), "census")
+    with small_batches(docs.sparkSession):
+        return settle(docs.mapInArrow(task, f"doc_id {kind}, class long, size int, shingle long, count long"), "census")
 
 
 def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:

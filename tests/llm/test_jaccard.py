@@ -3,10 +3,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rowferry.llm import jaccard as J
-from rowferry.llm.components import components
+from rowferry.llm.components import BATCH_CONF, Scratch, components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -143,3 +145,19 @@ def test_large_group_of_near_copies(spark):
         rows.append((k, " ".join(copy)))
     rows += [(1000 + k, " ".join([f"s{k}-{j}" for j in range(40)] + passage)) for k in range(100)]
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_tasks_are_handed_small_batches(spark, tmp_path):
+    """Whole texts wait several times in a task, so that a batch of 10000 long rows would be hundreds of megabytes an executor."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["bytes"])
+
+    before = spark.conf.get(BATCH_CONF)
+    docs = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    scratch = Scratch(spark)
+    found = scratch.settle(docs.mapInArrow(sizes, "bytes long"), "sizes")
+    assert found.agg(F.max("bytes")).first()[0] < 5 << 20 and found.agg(F.sum("bytes")).first()[0] >= 30_000_000
+    assert spark.conf.get(BATCH_CONF) == before
+    scratch.drop(found)
