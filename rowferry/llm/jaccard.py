@@ -57,7 +57,8 @@ MAX_SMALL = 24
 LIST_COST = 4
 #: Comparisons of a list member in a round before the exhaustive one, and members of a part of a list then.
 NEXT, PART = 3, 512
-#: The exhaustive round follows when fewer than this share of a round's pairs are alike, or after so many rounds.
+#: The exhaustive round follows when it looks at no more pairs than a round, when fewer than this share of a round's pairs
+#: are alike, or after so many rounds.
 FRUITFUL, TURNS = 0.05, 6
 
 #: Bits of a set's map for each shingle, at least, and the least length of a map.
@@ -284,9 +285,12 @@ def _lists(entries: DataFrame) -> DataFrame:
     Only rare shingles are looked at by list. The other entries, whose lists may be long, are dealt one by one.
     """
     rare = F.col("part") == RARE
-    over = Window.partitionBy("part", "dealt")
+    dealt = F.when(rare, F.col("key")).otherwise(F.xxhash64("key", "class"))
+    over = Window.partitionBy("part", dealt)
+    # What follows from an entry is told after the entries have travelled.
     told = (
-        entries.withColumns({"reach": F.when(F.col("part") != SUBSET, _reach()), "dealt": F.when(rare, F.col("key")).otherwise(F.xxhash64("key", "class"))})
+        entries.repartition(dealt)
+        .withColumn("reach", F.when(F.col("part") != SUBSET, _reach()))
         .withColumns(
             {
                 "one": F.min("class").over(over),
@@ -389,7 +393,9 @@ def _sketches(docs: DataFrame, documents: DataFrame, classes: DataFrame, scratch
     """(class, size, sketch) of the classes."""
     chosen = scratch.settle(_one_document(documents, classes), "chosen")
     own = chosen.select(F.col("class").alias("c"), F.col("doc_id").alias("d"))
-    found = _members(docs, chosen, scratch, sketched=True).join(own, (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    # Ids are no key of the join, so that its rows lie by class for the next step.
+    other = F.coalesce(F.col("doc_id") != F.col("d"), F.col("doc_id").isNull() != F.col("d").isNull())
+    found = _members(docs, chosen, scratch, sketched=True).join(own, (F.col("class") == F.col("c")) & ~other, "left_semi")
     # A repeated id may stand for a class twice, with the same set.
     sketches = scratch.settle(found.select("class", "size", "sketch").dropDuplicates(["class"]), "sketches")
     scratch.forget()
@@ -443,10 +449,19 @@ _FITS = "l.component <> p.component AND l.size <= p.reach AND p.size <= l.reach"
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists with their members' components, without those in one component."""
+    """Lists with their members' components, without those in one component.
+
+    ``left`` is the number of partners that a member may have in an exhaustive
+    round: all of its list, or none for those of the list's least component.
+    """
     own = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return own.join(mixed, "key")
+    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "x", "n")
+    return own.join(mixed, "key").withColumn("left", F.when(F.col("component") != F.col("x"), F.col("n")).otherwise(0)).drop("x", "n")
+
+
+def _few_left(lists: DataFrame) -> bool:
+    """Whether an exhaustive round looks at no more pairs than any other round."""
+    return lists.agg(F.coalesce(F.sum("left") <= NEXT * F.count("*"), F.lit(True)).alias("few")).first()["few"]
 
 
 def _told_lists(lists: DataFrame) -> DataFrame:
@@ -526,6 +541,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     turn, exhaustive = 0, False
     while True:
         rest = scratch.settle(_open_lists(lists.select("key", "class", "size", "place", "reach"), labels), "open")
+        exhaustive = exhaustive or (turn > 0 and _few_left(rest))
         met = _promising(_all_pairs(_told_lists(rest)) if exhaustive else _few_pairs(rest, turn), sketches)
         pairs = scratch.settle(met if exhaustive else _first_pairs(met), "pairs")
         links = _alike(pairs, docs, documents, scratch)

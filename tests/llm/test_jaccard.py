@@ -161,3 +161,37 @@ def test_tasks_are_handed_small_batches(spark, tmp_path):
     assert found.agg(F.max("bytes")).first()[0] < 5 << 20 and found.agg(F.sum("bytes")).first()[0] >= 30_000_000
     assert spark.conf.get(BATCH_CONF) == before
     scratch.drop(found)
+
+
+def _entries(spark, lists):
+    rows = [(key, c, 10, 0, 13) for key, classes in lists.items() for c in classes]
+    return spark.createDataFrame(rows, "key long, class long, size int, place int, reach long")
+
+
+def test_exhaustive_round_follows_when_little_is_left(spark):
+    """A list of one component is closed; a member outside the least component may meet its whole list."""
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1)], "node long, component long")
+    rest = J._open_lists(_entries(spark, {7: [1, 2, 3], 8: [1, 2, 3, 4, 5], 9: [5, 6]}), labels)
+    found = sorted((r["key"], r["class"], r["component"], r["left"]) for r in rest.collect())
+    assert found == [(8, 1, 1, 0), (8, 2, 1, 0), (8, 3, 1, 0), (8, 4, 1, 0), (8, 5, 5, 5), (9, 5, 5, 0), (9, 6, 6, 2)]
+    assert J._few_left(rest)
+    assert J._few_left(rest.where("false"))
+    # One hot list of strangers would be compared pair by pair.
+    assert not J._few_left(J._open_lists(_entries(spark, {8: list(range(5, 50))}), labels))
+
+
+def test_rounds_end_when_little_is_left(spark, monkeypatch):
+    """Chains of near copies would be linked bit by bit in round after round."""
+    rounds = []
+    few = J._few_pairs
+    monkeypatch.setattr(J, "_few_pairs", lambda lists, turn: rounds.append(turn) or few(lists, turn))
+    monkeypatch.setattr(J, "FRUITFUL", 0.0)
+    rng = random.Random(2)
+    rows = []
+    for k in range(60):
+        words = [f"c{k}-{j}" for j in range(60)]
+        rows.append((2 * k, " ".join(words)))
+        words[rng.randrange(60)] = "other"
+        rows.append((2 * k + 1, " ".join(words)))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    assert rounds == [0]
