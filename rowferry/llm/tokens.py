@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.text import chunks
-from rowferry.llm.units import Remembered, UnitEncoder
+from rowferry.llm.units import Filled, UnitEncoder
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
@@ -67,17 +67,15 @@ def _text_encoder(path: str) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    merge, signs, parts = tokenizer.model.tokenize, byte_signs(), Remembered()
+    merge, signs = tokenizer.model.tokenize, byte_signs()
     # Other pieces are encoded in lines of many and told apart by their place.
     line = 2000
 
-    def part(text: str) -> bytes:
-        found = parts.get(text)
-        if found is None:
-            spelled = text if text.isascii() else "".join(signs[b] for b in text.encode())
-            found = array("i", [t.id for t in merge(spelled)]).tobytes()
-            parts.put(text, found)
-        return found
+    def merged(text: str) -> bytes:
+        spelled = text if text.isascii() else "".join(signs[b] for b in text.encode())
+        return array("i", [t.id for t in merge(spelled)]).tobytes()
+
+    part = Filled(merged).__getitem__
 
     def encode(pieces: list[bytes]) -> list[bytes]:
         texts = [x.decode().strip(" \t\n\v\f\r") for x in pieces]

@@ -8,6 +8,7 @@ worker remembers a bounded number of pieces from task to task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,38 @@ class Remembered:
                 self.old, self.young = self.young, {}
             self.young[piece] = ids
 
+    def put_all(self, pieces: list, ids: list) -> None:
+        """The same for many pieces, none of them known."""
+        short = [len(x) <= CACHED_BYTES for x in pieces]
+        if not all(short):
+            pieces, ids = list(compress(pieces, short)), list(compress(ids, short))
+        begin = 0
+        while begin < len(pieces):
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            end = begin + self.size - len(self.young)
+            self.young.update(zip(pieces[begin:end], ids[begin:end]))
+            begin = end
+
+
+class Filled(dict):
+    """Ids of pieces like ``Remembered``, made by ``make`` for a piece that is asked for and not known."""
+
+    def __init__(self, make: Callable, size: int = CACHED):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, piece):
+        found = self.old.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= CACHED_BYTES:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
 
 class UnitEncoder:
     """Ids of rows of a chunk; ``encode`` maps a list of byte strings to their ids as bytes of int32."""
@@ -67,14 +100,16 @@ class UnitEncoder:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pc.dictionary_encode(units)
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         index = coded.indices.to_numpy()
         del units, coded
         ids = self.known.get_all(distinct)
         new = [k for k, x in enumerate(ids) if x is None]
-        for k, found in zip(new, self.encode([distinct[k] for k in new])):
+        pieces = [distinct[k] for k in new]
+        made = self.encode(pieces)
+        for k, found in zip(new, made):
             ids[k] = found
-            self.known.put(distinct[k], found)
+        self.known.put_all(pieces, made)
         length = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         flat = np.frombuffer(b"".join(ids), np.int32)
         first = np.cumsum(length) - length

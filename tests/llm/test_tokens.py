@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from rowferry.llm import units
 from rowferry.llm.tokens import read_tokens, token_digests, vocabulary, write_tokens
 
 
@@ -49,3 +50,24 @@ def test_one_id_is_found_by_the_filter(spark, tmp_path, real):
     one = read_tokens(spark, path).where("doc_id = 77")
     assert one.count() == 1
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)" in one._jdf.queryExecution().toString()
+
+
+def test_remembered_pieces_are_bounded_and_made_once():
+    made = []
+    filled = units.Filled(lambda x: made.append(x) or x.encode(), size=10)
+    pieces = [f"p{k}" for k in range(35)]
+    assert [filled[p] for p in pieces] == [p.encode() for p in pieces] and made == pieces
+    assert len(filled) <= 10 and len(filled.old) <= 10
+    assert filled["p34"] == b"p34" and filled["p25"] == b"p25" and made == pieces
+    long = "x" * 65
+    assert filled[long] == filled[long] == long.encode() and made == [*pieces, long, long]
+
+
+def test_many_pieces_are_remembered_like_single_ones():
+    pieces = [b"%d" % k for k in range(35)] + [b"x" * 65]
+    one, many = units.Remembered(10), units.Remembered(10)
+    for p in pieces:
+        one.put(p, p)
+    many.put_all(pieces, list(pieces))
+    assert (one.young, one.old) == (many.young, many.old)
+    assert many.get_all(pieces)[-16:] == [*pieces[20:35], None]
