@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from rowferry.sinks.staging import Folders
 #: Bytes of rows that Spark hands to a Python task at once; each side of the pipe holds such a batch a few times.
 BATCH_BYTES = "4m"
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Links that a task joins at once, 4 MB of them. No more than these need no rounds.
+PART = 1 << 18
 
 
 @contextmanager
@@ -69,15 +74,56 @@ def _to_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (u, v) and the smallest node that each is joined to, itself included."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = ends[: len(u)], ends[len(u) :]
+    least = np.arange(len(nodes))
+    while len(u):
+        low, high = np.minimum(least[u], least[v]), np.maximum(least[u], least[v])
+        apart = low < high
+        u, v = u[apart], v[apart]
+        np.minimum.at(least, high[apart], low[apart])
+        while (further := least[least]).tobytes() != least.tobytes():
+            least = further
+    return nodes, nodes[least]
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, component) of links (u, v), as far as PART links of a task tell; a node may have several of these rows."""
+
+    def task(batches):
+        def told():
+            u, v = (np.concatenate(side) for side in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in least_nodes(u, v)], ["node", "component"])
+
+        held = []
+        for batch in batches:
+            held.append([batch.column(side).to_numpy() for side in ("u", "v")])
+            if sum(len(u) for u, _ in held) >= PART:
+                yield told()
+                held = []
+        if held:
+            yield told()
+
+    return links.mapInArrow(task, "node long, component long")
+
+
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(node, component) for the nodes of links (a, b); the component is its smallest node.
+    """(node, component) for the nodes of links (a, b), longs; the component is its smallest node.
 
-    Alternating star contraction: larger neighbours, then smaller ones and the
-    node itself, are linked to the least neighbour until nothing changes. No
-    links give no rows; self links and repeated links are ignored.
+    Tasks join the links of their parts. If there are more parts than one,
+    alternating star contraction follows: larger neighbours, then smaller ones
+    and the node itself, are linked to the least neighbour until nothing
+    changes. No links give no rows; self links and repeated links are ignored.
     """
     scratch = scratch or Scratch(links.sparkSession)
-    edges = scratch.settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    edges = scratch.settle(links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v"), "links")
+    parts = ceil(edges.count() / PART)
+    if parts < 2:
+        return _joined(edges.coalesce(1))
+    before, edges = edges, scratch.settle(_joined(edges.coalesce(parts)).where("node <> component").toDF("u", "v"), "links")
+    scratch.drop(before)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -100,7 +146,7 @@ def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     for side in ("a", "b"):
         known = labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
         ends = ends.join(known, side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
-    joined = scratch.settle(components(ends.where("a <> b").distinct(), scratch), "joined")
+    joined = scratch.settle(components(ends.where("a <> b"), scratch), "joined")
     moved = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
     old = labels.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
     # A component keeps the name of its smallest node, so that unlabelled nodes are the rest of the names.

@@ -328,18 +328,23 @@ def _spots(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
 
 
-def _members(docs: DataFrame, chosen: DataFrame, scratch: Scratch, sketched: bool = False) -> DataFrame:
+def _bitmaps(of: DataFrame, *chosen: str) -> list[np.ndarray]:
+    """For each of the columns a bit map of the document ids in it."""
+    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), _spots(ids).alias("spot")) for k, ids in enumerate(chosen))))
+    bits = of.select(sides.alias("x")).select("x.*").groupBy("side", F.expr("spot div 32768").alias("page"))
+    maps = np.zeros((len(chosen), MAP_BITS // 32768, 4096), np.uint8)
+    for r in bits.agg(F.bitmap_construct_agg(F.pmod("spot", F.lit(32768))).alias("bits")).collect():
+        maps[r["side"], r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return [m.ravel() for m in maps]
+
+
+def _members(docs: DataFrame, bitmap: np.ndarray, scratch: Scratch, sketched: bool = False) -> DataFrame:
     """(doc_id, class, shingles) of the chosen documents, and of some others; ``sketched`` gives (doc_id, class, size, sketch).
 
     A bit map of fixed size over document ids spares the texts of others; what
     it lets through by chance falls out of the join with the pairs.
     """
-    bits = chosen.select(_spots("doc_id").alias("spot")).groupBy(F.expr("spot div 32768").alias("page"))
-    pages = bits.agg(F.bitmap_construct_agg(F.pmod("spot", F.lit(32768))).alias("bits")).collect()
-    bitmap = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
-    for r in pages:
-        bitmap[r["page"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = scratch.share(bitmap.ravel())
+    shared = scratch.share(bitmap)
 
     def task(batches):
         bitmap = shared.value
@@ -389,53 +394,53 @@ def _one_document(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return documents.select("class", "doc_id").join(classes, "class").groupBy(*classes.columns).agg(F.min("doc_id").alias("doc_id"))
 
 
+def _other(x: str, y: str) -> Column:
+    """Whether two ids differ. They are no key of a join that asks this, so that its rows lie by class for the next step."""
+    return F.coalesce(F.col(x) != F.col(y), F.col(x).isNull() != F.col(y).isNull())
+
+
 def _sketches(docs: DataFrame, documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(class, size, sketch) of the classes."""
+    """(class, size, sketch, doc_id) of the classes; all that is read of a class is read from this document."""
     chosen = scratch.settle(_one_document(documents, classes), "chosen")
     own = chosen.select(F.col("class").alias("c"), F.col("doc_id").alias("d"))
-    # Ids are no key of the join, so that its rows lie by class for the next step.
-    other = F.coalesce(F.col("doc_id") != F.col("d"), F.col("doc_id").isNull() != F.col("d").isNull())
-    found = _members(docs, chosen, scratch, sketched=True).join(own, (F.col("class") == F.col("c")) & ~other, "left_semi")
+    found = _members(docs, *_bitmaps(chosen, "doc_id"), scratch, sketched=True).join(own, (F.col("class") == F.col("c")) & ~_other("doc_id", "d"), "left_semi")
     # A repeated id may stand for a class twice, with the same set.
-    sketches = scratch.settle(found.select("class", "size", "sketch").dropDuplicates(["class"]), "sketches")
+    sketches = scratch.settle(found.select("class", "size", "sketch", "doc_id").dropDuplicates(["class"]), "sketches")
     scratch.forget()
     return sketches
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose bit maps let them be alike, with their other columns."""
-    columns = pairs.columns
+    """The pairs whose bit maps let them be alike, with their other columns and the documents doc_a and doc_b."""
+    kinds = {c: "long" for c in pairs.columns}
     for side in ("a", "b"):
-        known = sketches.select(F.col("class").alias(side), F.col("size").alias(f"n_{side}"), F.col("sketch").alias(f"map_{side}"))
-        pairs = pairs.join(known, side)
+        known = {"class": side, "size": f"n_{side}", "sketch": f"map_{side}", "doc_id": f"doc_{side}"}
+        pairs = pairs.join(sketches.select(*(F.col(c).alias(name) for c, name in known.items())), side)
+        kinds[f"doc_{side}"] = sketches.schema["doc_id"].dataType.simpleString()
+    columns = list(kinds)
 
     def task(batches):
         for batch in batches:
             x, n, y, m = (batch.column(c).to_pylist() for c in ("map_a", "n_a", "map_b", "n_b"))
             yield batch.select(columns).filter(pa.array([may_be_alike(*p) for p in zip(x, n, y, m)], pa.bool_()))
 
-    return pairs.select(*columns, "map_a", "n_a", "map_b", "n_b").mapInArrow(task, ", ".join(f"{c} long" for c in columns))
+    return pairs.select(*columns, "map_a", "n_a", "map_b", "n_b").mapInArrow(task, ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike; a class is read from one document.
+def _alike(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike; a class is read from one document, doc_a or doc_b.
 
     A pair carries the set of its ``a``, so ``b`` is best the one that many pairs have.
     """
-    sides = [pairs.select(F.col(side).alias("class"), F.lit(side == "a").alias("first"), F.lit(side == "b").alias("second")) for side in ("a", "b")]
-    wanted = sides[0].union(sides[1]).groupBy("class").agg(F.bool_or("first").alias("first"), F.bool_or("second").alias("second"))
-    chosen = scratch.settle(_one_document(documents, wanted), "chosen")
-    for side, asked, shingles in (("a", "first", "x"), ("b", "second", "y")):
-        own = chosen.where(asked)
-        known = own.select(F.col("class").alias(side), F.col("doc_id").alias("doc"))
-        sets = _members(docs, own, scratch).select(F.col("class").alias("c"), F.col("doc_id").alias("d"), F.col("shingles").alias(shingles)).hint("merge")
-        found = pairs.join(known, side).join(sets, (F.col(side) == F.col("c")) & F.col("doc").eqNullSafe(F.col("d")))
-        pairs = found.drop("c", "d", "doc")
+    bitmaps = _bitmaps(pairs, "doc_a", "doc_b")
+    for side, bitmap, shingles in (("a", bitmaps[0], "x"), ("b", bitmaps[1], "y")):
+        sets = _members(docs, bitmap, scratch).select(F.col("class").alias("c"), F.col("doc_id").alias("d"), F.col("shingles").alias(shingles)).hint("merge")
+        found = pairs.join(sets, (F.col(side) == F.col("c")) & ~_other(f"doc_{side}", "d"))
+        pairs = found.drop("c", "d", f"doc_{side}")
     common = F.size(F.array_intersect("x", "y"))
     checked = pairs.select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
     links = scratch.settle(checked.where(f"100 * c >= {PERCENT} * u").select("a", "b").distinct(), "alike")
     scratch.forget()
-    scratch.drop(chosen)
     return links
 
 
@@ -449,14 +454,14 @@ _FITS = "l.component <> p.component AND l.size <= p.reach AND p.size <= l.reach"
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists with their members' components, without those in one component.
+    """Lists with their members' components and number ``n``, without those in one component.
 
     ``left`` is the number of partners that a member may have in an exhaustive
     round: all of its list, or none for those of the list's least component.
     """
     own = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "x", "n")
-    return own.join(mixed, "key").withColumn("left", F.when(F.col("component") != F.col("x"), F.col("n")).otherwise(0)).drop("x", "n")
+    return own.join(mixed, "key").withColumn("left", F.when(F.col("component") != F.col("x"), F.col("n")).otherwise(0)).drop("x")
 
 
 def _few_left(lists: DataFrame) -> bool:
@@ -487,8 +492,8 @@ def _few_pairs(lists: DataFrame, turn: int) -> DataFrame:
     it takes the NEXT first, with their order. Long lists are cut into parts by class.
     """
     order = F.xxhash64("class", F.lit(turn))
-    sizes = lists.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    dealt = lists.join(sizes, "key").withColumns({"order": order, "part": F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.col("parts"))})
+    part = F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.ceil(F.col("n") / PART))
+    dealt = lists.withColumns({"order": order, "part": part})
     over = Window.partitionBy("key", "part").orderBy("order", "class")
     own = F.struct("class", "component", "size", "reach", "order")
     dealt = dealt.withColumn("next", F.array(*(F.lead(own, k).over(over) for k in range(1, NEXT + 1))))
@@ -496,14 +501,15 @@ def _few_pairs(lists: DataFrame, turn: int) -> DataFrame:
         "next",
         lambda x: (x["component"] != F.col("component")) & (x["size"] <= F.col("reach")) & (F.col("size") <= x["reach"]),
     )
-    met = dealt.select(F.col("class").alias("a"), F.explode(near).alias("x")).select("a", F.col("x.class").alias("b"), F.col("x.order").alias("order")).distinct()
-    first = Window.partitionBy("a").orderBy("order", "b")
-    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= NEXT).select("a", "b", "order")
+    met = dealt.select(F.col("class").alias("a"), F.explode(near).alias("x"))
+    # Tasks leave out repeated pairs before these travel.
+    all_met = F.array_sort(F.collect_set(F.struct(F.col("x.order").alias("order"), F.col("x.class").alias("b"))))
+    return met.groupBy("a").agg(F.slice(all_met, 1, NEXT).alias("x")).select("a", F.explode("x").alias("x")).select("a", "x.b", "x.order")
 
 
 def _first_pairs(pairs: DataFrame) -> DataFrame:
     """Of each ``a`` the pair that comes first: one link joins it to its group."""
-    return pairs.groupBy("a").agg(F.min_by("b", F.struct("order", "b")).alias("b"))
+    return pairs.groupBy("a").agg(F.min_by(F.struct("b", "doc_a", "doc_b"), F.struct("order", "b")).alias("x")).select("a", "x.*")
 
 
 def _all_pairs(lists: DataFrame) -> DataFrame:
@@ -544,7 +550,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         exhaustive = exhaustive or (turn > 0 and _few_left(rest))
         met = _promising(_all_pairs(_told_lists(rest)) if exhaustive else _few_pairs(rest, turn), sketches)
         pairs = scratch.settle(met if exhaustive else _first_pairs(met), "pairs")
-        links = _alike(pairs, docs, documents, scratch)
+        links = _alike(pairs, docs, scratch)
         compared, found = pairs.count(), links.count()
         before, labels = labels, merged(labels, links, scratch)
         # What is in one component is not looked at again.

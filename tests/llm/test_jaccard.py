@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rowferry.llm import components as C
 from rowferry.llm import jaccard as J
 from rowferry.llm.components import BATCH_CONF, Scratch, components
 
@@ -195,3 +196,38 @@ def test_rounds_end_when_little_is_left(spark, monkeypatch):
         rows.append((2 * k + 1, " ".join(words)))
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
     assert rounds == [0]
+
+
+def test_few_links_are_joined_without_a_shuffle(spark):
+    """Each round of contraction shuffles nine times, which took most of the time over many small partitions."""
+    frame = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long").repartition(8)
+    found = components(frame)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["component"] for r in found.collect()} == {0}
+
+
+def test_links_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART", 50)
+    rng = random.Random(8)
+    chain = list(range(300))
+    rng.shuffle(chain)
+    links = list(zip(chain, chain[1:])) + [(1000 + rng.randrange(40), 1000) for _ in range(200)] + [(k, k) for k in range(5)]
+    rows = components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()
+    assert len(rows) == len({r["node"] for r in rows})
+    assert {(r["node"], r["component"]) for r in rows if r["node"] < 1000} == {(k, 0) for k in chain}
+    assert {r["component"] for r in rows if r["node"] >= 1000} == {1000}
+
+
+def test_least_nodes():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60, 900):
+        u, v = rng.integers(-n, n, n), rng.integers(-n, n, n)
+        group = {int(k): int(k) for k in np.concatenate([u, v])}
+        for _ in group:
+            before = dict(group)
+            for a, b in zip(u.tolist(), v.tolist()):
+                group[a] = group[b] = min(group[a], group[b])
+            if before == group:
+                break
+        nodes, least = C.least_nodes(u, v)
+        assert dict(zip(nodes.tolist(), least.tolist())) == group
