@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.text import chunks
-from rowferry.llm.units import Remembered, UnitEncoder
+from rowferry.llm.units import Remembered, UnitEncoder, kept_encoder
 
 #: Ranks under one bit of the upper bitmap level: 2 ** SHIFT.
 SHIFT = 8
@@ -127,9 +127,9 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list
     return out
 
 
-@lru_cache(maxsize=2)
+@kept_encoder(2)
 def _unit_encoder(path: str, pattern: str) -> UnitEncoder:
-    """An encoder that keeps what it knows while its worker lives."""
+    """An encoder that keeps what it knows from task to task."""
     ranks = load_ranks(path)
     split = split_pattern(pattern).findall
     pairs = pair_ranks(ranks)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.components import Scratch, components, merged, small_batches
 from rowferry.llm.text import LOWER, NOT_SPACE, chunks, gram_hashes, hash_spans, mix, words
+from rowferry.llm.units import release_encoders
 from rowferry.session import settled as settle
 
 WORDS = 5
@@ -133,6 +134,7 @@ def _census(docs: DataFrame) -> DataFrame:
     """
 
     def task(batches):
+        release_encoders()
         kind, gathered, held, seen = None, [], 0, set()
 
         def counts():
@@ -220,6 +222,7 @@ def _entries(docs: DataFrame, frequent, small: int, scratch: Scratch) -> DataFra
     shared = scratch.share(frequent)
 
     def task(batches):
+        release_encoders()
         values, rank = shared.value
         known = np.zeros(1 << 20, bool)
         known[values & _U64((1 << 20) - 1)] = True
@@ -347,6 +350,7 @@ def _members(docs: DataFrame, bitmap: np.ndarray, scratch: Scratch, sketched: bo
     shared = scratch.share(bitmap)
 
     def task(batches):
+        release_encoders()
         bitmap = shared.value
         for batch in batches:
             spot = batch.column("spot").to_numpy()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.text import LOWER, WORD_BYTE, chunks, hash_spans, mix, words
+from rowferry.llm.units import release_encoders
 
 #: Labelled documents that are learned from, chosen by a hash of their id, and the longest text among them.
 SAMPLE = 6000
@@ -179,6 +180,7 @@ def score_texts(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
+        release_encoders()
         model = shared.value
         for batch in batches:
             for part, data, offsets in chunks(batch):

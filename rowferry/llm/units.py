@@ -8,6 +8,7 @@ worker remembers a bounded number of pieces from task to task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -20,6 +21,29 @@ from rowferry.llm.text import unit_offsets
 CACHED = 250_000
 CACHED_BYTES = 64
 
+_encoders: list = []
+
+
+def kept_encoder(size: int):
+    """Like ``lru_cache``, for functions that make encoders; what they know lasts until ``release_encoders``."""
+
+    def keep(make: Callable) -> Callable:
+        _encoders.append(lru_cache(maxsize=size)(make))
+        return _encoders[-1]
+
+    return keep
+
+
+def release_encoders() -> None:
+    """Free what this worker knows of pieces, for tasks that encode nothing: workers live on from query to query.
+
+    Arrow's own spare memory goes with it.
+    """
+    if any(encoder.cache_info().currsize for encoder in _encoders):
+        for encoder in _encoders:
+            encoder.cache_clear()
+        pa.default_memory_pool().release_unused()
+
 
 class Remembered:
     """Ids of pieces, as bytes of int32. The older of two generations goes when the younger is full."""

@@ -7,9 +7,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rowferry.llm import bpe, units
 from rowferry.llm import components as C
 from rowferry.llm import jaccard as J
 from rowferry.llm.components import BATCH_CONF, Scratch, components
+from rowferry.llm.queries import BYTE_RANKS
+from rowferry.llm.tokens import pattern, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -231,3 +234,12 @@ def test_least_nodes():
                 break
         nodes, least = C.least_nodes(u, v)
         assert dict(zip(nodes.tolist(), least.tolist())) == group
+
+
+def test_encoders_are_freed():
+    """Workers carried the pieces that an encoder had met, about 100 MB each, through all later steps."""
+    encode = bpe._unit_encoder(vocabulary(BYTE_RANKS), pattern())
+    assert bpe._unit_encoder(vocabulary(BYTE_RANKS), pattern()) is encode
+    units.release_encoders()
+    assert bpe._unit_encoder.cache_info().currsize == 0
+    assert bpe._unit_encoder(vocabulary(BYTE_RANKS), pattern()) is not encode
